@@ -1,0 +1,32 @@
+"""Join strategy helpers.
+
+Broadcasting is only safe for a side whose size is known.  ``size_checked_join``
+proves the bound with a bounded count (``limit(n + 1).count()`` reads at most
+n + 1 rows) and falls back to a shuffle join beyond it, where AQE can still
+convert to a broadcast from measured shuffle sizes or split skewed partitions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Upper bound on rows of a key-only side we are willing to broadcast.
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1)."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def size_checked_join(left: DataFrame, right: DataFrame, on, how: str = "inner",
+                      max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Join, broadcasting ``right`` only after its row count is checked.
+
+    Use for narrow (key-only or few-column) right sides: the row bound then
+    bounds the bytes as well.
+    """
+    if fits_broadcast(right, max_rows):
+        right = F.broadcast(right)
+    return left.join(right, on=on, how=how)

@@ -1,0 +1,135 @@
+"""Corpora derived from the driver's tables.
+
+The driver ships generic tables (documents, events, conversations, ...).  The
+jobs here turn them into the inputs of the commit-corpus operators with
+Spark expressions only, so the derived corpora grow with the tables.  Every
+recipe has a twin in :mod:`commitscope.sources.fixture_sql` that produces the
+same bytes in DuckDB; the SQL oracle starts from that twin.
+
+Recipes (all keyed by columns of the source rows, never by row order):
+
+* commits   - one document is one file diff, eight consecutive documents
+  (``doc_id div 8``) are one staged snapshot; ``repo = 'repo-' || commit_id % 10``.
+* commit_log / users - one document is one log entry of repo ``doc_id % 4``.
+* responses - one conversation turn is one model answer of seven shapes.
+* response_chunks - each answer cut into 7-character pieces.
+* candidate_events - one event row is one UI action of session ``user_id``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+# Fixed values of the recipe: the file path of document ``doc_id`` is entry
+# ``doc_id % 12`` of this list with ``#`` replaced by the doc_id.
+FIXTURE_PATHS = [
+    "package.json", "src/app/m#.ts", "lib/core#.py", "tests/t#.py", "README.md",
+    "tsconfig.json", "docs/guide#.html", "main#.go", "src/x#.test.ts", ".env.local",
+    "infra/ci#.yaml", "poetry.lock",
+]
+JUNK_PREFIX = "warning: LF will be replaced by CRLF in staged files\n"
+BLANK_DIFF = " \t\n"
+
+
+def _pick(values: list[str], index_col) -> F.Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (index_col + 1).cast("int"))
+
+
+def file_diff_segments(documents: DataFrame) -> DataFrame:
+    """One unified-diff segment per document (narrow: no shuffle)."""
+    doc = F.col("doc_id")
+    path = F.replace(_pick(FIXTURE_PATHS, doc % 12), F.lit("#"), doc.cast("string"))
+    kind = doc % 7
+    a_path = F.when(kind == 2, F.concat(F.lit("old/"), path)).otherwise(path)
+    type_lines = (
+        F.when(kind == 0, F.lit("new file mode 100644\n"))
+        .when(kind == 1, F.lit("deleted file mode 100644\n"))
+        .when(kind == 2, F.concat(F.lit("similarity index 90%\nrename from "), a_path,
+                                  F.lit("\nrename to "), path, F.lit("\n")))
+        .otherwise(F.lit(""))
+    )
+    lines = F.split(F.col("text"), "\n", -1)
+    n = F.size(lines).cast("string")
+    body = F.array_join(
+        F.transform(lines, lambda x, i: F.concat(_pick([" ", "+", "-"], (doc + i) % 3), x)), "\n")
+    seg = F.concat(
+        F.lit("diff --git a/"), a_path, F.lit(" b/"), path, F.lit("\n"), type_lines,
+        F.lit("index 1111111..2222222\n--- a/"), a_path, F.lit("\n+++ b/"), path,
+        F.lit("\n@@ -"), (doc % 50 + 1).cast("string"), F.lit(","), n,
+        F.lit(" +"), (doc % 40 + 1).cast("string"), F.lit(","), n, F.lit(" @@\n"),
+        body, F.lit("\n"))
+    return documents.select(doc, F.expr("doc_id div 8").alias("commit_id"), seg.alias("seg"))
+
+
+def commits_from_documents(documents: DataFrame) -> DataFrame:
+    """``commits(repo, commit_id, raw_diff)``: one row per staged snapshot.
+
+    Groups hold exactly eight documents, so the ordered collect is bounded.
+    Every 16th snapshot is blank (reported as ``no_changes``); every 5th has
+    text before its first header (skipped by the parser).
+    """
+    segs = file_diff_segments(documents)
+    snap = (segs.groupBy("commit_id")
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "seg"))),
+                                          lambda s: s["seg"]), "").alias("body")))
+    cid = F.col("commit_id")
+    raw = (F.when(cid % 16 == 15, F.lit(BLANK_DIFF))
+           .when(cid % 5 == 4, F.concat(F.lit(JUNK_PREFIX), F.col("body")))
+           .otherwise(F.col("body")))
+    return snap.select(F.concat(F.lit("repo-"), (cid % 10).cast("string")).alias("repo"),
+                       cid.alias("commit_id"), raw.alias("raw_diff"))
+
+
+def load_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commits_from_documents(table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------------------
+# commit_log and users
+# ---------------------------------------------------------------------------
+
+# Fixed values of the recipe: the e-mail local part of each repo's current user.
+FIXTURE_USERS = [("repo-0", "en"), ("repo-1", "FR"), ("repo-2", "es"), ("repo-3", "none")]
+FIXTURE_DATE = "2024-03-05 14:07:33 +0100"
+CJK = "中"
+LOG_POS_BASE = 10**12
+
+
+def commit_log_from_documents(documents: DataFrame) -> DataFrame:
+    """``commit_log``: one document is one log entry; newest = highest doc_id.
+
+    ``log_pos`` is the git-log sort key inside a repo: smaller is newer, gaps
+    are allowed.  It is computed per row (``LOG_POS_BASE - doc_id``), so the
+    derivation needs no window over a possibly huge repo.
+    """
+    doc = F.col("doc_id")
+    subject = F.replace(F.substring(F.col("text"), 1, 60), F.lit("\n"), F.lit(" "))
+    subject = F.when(F.col("lang") == "es", F.translate(subject, "aeiou", CJK * 5)).otherwise(subject)
+    email_local = F.when(doc % 3 == 0, F.upper(F.col("lang"))).otherwise(F.col("lang"))
+    return documents.select(
+        F.concat(F.lit("repo-"), (doc % 4).cast("string")).alias("repo"),
+        doc,
+        F.md5(doc.cast("string")).alias("hash"),
+        subject.alias("subject"),
+        F.concat(F.lit("Author "), F.col("source")).alias("author"),
+        F.concat(email_local, F.lit("@example.org")).alias("email"),
+        F.lit(FIXTURE_DATE).alias("date"),
+        (doc % 11 == 0).alias("is_merge"),
+        (F.lit(LOG_POS_BASE) - doc).cast("long").alias("log_pos"),
+    ).drop("doc_id")
+
+
+def users_table(spark: SparkSession) -> DataFrame:
+    """The current user per repo: a four-row parameter table of the recipe."""
+    rows = [(repo, f"  {local}@Example.org ") for repo, local in FIXTURE_USERS]
+    return spark.createDataFrame(rows, "repo string, email string")
+
+
+def load_commit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commit_log_from_documents(table(spark, sf_dir, "documents"))
