@@ -64,3 +64,191 @@ FROM churned GROUP BY change_type
 def change_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-05 + OP-10 keyed by change type."""
     return churn.churn_totals(_file_churn(spark, sf_dir), ["change_type"])
+
+
+# ---------------------------------------------------------------------------
+# Step 2: lines, numbering, bars, groups, lookup, relative paths
+# ---------------------------------------------------------------------------
+
+def _file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diffs.split_file_changes(load_commits(spark, sf_dir))
+
+
+_LINES = fx.FILE_CHANGES_CTE + """,
+raw_lines AS (
+  SELECT repo, commit_id, file_seq, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS pos,
+         unnest(ls) AS raw
+  FROM (SELECT repo, commit_id, file_seq, string_split(diff, chr(10)) AS ls
+        FROM file_changes WHERE length(diff) > 0)
+),
+kinds AS (
+  SELECT *, CASE WHEN starts_with(raw, '@@') THEN 'hunk'
+      WHEN starts_with(raw, 'diff ') OR starts_with(raw, 'index ') OR starts_with(raw, '--- ')
+        OR starts_with(raw, '+++ ') OR starts_with(raw, 'new file') OR starts_with(raw, 'deleted file')
+        OR starts_with(raw, 'similarity') OR starts_with(raw, 'rename') OR starts_with(raw, chr(92))
+        THEN 'meta'
+      WHEN starts_with(raw, '+') THEN 'add' WHEN starts_with(raw, '-') THEN 'del' ELSE 'ctx' END AS kind
+  FROM raw_lines
+),
+diff_lines AS (
+  SELECT repo, commit_id, file_seq, pos, kind,
+    CASE kind WHEN 'add' THEN '+' WHEN 'del' THEN '-' WHEN 'ctx' THEN ' ' ELSE '' END AS sign,
+    CASE WHEN kind IN ('add', 'del') OR (kind = 'ctx' AND starts_with(raw, ' ')) THEN substr(raw, 2)
+         ELSE raw END AS text,
+    raw
+  FROM kinds
+)"""
+
+
+@register("line_kinds", f"""
+WITH {_LINES}
+SELECT kind, sign, CAST(count(*) AS BIGINT) AS lines,
+       CAST(sum(length(text)) AS BIGINT) AS text_chars,
+       CAST(count(*) FILTER (WHERE text = '') AS BIGINT) AS empty_lines
+FROM diff_lines GROUP BY kind, sign
+""")
+def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-07: lines per kind; the empty piece after the final newline is ctx."""
+    from .operators import lines
+    dl = lines.explode_lines(_file_changes(spark, sf_dir), prepartition=False)
+    return (dl.groupBy("kind", "sign")
+            .agg(F.count(F.lit(1)).alias("lines"),
+                 F.sum(F.length("text")).cast("long").alias("text_chars"),
+                 F.count(F.when(F.col("text") == "", 1)).alias("empty_lines")))
+
+
+@register("line_numbers", f"""
+WITH {_LINES},
+marked AS (
+  SELECT *,
+    kind = 'hunk' AND regexp_matches(raw, '@@ -(\\d+)(?:,\\d+)? \\+(\\d+)(?:,\\d+)? @@') AS valid,
+    CAST(kind IN ('ctx', 'del') AS BIGINT) AS adv_old,
+    CAST(kind IN ('ctx', 'add') AS BIGINT) AS adv_new
+  FROM diff_lines
+),
+hunked AS (
+  SELECT *, sum(CAST(valid AS BIGINT)) OVER (PARTITION BY repo, commit_id, file_seq ORDER BY pos
+                                             ROWS UNBOUNDED PRECEDING) AS hid
+  FROM marked
+),
+bases AS (
+  SELECT *,
+    first_value(CASE WHEN valid THEN CAST(regexp_extract(raw, '@@ -(\\d+)(?:,\\d+)? \\+(\\d+)(?:,\\d+)? @@', 1) AS BIGINT) END)
+      OVER (PARTITION BY repo, commit_id, file_seq, hid ORDER BY pos ROWS UNBOUNDED PRECEDING) AS a,
+    first_value(CASE WHEN valid THEN CAST(regexp_extract(raw, '@@ -(\\d+)(?:,\\d+)? \\+(\\d+)(?:,\\d+)? @@', 2) AS BIGINT) END)
+      OVER (PARTITION BY repo, commit_id, file_seq, hid ORDER BY pos ROWS UNBOUNDED PRECEDING) AS b,
+    coalesce(sum(adv_old) OVER (PARTITION BY repo, commit_id, file_seq, hid ORDER BY pos
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_old,
+    coalesce(sum(adv_new) OVER (PARTITION BY repo, commit_id, file_seq, hid ORDER BY pos
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_new
+  FROM hunked
+)
+SELECT repo, commit_id, file_seq, pos, kind, sign, text,
+  CASE WHEN kind IN ('ctx', 'del') THEN CAST(coalesce(a, 0) + before_old AS BIGINT) END AS old_n,
+  CASE WHEN kind IN ('ctx', 'add') THEN CAST(coalesce(b, 0) + before_new AS BIGINT) END AS new_n
+FROM bases
+""")
+def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-07 + OP-08: every diff line with its old/new number."""
+    from .operators import lines
+    dl = lines.explode_lines(_file_changes(spark, sf_dir))
+    return lines.number_lines(dl).select("repo", "commit_id", "file_seq", "pos", "kind", "sign",
+                                         "text", "old_n", "new_n")
+
+
+@register("churn_bars", f"""
+WITH {_CLASSIFIED},
+ratios AS (
+  SELECT *, CASE WHEN additions + deletions > 0 THEN additions / (additions + deletions) ELSE 0.0 END
+            AS add_ratio FROM churned
+)
+SELECT repo, commit_id, file_seq, path,
+  CASE change_type WHEN 'added' THEN 'A' WHEN 'deleted' THEN 'D' WHEN 'renamed' THEN 'R' ELSE 'M' END
+    AS status,
+  additions, deletions, add_ratio, CAST(floor(add_ratio * 10 + 0.5) AS INTEGER) AS filled,
+  CASE WHEN additions + deletions > 0
+       THEN repeat('+', CAST(floor(add_ratio * 10 + 0.5) AS INTEGER))
+            || repeat('-', 10 - CAST(floor(add_ratio * 10 + 0.5) AS INTEGER))
+       ELSE repeat('.', 10) END AS bar
+FROM ratios
+""")
+def churn_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-09, 11, 12: per-file counts, add ratio, 10-segment bar, status letter."""
+    df = churn.churn_bars(churn.file_churn(_file_changes(spark, sf_dir)))
+    return df.select("repo", "commit_id", "file_seq", "path",
+                     churn.status_letter("change_type").alias("status"),
+                     "additions", "deletions", "add_ratio", "filled", "bar")
+
+
+@register("file_groups", f"""
+WITH {_CLASSIFIED},
+g AS (
+  SELECT repo, commit_id, group_key, group_type, label, min(file_seq) AS first_seq,
+         CAST(count(*) AS INTEGER) AS n_files,
+         string_agg(path || ' (' || change_type || ')', chr(10) ORDER BY file_seq) AS file_list
+  FROM classified GROUP BY repo, commit_id, group_key, group_type, label
+)
+SELECT repo, commit_id,
+  CAST(row_number() OVER (PARTITION BY repo, commit_id ORDER BY first_seq) - 1 AS INTEGER) AS group_ord,
+  group_key, group_type, label, n_files, file_list
+FROM g
+""")
+def file_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-13 + OP-14: groups per snapshot in first-seen order, files in input order."""
+    grouped = paths.group_files_in_row(diffs.parse_files(load_commits(spark, sf_dir)))
+    return grouped.select(
+        "repo", "commit_id", "group_ord", "group_key", "group_type", "label",
+        F.size("files").alias("n_files"),
+        F.array_join(F.transform("files", lambda f: F.concat(f["path"], F.lit(" ("),
+                                                               f["change_type"], F.lit(")"))), "\n")
+        .alias("file_list"))
+
+
+@register("diff_lookup", f"""
+WITH {fx.FILE_CHANGES_CTE},
+wanted AS (
+  SELECT DISTINCT repo, path FROM file_changes
+  UNION ALL SELECT DISTINCT repo, 'no/such/file.txt' FROM file_changes
+),
+hits AS (SELECT f.* FROM file_changes f SEMI JOIN wanted w ON f.repo = w.repo AND f.path = w.path)
+SELECT repo, path, arg_max(commit_id, (commit_id, file_seq)) AS commit_id,
+       arg_max(file_seq, (commit_id, file_seq)) AS file_seq,
+       md5(arg_max(diff, (commit_id, file_seq))) AS diff_md5
+FROM hits GROUP BY repo, path
+""")
+def diff_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-06: latest diff of every path of a repo (plus a path that does not
+    exist, which yields no row); duplicates resolve to the last one."""
+    fc = _file_changes(spark, sf_dir)
+    wanted = (fc.select("repo", "path").distinct()
+              .unionByName(fc.select("repo", F.lit("no/such/file.txt").alias("path")).distinct()))
+    out = diffs.lookup_diffs(fc, wanted, keys=("repo", "path"), order=("commit_id", "file_seq"))
+    return out.select("repo", "path", "commit_id", "file_seq", F.md5("diff").alias("diff_md5"))
+
+
+@register("relativized", f"""
+WITH {fx.FILE_CHANGES_CTE},
+abs AS (
+  SELECT repo, commit_id, file_seq, '/home/dev/' || repo AS root,
+    CASE file_seq % 3 WHEN 0 THEN '/home/dev/' || repo || '/' || path
+                      WHEN 1 THEN '/mnt/home/dev/' || repo || '/' || path
+                      ELSE replace('/home/dev/' || repo || '/' || path, '/', chr(92)) END AS abs_path
+  FROM file_changes
+)
+SELECT repo, commit_id, file_seq, abs_path,
+  replace(CASE WHEN strpos(abs_path, root || '/') > 0
+               THEN substr(abs_path, 1, strpos(abs_path, root || '/') - 1)
+                    || substr(abs_path, strpos(abs_path, root || '/') + length(root) + 1)
+               ELSE abs_path END, chr(92), '/') AS rel_path
+FROM abs
+""")
+def relativized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-15: first occurrence of root + '/' removed, backslashes to slashes."""
+    fc = _file_changes(spark, sf_dir)
+    root = F.concat(F.lit("/home/dev/"), F.col("repo"))
+    full = F.concat(root, F.lit("/"), F.col("path"))
+    abs_path = (F.when(F.col("file_seq") % 3 == 0, full)
+                .when(F.col("file_seq") % 3 == 1, F.concat(F.lit("/mnt"), full))
+                .otherwise(F.replace(full, F.lit("/"), F.lit("\\"))))
+    df = fc.select("repo", "commit_id", "file_seq", root.alias("root"), abs_path.alias("abs_path"))
+    return paths.relativize(df, "abs_path", "root").drop("root")

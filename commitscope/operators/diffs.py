@@ -77,15 +77,19 @@ def split_file_changes(commits: DataFrame, diff_col: str = "raw_diff") -> DataFr
 
 
 def lookup_diffs(file_changes: DataFrame, wanted: DataFrame,
-                 keys: tuple[str, ...] = ("repo", "commit_id", "path")) -> DataFrame:
-    """OP-06: the diff for each wanted key; a duplicated path gives its last
-    diff, a missing path gives no row.
+                 keys: tuple[str, ...] = ("repo", "commit_id", "path"),
+                 order: tuple[str, ...] = ("file_seq",)) -> DataFrame:
+    """OP-06: the diff for each wanted key; among duplicates the last one (by
+    ``order``) wins, a missing key gives no row.
 
     The request table is semi-joined first (broadcast only when its size is
-    checked to be small), so only requested files reach the aggregate, and
-    ``max_by`` combines map-side.
+    checked to be small), so only requested files reach the aggregate.
+    ``max_by`` is a declarative aggregate: it combines map-side, so a hot key
+    ships one partial row per task, never its whole group.
     """
-    keys = list(keys)
+    keys, order = list(keys), list(order)
     wanted_keys = wanted.select(*keys).distinct()
     hits = size_checked_join(file_changes, wanted_keys, keys, "left_semi")
-    return hits.groupBy(*keys).agg(F.max_by("diff", "file_seq").alias("diff"))
+    last = F.max_by(F.struct(*order, "diff"), F.struct(*order))
+    return (hits.groupBy(*keys).agg(last.alias("_last"))
+            .select(*keys, *[F.col("_last")[c].alias(c) for c in order], F.col("_last.diff").alias("diff")))

@@ -74,8 +74,8 @@ def number_lines(diff_lines: DataFrame, keys: list[str] | None = None) -> DataFr
     adv_new = kind.isin("ctx", "add").cast("long")
     df = diff_lines.withColumns({
         "_valid": valid,
-        "_a": F.when(valid, F.try_cast(a_txt, "long")),
-        "_b": F.when(valid, F.try_cast(b_txt, "long")),
+        "_a": F.when(valid, a_txt.try_cast("long")),
+        "_b": F.when(valid, b_txt.try_cast("long")),
         "_adv_old": adv_old,
         "_adv_new": adv_new,
     })
