@@ -252,3 +252,135 @@ def relativized(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .otherwise(F.replace(full, F.lit("/"), F.lit("\\"))))
     df = fc.select("repo", "commit_id", "file_seq", root.alias("root"), abs_path.alias("abs_path"))
     return paths.relativize(df, "abs_path", "root").drop("root")
+
+
+# ---------------------------------------------------------------------------
+# Step 3: logs, history, language, options
+# ---------------------------------------------------------------------------
+
+from .operators import history, settings  # noqa: E402
+from .sources import readers  # noqa: E402
+from .sources.fixtures import (load_commit_log, option_updates_from_nation,  # noqa: E402
+                               requests_from_commits, table, users_table)
+
+
+@register("log_records", f"""
+WITH {fx.LOG_CTE},
+lines AS (
+  SELECT repo, log_pos,
+    CASE WHEN starts_with(hash, '0') THEN hash || chr(31) || subject || chr(31) || author
+         ELSE hash || chr(31) || subject || chr(31) || author || chr(31) || date || chr(31) || 'extra'
+    END AS line
+  FROM commit_log
+),
+f AS (SELECT *, string_split(line, chr(31)) AS parts FROM lines)
+SELECT repo, log_pos, CASE WHEN len(parts) >= 4 THEN 'ok' ELSE 'rejected' END AS status,
+  CASE WHEN len(parts) >= 4 THEN parts[1] END AS hash,
+  CASE WHEN len(parts) >= 4 THEN parts[2] END AS subject,
+  CASE WHEN len(parts) >= 4 THEN parts[3] END AS author,
+  CASE WHEN len(parts) >= 4 THEN parts[4] END AS date
+FROM f
+""")
+def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-02 record layout: fields 1-4 used, short records quarantined."""
+    log = load_commit_log(spark, sf_dir)
+    sep = F.lit(readers.RECORD_SEP)
+    full = F.concat_ws(readers.RECORD_SEP, "hash", "subject", "author", "date", F.lit("extra"))
+    short = F.concat_ws(readers.RECORD_SEP, "hash", "subject", "author")
+    lines = log.select("repo", "log_pos",
+                       F.when(F.col("hash").startswith("0"), short).otherwise(full).alias("line"))
+    del sep
+    good, bad = readers.parse_log_records(lines)
+    return (good.select("repo", "log_pos", F.lit("ok").alias("status"), "hash", "subject", "author",
+                        "date")
+            .unionByName(bad.select("repo", "log_pos", F.lit("rejected").alias("status"),
+                                    *[F.lit(None).cast("string").alias(c)
+                                      for c in ("hash", "subject", "author", "date")])))
+
+
+@register("log_author_subject", f"""
+WITH {fx.LOG_CTE},
+lines AS (
+  SELECT repo, log_pos,
+    CASE WHEN log_pos % 9 = 0 THEN email || ' ' || subject
+         ELSE email || chr(9) || subject || CASE WHEN log_pos % 2 = 0 THEN chr(9) || 'tail' ELSE '' END
+    END AS line
+  FROM commit_log
+)
+SELECT repo, log_pos, substr(line, 1, strpos(line, chr(9)) - 1) AS email,
+       substr(line, strpos(line, chr(9)) + 1) AS subject
+FROM lines WHERE strpos(line, chr(9)) > 0
+""")
+def log_author_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-02 tab layout: split at the first tab; no tab, no row."""
+    log = load_commit_log(spark, sf_dir)
+    line = (F.when(F.col("log_pos") % 9 == 0, F.concat_ws(" ", "email", "subject"))
+            .otherwise(F.concat(F.col("email"), F.lit("\t"), F.col("subject"),
+                                F.when(F.col("log_pos") % 2 == 0, F.lit("\ttail")).otherwise(F.lit("")))))
+    return readers.parse_author_subject(log.select("repo", "log_pos", line.alias("line")))
+
+
+@register("recent_commits", f"""
+WITH {fx.LOG_CTE}
+SELECT repo, log_pos, substr(hash, 1, 8) AS short_hash, subject AS message, author,
+       substr(date, 1, 16) AS short_date
+FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY log_pos, hash) AS rn
+      FROM commit_log WHERE NOT is_merge)
+WHERE rn <= 20
+""")
+def recent_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-16 + OP-17: newest 20 non-merge entries per repo, display form."""
+    return history.recent_commits(load_commit_log(spark, sf_dir))
+
+
+@register("author_language", f"""
+WITH {fx.LOG_CTE}, {fx.DETECT_CTE}
+SELECT repo, subjects, text_len, non_ascii, language FROM detected
+""")
+def author_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-18: zh / en per repo from the current user's recent subjects."""
+    return history.detect_language(load_commit_log(spark, sf_dir), users_table(spark))
+
+
+@register("resolved_settings", f"""
+WITH {fx.COMMITS_CTE}, {fx.LOG_CTE}, {fx.DETECT_CTE}, {fx.REQUESTS_CTE},
+stored AS (
+  SELECT repo,
+    arg_max(conventional, seq) FILTER (WHERE conventional IS NOT NULL) AS stored_conventional,
+    arg_max(language, seq) FILTER (WHERE language IS NOT NULL) AS stored_language
+  FROM option_updates GROUP BY repo
+),
+sess AS (
+  SELECT *, nullif(last_value(CASE WHEN kind = 'regenerate' AND (language IS NULL OR language <> 'auto')
+                                   THEN coalesce(language, '') END IGNORE NULLS)
+              OVER (PARTITION BY repo ORDER BY seq ROWS UNBOUNDED PRECEDING), '') AS session_language
+  FROM requests
+),
+eff AS (
+  SELECT q.repo, q.commit_id, q.seq, q.kind,
+    CASE WHEN q.kind = 'regenerate' THEN q.conventional ELSE coalesce(s.stored_conventional, true) END
+      AS conventional,
+    CASE WHEN q.kind = 'regenerate' THEN q.language
+         ELSE coalesce(q.session_language, s.stored_language, 'en') END AS language,
+    CASE WHEN q.kind = 'regenerate' THEN q.model END AS model,
+    CASE WHEN q.kind = 'regenerate' THEN q.prompt END AS prompt,
+    q.session_language
+  FROM sess q LEFT JOIN stored s ON q.repo = s.repo
+)
+SELECT e.*, CASE WHEN e.language = 'auto' THEN coalesce(d.language, 'en') ELSE e.language END
+              AS resolved_language,
+  CASE WHEN (CASE WHEN e.language = 'auto' THEN coalesce(d.language, 'en') ELSE e.language END) = 'zh'
+       THEN 'zh' ELSE 'en' END AS prompt_language
+FROM eff e LEFT JOIN detected d ON e.repo = d.repo
+""")
+def resolved_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-19 + OP-20: effective options of every request, ``auto`` resolved."""
+    commits = load_commits(spark, sf_dir)
+    reqs = requests_from_commits(commits)
+    stored = settings.stored_settings(option_updates_from_nation(table(spark, sf_dir, "nation")))
+    eff = settings.resolve_settings(reqs, stored)
+    eff = eff.join(reqs.select("repo", "seq", "commit_id"), ["repo", "seq"])
+    detected = history.detect_language(load_commit_log(spark, sf_dir), users_table(spark))
+    out = history.resolve_language(eff, detected)
+    return out.select("repo", "commit_id", "seq", "kind", "conventional", "language", "model", "prompt",
+                      "session_language", "resolved_language", "prompt_language")

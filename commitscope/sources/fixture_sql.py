@@ -153,3 +153,51 @@ users AS (
   SELECT * FROM (VALUES {", ".join(f"('{r}', '  {u}@Example.org ')" for r, u in FIXTURE_USERS)})
     AS t(repo, email)
 )"""
+
+from .fixtures import REQUEST_LANGUAGES, REQUEST_MODELS, REQUEST_PROMPT  # noqa: E402
+
+REQUESTS_CTE = f"""
+requests AS (
+  SELECT repo, commit_id, commit_id AS seq,
+    CASE WHEN commit_id % 5 <> 0 THEN 'regenerate' ELSE 'ready' END AS kind,
+    CASE WHEN commit_id % 5 <> 0 THEN commit_id % 3 <> 0 END AS conventional,
+    CASE WHEN commit_id % 5 <> 0 THEN {_in_list(REQUEST_LANGUAGES)}[1 + commit_id % 7] END AS language,
+    CASE WHEN commit_id % 5 <> 0 AND commit_id % 4 <> 0
+         THEN {_in_list(REQUEST_MODELS)}[1 + commit_id % 3] END AS model,
+    CASE WHEN commit_id % 5 <> 0 AND commit_id % 6 = 1 THEN '{REQUEST_PROMPT}' END AS prompt
+  FROM commits
+),
+option_updates AS (
+  SELECT 'repo-' || CAST(n_nationkey % 10 AS VARCHAR) AS repo, CAST(n_nationkey AS BIGINT) AS seq,
+    CASE WHEN n_nationkey % 3 <> 0 THEN n_regionkey % 2 = 0 END AS conventional,
+    CASE n_nationkey % 4 WHEN 0 THEN 'zh' WHEN 2 THEN 'en' WHEN 3 THEN 'auto' END AS language
+  FROM nation
+)"""
+
+# OP-18 in SQL: the detected language per user repo.
+DETECT_CTE = """
+scanned AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY repo ORDER BY log_pos, hash) AS rn
+    FROM commit_log WHERE NOT is_merge) WHERE rn <= 50
+),
+mine AS (
+  SELECT * FROM (
+    SELECT s.*, row_number() OVER (PARTITION BY s.repo ORDER BY s.log_pos, s.hash) AS rn2
+    FROM scanned s JOIN users u ON s.repo = u.repo AND lower(s.email) = lower(trim(u.email, """ + \
+    WS_SET + """))) WHERE rn2 <= 20
+),
+stats AS (
+  SELECT repo, count(*) AS subjects,
+    sum(length(subject)) AS text_len,
+    sum(length(regexp_replace(subject, '[\\x00-\\x7F]', '', 'g'))) AS non_ascii
+  FROM mine GROUP BY repo
+),
+detected AS (
+  SELECT u.repo, CAST(coalesce(s.subjects, 0) AS BIGINT) AS subjects,
+    CAST(coalesce(s.text_len, 0) AS BIGINT) AS text_len,
+    CAST(coalesce(s.non_ascii, 0) AS BIGINT) AS non_ascii,
+    CASE WHEN coalesce(s.text_len, 0) > 0 AND coalesce(s.non_ascii, 0) * 5 > s.text_len
+         THEN 'zh' ELSE 'en' END AS language
+  FROM (SELECT DISTINCT repo FROM users) u LEFT JOIN stats s ON u.repo = s.repo
+)"""

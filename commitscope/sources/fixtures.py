@@ -133,3 +133,42 @@ def users_table(spark: SparkSession) -> DataFrame:
 
 def load_commit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commit_log_from_documents(table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------------------
+# Options: requests per snapshot and partial updates of stored options
+# ---------------------------------------------------------------------------
+
+# Fixed values of the recipe: request language by ``commit_id % 7`` and model
+# by ``commit_id % 3`` (NULL model when ``commit_id % 4 = 0``).
+REQUEST_LANGUAGES = ["en", "zh", "auto", "fr", "auto", "", "zh"]
+REQUEST_MODELS = ["gpt-4o", "claude-sonnet", "missing-model"]
+REQUEST_PROMPT = "Mention the ticket number."
+
+
+def requests_from_commits(commits: DataFrame) -> DataFrame:
+    """One generation request per snapshot of a repo, ``seq = commit_id``.
+
+    Every fifth request is a plain reload (``ready``, no options)."""
+    cid = F.col("commit_id")
+    regen = cid % 5 != 0
+    return commits.select(
+        "repo", "commit_id", cid.alias("seq"),
+        F.when(regen, F.lit("regenerate")).otherwise(F.lit("ready")).alias("kind"),
+        F.when(regen, cid % 3 != 0).alias("conventional"),
+        F.when(regen, _pick(REQUEST_LANGUAGES, cid % 7)).alias("language"),
+        F.when(regen & (cid % 4 != 0), _pick(REQUEST_MODELS, cid % 3)).alias("model"),
+        F.when(regen & (cid % 6 == 1), F.lit(REQUEST_PROMPT)).alias("prompt"),
+    )
+
+
+def option_updates_from_nation(nation: DataFrame) -> DataFrame:
+    """Partial updates of stored options: one per nation row (NULL = unchanged)."""
+    k = F.col("n_nationkey")
+    return nation.select(
+        F.concat(F.lit("repo-"), (k % 10).cast("string")).alias("repo"),
+        k.cast("long").alias("seq"),
+        F.when(k % 3 != 0, F.col("n_regionkey") % 2 == 0).alias("conventional"),
+        F.when(k % 4 == 0, F.lit("zh")).when(k % 4 == 2, F.lit("en"))
+        .when(k % 4 == 3, F.lit("auto")).alias("language"),
+    )
