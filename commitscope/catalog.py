@@ -31,13 +31,14 @@ def _file_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return churn.file_churn(paths.classify_paths(fc))
 
 
-_CLASSIFIED = fx.FILE_CHANGES_CTE + """,
+_CLASSIFY_ONLY = """
 classified AS (""" + fx.classify_sql("path").replace("{src}", "file_changes") + """),
 churned AS (
   SELECT *, """ + fx.count_lines_sql("diff", "+") + """ AS additions,
             """ + fx.count_lines_sql("diff", "-") + """ AS deletions
   FROM classified
 )"""
+_CLASSIFIED = fx.FILE_CHANGES_CTE + "," + _CLASSIFY_ONLY
 
 
 # ---------------------------------------------------------------------------
@@ -342,8 +343,7 @@ def author_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.detect_language(load_commit_log(spark, sf_dir), users_table(spark))
 
 
-@register("resolved_settings", f"""
-WITH {fx.COMMITS_CTE}, {fx.LOG_CTE}, {fx.DETECT_CTE}, {fx.REQUESTS_CTE},
+_RESOLVED_CTE = f"""{fx.COMMITS_CTE}, {fx.LOG_CTE}, {fx.DETECT_CTE}, {fx.REQUESTS_CTE},
 stored AS (
   SELECT repo,
     arg_max(conventional, seq) FILTER (WHERE conventional IS NOT NULL) AS stored_conventional,
@@ -366,12 +366,19 @@ eff AS (
     CASE WHEN q.kind = 'regenerate' THEN q.prompt END AS prompt,
     q.session_language
   FROM sess q LEFT JOIN stored s ON q.repo = s.repo
-)
+),
+resolved AS (
 SELECT e.*, CASE WHEN e.language = 'auto' THEN coalesce(d.language, 'en') ELSE e.language END
               AS resolved_language,
   CASE WHEN (CASE WHEN e.language = 'auto' THEN coalesce(d.language, 'en') ELSE e.language END) = 'zh'
        THEN 'zh' ELSE 'en' END AS prompt_language
 FROM eff e LEFT JOIN detected d ON e.repo = d.repo
+)"""
+
+
+@register("resolved_settings", f"""
+WITH {_RESOLVED_CTE}
+SELECT * FROM resolved
 """)
 def resolved_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-19 + OP-20: effective options of every request, ``auto`` resolved."""
@@ -384,3 +391,181 @@ def resolved_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = history.resolve_language(eff, detected)
     return out.select("repo", "commit_id", "seq", "kind", "conventional", "language", "model", "prompt",
                       "session_language", "resolved_language", "prompt_language")
+
+
+# ---------------------------------------------------------------------------
+# Step 4: prompts and model choice
+# ---------------------------------------------------------------------------
+
+from .operators import inference, prompts  # noqa: E402
+from .plans.joins import size_checked_join  # noqa: E402
+from .sources.fixtures import models_from_suppliers  # noqa: E402
+
+
+def _prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per snapshot: options (resolved) and the repo's history bullets."""
+    resolved = resolved_settings(spark, sf_dir).select(
+        "repo", "commit_id", "conventional", "prompt_language", "prompt", "model")
+    hist = prompts.history_text(load_commit_log(spark, sf_dir))
+    return size_checked_join(resolved, hist, "repo", "left")
+
+
+def _snapshot_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, commit_id, groups) for every snapshot with at least one group."""
+    grouped = paths.with_groups(diffs.parse_files(load_commits(spark, sf_dir)))
+    return grouped.filter(F.size("groups") > 0)
+
+
+def _q(s: str) -> str:
+    return fx.sql_str(s)
+
+
+def _rules_sql(n: str | None) -> str:
+    style = (f"CASE WHEN conventional THEN {_q(prompts.STYLE_CONVENTIONAL)} "
+             f"ELSE {_q(prompts.STYLE_PLAIN)} END")
+    lang = f"CASE WHEN prompt_language = 'zh' THEN {_q(prompts.LANG_ZH)} ELSE {_q(prompts.LANG_EN)} END"
+    items = [style, _q(prompts.LENGTH_RULE), _q(prompts.REASON_RULE)]
+    items = [style, lang, _q(prompts.LENGTH_RULE), _q(prompts.REASON_RULE),
+             _q(prompts.JSON_ALL if n else prompts.JSON_ONE)]
+    if n:
+        items.append(f"'The array holds exactly ' || CAST({n} AS VARCHAR) || "
+                     f"' item(s): one per group, in the order the groups appear.'")
+    items.append(_q(prompts.HISTORY_RULE))
+    return " || chr(10) || ".join(f"'{i}. ' || {x}" for i, x in enumerate(items, start=1))
+
+
+def _head_sql(task: str, n: str | None) -> str:
+    return (f"{_q(prompts.ROLE + chr(10) + task + chr(10) + chr(10) + 'Rules:' + chr(10))} || "
+            f"{_rules_sql(n)} || CASE WHEN length(coalesce(history, '')) > 0 "
+            f"THEN {_q(chr(10) + chr(10) + prompts.HISTORY_HEAD + chr(10))} || history ELSE '' END")
+
+
+_TAIL_SQL = (f"CASE WHEN length(coalesce(prompt, '')) > 0 THEN "
+             f"{_q(chr(10) + chr(10) + prompts.USER_HEAD + chr(10))} || prompt ELSE '' END")
+
+_PROMPT_CTE = f"""{_RESOLVED_CTE},
+{fx.FILE_PARSE_CTE.strip()},
+{_CLASSIFY_ONLY.strip()},
+grp AS (
+  SELECT repo, commit_id, group_key, label, min(file_seq) AS first_seq,
+    string_agg('  - ' || path || ' (' || change_type || ')', chr(10) ORDER BY file_seq) AS file_list,
+    string_agg(diff, chr(10) ORDER BY file_seq) AS diffs
+  FROM classified GROUP BY repo, commit_id, group_key, label
+),
+sections AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY repo, commit_id ORDER BY first_seq) - 1 AS INTEGER)
+              AS group_ord,
+    'Group: ' || label || chr(10) || 'Files:' || chr(10) || file_list || chr(10) || chr(10) ||
+    'Diff:' || chr(10) || '```diff' || chr(10) || diffs || chr(10) || '```' AS section
+  FROM grp
+),
+hist AS (
+  SELECT repo, string_agg('  - ' || subject, chr(10) ORDER BY log_pos) AS history
+  FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY log_pos, hash) AS rn
+        FROM commit_log WHERE NOT is_merge) WHERE rn <= 20
+  GROUP BY repo
+),
+ctx AS (
+  SELECT r.repo, r.commit_id, r.conventional, r.prompt_language, r.prompt, r.model, h.history
+  FROM resolved r LEFT JOIN hist h ON r.repo = h.repo
+)"""
+
+
+@register("group_prompts", f"""
+WITH {_PROMPT_CTE},
+p AS (
+  SELECT s.repo, s.commit_id, s.group_ord,
+    {_head_sql(prompts.TASK_ONE, None)} || chr(10) || chr(10) || s.section || chr(10) || chr(10) ||
+    {_q(prompts.SHAPE_ONE)} || {_TAIL_SQL} AS prompt_text
+  FROM sections s JOIN ctx c ON s.repo = c.repo AND s.commit_id = c.commit_id
+)
+SELECT repo, commit_id, group_ord, CAST(length(prompt_text) AS INTEGER) AS prompt_chars,
+       md5(prompt_text) AS prompt_md5
+FROM p
+""")
+def group_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-21: one prompt per file group (md5 and length reported)."""
+    groups = _snapshot_groups(spark, sf_dir)
+    rows = groups.select("repo", "commit_id", F.explode("groups").alias("g")).select(
+        "repo", "commit_id", "g.group_ord", "g.label", "g.files")
+    ctx = _prompt_context(spark, sf_dir)
+    out = prompts.group_prompts(size_checked_join(rows, ctx, ["repo", "commit_id"]))
+    return out.select("repo", "commit_id", "group_ord",
+                      F.length("prompt_text").alias("prompt_chars"), F.md5("prompt_text").alias("prompt_md5"))
+
+
+_BATCH_SQL = f"""
+batch AS (
+  SELECT s.repo, s.commit_id, CAST(count(*) AS INTEGER) AS n_groups,
+    string_agg(chr(10) || chr(10) || '---' || chr(10) || s.section, '' ORDER BY s.group_ord) AS body,
+    any_value(c.conventional) AS conventional, any_value(c.prompt_language) AS prompt_language,
+    any_value(c.prompt) AS prompt, any_value(c.history) AS history, any_value(c.model) AS model
+  FROM sections s JOIN ctx c ON s.repo = c.repo AND s.commit_id = c.commit_id
+  GROUP BY s.repo, s.commit_id
+),
+batch_prompts AS (
+  SELECT repo, commit_id, n_groups, model,
+    {_head_sql(prompts.TASK_ALL, "n_groups")} || body ||
+    {_q(chr(10) + chr(10) + 'JSON shape (array of ')} || CAST(n_groups AS VARCHAR) || {_q(' item(s)):' + chr(10) + '[{"message":"<commit message>","reason":"<why>"},...]')} ||
+    {_TAIL_SQL} AS prompt_text
+  FROM batch
+)"""
+
+
+@register("batch_prompts", f"""
+WITH {_PROMPT_CTE}, {_BATCH_SQL}
+SELECT repo, commit_id, n_groups, CAST(length(prompt_text) AS INTEGER) AS prompt_chars,
+       md5(prompt_text) AS prompt_md5
+FROM batch_prompts
+""")
+def batch_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-22: one prompt per snapshot for all its groups."""
+    out = _batch_prompt_rows(spark, sf_dir)
+    return out.select("repo", "commit_id", "n_groups", F.length("prompt_text").alias("prompt_chars"),
+                      F.md5("prompt_text").alias("prompt_md5"))
+
+
+def _batch_prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = _snapshot_groups(spark, sf_dir)
+    ctx = _prompt_context(spark, sf_dir)
+    snap = size_checked_join(groups, ctx, ["repo", "commit_id"])
+    return prompts.batch_prompts(snap).withColumn("n_groups", F.size("groups"))
+
+
+@register("model_choice", f"""
+WITH {_RESOLVED_CTE}, {fx.MODELS_CTE},
+req AS (SELECT repo, commit_id, CAST(commit_id % 5 AS INTEGER) AS catalog_id, model FROM resolved),
+by_id AS (SELECT catalog_id, id, arg_min(name, cat_pos) AS name FROM models GROUP BY catalog_id, id),
+fb AS (
+  SELECT catalog_id,
+    arg_min(id, cat_pos) FILTER (WHERE vendor = 'copilot' AND family = 'gpt-4o') AS t2_id,
+    arg_min(name, cat_pos) FILTER (WHERE vendor = 'copilot' AND family = 'gpt-4o') AS t2_name,
+    arg_min(id, cat_pos) FILTER (WHERE vendor = 'copilot') AS t3_id,
+    arg_min(name, cat_pos) FILTER (WHERE vendor = 'copilot') AS t3_name,
+    arg_min(id, cat_pos) AS t4_id, arg_min(name, cat_pos) AS t4_name
+  FROM models GROUP BY catalog_id
+),
+j AS (
+  SELECT r.*, b.id AS t1_id, b.name AS t1_name, f.t2_id, f.t2_name, f.t3_id, f.t3_name, f.t4_id, f.t4_name
+  FROM req r
+  LEFT JOIN by_id b ON r.catalog_id = b.catalog_id AND nullif(r.model, '') = b.id
+  LEFT JOIN fb f ON r.catalog_id = f.catalog_id
+)
+SELECT repo, commit_id, catalog_id, model AS requested,
+  coalesce(t1_id, t2_id, t3_id, t4_id) AS model_id,
+  coalesce(nullif(CASE WHEN t1_id IS NOT NULL THEN t1_name WHEN t2_id IS NOT NULL THEN t2_name
+                       WHEN t3_id IS NOT NULL THEN t3_name ELSE t4_name END, ''),
+           coalesce(t1_id, t2_id, t3_id, t4_id)) AS model_name,
+  CASE WHEN t1_id IS NOT NULL THEN 1 WHEN t2_id IS NOT NULL THEN 2 WHEN t3_id IS NOT NULL THEN 3
+       WHEN t4_id IS NOT NULL THEN 4 END AS tier,
+  CASE WHEN coalesce(t1_id, t2_id, t3_id, t4_id) IS NULL THEN 'no language model available' END AS error
+FROM j
+""")
+def model_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-23: tiered model choice per request; catalogue = commit_id % 5."""
+    req = resolved_settings(spark, sf_dir).select(
+        "repo", "commit_id", (F.col("commit_id") % 5).cast("int").alias("catalog_id"), "model")
+    models = models_from_suppliers(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation"))
+    out = inference.assign_model(req, models)
+    return out.select("repo", "commit_id", "catalog_id", F.col("model").alias("requested"), "model_id",
+                      "model_name", "tier", "error")

@@ -93,28 +93,57 @@ def classify_paths(df: DataFrame, path_col: str = "path") -> DataFrame:
                            "label": c["label"]})
 
 
-def group_files_in_row(parsed: DataFrame, files_col: str = "files") -> DataFrame:
-    """OP-14 on parsed snapshots (one row per snapshot with a ``files`` array).
+def tag_files(files: Column) -> Column:
+    """Pair every file of a ``files`` array with its classification."""
+    return F.transform(files, lambda f: F.struct(f.alias("f"), classification(f["path"]).alias("c")))
+
+
+def groups_from_tagged(tagged: Column) -> Column:
+    """OP-14 in row: ARRAY<STRUCT<group_ord, group_key, group_type, label,
+    files>> from a snapshot's tagged files (see ``tag_files``).
 
     Groups appear in first-seen order (``array_distinct`` keeps the first
-    occurrence), files keep input order.  The snapshot is one row, so the
-    grouping runs inside that row: no shuffle, and no group is ever larger
-    than the input row it came from.  Snapshots without any group produce no
-    rows (the reference's "could not analyse" case, see ``no_groups``).
+    occurrence), files keep input order.  Pass a *column* holding the tagged
+    array (not the expression) so each path is classified once.
     """
-    files = F.transform(F.col(files_col), lambda f: f.withField("cls", classification(f["path"])))
-    keys = F.array_distinct(F.transform(files, lambda f: f["cls"]["group_key"]))
-    groups = F.transform(keys, lambda k, i: F.struct(
-        i.alias("group_ord"),
-        k.alias("group_key"),
-        F.filter(files, lambda f: f["cls"]["group_key"] == k).alias("files")))
+    keys = F.array_distinct(F.transform(tagged, lambda t: t["c"]["group_key"]))
+
+    def one_group(k, i):
+        members = F.filter(tagged, lambda t: t["c"]["group_key"] == k)
+        return F.struct(i.alias("group_ord"), k.alias("group_key"),
+                        members[0]["c"]["group_type"].alias("group_type"),
+                        members[0]["c"]["label"].alias("label"),
+                        F.transform(members, lambda t: t["f"]).alias("files"))
+    return F.transform(keys, one_group)
+
+
+def with_groups(parsed: DataFrame, files_col: str = "files", out_col: str = "groups") -> DataFrame:
+    """Replace the ``files`` array of each snapshot row by its ``groups`` array.
+
+    Two projections: the classification is computed once per file, then
+    the grouping reads the materialised column (Catalyst does not collapse a
+    projection whose expensive output is read several times)."""
     others = [c for c in parsed.columns if c != files_col]
-    out = (parsed.select(*others, F.explode(groups).alias("g"))
-           .select(*others, "g.group_ord", "g.group_key",
-                   F.col("g.files")[0]["cls"]["group_type"].alias("group_type"),
-                   F.col("g.files")[0]["cls"]["label"].alias("label"),
-                   F.transform("g.files", lambda f: f.dropFields("cls")).alias("files")))
-    return out
+    tagged = parsed.select(*others, tag_files(F.col(files_col)).alias("_tagged"))
+    return tagged.select(*others, groups_from_tagged(F.col("_tagged")).alias(out_col))
+
+
+def group_files_in_row(parsed: DataFrame, files_col: str = "files") -> DataFrame:
+    """OP-14 on parsed snapshots (one row per snapshot with a ``files`` array):
+    one row per (snapshot, group).
+
+    The snapshot is one row, so the grouping runs inside that row: no
+    shuffle, and no group is ever larger than the input row it came from.
+    A snapshot without any group produces no rows (see ``no_groups``).
+    """
+    grouped = with_groups(parsed, files_col, "_groups")
+    others = [c for c in grouped.columns if c != "_groups"]
+    return grouped.select(*others, F.explode("_groups").alias("g")).select(*others, "g.*")
+
+
+def no_groups(parsed: DataFrame, files_col: str = "files") -> DataFrame:
+    """Snapshots that are not blank but yield no file group (no valid header)."""
+    return parsed.filter(F.size(files_col) == 0).drop(files_col)
 
 
 def group_file_changes(file_changes: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ commits AS (
 
 # OP-01 + OP-04 + OP-05: non-blank snapshots split into file changes.  DuckDB
 # has no look-ahead, so split on newline + header and re-attach both.
-FILE_CHANGES_CTE = COMMITS_CTE + f""",
+FILE_PARSE_CTE = f"""
 fc_pieces AS (
   SELECT repo, commit_id, string_split({NL} || raw_diff, {NL} || 'diff --git ') AS p
   FROM commits WHERE trim(raw_diff, {WS_SET}) <> ''
@@ -93,6 +93,7 @@ file_changes AS (
     diff
   FROM fc_rows
 )"""
+FILE_CHANGES_CTE = COMMITS_CTE + "," + FILE_PARSE_CTE
 
 
 def count_lines_sql(diff: str, sign: str) -> str:
@@ -201,3 +202,18 @@ detected AS (
          THEN 'zh' ELSE 'en' END AS language
   FROM (SELECT DISTINCT repo FROM users) u LEFT JOIN stats s ON u.repo = s.repo
 )"""
+
+from .fixtures import MODEL_FAMILIES, MODEL_VENDORS  # noqa: E402
+
+MODELS_CTE = f"""
+models AS (
+  SELECT CAST(n.n_regionkey AS INTEGER) AS catalog_id, 'model-' || CAST(s.s_suppkey AS VARCHAR) AS id,
+    CASE WHEN s.s_suppkey % 5 = 0 THEN '' ELSE s.s_name END AS name,
+    CASE WHEN n.n_regionkey = 2 THEN {_in_list(MODEL_VENDORS[1:])}[1 + s.s_suppkey % 2]
+         ELSE {_in_list(MODEL_VENDORS)}[1 + s.s_suppkey % 3] END AS vendor,
+    CASE WHEN n.n_regionkey = 1 THEN {_in_list(MODEL_FAMILIES[1:3])}[1 + s.s_suppkey % 2]
+         ELSE {_in_list(MODEL_FAMILIES)}[1 + s.s_suppkey % 4] END AS family,
+    CAST(s.s_suppkey AS INTEGER) AS cat_pos
+  FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey
+  WHERE n.n_regionkey <> 4
+)"""

@@ -142,7 +142,7 @@ def load_commit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Fixed values of the recipe: request language by ``commit_id % 7`` and model
 # by ``commit_id % 3`` (NULL model when ``commit_id % 4 = 0``).
 REQUEST_LANGUAGES = ["en", "zh", "auto", "fr", "auto", "", "zh"]
-REQUEST_MODELS = ["gpt-4o", "claude-sonnet", "missing-model"]
+REQUEST_MODELS = ["model-3", "model-7", "missing-model"]
 REQUEST_PROMPT = "Mention the ticket number."
 
 
@@ -172,3 +172,63 @@ def option_updates_from_nation(nation: DataFrame) -> DataFrame:
         F.when(k % 4 == 0, F.lit("zh")).when(k % 4 == 2, F.lit("en"))
         .when(k % 4 == 3, F.lit("auto")).alias("language"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Model catalogues from supplier x nation
+# ---------------------------------------------------------------------------
+
+# Fixed values of the recipe: vendors and families by supplier key.
+MODEL_VENDORS = ["copilot", "openai", "anthropic"]
+MODEL_FAMILIES = ["gpt-4o", "gpt-4.1", "claude", "gemini"]
+CATALOGUES = 5  # catalogue = region of the supplier's nation; region 4 has none
+
+
+def models_from_suppliers(supplier: DataFrame, nation: DataFrame) -> DataFrame:
+    """``models(catalog_id, id, name, vendor, family, cat_pos)``.
+
+    Catalogue r = suppliers of region r.  Region 1 lacks the preferred family,
+    region 2 the preferred vendor, region 4 is empty: every fallback tier
+    and the error case occur."""
+    s = supplier.join(nation.select("n_nationkey", "n_regionkey"),
+                      supplier["s_nationkey"] == nation["n_nationkey"])
+    k, r = F.col("s_suppkey"), F.col("n_regionkey")
+    vendor = F.when(r == 2, _pick(MODEL_VENDORS[1:], k % 2)).otherwise(_pick(MODEL_VENDORS, k % 3))
+    family = F.when(r == 1, _pick(MODEL_FAMILIES[1:3], k % 2)).otherwise(_pick(MODEL_FAMILIES, k % 4))
+    return s.filter(r != 4).select(
+        r.cast("int").alias("catalog_id"),
+        F.concat(F.lit("model-"), k.cast("string")).alias("id"),
+        F.when(k % 5 == 0, F.lit("")).otherwise(F.col("s_name")).alias("name"),
+        vendor.alias("vendor"), family.alias("family"), k.cast("int").alias("cat_pos"))
+
+
+# ---------------------------------------------------------------------------
+# A deterministic stand-in for a model (tests and registered queries)
+# ---------------------------------------------------------------------------
+
+def echo_model(batches):
+    """Answer every prompt with a JSON array holding one item per group it
+    lists.  A pure function of the prompt text (re-runs and retried tasks
+    give the same answers); by prompt length it also answers in a code
+    fence, between chatter lines, or with one item too few, so the parser's
+    paths all occur."""
+    import json
+    import re
+
+    import pandas as pd
+    for prompts in batches:
+        out = []
+        for p in prompts:
+            labels = re.findall(r"(?m)^Group: (.*)$", p)
+            items = [{"message": f"chore({lab.strip()}): update {lab.strip()} ",
+                      "reason": " Keeps the files of this group together."} for lab in labels]
+            variant = len(p) % 4
+            if variant == 3:
+                items = items[:-1]
+            body = json.dumps(items, ensure_ascii=False)
+            if variant == 1:
+                body = "```json\n" + body + "\n```"
+            elif variant == 2:
+                body = "Here you go:\n" + body + "\nHope this helps."
+            out.append(body)
+        yield pd.Series(out, dtype=object)
