@@ -569,3 +569,195 @@ def model_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = inference.assign_model(req, models)
     return out.select("repo", "commit_id", "catalog_id", F.col("model").alias("requested"), "model_id",
                       "model_name", "tier", "error")
+
+
+# ---------------------------------------------------------------------------
+# Step 5: answers -> parsed -> candidates
+# ---------------------------------------------------------------------------
+
+from .operators import responses  # noqa: E402
+from .sources.fixtures import (array_responses_from_conversations, chunks_from_responses,  # noqa: E402
+                               echo_model, responses_from_conversations)
+
+
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return responses_from_conversations(table(spark, sf_dir, "conversations"))
+
+
+@register("assembled", f"""
+WITH {fx.RESPONSES_CTE}
+SELECT request_id, md5(raw) AS raw_md5,
+       CAST(len(regexp_extract_all(raw, '(?s).{{1,7}}')) AS BIGINT) AS chunks, true AS complete
+FROM responses
+""")
+def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-25: chunks (7 characters, any arrival order) reassembled by idx."""
+    chunks = chunks_from_responses(_responses(spark, sf_dir))
+    out = responses.assemble_chunks(chunks.orderBy(F.col("idx").desc()))
+    return out.select("request_id", F.md5("raw").alias("raw_md5"), "chunks", "complete")
+
+
+@register("fence_stripped", f"""
+WITH {fx.RESPONSES_CTE}
+SELECT request_id, {fx.strip_fences_sql("raw")} AS cleaned FROM responses
+""")
+def fence_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-26: first opening and first closing fence removed, then trimmed."""
+    return _responses(spark, sf_dir).select("request_id", responses.strip_fences("raw").alias("cleaned"))
+
+
+_OBJ_SQL = f"""
+cleaned AS (SELECT request_id, raw, {fx.strip_fences_sql("raw")} AS c FROM responses),
+cand AS (
+  SELECT request_id, raw,
+    CASE WHEN json_valid(c) THEN c END AS direct,
+    CASE WHEN json_valid(regexp_extract(c, '(?s)\\{{.*\\}}')) THEN regexp_extract(c, '(?s)\\{{.*\\}}') END AS extracted
+  FROM cleaned
+),
+checked AS (
+  SELECT *,
+    coalesce(json_type(direct) = 'OBJECT' AND json_type(direct, '$.message') = 'VARCHAR'
+             AND json_type(direct, '$.reason') = 'VARCHAR', false) AS direct_ok,
+    coalesce(json_type(extracted) = 'OBJECT' AND json_type(extracted, '$.message') = 'VARCHAR'
+             AND json_type(extracted, '$.reason') = 'VARCHAR', false) AS extracted_ok
+  FROM cand
+),
+parsed AS (
+  SELECT request_id,
+    CASE WHEN direct_ok THEN json_extract_string(direct, '$.message')
+         WHEN extracted_ok THEN json_extract_string(extracted, '$.message') END AS message,
+    CASE WHEN direct_ok THEN json_extract_string(direct, '$.reason')
+         WHEN extracted_ok THEN json_extract_string(extracted, '$.reason') END AS reason,
+    CASE WHEN NOT direct_ok AND NOT extracted_ok THEN 'unparsable response: ' || left(raw, 300) END AS error
+  FROM checked
+)"""
+
+
+@register("parsed", f"""
+WITH {fx.RESPONSES_CTE}, {_OBJ_SQL}
+SELECT request_id, message, reason, error FROM parsed
+""")
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-26 + OP-27 (object): strict parse, then greedy {{...}} extraction."""
+    return responses.parse_object(_responses(spark, sf_dir)).select("request_id", "message", "reason",
+                                                                    "error")
+
+
+@register("dead_letters", f"""
+WITH {fx.RESPONSES_CTE}, {_OBJ_SQL}
+SELECT request_id, error FROM parsed WHERE error IS NOT NULL
+""")
+def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-28: failed answers with the first 300 characters of the raw text."""
+    return responses.response_errors(responses.parse_object(_responses(spark, sf_dir)), ["request_id"])
+
+
+@register("parsed_arrays", f"""
+WITH {fx.RESPONSES_CTE},
+cleaned AS (SELECT request_id, expected, raw, {fx.strip_fences_sql("raw")} AS c FROM array_responses),
+cand AS (
+  SELECT request_id, expected, raw,
+    CASE WHEN json_valid(c) THEN c END AS direct,
+    CASE WHEN json_valid(regexp_extract(c, '(?s)\\[.*\\]')) THEN regexp_extract(c, '(?s)\\[.*\\]') END
+      AS extracted
+  FROM cleaned
+),
+checked AS (
+  SELECT *,
+    coalesce(json_type(direct) = 'ARRAY' AND json_array_length(direct) = expected AND
+      list_bool_and(list_transform(CAST(json_extract(direct, '$[*]') AS VARCHAR[]),
+        lambda e: json_type(e) = 'OBJECT' AND coalesce(json_type(e, '$.message') = 'VARCHAR', false)
+                  AND coalesce(json_type(e, '$.reason') = 'VARCHAR', false))), false) AS direct_ok,
+    coalesce(json_type(extracted) = 'ARRAY' AND json_array_length(extracted) = expected AND
+      list_bool_and(list_transform(CAST(json_extract(extracted, '$[*]') AS VARCHAR[]),
+        lambda e: json_type(e) = 'OBJECT' AND coalesce(json_type(e, '$.message') = 'VARCHAR', false)
+                  AND coalesce(json_type(e, '$.reason') = 'VARCHAR', false))), false) AS extracted_ok
+  FROM cand
+),
+chosen AS (
+  SELECT request_id, expected, raw,
+    CASE WHEN direct_ok THEN direct WHEN extracted_ok THEN extracted END AS j
+  FROM checked
+)
+SELECT request_id, expected,
+  CAST(CASE WHEN j IS NOT NULL THEN json_array_length(j) END AS INTEGER) AS n_items,
+  array_to_string(list_transform(CAST(json_extract(j, '$[*]') AS VARCHAR[]),
+                                 lambda e: json_extract_string(e, '$.message')), chr(10)) AS messages,
+  array_to_string(list_transform(CAST(json_extract(j, '$[*]') AS VARCHAR[]),
+                                 lambda e: json_extract_string(e, '$.reason')), chr(10)) AS reasons,
+  CASE WHEN j IS NULL THEN 'unparsable response (expected array of ' || CAST(expected AS VARCHAR)
+                           || '): ' || left(raw, 300) END AS error
+FROM chosen
+""")
+def parsed_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-27 (array): exact element count, every element an object with two strings."""
+    df = array_responses_from_conversations(table(spark, sf_dir, "conversations"))
+    out = responses.parse_array(df, "expected")
+    return out.select("request_id", "expected", F.size("items").alias("n_items"),
+                      F.array_join(F.transform("items", lambda i: i["message"]), "\n").alias("messages"),
+                      F.array_join(F.transform("items", lambda i: i["reason"]), "\n").alias("reasons"),
+                      "error")
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch prompts answered by the deterministic stand-in model; each row
+    keeps its snapshot's file lists so candidates need no join."""
+    snap = _batch_prompt_rows(spark, sf_dir).select(
+        "repo", "commit_id", "n_groups", "prompt_text",
+        F.transform("groups", lambda g: F.transform(g["files"], lambda f: f["path"])).alias("group_files"))
+    return inference.infer(snap, echo_model, keys=["repo", "commit_id", "n_groups", "group_files"])
+
+
+_ECHO_SQL = """
+echo_items AS (
+  SELECT s.repo, s.commit_id, s.group_ord, s.label, b.n_groups, length(b.prompt_text) % 4 AS variant,
+    '{"message": "chore(' || trim(s.label) || '): update ' || trim(s.label) ||
+    ' ", "reason": " Keeps the files of this group together."}' AS item
+  FROM sections s JOIN batch_prompts b ON s.repo = b.repo AND s.commit_id = b.commit_id
+),
+echo_raw AS (
+  SELECT repo, commit_id, any_value(variant) AS variant,
+    '[' || coalesce(string_agg(item, ', ' ORDER BY group_ord)
+                    FILTER (WHERE variant <> 3 OR group_ord < n_groups - 1), '') || ']' AS body
+  FROM echo_items GROUP BY repo, commit_id
+),
+answers AS (
+  SELECT repo, commit_id, variant,
+    CASE variant WHEN 1 THEN '```json' || chr(10) || body || chr(10) || '```'
+                 WHEN 2 THEN 'Here you go:' || chr(10) || body || chr(10) || 'Hope this helps.'
+                 ELSE body END AS raw
+  FROM echo_raw
+)"""
+
+
+@register("inference", f"""
+WITH {_PROMPT_CTE}, {_BATCH_SQL}, {_ECHO_SQL}
+SELECT repo, commit_id, md5(raw) AS raw_md5, CAST(NULL AS VARCHAR) AS infer_error FROM answers
+""")
+def inference_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-24: every batch prompt through the caller's function (mapInPandas)."""
+    return _answers(spark, sf_dir).select("repo", "commit_id", F.md5("raw").alias("raw_md5"), "infer_error")
+
+
+@register("candidates", f"""
+WITH {_PROMPT_CTE}, {_BATCH_SQL}, {_ECHO_SQL},
+files AS (
+  SELECT repo, commit_id, group_key, string_agg(path, ',' ORDER BY file_seq) AS files
+  FROM classified GROUP BY repo, commit_id, group_key
+)
+SELECT e.repo, e.commit_id, e.group_ord,
+  sha256(e.repo || '|' || CAST(e.commit_id AS VARCHAR) || '|' || CAST(e.group_ord AS VARCHAR)) AS candidate_id,
+  'chore(' || trim(e.label) || '): update ' || trim(e.label) AS message,
+  'Keeps the files of this group together.' AS reason, f.files, true AS checked
+FROM echo_items e
+JOIN sections s ON e.repo = s.repo AND e.commit_id = s.commit_id AND e.group_ord = s.group_ord
+JOIN files f ON f.repo = s.repo AND f.commit_id = s.commit_id AND f.group_key = s.group_key
+WHERE e.variant <> 3
+""")
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-24 + OP-27 + OP-29: answers parsed as arrays of exactly n_groups
+    items and zipped with the groups; failed snapshots yield no candidates."""
+    parsed_rows = responses.parse_array(_answers(spark, sf_dir), "n_groups")
+    cands = responses.build_candidates_in_row(parsed_rows, ["repo", "commit_id"])
+    return cands.select("repo", "commit_id", "group_ord", "candidate_id", "message", "reason",
+                        F.array_join("files", ",").alias("files"), "checked")

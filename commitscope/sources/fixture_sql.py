@@ -217,3 +217,39 @@ models AS (
   FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey
   WHERE n.n_regionkey <> 4
 )"""
+
+RESPONSES_CTE = """
+conv_t AS (
+  SELECT CAST(conv_id * 10 + turn AS BIGINT) AS request_id,
+    replace(replace(replace(substr(text, 1, 80), chr(92), chr(92) || chr(92)), '"', chr(92) || '"'),
+            chr(10), ' ') AS t
+  FROM conversations
+),
+responses AS (
+  SELECT request_id, CASE request_id % 7
+    WHEN 0 THEN '{"message": "  ' || t || '  ", "reason": "' || t || '"}'
+    WHEN 1 THEN '```json' || chr(10) || '{"message": "' || t || '", "reason": "because"}' || chr(10) || '```'
+    WHEN 2 THEN 'Here is the answer:' || chr(10) || '{"message": "' || t || '", "reason": "why"}' || chr(10) || 'Done.'
+    WHEN 3 THEN '{"message": 42, "reason": "' || t || '"}'
+    WHEN 4 THEN '{"message": "' || t || '"}'
+    WHEN 5 THEN t
+    ELSE '[{"message": "' || t || '", "reason": "r"}]' END AS raw
+  FROM conv_t
+),
+array_responses AS (
+  SELECT request_id, CAST(2 + request_id % 2 AS INTEGER) AS expected, CASE request_id % 5
+    WHEN 0 THEN '[' || i1 || ', ' || i2 || ']'
+    WHEN 1 THEN '```json' || chr(10) || '[' || i1 || ', ' || i2 || ', ' || i3 || ']' || chr(10) || '```'
+    WHEN 2 THEN 'Result:' || chr(10) || '[' || i1 || ', ' || i2 || ']' || chr(10) || 'end'
+    WHEN 3 THEN '[' || i1 || ', {"message": "x"}]'
+    ELSE '[' || i1 || ', ' || i2 || ']' || '  trailing' END AS raw
+  FROM (SELECT request_id, '{"message": "' || t || '", "reason": "r1"}' AS i1,
+               '{"message": "' || t || '", "reason": "r2"}' AS i2,
+               '{"message": "' || t || '", "reason": "r3"}' AS i3 FROM conv_t)
+)"""
+
+
+def strip_fences_sql(raw: str) -> str:
+    """OP-26 in DuckDB (regexp_replace without 'g' replaces the first match)."""
+    return (f"trim(regexp_replace(regexp_replace({raw}, '(?m)^```(?:json)?\\s*', ''), "
+            f"'(?m)\\s*```\\s*$', ''), {WS_SET})")

@@ -232,3 +232,67 @@ def echo_model(batches):
                 body = "Here you go:\n" + body + "\nHope this helps."
             out.append(body)
         yield pd.Series(out, dtype=object)
+
+
+# ---------------------------------------------------------------------------
+# Model answers from conversations
+# ---------------------------------------------------------------------------
+
+def _answer_text(col: str = "text") -> F.Column:
+    """First 80 characters, JSON-escaped (backslash, quote), newlines as spaces."""
+    t = F.substring(F.col(col), 1, 80)
+    t = F.replace(t, F.lit("\\"), F.lit("\\\\"))
+    t = F.replace(t, F.lit('"'), F.lit('\\"'))
+    return F.replace(t, F.lit("\n"), F.lit(" "))
+
+
+def responses_from_conversations(conversations: DataFrame) -> DataFrame:
+    """``responses(request_id, raw)``: one object-shaped answer per turn, seven
+    shapes by ``request_id % 7``: padded object, fenced, between chatter,
+    numeric message, missing reason, no JSON, one-element array."""
+    rid = (F.col("conv_id") * 10 + F.col("turn")).cast("long")
+    t = _answer_text()
+    v = rid % 7
+    lit = F.lit
+    raw = (F.when(v == 0, F.concat(lit('{"message": "  '), t, lit('  ", "reason": "'), t, lit('"}')))
+           .when(v == 1, F.concat(lit('```json\n{"message": "'), t, lit('", "reason": "because"}\n```')))
+           .when(v == 2, F.concat(lit('Here is the answer:\n{"message": "'), t,
+                                  lit('", "reason": "why"}\nDone.')))
+           .when(v == 3, F.concat(lit('{"message": 42, "reason": "'), t, lit('"}')))
+           .when(v == 4, F.concat(lit('{"message": "'), t, lit('"}')))
+           .when(v == 5, t)
+           .otherwise(F.concat(lit('[{"message": "'), t, lit('", "reason": "r"}]'))))
+    return conversations.select(rid.alias("request_id"), raw.alias("raw"))
+
+
+def array_responses_from_conversations(conversations: DataFrame) -> DataFrame:
+    """``(request_id, expected, raw)``: array-shaped answers, five shapes by
+    ``request_id % 5``; ``expected`` (2 or 3) is the group count asked for."""
+    rid = (F.col("conv_id") * 10 + F.col("turn")).cast("long")
+    t = _answer_text()
+    lit = F.lit
+
+    def item(k: str) -> F.Column:
+        return F.concat(lit('{"message": "'), t, lit('", "reason": "r' + k + '"}'))
+    two = F.concat(lit("["), item("1"), lit(", "), item("2"), lit("]"))
+    three = F.concat(lit("["), item("1"), lit(", "), item("2"), lit(", "), item("3"), lit("]"))
+    v = rid % 5
+    raw = (F.when(v == 0, two)
+           .when(v == 1, F.concat(lit("```json\n"), three, lit("\n```")))
+           .when(v == 2, F.concat(lit("Result:\n"), two, lit("\nend")))
+           .when(v == 3, F.concat(lit("["), item("1"), lit(', {"message": "x"}]')))
+           .otherwise(F.concat(two, lit("  trailing"))))
+    return conversations.select(rid.alias("request_id"), (2 + rid % 2).cast("int").alias("expected"),
+                                raw.alias("raw"))
+
+
+CHUNK_CHARS = 7
+
+
+def chunks_from_responses(responses: DataFrame) -> DataFrame:
+    """``response_chunks(request_id, idx, chunk, is_last)``: answers cut into
+    7-character pieces (a stream would deliver them in any order)."""
+    pieces = F.regexp_extract_all(F.col("raw"), F.lit(r"(?s).{1,%d}" % CHUNK_CHARS), 0)
+    exploded = responses.select("request_id", F.size(pieces).alias("_n"),
+                                F.posexplode(pieces).alias("idx", "chunk"))
+    return exploded.select("request_id", "idx", "chunk", (F.col("idx") == F.col("_n") - 1).alias("is_last"))
