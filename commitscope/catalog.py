@@ -761,3 +761,207 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     cands = responses.build_candidates_in_row(parsed_rows, ["repo", "commit_id"])
     return cands.select("repo", "commit_id", "group_ord", "candidate_id", "message", "reason",
                         F.array_join("files", ",").alias("files"), "checked")
+
+
+# ---------------------------------------------------------------------------
+# Step 6: candidate state, generations, reorder, edits, selection, plan
+# ---------------------------------------------------------------------------
+
+from .operators import candidates as cstate  # noqa: E402
+from .sources.fixtures import candidate_events_from_events, edits_from_events  # noqa: E402
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidate_events_from_events(table(spark, sf_dir, "events"))
+
+
+@register("state", f"""
+WITH {fx.CANDIDATE_EVENTS_CTE}, {fx.FOLD_CTE}
+SELECT s.session, s.generating, s.error, s.success_count, s.staged_loading,
+  CAST(count(f.session) AS BIGINT) AS n_candidates,
+  CAST(coalesce(count_if(f.checked), 0) AS BIGINT) AS n_checked
+FROM status s LEFT JOIN final_list f ON s.session = f.session
+GROUP BY s.session, s.generating, s.error, s.success_count, s.staged_loading
+""")
+def state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-30 + OP-37: folded scalar state and candidate counts per session."""
+    ev = _events(spark, sf_dir)
+    status = cstate.session_status(ev)
+    counts = (cstate.fold_candidates(ev, status).groupBy("session")
+              .agg(F.count(F.lit(1)).alias("n_candidates"), F.count_if("checked").alias("n_checked")))
+    return (status.join(counts, "session", "left")
+            .select("session", "generating", "error", "success_count", "staged_loading",
+                    F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"),
+                    F.coalesce("n_checked", F.lit(0)).alias("n_checked")))
+
+
+@register("state_candidates", f"""
+WITH {fx.CANDIDATE_EVENTS_CTE}, {fx.FOLD_CTE}
+SELECT session, list_pos, id, message, checked FROM final_list
+""")
+def state_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-30: the folded candidate list of every session."""
+    entries = cstate.fold_candidates(_events(spark, sf_dir))
+    return cstate.list_positions(entries).select("session", "list_pos", "id", "message", "checked")
+
+
+def _host_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folded lists as host candidates: candidate_id = entry key, two files each."""
+    entries = cstate.list_positions(cstate.fold_candidates(_events(spark, sf_dir)))
+    return entries.select(
+        "session", "list_pos", "id", "message", "checked",
+        F.concat_ws(":", F.col("id"), F.col("entry_seq").cast("string"), F.col("sub_pos").cast("string"))
+        .alias("candidate_id"),
+        F.array(F.concat(F.lit("src/"), F.col("id"), F.lit(".ts")),
+                F.concat(F.lit("tests/"), F.col("id"), F.lit("_"), F.col("entry_seq").cast("string"),
+                         F.lit(".ts"))).alias("files"))
+
+
+_HOST_SQL = """
+host AS (
+  SELECT session, list_pos, id, message, checked,
+    id || ':' || CAST(entry_seq AS VARCHAR) || ':' || CAST(sub_pos AS VARCHAR) AS candidate_id,
+    ['src/' || id || '.ts', 'tests/' || id || '_' || CAST(entry_seq AS VARCHAR) || '.ts'] AS files
+  FROM final_list
+),
+nlist AS (SELECT session, count(*) AS n FROM host GROUP BY session),
+moved AS (
+  SELECT h.*, n.n, h.session % 3 AS i, (h.session + 1) % 4 AS j, n.n - 1 - h.list_pos AS d
+  FROM host h JOIN nlist n ON h.session = n.session
+),
+reordered AS (
+  SELECT session, id, message, checked, candidate_id, files,
+    CAST(n - 1 - CASE WHEN NOT (i <> j AND i < n AND j < n) THEN d WHEN d = i THEN j
+                      WHEN i < d AND d <= j THEN d - 1 WHEN j <= d AND d < i THEN d + 1 ELSE d END
+         AS INTEGER) AS list_pos
+  FROM moved
+)"""
+
+
+@register("reordered", f"""
+WITH {fx.CANDIDATE_EVENTS_CTE}, {fx.FOLD_CTE}, {_HOST_SQL}
+SELECT session, list_pos, candidate_id FROM reordered
+""")
+def reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-32: one drag per session (display i = session % 3 to j = (session + 1) % 4)."""
+    host = _host_list(spark, sf_dir)
+    moves = host.select("session").distinct().select(
+        "session", (F.col("session") % 3).alias("from_idx"), ((F.col("session") + 1) % 4).alias("to_idx"))
+    return cstate.reorder(host, moves).select("session", "list_pos", "candidate_id")
+
+
+@register("edited", f"""
+WITH {fx.CANDIDATE_EVENTS_CTE}, {fx.FOLD_CTE}, {_HOST_SQL},
+latest AS (
+  SELECT session, id, arg_max(trim(message, {fx.WS_SET}), seq) AS edit
+  FROM edits WHERE trim(message, {fx.WS_SET}) <> '' GROUP BY session, id
+)
+SELECT h.session, h.list_pos, h.candidate_id, coalesce(l.edit, h.message) AS message
+FROM host h LEFT JOIN latest l ON h.session = l.session AND h.id = l.id
+""")
+def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-33: saved edits (trimmed, blanks ignored, latest wins) per candidate id."""
+    host = _host_list(spark, sf_dir)
+    edits = edits_from_events(table(spark, sf_dir, "events"))
+    return cstate.apply_edits(host, edits, ["session", "id"]).select("session", "list_pos", "candidate_id",
+                                                                     "message")
+
+
+def _selection_inputs(spark: SparkSession, sf_dir: str):
+    host = _host_list(spark, sf_dir)
+    sel_ids = host.filter("checked").select("session", "id").distinct()
+    selection = host.join(sel_ids, ["session", "id"], "left_semi").select("session", "candidate_id")
+    moves = host.select("session").distinct().select(
+        "session", (F.col("session") % 3).alias("from_idx"), ((F.col("session") + 1) % 4).alias("to_idx"))
+    client = cstate.reorder(host, moves).filter(F.col("session") % 2 == 0)
+    return host, selection, client
+
+
+_SELECT_SQL = """
+sel_ids AS (SELECT DISTINCT session, id FROM host WHERE checked),
+selection AS (SELECT h.session, h.candidate_id FROM host h SEMI JOIN sel_ids s ON h.session = s.session AND h.id = s.id),
+client AS (SELECT * FROM reordered WHERE session % 2 = 0),
+chosen AS (
+  SELECT session, candidate_id, message, files, list_pos FROM client
+  UNION ALL
+  SELECT session, candidate_id, message, files, list_pos FROM host
+  WHERE session NOT IN (SELECT DISTINCT session FROM client)
+),
+selected AS (
+  SELECT c.* FROM chosen c SEMI JOIN selection s ON c.session = s.session AND c.candidate_id = s.candidate_id
+)"""
+
+
+@register("selected", f"""
+WITH {fx.CANDIDATE_EVENTS_CTE}, {fx.FOLD_CTE}, {_HOST_SQL}, {_SELECT_SQL}
+SELECT session, list_pos, candidate_id, message FROM selected
+""")
+def selected_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-34: checked ids, taken from the client's reordered list when it sent one."""
+    host, selection, client = _selection_inputs(spark, sf_dir)
+    return cstate.selected(host, selection, client, ["session"]).select("session", "list_pos", "candidate_id",
+                                                                        "message")
+
+
+@register("unselected_files", f"""
+WITH {fx.CANDIDATE_EVENTS_CTE}, {fx.FOLD_CTE}, {_HOST_SQL}, {_SELECT_SQL}
+SELECT session, candidate_id, list_pos, CAST(generate_subscripts(files, 1) - 1 AS INTEGER) AS file_pos,
+       unnest(files) AS path
+FROM (SELECT h.* FROM host h ANTI JOIN selection s ON h.session = s.session AND h.candidate_id = s.candidate_id)
+""")
+def unselected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-35: files of the host's candidates that were not selected."""
+    host, selection, _ = _selection_inputs(spark, sf_dir)
+    return cstate.unselected_files(host, selection, ["session"])
+
+
+@register("plan", f"""
+WITH {fx.CANDIDATE_EVENTS_CTE}, {fx.FOLD_CTE}, {_HOST_SQL}, {_SELECT_SQL},
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY session ORDER BY list_pos) - 1 AS k,
+         count(*) OVER (PARTITION BY session) AS n_sel
+  FROM selected
+),
+leftovers AS (
+  SELECT session, string_agg(f, ',' ORDER BY list_pos, fp) AS files FROM (
+    SELECT h.session, h.list_pos, unnest(h.files) AS f, generate_subscripts(h.files, 1) AS fp
+    FROM host h ANTI JOIN selection s ON h.session = s.session AND h.candidate_id = s.candidate_id)
+  GROUP BY session
+),
+steps AS (
+  SELECT DISTINCT session, 0 AS step, 'unstage_all' AS action, CAST(NULL AS VARCHAR) AS files,
+         CAST(NULL AS VARCHAR) AS message FROM ranked
+  UNION ALL SELECT session, CAST(1 + 2 * k AS INTEGER), 'stage', array_to_string(files, ','), NULL FROM ranked
+  UNION ALL SELECT session, CAST(2 + 2 * k AS INTEGER), 'commit', NULL, message FROM ranked
+  UNION ALL SELECT r.session, CAST(1 + 2 * any_value(r.n_sel) AS INTEGER), 'restage', any_value(l.files), NULL
+  FROM ranked r JOIN leftovers l ON r.session = l.session GROUP BY r.session
+)
+SELECT session, CAST(step AS INTEGER) AS step, action, files, message FROM steps
+""")
+def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-36: unstage all, stage + commit each selected candidate in order,
+    restage the leftovers; nothing when nothing is selected."""
+    from .plans.commit_plan import commit_plan
+    host, selection, client = _selection_inputs(spark, sf_dir)
+    sel = cstate.selected(host, selection, client, ["session"])
+    left = cstate.unselected_files(host, selection, ["session"])
+    return commit_plan(sel, left, ["session"]).select("session", "step", "action", "files", "message")
+
+
+@register("counts", f"""
+WITH {fx.CANDIDATE_EVENTS_CTE}, {fx.FOLD_CTE}, {_HOST_SQL}, {_SELECT_SQL},
+c AS (SELECT session, CAST(count(*) AS BIGINT) AS total, CAST(count_if(checked) AS BIGINT) AS checked,
+             CAST(count_if(NOT checked) AS BIGINT) AS unchecked FROM host GROUP BY session),
+s AS (SELECT session, CAST(count(*) AS BIGINT) AS created FROM selected GROUP BY session)
+SELECT c.session, c.total, c.checked, c.unchecked, c.total > 0 AS has_any, coalesce(s.created, 0) AS created
+FROM c LEFT JOIN s ON c.session = s.session
+""")
+def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-37: checked / total / pending per session and commits a run would create."""
+    host, selection, client = _selection_inputs(spark, sf_dir)
+    base = cstate.selection_counts(host, ["session"])
+    created = (cstate.selected(host, selection, client, ["session"]).groupBy("session")
+               .agg(F.count(F.lit(1)).alias("created")))
+    return (base.join(created, "session", "left")
+            .select("session", "total", "checked", "unchecked", "has_any",
+                    F.coalesce("created", F.lit(0)).alias("created")))

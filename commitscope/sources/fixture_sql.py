@@ -253,3 +253,79 @@ def strip_fences_sql(raw: str) -> str:
     """OP-26 in DuckDB (regexp_replace without 'g' replaces the first match)."""
     return (f"trim(regexp_replace(regexp_replace({raw}, '(?m)^```(?:json)?\\s*', ''), "
             f"'(?m)\\s*```\\s*$', ''), {WS_SET})")
+
+CANDIDATE_EVENTS_CTE = """
+candidate_events AS (
+  SELECT user_id AS session, event_id AS seq,
+    CASE event_type WHEN 'signup' THEN 'ADD_CANDIDATE' WHEN 'click' THEN 'TOGGLE_CANDIDATE'
+      WHEN 'view' THEN 'UPDATE_CANDIDATE_MESSAGE'
+      WHEN 'error' THEN CASE WHEN event_id % 4 = 0 THEN 'SET_LOADING' ELSE 'ERROR' END
+      WHEN 'purchase' THEN CASE WHEN event_id % 6 = 0 THEN 'COMMITTED'
+                                WHEN event_id % 6 = 3 THEN 'REORDER_CANDIDATES' ELSE 'DONE' END
+    END AS type,
+    CASE WHEN event_type IN ('signup', 'click', 'view') THEN 'c' || CAST(event_id % 5 AS VARCHAR) END AS id,
+    CASE WHEN event_type = 'signup' THEN 'add ' || CAST(event_id AS VARCHAR)
+         WHEN event_type = 'view' THEN props
+         WHEN event_type = 'error' AND event_id % 4 <> 0 THEN
+           CASE WHEN event_id % 8 = 2 THEN '' ELSE 'failed ' || CAST(event_id AS VARCHAR) END
+    END AS message,
+    CASE WHEN event_type = 'purchase' AND event_id % 6 = 0 THEN CAST(event_id % 3 + 1 AS INTEGER) END AS count,
+    CASE WHEN event_type = 'purchase' AND event_id % 6 = 3 THEN
+      [{'id': 'c' || CAST((event_id + 1) % 5 AS VARCHAR), 'message': 'r' || CAST(event_id AS VARCHAR), 'checked': true},
+       {'id': 'c' || CAST((event_id + 2) % 5 AS VARCHAR), 'message': 'r' || CAST(event_id AS VARCHAR), 'checked': false}]
+    END AS payload
+  FROM events
+),
+edits AS (
+  SELECT user_id AS session, 'c' || CAST(event_id % 5 AS VARCHAR) AS id, event_id AS seq,
+    CASE WHEN event_id % 3 = 0 THEN '   ' ELSE '  edit ' || CAST(event_id AS VARCHAR) || ' ' END AS message
+  FROM events WHERE event_type = 'view'
+)"""
+
+FOLD_CTE = """
+status AS (
+  SELECT session,
+    coalesce(arg_max(type = 'SET_LOADING', seq) FILTER (WHERE type IN ('SET_LOADING', 'DONE', 'ERROR')), false)
+      AS generating,
+    arg_max_null(CASE WHEN type = 'ERROR' THEN message END, seq) FILTER (WHERE type IN ('SET_LOADING', 'ERROR'))
+      AS error,
+    arg_max_null(CASE WHEN type = 'COMMITTED' THEN count END, seq) FILTER (WHERE type IN ('SET_LOADING', 'COMMITTED'))
+      AS success_count,
+    max(CASE WHEN type = 'SET_STAGED_FILES' THEN true END) IS NULL AS staged_loading,
+    max(seq) FILTER (WHERE type IN ('SET_LOADING', 'COMMITTED', 'REORDER_CANDIDATES')) AS base_seq
+  FROM candidate_events GROUP BY session
+),
+ev AS (
+  SELECT e.*, s.base_seq, e.seq > coalesce(s.base_seq, -1) AS after
+  FROM candidate_events e JOIN status s ON e.session = s.session
+),
+entries AS (
+  SELECT session, seq AS entry_seq, 0 AS sub_pos, id, message AS m0, true AS c0, 0 AS kind
+  FROM ev WHERE type = 'ADD_CANDIDATE' AND after
+  UNION ALL
+  SELECT session, seq AS entry_seq, CAST(generate_subscripts(payload, 1) - 1 AS INTEGER) AS sub_pos,
+    unnest(payload).id AS id, unnest(payload).message AS m0, coalesce(unnest(payload).checked, false) AS c0,
+    0 AS kind
+  FROM ev WHERE type = 'REORDER_CANDIDATES' AND seq = base_seq
+  UNION ALL
+  SELECT session, seq AS entry_seq, 0 AS sub_pos, id,
+    CASE WHEN type = 'UPDATE_CANDIDATE_MESSAGE' THEN message END AS m0, CAST(NULL AS BOOLEAN) AS c0,
+    CASE WHEN type = 'TOGGLE_CANDIDATE' THEN 1 ELSE 2 END AS kind
+  FROM ev WHERE type IN ('TOGGLE_CANDIDATE', 'UPDATE_CANDIDATE_MESSAGE') AND after
+),
+folded AS (
+  SELECT *,
+    sum(CASE WHEN kind = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY session, id)
+    - sum(CASE WHEN kind = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY session, id ORDER BY entry_seq, kind, sub_pos
+                                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS toggles_after,
+    last_value(CASE WHEN kind = 2 THEN m0 END IGNORE NULLS) OVER (
+      PARTITION BY session, id ORDER BY entry_seq, kind, sub_pos
+      ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS edit_after
+  FROM entries
+),
+final_list AS (
+  SELECT session, entry_seq, sub_pos, id, coalesce(edit_after, m0) AS message,
+    c0 <> (toggles_after % 2 = 1) AS checked,
+    CAST(row_number() OVER (PARTITION BY session ORDER BY entry_seq, sub_pos) - 1 AS INTEGER) AS list_pos
+  FROM folded WHERE kind = 0
+)"""

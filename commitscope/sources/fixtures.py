@@ -296,3 +296,48 @@ def chunks_from_responses(responses: DataFrame) -> DataFrame:
     exploded = responses.select("request_id", F.size(pieces).alias("_n"),
                                 F.posexplode(pieces).alias("idx", "chunk"))
     return exploded.select("request_id", "idx", "chunk", (F.col("idx") == F.col("_n") - 1).alias("is_last"))
+
+
+# ---------------------------------------------------------------------------
+# UI events from the events table
+# ---------------------------------------------------------------------------
+
+def candidate_events_from_events(events: DataFrame) -> DataFrame:
+    """``candidate_events``: one UI action per event row; session = user_id,
+    seq = event_id.  signup -> add, click -> toggle, view -> edit, error ->
+    loading (every 4th) or error (every 8th+2 with empty text), purchase ->
+    committed (every 6th), reorder (every 6th+3) or done."""
+    from ..operators import candidates as C
+    eid, et = F.col("event_id"), F.col("event_type")
+    cid = F.concat(F.lit("c"), (eid % 5).cast("string"))
+    typ = (F.when(et == "signup", F.lit(C.ADD)).when(et == "click", F.lit(C.TOGGLE))
+           .when(et == "view", F.lit(C.UPDATE_MESSAGE))
+           .when(et == "error", F.when(eid % 4 == 0, F.lit(C.SET_LOADING)).otherwise(F.lit(C.ERROR)))
+           .when(et == "purchase", F.when(eid % 6 == 0, F.lit(C.COMMITTED))
+                 .when(eid % 6 == 3, F.lit(C.REORDER)).otherwise(F.lit(C.DONE))))
+    message = (F.when(et == "signup", F.concat(F.lit("add "), eid.cast("string")))
+               .when(et == "view", F.col("props"))
+               .when((et == "error") & (eid % 4 != 0),
+                     F.when(eid % 8 == 2, F.lit("")).otherwise(F.concat(F.lit("failed "), eid.cast("string")))))
+
+    def entry(offset: int, checked: bool):
+        return F.struct(F.concat(F.lit("c"), ((eid + offset) % 5).cast("string")).alias("id"),
+                        F.concat(F.lit("r"), eid.cast("string")).alias("message"),
+                        F.lit(checked).alias("checked"))
+    payload = F.when((et == "purchase") & (eid % 6 == 3), F.array(entry(1, True), entry(2, False)))
+    return events.select(
+        F.col("user_id").alias("session"), eid.alias("seq"), typ.alias("type"),
+        F.when(et.isin("signup", "click", "view"), cid).alias("id"), message.alias("message"),
+        F.when((et == "purchase") & (eid % 6 == 0), (eid % 3 + 1).cast("int")).alias("count"),
+        payload.alias("payload"))
+
+
+def edits_from_events(events: DataFrame) -> DataFrame:
+    """Saved message edits (session, id, seq, message): one per view event;
+    every third is blank (ignored by the edit rule)."""
+    eid = F.col("event_id")
+    return events.filter(F.col("event_type") == "view").select(
+        F.col("user_id").alias("session"), F.concat(F.lit("c"), (eid % 5).cast("string")).alias("id"),
+        eid.alias("seq"),
+        F.when(eid % 3 == 0, F.lit("   ")).otherwise(F.concat(F.lit("  edit "), eid.cast("string"),
+                                                             F.lit(" "))).alias("message"))
