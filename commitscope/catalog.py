@@ -739,12 +739,12 @@ def inference_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answers(spark, sf_dir).select("repo", "commit_id", F.md5("raw").alias("raw_md5"), "infer_error")
 
 
-@register("candidates", f"""
-WITH {_PROMPT_CTE}, {_BATCH_SQL}, {_ECHO_SQL},
+_CANDS_SQL = f"""{_PROMPT_CTE}, {_BATCH_SQL}, {_ECHO_SQL},
 files AS (
   SELECT repo, commit_id, group_key, string_agg(path, ',' ORDER BY file_seq) AS files
   FROM classified GROUP BY repo, commit_id, group_key
-)
+),
+cands AS (
 SELECT e.repo, e.commit_id, e.group_ord,
   sha256(e.repo || '|' || CAST(e.commit_id AS VARCHAR) || '|' || CAST(e.group_ord AS VARCHAR)) AS candidate_id,
   'chore(' || trim(e.label) || '): update ' || trim(e.label) AS message,
@@ -753,6 +753,12 @@ FROM echo_items e
 JOIN sections s ON e.repo = s.repo AND e.commit_id = s.commit_id AND e.group_ord = s.group_ord
 JOIN files f ON f.repo = s.repo AND f.commit_id = s.commit_id AND f.group_key = s.group_key
 WHERE e.variant <> 3
+)"""
+
+
+@register("candidates", f"""
+WITH {_CANDS_SQL}
+SELECT * FROM cands
 """)
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-24 + OP-27 + OP-29: answers parsed as arrays of exactly n_groups
@@ -965,3 +971,152 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (base.join(created, "session", "left")
             .select("session", "total", "checked", "unchecked", "has_any",
                     F.coalesce("created", F.lit(0)).alias("created")))
+
+
+# ---------------------------------------------------------------------------
+# Step 7: blank report, generations, quality, end-to-end, streams
+# ---------------------------------------------------------------------------
+
+from .operators import quality  # noqa: E402
+from .plans.generate import run_generation  # noqa: E402
+from .streaming import jobs as streams  # noqa: E402
+
+
+@register("no_changes", f"""
+WITH {fx.COMMITS_CTE}
+SELECT repo, commit_id, 'no_changes' AS status FROM commits WHERE trim(raw_diff, {fx.WS_SET}) = ''
+""")
+def no_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-01: snapshots whose diff is blank after trim() are reported, not parsed."""
+    return diffs.blank_snapshots(load_commits(spark, sf_dir))
+
+
+@register("latest_generation", f"""
+WITH {_CANDS_SQL},
+runs AS (SELECT repo, seq AS generation, commit_id % 9 = 4 AS cancelled FROM requests
+         WHERE kind = 'regenerate'),
+newest AS (SELECT repo, max(generation) AS generation, arg_max(cancelled, generation) AS cancelled
+           FROM runs GROUP BY repo)
+SELECT c.repo, c.commit_id AS generation, c.group_ord, c.candidate_id
+FROM cands c JOIN newest n ON c.repo = n.repo AND c.commit_id = n.generation
+WHERE NOT n.cancelled
+""")
+def latest_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-31: per repo only the newest run's candidates survive; a cancelled
+    newest run leaves none.  Run = regenerate request, generation = seq."""
+    cands = candidates(spark, sf_dir).withColumnRenamed("commit_id", "generation")
+    runs = (requests_from_commits(load_commits(spark, sf_dir)).filter(F.col("kind") == "regenerate")
+            .select("repo", F.col("seq").alias("generation"), (F.col("commit_id") % 9 == 4).alias("cancelled")))
+    return cstate.latest_generation(cands, runs).select("repo", "generation", "group_ord", "candidate_id")
+
+
+@register("quality", f"""
+WITH {fx.RESPONSES_CTE}, {_OBJ_SQL}
+SELECT request_id, message, CAST(length(message) AS INTEGER) AS chars, length(message) < 72 AS under_limit,
+  regexp_matches(message, '^(?:feat|fix|docs|style|refactor|perf|test|chore|ci|build)(?:\\([^()\\r\\n]*\\))?: ')
+    AS conventional,
+  regexp_matches(message, '^(?:feat|fix|docs|style|refactor|perf|test|chore|ci|build)\\([^()\\r\\n]*\\): ')
+    AS has_scope,
+  CASE WHEN length(message) > 0
+        AND length(regexp_replace(message, '[\\x00-\\x7F]', '', 'g')) * 5 > length(message)
+       THEN 'zh' ELSE 'en' END AS language,
+  CAST(len(regexp_extract_all(reason, '[.!?。！？](\\s|$)')) AS INTEGER) AS reason_sentences,
+  len(regexp_extract_all(reason, '[.!?。！？](\\s|$)')) BETWEEN 1 AND 2 AS reason_ok
+FROM parsed WHERE error IS NULL
+""")
+def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-38 (derived): length, type prefix, scope, language and reason-sentence flags."""
+    ok = responses.parse_object(_responses(spark, sf_dir)).filter(F.col("error").isNull())
+    return quality.message_quality(ok).select(
+        "request_id", "message", "chars", "under_limit", "conventional", "has_scope", "language",
+        "reason_sentences", "reason_ok")
+
+
+@register("generation_run", f"""
+WITH {_CANDS_SQL}, {fx.MODELS_CTE},
+cat AS (SELECT DISTINCT catalog_id FROM models),
+snap_ok AS (
+  SELECT b.repo, b.commit_id, b.n_groups, (b.commit_id % 5) IN (SELECT catalog_id FROM cat) AS has_model
+  FROM batch_prompts b
+),
+errs AS (
+  SELECT repo, commit_id, 'no_changes' AS error FROM commits WHERE trim(raw_diff, {fx.WS_SET}) = ''
+  UNION ALL
+  SELECT repo, commit_id, 'no language model available' FROM snap_ok WHERE NOT has_model
+  UNION ALL
+  SELECT a.repo, a.commit_id, 'unparsable response (expected array of ' || CAST(s.n_groups AS VARCHAR)
+         || '): ' || left(a.raw, 300)
+  FROM answers a JOIN snap_ok s ON a.repo = s.repo AND a.commit_id = s.commit_id
+  WHERE s.has_model AND a.variant = 3
+)
+SELECT c.repo, c.commit_id, 'candidate' AS kind, c.group_ord, c.candidate_id, c.message, c.files,
+       CAST(NULL AS VARCHAR) AS error
+FROM cands c JOIN snap_ok s ON c.repo = s.repo AND c.commit_id = s.commit_id WHERE s.has_model
+UNION ALL
+SELECT repo, commit_id, 'error', CAST(NULL AS INTEGER), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR),
+       CAST(NULL AS VARCHAR), error FROM errs
+""")
+def generation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-39: snapshots -> candidates and error rows in one lazy plan (the
+    deterministic stand-in model answers; model catalogue = commit_id % 5)."""
+    ctx = _prompt_context(spark, sf_dir).withColumn("catalog_id", (F.col("commit_id") % 5).cast("int"))
+    models = models_from_suppliers(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation"))
+    cands, errors = run_generation(load_commits(spark, sf_dir), ctx, echo_model, models)
+    null = F.lit(None)
+    return (cands.select("repo", "commit_id", F.lit("candidate").alias("kind"), "group_ord", "candidate_id",
+                         "message", F.array_join("files", ",").alias("files"),
+                         null.cast("string").alias("error"))
+            .unionByName(errors.select("repo", "commit_id", F.lit("error").alias("kind"),
+                                       null.cast("int").alias("group_ord"),
+                                       null.cast("string").alias("candidate_id"),
+                                       null.cast("string").alias("message"),
+                                       null.cast("string").alias("files"), "error")))
+
+
+@register("stream_churn", ORACLES["churn_by_group"])
+def stream_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-40: snapshots landed as files and streamed (availableNow); the
+    stateless in-row jobs run on the stream and must equal the batch result."""
+    base = streams.scratch_dir(spark, "churn")
+    src = streams.land_as_stream(spark, load_commits(spark, sf_dir), base)
+    streams.run_available(streams.file_churn_stream(src), f"{base}/out", f"{base}/ckpt")
+    return churn.churn_totals(spark.read.parquet(f"{base}/out"), ["repo", "group_type"])
+
+
+@register("stream_assembled", ORACLES["assembled"])
+def stream_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-25 streaming: chunks arrive over several micro-batches; the
+    update-mode aggregate keeps partial answers in state."""
+    base = streams.scratch_dir(spark, "chunks")
+    chunks = chunks_from_responses(_responses(spark, sf_dir))
+    src = streams.land_as_stream(spark, chunks, base)
+    streams.run_versioned(streams.assemble_stream(src), f"{base}/out", f"{base}/ckpt")
+    out = streams.latest_versions(spark, f"{base}/out", ["request_id"])
+    return out.select("request_id", F.md5("raw").alias("raw_md5"), "chunks", "complete")
+
+
+@register("stream_state", f"""
+WITH {fx.CANDIDATE_EVENTS_CTE}, {fx.FOLD_CTE}
+SELECT session, generating, error, success_count, staged_loading FROM status
+""")
+def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-30 streaming: per-session status folded over micro-batches."""
+    base = streams.scratch_dir(spark, "events")
+    src = streams.land_as_stream(spark, _events(spark, sf_dir), base)
+    streams.run_versioned(streams.status_stream(src), f"{base}/out", f"{base}/ckpt")
+    out = streams.latest_versions(spark, f"{base}/out", ["session"])
+    return out.select("session", "generating", "error", "success_count", "staged_loading")
+
+
+@register("stream_newest_snapshot", f"""
+WITH {fx.COMMITS_CTE}
+SELECT repo, arg_max(commit_id, commit_id) AS commit_id, md5(arg_max(raw_diff, commit_id)) AS diff_md5
+FROM commits GROUP BY repo
+""")
+def stream_newest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-40 refresh: a newer snapshot of a repo supersedes the previous one."""
+    base = streams.scratch_dir(spark, "refresh")
+    src = streams.land_as_stream(spark, load_commits(spark, sf_dir), base)
+    streams.run_versioned(streams.newest_snapshot_stream(src), f"{base}/out", f"{base}/ckpt")
+    out = streams.latest_versions(spark, f"{base}/out", ["repo"])
+    return out.select("repo", "commit_id", F.md5("raw_diff").alias("diff_md5"))
