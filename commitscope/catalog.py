@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import keep_where
 from .operators import churn, diffs, paths
 from .sources import fixture_sql as fx
 from .sources.fixtures import load_commits
@@ -413,7 +414,7 @@ def _prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _snapshot_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, commit_id, groups) for every snapshot with at least one group."""
     grouped = paths.with_groups(diffs.parse_files(load_commits(spark, sf_dir)))
-    return grouped.filter(F.size("groups") > 0)
+    return keep_where(grouped, F.size("groups") > 0)
 
 
 def _q(s: str) -> str:
@@ -486,7 +487,7 @@ FROM p
 def group_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-21: one prompt per file group (md5 and length reported)."""
     groups = _snapshot_groups(spark, sf_dir)
-    rows = groups.select("repo", "commit_id", F.explode("groups").alias("g")).select(
+    rows = groups.select("repo", "commit_id", F.explode_outer("groups").alias("g")).filter("g IS NOT NULL").select(
         "repo", "commit_id", "g.group_ord", "g.label", "g.files")
     ctx = _prompt_context(spark, sf_dir)
     out = prompts.group_prompts(size_checked_join(rows, ctx, ["repo", "commit_id"]))

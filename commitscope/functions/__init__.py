@@ -9,3 +9,7 @@ __all__ = [
     "js_trim_end", "non_ascii_units", "replace_first", "round_half_up", "starts_with_any",
     "utf16_length",
 ]
+
+from .frames import keep_where  # noqa: E402
+
+__all__.append("keep_where")

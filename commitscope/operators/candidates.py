@@ -76,7 +76,8 @@ def fold_candidates(events: DataFrame, status: DataFrame | None = None) -> DataF
         F.col("message").alias("m0"), F.lit(True).alias("c0"))
     replaced = (ev.filter((t == REORDER) & (F.col("seq") == F.col("base_seq")))
                 .select("session", F.col("seq").alias("entry_seq"),
-                        F.posexplode("payload").alias("sub_pos", "p"))
+                        F.posexplode_outer("payload").alias("sub_pos", "p"))
+                .filter(F.col("sub_pos").isNotNull())
                 .select("session", "entry_seq", "sub_pos", F.col("p.id").alias("id"),
                         F.col("p.message").alias("m0"), F.coalesce(F.col("p.checked"), F.lit(False))
                         .alias("c0")))
@@ -204,4 +205,5 @@ def unselected_files(host: DataFrame, selection: DataFrame, keys: list[str]) ->
     per file, in list order."""
     sel = selection.select(*keys, "candidate_id").distinct()
     rest = host.join(sel, keys + ["candidate_id"], "left_anti")
-    return rest.select(*keys, "candidate_id", "list_pos", F.posexplode("files").alias("file_pos", "path"))
+    return (rest.select(*keys, "candidate_id", "list_pos", F.posexplode_outer("files").alias("file_pos", "path"))
+            .filter(F.col("file_pos").isNotNull()))

@@ -73,7 +73,8 @@ def split_file_changes(commits: DataFrame, diff_col: str = "raw_diff") -> DataFr
     change_type, diff).  ``explode`` of the in-row parse: no shuffle."""
     parsed = parse_files(commits, diff_col)
     keys = [c for c in parsed.columns if c != "files"]
-    return parsed.select(*keys, F.explode("files").alias("f")).select(*keys, "f.*")
+    return (parsed.select(*keys, F.explode_outer("files").alias("f"))
+            .filter(F.col("f").isNotNull()).select(*keys, "f.*"))
 
 
 def lookup_diffs(file_changes: DataFrame, wanted: DataFrame,

@@ -40,7 +40,8 @@ def explode_lines(file_changes: DataFrame, keys: list[str] | None = None,
     src = file_changes.filter(F.length(diff_col) > 0).select(*keys, diff_col)
     if prepartition:
         src = src.repartition(*keys)
-    lines = src.select(*keys, F.posexplode(F.split(diff_col, "\n", -1)).alias("pos", "raw"))
+    lines = (src.select(*keys, F.posexplode_outer(F.split(diff_col, "\n", -1)).alias("pos", "raw"))
+             .filter(F.col("pos").isNotNull()))
     raw = F.col("raw")
     kind = line_kind(raw)
     sign = (F.when(kind == "add", F.lit("+")).when(kind == "del", F.lit("-"))

@@ -138,7 +138,8 @@ def group_files_in_row(parsed: DataFrame, files_col: str = "files") -> DataFrame
     """
     grouped = with_groups(parsed, files_col, "_groups")
     others = [c for c in grouped.columns if c != "_groups"]
-    return grouped.select(*others, F.explode("_groups").alias("g")).select(*others, "g.*")
+    return (grouped.select(*others, F.explode_outer("_groups").alias("g"))
+            .filter(F.col("g").isNotNull()).select(*others, "g.*"))
 
 
 def no_groups(parsed: DataFrame, files_col: str = "files") -> DataFrame:

@@ -179,7 +179,8 @@ def build_candidates(groups: DataFrame, parsed: DataFrame,
     keys = list(keys)
     gen = [generation_col] if generation_col else []
     items = (parsed.filter(F.col("items").isNotNull())
-             .select(*keys, *gen, F.posexplode("items").alias("group_ord", "item")))
+             .select(*keys, *gen, F.posexplode_outer("items").alias("group_ord", "item"))
+             .filter(F.col("group_ord").isNotNull()))
     joined = items.join(groups.select(*keys, "group_ord", "files"), keys + ["group_ord"])
     id_parts = [F.col(k).cast("string") for k in keys + gen] + [F.col("group_ord").cast("string")]
     return joined.select(
@@ -200,7 +201,8 @@ def build_candidates_in_row(parsed: DataFrame, keys: list[str], group_files_col:
         i.alias("group_ord"), it["message"].alias("message"), it["reason"].alias("reason"),
         F.element_at(F.col(group_files_col), i + 1).alias("files")))
     rows = (parsed.filter(F.col("items").isNotNull())
-            .select(*keys, *gen, F.explode(zipped).alias("c")).select(*keys, *gen, "c.*"))
+            .select(*keys, *gen, F.explode_outer(zipped).alias("c")).filter(F.col("c").isNotNull())
+            .select(*keys, *gen, "c.*"))
     id_parts = [F.col(k).cast("string") for k in keys + gen] + [F.col("group_ord").cast("string")]
     return rows.select(
         *keys, *gen, "group_ord",

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import keep_where
 from ..operators import diffs, inference, paths, prompts, responses
 from ..plans.joins import size_checked_join
 
@@ -32,9 +33,9 @@ def run_generation(commits: DataFrame, context: DataFrame, fn, models: DataFrame
     blank = diffs.blank_snapshots(commits).select(*keys, F.lit("no_changes").alias("error"))
     parsed = diffs.parse_files(commits)
     grouped = paths.with_groups(parsed)
-    no_group = (grouped.filter(F.size("groups") == 0)
+    no_group = (keep_where(grouped, F.size("groups") == 0)
                 .select(*keys, F.lit("could not analyse the staged changes").alias("error")))
-    snap = size_checked_join(grouped.filter(F.size("groups") > 0), context, keys)
+    snap = size_checked_join(keep_where(grouped, F.size("groups") > 0), context, keys)
     if models is not None:
         snap = inference.assign_model(snap, models)
     else:

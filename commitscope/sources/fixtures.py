@@ -294,7 +294,7 @@ def chunks_from_responses(responses: DataFrame) -> DataFrame:
     7-character pieces (a stream would deliver them in any order)."""
     pieces = F.regexp_extract_all(F.col("raw"), F.lit(r"(?s).{1,%d}" % CHUNK_CHARS), 0)
     exploded = responses.select("request_id", F.size(pieces).alias("_n"),
-                                F.posexplode(pieces).alias("idx", "chunk"))
+                                F.posexplode_outer(pieces).alias("idx", "chunk")).filter(F.col("idx").isNotNull())
     return exploded.select("request_id", "idx", "chunk", (F.col("idx") == F.col("_n") - 1).alias("is_last"))
 
 

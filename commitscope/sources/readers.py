@@ -53,7 +53,8 @@ def read_log_text(spark: SparkSession, path: str) -> DataFrame:
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
     repo = F.regexp_replace(name, r"\.[^.]*\z", "")
     lines = F.split(js_trim(F.col("value")), "\n", -1)
-    return (raw.select(repo.alias("repo"), F.posexplode(lines).alias("log_pos", "line"))
+    return (raw.select(repo.alias("repo"), F.posexplode_outer(lines).alias("log_pos", "line"))
+            .filter(F.col("log_pos").isNotNull())
             .withColumn("log_pos", F.col("log_pos").cast("long")))
 
 
