@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import keep_where
+from .session import ensure_checkpoint_dir
 from .operators import churn, diffs, paths
 from .sources import fixture_sql as fx
 from .sources.fixtures import load_commits
@@ -813,7 +814,13 @@ def state_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _host_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folded lists as host candidates: candidate_id = entry key, two files each."""
+    """Folded lists as host candidates: candidate_id = entry key, two files each.
+
+    Several branches of a query read this list (selection, client order,
+    leftovers, counts), so it is computed once and checkpointed to the shared
+    checkpoint folder (reliable: survives executor loss, cuts the lineage).
+    """
+    ensure_checkpoint_dir(spark)
     entries = cstate.list_positions(cstate.fold_candidates(_events(spark, sf_dir)))
     return entries.select(
         "session", "list_pos", "id", "message", "checked",
@@ -821,7 +828,7 @@ def _host_list(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("candidate_id"),
         F.array(F.concat(F.lit("src/"), F.col("id"), F.lit(".ts")),
                 F.concat(F.lit("tests/"), F.col("id"), F.lit("_"), F.col("entry_seq").cast("string"),
-                         F.lit(".ts"))).alias("files"))
+                         F.lit(".ts"))).alias("files")).checkpoint()
 
 
 _HOST_SQL = """

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.js import is_blank, js_trim
+from ..functions.scans import running_count, running_sum
 
 # The event (action) types of the UI state machine.
 SET_LOADING = "SET_LOADING"
@@ -61,8 +62,10 @@ def fold_candidates(events: DataFrame, status: DataFrame | None = None) -> DataF
     * a TOGGLE / UPDATE_MESSAGE at seq t touches every entry with that id
       that exists at t, i.e. entered before t.
 
-    For each entry, a window over (session, id) ordered by seq gives the
-    toggles after it (total - running count) and the last edit after it.
+    Per entry: the toggles after it are the key's toggle total minus a
+    running count (a bucketed scan, so one hot (session, id) is spread over
+    several tasks); its final message is the key's latest edit if that edit
+    came after the entry (an aggregate + join, no window).
     Output: session, entry_seq, sub_pos, id, message, checked.
     """
     status = status if status is not None else session_status(events)
@@ -70,6 +73,7 @@ def fold_candidates(events: DataFrame, status: DataFrame | None = None) -> DataF
     ev = events.join(base, "session", "left")
     after = F.col("seq") > F.coalesce(F.col("base_seq"), F.lit(-1))
     t = F.col("type")
+    keys = ["session", "id"]
 
     added = ev.filter((t == ADD) & after).select(
         "session", F.col("seq").alias("entry_seq"), F.lit(0).alias("sub_pos"), "id",
@@ -81,31 +85,29 @@ def fold_candidates(events: DataFrame, status: DataFrame | None = None) -> DataF
                 .select("session", "entry_seq", "sub_pos", F.col("p.id").alias("id"),
                         F.col("p.message").alias("m0"), F.coalesce(F.col("p.checked"), F.lit(False))
                         .alias("c0")))
-    entries = added.unionByName(replaced).withColumn("_kind", F.lit(0))
-    touches = (ev.filter(t.isin(TOGGLE, UPDATE_MESSAGE) & after)
+    entries = added.unionByName(replaced).withColumn("_toggle", F.lit(0).cast("long"))
+    toggles = (ev.filter((t == TOGGLE) & after)
                .select("session", F.col("seq").alias("entry_seq"), F.lit(0).alias("sub_pos"), "id",
-                       F.when(t == UPDATE_MESSAGE, F.col("message")).alias("m0"),
-                       F.lit(None).cast("boolean").alias("c0"),
-                       F.when(t == TOGGLE, F.lit(1)).otherwise(F.lit(2)).alias("_kind")))
-    rows = entries.unionByName(touches)
-    w_id = Window.partitionBy("session", "id")
-    w_run = w_id.orderBy("entry_seq", "_kind", "sub_pos").rowsBetween(Window.unboundedPreceding, 0)
-    w_rest = w_id.orderBy("entry_seq", "_kind", "sub_pos").rowsBetween(1, Window.unboundedFollowing)
-    is_toggle = (F.col("_kind") == 1).cast("long")
-    folded = rows.withColumns({
-        "_toggles_after": F.sum(is_toggle).over(w_id) - F.sum(is_toggle).over(w_run),
-        "_edit_after": F.last(F.when(F.col("_kind") == 2, F.col("m0")), ignorenulls=True).over(w_rest),
-    })
-    return (folded.filter(F.col("_kind") == 0)
-            .select("session", "entry_seq", "sub_pos", "id",
-                    F.coalesce("_edit_after", "m0").alias("message"),
-                    (F.col("c0") != (F.col("_toggles_after") % 2 == 1)).alias("checked")))
+                       F.lit(None).cast("string").alias("m0"), F.lit(None).cast("boolean").alias("c0"),
+                       F.lit(1).cast("long").alias("_toggle")))
+    totals = toggles.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
+    edits = (ev.filter((t == UPDATE_MESSAGE) & after).groupBy(*keys)
+             .agg(F.max_by(F.struct(F.col("seq").alias("_s"), F.col("message").alias("_m")), F.col("seq"))
+                  .alias("_edit")))
+    scanned = running_sum(entries.unionByName(toggles), keys, ["entry_seq", "_toggle", "sub_pos"],
+                          "_toggle", "_upto")
+    mine = scanned.filter(F.col("_toggle") == 0).join(totals, keys, "left").join(edits, keys, "left")
+    toggles_after = F.coalesce(F.col("_total"), F.lit(0)) - F.col("_upto")
+    message = F.when(F.col("_edit._s") > F.col("entry_seq"), F.col("_edit._m")).otherwise(F.col("m0"))
+    return mine.select("session", "entry_seq", "sub_pos", "id", message.alias("message"),
+                       (F.col("c0") != (toggles_after % 2 == 1)).alias("checked"))
 
 
 def list_positions(entries: DataFrame, key: str = "session") -> DataFrame:
-    """0-based list position of every entry (order: entry_seq, sub_pos)."""
-    w = Window.partitionBy(key).orderBy("entry_seq", "sub_pos")
-    return entries.withColumn("list_pos", (F.row_number().over(w) - 1).cast("int"))
+    """0-based list position of every entry (order: entry_seq, sub_pos),
+    by a bucketed running count."""
+    return running_count(entries, [key], ["entry_seq", "sub_pos"], "list_pos").withColumn(
+        "list_pos", F.col("list_pos").cast("int"))
 
 
 def selection_counts(entries: DataFrame, keys: list[str], checked_col: str = "checked") -> DataFrame:

@@ -3,9 +3,11 @@ effective options of every request."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scans import running_last
+
 # The defaults of the two stored options.
 DEFAULT_CONVENTIONAL = True
 DEFAULT_LANGUAGE = "en"
@@ -40,12 +42,11 @@ def resolve_settings(requests: DataFrame, stored: DataFrame) -> DataFrame:
       at or before this one whose language is not ``auto``; an empty or
       missing language there counts as "no session language".
     """
-    w = Window.partitionBy("repo").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     kind, lang = F.col("kind"), F.col("language")
     setter = F.when((kind == "regenerate") & (lang.isNull() | (lang != "auto")),
                     F.coalesce(lang, F.lit("")))
-    session = F.last(setter, ignorenulls=True).over(w)
-    df = requests.withColumn("session_language", F.nullif(session, F.lit("")))
+    df = running_last(requests.withColumn("_setter", setter), ["repo"], ["seq"], "_setter", "_session")
+    df = df.withColumn("session_language", F.nullif(F.col("_session"), F.lit(""))).drop("_setter", "_session")
     df = df.join(stored, "repo", "left")
     regen = kind == "regenerate"
     return df.select(

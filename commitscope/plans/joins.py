@@ -1,9 +1,17 @@
 """Join strategy helpers.
 
-Broadcasting is only safe for a side whose size is known.  ``size_checked_join``
-proves the bound with a bounded count (``limit(n + 1).count()`` reads at most
-n + 1 rows) and falls back to a shuffle join beyond it, where AQE can still
-convert to a broadcast from measured shuffle sizes or split skewed partitions.
+Broadcasting is only safe for a side whose size is known.  By default the
+decision is left to Adaptive Query Execution: both sides are planned as a
+shuffle join, and once the smaller side's shuffle stage has run, AQE turns
+the join into a broadcast join only if the *measured* size is below
+``spark.sql.adaptive.autoBroadcastJoinThreshold`` (and splits skewed
+partitions of the big side otherwise).  No extra pass over the data is
+spent on the check.
+
+``max_rows`` opts into an explicit check for request tables given by a
+caller: ``limit(n + 1).count()`` reads at most n + 1 rows, and only a side
+under the bound gets the broadcast hint.  Use it for narrow, cheap-to-read
+sides only (its lineage runs once more for the count).
 """
 
 from __future__ import annotations
@@ -21,12 +29,12 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
 
 
 def size_checked_join(left: DataFrame, right: DataFrame, on, how: str = "inner",
-                      max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join, broadcasting ``right`` only after its row count is checked.
+                      max_rows: int | None = None) -> DataFrame:
+    """Join ``left`` with ``right``; broadcast ``right`` only after a size check.
 
-    Use for narrow (key-only or few-column) right sides: the row bound then
-    bounds the bytes as well.
+    Without ``max_rows`` the check is AQE's runtime measurement (see the
+    module notes); with it, an explicit bounded row count decides.
     """
-    if fits_broadcast(right, max_rows):
+    if max_rows is not None and fits_broadcast(right, max_rows):
         right = F.broadcast(right)
     return left.join(right, on=on, how=how)
