@@ -52,20 +52,22 @@ def blank_snapshots(commits: DataFrame, diff_col: str = "raw_diff") -> DataFrame
             .select(*keys, F.lit("no_changes").alias("status")))
 
 
-def parse_files(commits: DataFrame, diff_col: str = "raw_diff") -> DataFrame:
+def parse_files(commits: DataFrame, diff_col: str = "raw_diff", keep_blank: bool = False) -> DataFrame:
     """OP-04/05 in row: replace the raw diff by an ordered ``files`` array of
     STRUCT<file_seq INT, path, change_type, diff>.
 
     Segments without a valid header (text before the first header, quoted or
     CRLF headers) are dropped before numbering, so ``file_seq`` is the
     0-based position among the snapshot's real files.  Narrow: no shuffle.
+    Blank snapshots are dropped unless ``keep_blank`` (they parse to []).
     """
     segments = F.filter(F.split(F.col(diff_col), SEGMENT_BOUNDARY, -1), has_header)
     files = F.transform(segments, lambda s, i: F.struct(
         i.alias("file_seq"), new_path(s).alias("path"), change_type(s).alias("change_type"),
         s.alias("diff")))
     keys = [c for c in commits.columns if c != diff_col]
-    return non_blank(commits, diff_col).select(*keys, files.alias("files"))
+    src = commits if keep_blank else non_blank(commits, diff_col)
+    return src.select(*keys, files.alias("files"))
 
 
 def split_file_changes(commits: DataFrame, diff_col: str = "raw_diff") -> DataFrame:

@@ -75,9 +75,12 @@ def infer(prompts: DataFrame, fn: InferFn, prompt_col: str = "prompt_text",
     over every prompt with ``mapInPandas``: Arrow batches, one call per
     partition so a client can be built once per task.
 
-    A failing batch does not kill the job: its rows get ``raw = NULL`` and
-    the error text.  ``partitions`` spreads the (slow, remote) calls; no
-    retry or timeout is added (the original has none).
+    Rows whose prompt is NULL are passed through (raw and error NULL) without
+    reaching ``fn``, so a caller can send all rows of a plan through one
+    stage.  A failing batch does not kill the job: its rows get ``raw = NULL``
+    and the error text, and ``fn`` is called afresh for the rest of the task.
+    ``partitions`` spreads the (slow, remote) calls; no retry or timeout is
+    added (the original has none).
     Output: keys..., raw STRING, infer_error STRING.
     """
     keys = keys if keys is not None else [c for c in prompts.columns if c != prompt_col]
@@ -100,9 +103,14 @@ def infer(prompts: DataFrame, fn: InferFn, prompt_col: str = "prompt_text",
 
         def feed():
             for b in source:
-                queued.append(b)
-                yield b[prompt_col]
-
+                live = b[b[prompt_col].notna()]
+                if len(live) < len(b):  # pass-through rows never reach fn
+                    done.append(rows(b[b[prompt_col].isna()], None, None))
+                if len(live):
+                    queued.append(live)
+                    yield live[prompt_col].reset_index(drop=True)
+
+        done: list[pd.DataFrame] = []
         answers = fn(feed())
         while True:
             try:
@@ -111,6 +119,8 @@ def infer(prompts: DataFrame, fn: InferFn, prompt_col: str = "prompt_text",
                 break
             except Exception as e:  # noqa: BLE001 - the error becomes data
                 err = f"{type(e).__name__}: {e}"[:1000]
+                while done:
+                    yield done.pop(0)
                 if not queued:  # failed before taking input: charge the next batch
                     nxt = next(source, None)
                     if nxt is None:
@@ -120,12 +130,16 @@ def infer(prompts: DataFrame, fn: InferFn, prompt_col: str = "prompt_text",
                     yield rows(queued.pop(0), None, err)
                 answers = fn(feed())  # a fresh call for the rest of the task
                 continue
+            while done:
+                yield done.pop(0)
             batch = queued.pop(0)
             raw = list(raw)
             if len(raw) != len(batch):
                 yield rows(batch, None, f"answer count {len(raw)} != prompt count {len(batch)}")
             else:
                 yield rows(batch, raw, None)
+        while done:
+            yield done.pop(0)
         while queued:
             yield rows(queued.pop(0), None, "no answer returned")
 

@@ -1,13 +1,21 @@
-"""OP-39: the whole generation job as one lazy plan.
+"""OP-39: the whole generation job.
 
-commits -> non-blank -> files (in row) -> groups (in row) -> options and
-history joins -> model choice -> batch prompt -> caller's model function
-(mapInPandas) -> strict parse -> candidates, plus error rows.
+commits -> files (in row) -> groups (in row) -> options/history join ->
+model choice -> batch prompt -> caller's model function (mapInPandas) ->
+strict parse -> one outcome row per snapshot -> candidates and errors.
 
-Shuffles: the per-snapshot options/history join (broadcast when its size is
-checked small), the per-repo history (<= 20 rows per repo) and the model
-catalogue aggregate.  The groups never leave their snapshot row, so the
-answer row carries the file lists and candidates need no join.
+Every snapshot flows through one lineage: blank ones parse to an empty file
+list, and rows without a prompt pass through the Python stage untouched, so
+the corpus is scanned once and the model is called once per snapshot.  The
+per-snapshot outcome (answer, status, file lists; no diffs) is checkpointed
+to the shared checkpoint folder before it is split into candidates and
+errors: both read the same answers, and a lost executor never re-runs a
+model call that already succeeded.
+
+Shuffles: the per-snapshot options/history join (AQE broadcasts it when the
+measured size is small), the per-repo history (<= 20 rows per repo) and the
+model-catalogue aggregate.  Groups never leave their snapshot row, so
+candidates need no join.
 """
 
 from __future__ import annotations
@@ -15,9 +23,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import keep_where
+from ..functions.js import is_blank
 from ..operators import diffs, inference, paths, prompts, responses
 from ..plans.joins import size_checked_join
+from ..session import ensure_checkpoint_dir
+
+NO_CHANGES = "no_changes"
+NO_GROUPS = "could not analyse the staged changes"
+
+
+def snapshot_outcomes(commits: DataFrame, context: DataFrame, fn, models: DataFrame | None = None,
+                      infer_partitions: int | None = None) -> DataFrame:
+    """One row per snapshot: repo, commit_id, error (NULL when fine),
+    items (parsed answer), group_files.  Not yet materialised."""
+    keys = ["repo", "commit_id"]
+    parsed = diffs.parse_files(commits.withColumn("_blank", is_blank("raw_diff")), keep_blank=True)
+    grouped = paths.with_groups(parsed)
+    snap = size_checked_join(grouped, context, keys, "left")
+    if models is not None:
+        snap = inference.assign_model(snap, models)
+    else:
+        snap = snap.withColumns({"model_id": F.lit(None).cast("string"),
+                                 "error": F.lit(None).cast("string")})
+    pre_error = (F.when(F.col("_blank"), F.lit(NO_CHANGES))
+                 .when(F.size("groups") == 0, F.lit(NO_GROUPS))
+                 .otherwise(F.col("error")))
+    staged = prompts.batch_prompts(snap.withColumn("_pre", pre_error))
+    staged = staged.select(
+        *keys, "_pre", F.size("groups").alias("n_groups"),
+        F.when(F.col("_pre").isNull(), F.col("prompt_text")).alias("prompt_text"),
+        F.transform("groups", lambda g: F.transform(g["files"], lambda f: f["path"])).alias("group_files"))
+    answers = inference.infer(staged, fn, keys=keys + ["_pre", "n_groups", "group_files"],
+                              partitions=infer_partitions)
+    parsed_answers = responses.parse_array(answers, "n_groups")
+    error = F.coalesce(F.col("_pre"), F.col("infer_error"), F.col("error"))
+    return parsed_answers.select(*keys, error.alias("error"),
+                                 F.when(error.isNull(), F.col("items")).alias("items"), "group_files")
 
 
 def run_generation(commits: DataFrame, context: DataFrame, fn, models: DataFrame | None = None,
@@ -29,30 +70,9 @@ def run_generation(commits: DataFrame, context: DataFrame, fn, models: DataFrame
     blank snapshots (``no_changes``), snapshots without a file group, model
     choice failures, inference failures and unparsable answers.
     """
+    ensure_checkpoint_dir(commits.sparkSession)
+    outcome = snapshot_outcomes(commits, context, fn, models, infer_partitions).checkpoint()
     keys = ["repo", "commit_id"]
-    blank = diffs.blank_snapshots(commits).select(*keys, F.lit("no_changes").alias("error"))
-    parsed = diffs.parse_files(commits)
-    grouped = paths.with_groups(parsed)
-    no_group = (keep_where(grouped, F.size("groups") == 0)
-                .select(*keys, F.lit("could not analyse the staged changes").alias("error")))
-    snap = size_checked_join(keep_where(grouped, F.size("groups") > 0), context, keys)
-    if models is not None:
-        snap = inference.assign_model(snap, models)
-    else:
-        snap = snap.withColumns({"model_id": F.lit(None).cast("string"),
-                                 "error": F.lit(None).cast("string")})
-    no_model = snap.filter(F.col("error").isNotNull()).select(*keys, "error")
-    ready = prompts.batch_prompts(snap.filter(F.col("error").isNull()))
-    ready = ready.select(*keys, "model_id", F.size("groups").alias("n_groups"), "prompt_text",
-                         F.transform("groups", lambda g: F.transform(g["files"], lambda f: f["path"]))
-                         .alias("group_files"))
-    answers = inference.infer(ready, fn, keys=keys + ["model_id", "n_groups", "group_files"],
-                              partitions=infer_partitions)
-    failed_calls = answers.filter(F.col("infer_error").isNotNull()).select(
-        *keys, F.col("infer_error").alias("error"))
-    parsed_answers = responses.parse_array(answers.filter(F.col("infer_error").isNull()), "n_groups")
-    bad_answers = responses.response_errors(parsed_answers, keys)
-    cands = responses.build_candidates_in_row(parsed_answers, keys)
-    errors = blank.unionByName(no_group).unionByName(no_model).unionByName(failed_calls) \
-        .unionByName(bad_answers)
+    cands = responses.build_candidates_in_row(outcome.filter(F.col("error").isNull()), keys)
+    errors = outcome.filter(F.col("error").isNotNull()).select(*keys, "error")
     return cands, errors
