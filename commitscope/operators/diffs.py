@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.js import LINE_START, LT, NOT_LT, is_blank, js_trim_end
+from ..functions.js import LT, NOT_LT, is_blank, js_trim_end
 from ..plans.joins import size_checked_join
 
 # A new file segment starts at every line start followed by the header word.
@@ -29,14 +29,22 @@ def new_path(segment: Column) -> Column:
     return js_trim_end(F.regexp_extract(header_line(segment), HEADER_LINE, 1))
 
 
+def has_line_starting(text: Column, prefix: str) -> Column:
+    """Some line of ``text`` starts with ``prefix`` (JavaScript ``/^prefix/m``:
+    a line starts at the beginning or after \\n, \\r, U+2028 or U+2029).
+    Plain substring searches, no regex scan."""
+    out = text.startswith(prefix)
+    for lt in ("\n", "\r", "\u2028", "\u2029"):
+        out = out | text.contains(lt + prefix)
+    return out
+
+
 def change_type(segment: Column) -> Column:
     """OP-05: first of added > deleted > renamed, else modified; each test is
     a line-anchored search of the whole segment."""
-    def has_line(prefix: str) -> Column:
-        return segment.rlike(LINE_START + prefix)
-    return (F.when(has_line("new file mode"), F.lit("added"))
-            .when(has_line("deleted file mode"), F.lit("deleted"))
-            .when(has_line("rename "), F.lit("renamed"))
+    return (F.when(has_line_starting(segment, "new file mode"), F.lit("added"))
+            .when(has_line_starting(segment, "deleted file mode"), F.lit("deleted"))
+            .when(has_line_starting(segment, "rename "), F.lit("renamed"))
             .otherwise(F.lit("modified")))
 
 
