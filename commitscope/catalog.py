@@ -1128,3 +1128,12 @@ def stream_newest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams.run_versioned(streams.newest_snapshot_stream(src), f"{base}/out", f"{base}/ckpt")
     out = streams.latest_versions(spark, f"{base}/out", ["repo"])
     return out.select("repo", "commit_id", F.md5("raw_diff").alias("diff_md5"))
+
+
+@register("stream_state_candidates", ORACLES["state_candidates"])
+def stream_state_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-30 streaming: candidate lists folded exactly over micro-batches."""
+    base = streams.scratch_dir(spark, "fold")
+    src = streams.land_as_stream(spark, _events(spark, sf_dir), base)
+    streams.run_fold_stream(src, base)
+    return streams.latest_lists(spark, base)

@@ -105,3 +105,54 @@ def land_as_stream(spark: SparkSession, df: DataFrame, base: str, files: int = 4
     reading that folder (the file source sees each file once)."""
     df.repartition(files).write.mode("overwrite").parquet(f"{base}/in")
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+
+
+# ---------------------------------------------------------------------------
+# OP-30 candidate lists and OP-31 newest run on streams
+# ---------------------------------------------------------------------------
+
+def run_fold_stream(events: DataFrame, base: str) -> None:
+    """Fold a UI-event stream into candidate lists, exactly.
+
+    The list fold uses row order within a session, which a streaming
+    aggregate cannot express.  Each micro-batch therefore (1) appends its
+    events to ``base/events/batch_id=<n>``, (2) re-folds only the sessions
+    the batch touched, from their full event history, with the batch job,
+    and (3) writes those sessions' lists to ``base/lists/batch_id=<n>``.
+    Both writes overwrite their own batch folder, so a replayed batch is
+    harmless.  ``latest_lists`` reads the newest list of every session.
+    """
+    spark = events.sparkSession
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/events/batch_id={batch_id}")
+        history = spark.read.parquet(f"{base}/events").drop("batch_id")
+        touched = batch.select("session").distinct()
+        mine = history.join(touched, "session", "left_semi")
+        lists = cstate.list_positions(cstate.fold_candidates(mine))
+        # sessions whose list became empty still get a marker row
+        marker = touched.join(lists.select("session").distinct(), "session", "left_anti")
+        out = lists.select("session", "list_pos", "id", "message", "checked").unionByName(
+            marker.select("session", F.lit(None).cast("int").alias("list_pos"),
+                          F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("message"),
+                          F.lit(None).cast("boolean").alias("checked")))
+        out.write.mode("overwrite").parquet(f"{base}/lists/batch_id={batch_id}")
+
+    q = (events.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/ckpt")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def latest_lists(spark: SparkSession, base: str) -> DataFrame:
+    """The newest folded list of every session (empty lists give no rows)."""
+    lists = spark.read.parquet(f"{base}/lists")
+    newest = lists.groupBy("session").agg(F.max("batch_id").alias("batch_id"))
+    return (lists.join(newest, ["session", "batch_id"], "left_semi")
+            .filter(F.col("list_pos").isNotNull()).drop("batch_id"))
+
+
+def newest_run_stream(runs: DataFrame, session: str = "repo", generation: str = "generation") -> DataFrame:
+    """OP-31 on a run stream: the newest run (and whether it was cancelled)
+    per session, as an update-mode aggregate."""
+    newest = F.max_by(F.struct(F.col(generation).alias("generation"), F.col("cancelled")), F.col(generation))
+    return runs.groupBy(session).agg(newest.alias("_n")).select(session, "_n.generation", "_n.cancelled")
