@@ -936,21 +936,22 @@ ranked AS (
          count(*) OVER (PARTITION BY session) AS n_sel
   FROM selected
 ),
-leftovers AS (
-  SELECT session, string_agg(f, ',' ORDER BY list_pos, fp) AS files FROM (
-    SELECT h.session, h.list_pos, unnest(h.files) AS f, generate_subscripts(h.files, 1) AS fp
+leftover_files AS (
+  SELECT session, path,
+    CAST(row_number() OVER (PARTITION BY session ORDER BY list_pos, file_pos) - 1 AS INTEGER) AS file_ord
+  FROM (
+    SELECT h.session, h.list_pos, unnest(h.files) AS path, generate_subscripts(h.files, 1) AS file_pos
     FROM host h ANTI JOIN selection s ON h.session = s.session AND h.candidate_id = s.candidate_id)
-  GROUP BY session
 ),
 steps AS (
   SELECT DISTINCT session, 0 AS step, 'unstage_all' AS action, CAST(NULL AS VARCHAR) AS files,
-         CAST(NULL AS VARCHAR) AS message FROM ranked
-  UNION ALL SELECT session, CAST(1 + 2 * k AS INTEGER), 'stage', array_to_string(files, ','), NULL FROM ranked
-  UNION ALL SELECT session, CAST(2 + 2 * k AS INTEGER), 'commit', NULL, message FROM ranked
-  UNION ALL SELECT r.session, CAST(1 + 2 * any_value(r.n_sel) AS INTEGER), 'restage', any_value(l.files), NULL
-  FROM ranked r JOIN leftovers l ON r.session = l.session GROUP BY r.session
+         CAST(NULL AS VARCHAR) AS message, CAST(NULL AS INTEGER) AS file_ord FROM ranked
+  UNION ALL SELECT session, 1 + 2 * k, 'stage', array_to_string(files, ','), NULL, NULL FROM ranked
+  UNION ALL SELECT session, 2 + 2 * k, 'commit', NULL, message, NULL FROM ranked
+  UNION ALL SELECT l.session, 1 + 2 * n.n_sel, 'restage', l.path, NULL, l.file_ord
+  FROM leftover_files l JOIN (SELECT DISTINCT session, n_sel FROM ranked) n ON l.session = n.session
 )
-SELECT session, CAST(step AS INTEGER) AS step, action, files, message FROM steps
+SELECT session, CAST(step AS INTEGER) AS step, action, files, message, file_ord FROM steps
 """)
 def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-36: unstage all, stage + commit each selected candidate in order,
@@ -959,7 +960,8 @@ def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     host, selection, client = _selection_inputs(spark, sf_dir)
     sel = cstate.selected(host, selection, client, ["session"])
     left = cstate.unselected_files(host, selection, ["session"])
-    return commit_plan(sel, left, ["session"]).select("session", "step", "action", "files", "message")
+    return commit_plan(sel, left, ["session"]).select("session", "step", "action", "files", "message",
+                                                      "file_ord")
 
 
 @register("counts", f"""

@@ -4,35 +4,40 @@ Steps per key: 0 unstage everything; for the k-th selected candidate (in
 execution order) 1+2k stage its files and 2+2k commit its message; finally
 1+2n restage the files of unselected candidates, if any.  Step numbers let
 a runner stop at the first failure and report it, as the original does.
+
+Nothing is collected per key: ``k`` is a bucketed running count (a session
+holding a third of all candidates still spreads over many tasks), a stage
+row lists one candidate's files (bounded by that candidate row), and the
+restage step is one row per leftover file, ordered by ``file_ord``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scans import running_count
+
 
 def commit_plan(selected: DataFrame, leftovers: DataFrame, keys: list[str],
                 order_col: str = "list_pos") -> DataFrame:
     """``selected``: keys, candidate_id, message, files, order_col;
     ``leftovers``: keys, list_pos, file_pos, path (from ``unselected_files``).
-    Keys without a selected candidate get no plan."""
-    w = Window.partitionBy(*keys).orderBy(order_col)
-    ranked = selected.withColumn("_k", F.row_number().over(w) - 1)
-    n_sel = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    null = F.lit(None).cast("string")
-    unstage = n_sel.select(*keys, F.lit(0).alias("step"), F.lit("unstage_all").alias("action"),
-                           null.alias("files"), null.alias("message"))
+    Output: keys, step, action, files, message, file_ord.  Keys without a
+    selected candidate get no plan."""
+    ranked = running_count(selected, keys, [order_col], "_k")
+    n_sel = selected.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    null_s = F.lit(None).cast("string")
+    null_i = F.lit(None).cast("int")
+    unstage = n_sel.select(*keys, F.lit(0).cast("int").alias("step"), F.lit("unstage_all").alias("action"),
+                           null_s.alias("files"), null_s.alias("message"), null_i.alias("file_ord"))
     stage = ranked.select(*keys, (1 + 2 * F.col("_k")).cast("int").alias("step"), F.lit("stage").alias("action"),
-                          F.array_join("files", ",").alias("files"), null.alias("message"))
+                          F.array_join("files", ",").alias("files"), null_s.alias("message"), null_i.alias("file_ord"))
     commit = ranked.select(*keys, (2 + 2 * F.col("_k")).cast("int").alias("step"),
-                           F.lit("commit").alias("action"), null.alias("files"), "message")
-    left_files = (leftovers.groupBy(*keys)
-                  .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("list_pos", "file_pos",
-                                                                                      "path"))),
-                                                lambda r: r["path"]), ",").alias("files")))
-    restage = (left_files.join(n_sel, keys)
+                           F.lit("commit").alias("action"), null_s.alias("files"), "message",
+                           null_i.alias("file_ord"))
+    left = running_count(leftovers, keys, ["list_pos", "file_pos"], "_f")
+    restage = (left.join(n_sel, keys)
                .select(*keys, (1 + 2 * F.col("_n")).cast("int").alias("step"), F.lit("restage").alias("action"),
-                       "files", null.alias("message")))
-    return (unstage.withColumn("step", F.col("step").cast("int"))
-            .unionByName(stage).unionByName(commit).unionByName(restage))
+                       F.col("path").alias("files"), null_s.alias("message"), F.col("_f").cast("int").alias("file_ord")))
+    return unstage.unionByName(stage).unionByName(commit).unionByName(restage)
