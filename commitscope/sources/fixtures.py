@@ -41,9 +41,8 @@ def _pick(values: list[str], index_col) -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index_col + 1).cast("int"))
 
 
-def file_diff_segments(documents: DataFrame) -> DataFrame:
-    """One unified-diff segment per document (narrow: no shuffle)."""
-    doc = F.col("doc_id")
+def diff_segment(doc: F.Column, text: F.Column) -> F.Column:
+    """The unified-diff segment of one document (an in-row expression)."""
     path = F.replace(_pick(FIXTURE_PATHS, doc % 12), F.lit("#"), doc.cast("string"))
     kind = doc % 7
     a_path = F.when(kind == 2, F.concat(F.lit("old/"), path)).otherwise(path)
@@ -54,34 +53,42 @@ def file_diff_segments(documents: DataFrame) -> DataFrame:
                                   F.lit("\nrename to "), path, F.lit("\n")))
         .otherwise(F.lit(""))
     )
-    lines = F.split(F.col("text"), "\n", -1)
+    lines = F.split(text, "\n", -1)
     n = F.size(lines).cast("string")
     body = F.array_join(
         F.transform(lines, lambda x, i: F.concat(_pick([" ", "+", "-"], (doc + i) % 3), x)), "\n")
-    seg = F.concat(
+    return F.concat(
         F.lit("diff --git a/"), a_path, F.lit(" b/"), path, F.lit("\n"), type_lines,
         F.lit("index 1111111..2222222\n--- a/"), a_path, F.lit("\n+++ b/"), path,
         F.lit("\n@@ -"), (doc % 50 + 1).cast("string"), F.lit(","), n,
         F.lit(" +"), (doc % 40 + 1).cast("string"), F.lit(","), n, F.lit(" @@\n"),
         body, F.lit("\n"))
-    return documents.select(doc, F.expr("doc_id div 8").alias("commit_id"), seg.alias("seg"))
+
+
+def file_diff_segments(documents: DataFrame) -> DataFrame:
+    """One unified-diff segment per document (narrow: no shuffle)."""
+    doc = F.col("doc_id")
+    return documents.select(doc, F.expr("doc_id div 8").alias("commit_id"),
+                            diff_segment(doc, F.col("text")).alias("seg"))
 
 
 def commits_from_documents(documents: DataFrame) -> DataFrame:
     """``commits(repo, commit_id, raw_diff)``: one row per staged snapshot.
 
     Groups hold exactly eight documents, so the ordered collect is bounded.
-    Every 16th snapshot is blank (reported as ``no_changes``); every 5th has
-    text before its first header (skipped by the parser).
+    The raw documents are shuffled to their snapshot and the segments are
+    built after the shuffle, so that work runs on every reduce partition
+    even when the table arrives as one file.  Every 16th snapshot is blank
+    (reported as ``no_changes``); every 5th has text before its first header
+    (skipped by the parser).
     """
-    segs = file_diff_segments(documents)
-    snap = (segs.groupBy("commit_id")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "seg"))),
-                                          lambda s: s["seg"]), "").alias("body")))
+    docs = documents.select("doc_id", "text", F.expr("doc_id div 8").alias("commit_id"))
+    snap = docs.groupBy("commit_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("_docs"))
+    body = F.array_join(F.transform("_docs", lambda d: diff_segment(d["doc_id"], d["text"])), "")
     cid = F.col("commit_id")
     raw = (F.when(cid % 16 == 15, F.lit(BLANK_DIFF))
-           .when(cid % 5 == 4, F.concat(F.lit(JUNK_PREFIX), F.col("body")))
-           .otherwise(F.col("body")))
+           .when(cid % 5 == 4, F.concat(F.lit(JUNK_PREFIX), body))
+           .otherwise(body))
     return snap.select(F.concat(F.lit("repo-"), (cid % 10).cast("string")).alias("repo"),
                        cid.alias("commit_id"), raw.alias("raw_diff"))
 
