@@ -336,6 +336,18 @@ def recent_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.recent_commits(load_commit_log(spark, sf_dir))
 
 
+@register("history_counts", f"""
+WITH {fx.LOG_CTE}
+SELECT repo, count(*) AS history_entries
+FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY log_pos, hash) AS rn
+      FROM commit_log WHERE NOT is_merge)
+WHERE rn <= 20 GROUP BY repo
+""")
+def history_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-37 (history): entries in each repo's recent-history list."""
+    return history.history_counts(history.recent_commits(load_commit_log(spark, sf_dir)))
+
+
 @register("author_language", f"""
 WITH {fx.LOG_CTE}, {fx.DETECT_CTE}
 SELECT repo, subjects, text_len, non_ascii, language FROM detected

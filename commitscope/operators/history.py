@@ -37,6 +37,11 @@ def recent_commits(log: DataFrame, n: int = HISTORY_LIMIT) -> DataFrame:
         F.col("subject").alias("message"), "author", F.substring("date", 1, 16).alias("short_date"))
 
 
+def history_counts(recent: DataFrame) -> DataFrame:
+    """OP-37 (history part): entries shown per repo (at most the limit)."""
+    return recent.groupBy("repo").agg(F.count(F.lit(1)).alias("history_entries"))
+
+
 def subject_stats(log: DataFrame, users: DataFrame) -> DataFrame:
     """OP-18 core: per repo, the subjects the language rule looks at.
 

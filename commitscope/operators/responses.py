@@ -159,10 +159,14 @@ def parse_array(responses: DataFrame, expected_col: str, raw_col: str = "raw") -
 # OP-28 / OP-29
 # ---------------------------------------------------------------------------
 
-def response_errors(parsed: DataFrame, keys: list[str]) -> DataFrame:
+def response_errors(parsed: DataFrame, keys: list[str], cancelled: DataFrame | None = None) -> DataFrame:
     """OP-28: dead letters: one row per failed answer with the error (which
-    holds the first 300 UTF-16 units of the raw text)."""
-    return parsed.filter(F.col("error").isNotNull()).select(*keys, "error")
+    holds the first 300 UTF-16 units of the raw text).  Answers of runs in
+    ``cancelled`` (rows of ``keys``) are not errors and are left out."""
+    errors = parsed.filter(F.col("error").isNotNull()).select(*keys, "error")
+    if cancelled is not None:
+        errors = errors.join(cancelled.select(*keys).distinct(), keys, "left_anti")
+    return errors
 
 
 def build_candidates(groups: DataFrame, parsed: DataFrame,

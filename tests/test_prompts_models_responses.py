@@ -118,3 +118,9 @@ def test_quality_flags(spark):
            for r in quality.message_quality(df).collect()]
     assert got == [(True, True, True, "en", True), (False, False, False, "en", False),
                    (True, True, False, "zh", True)]
+
+
+def test_cancelled_runs_are_not_errors(spark):
+    parsed = spark.createDataFrame([(1, "bad"), (2, "bad"), (3, None)], "k int, error string")
+    cancelled = spark.createDataFrame([(2,)], "k int")
+    assert [r.k for r in responses.response_errors(parsed, ["k"], cancelled).collect()] == [1]
