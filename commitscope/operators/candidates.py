@@ -90,13 +90,13 @@ def fold_candidates(events: DataFrame, status: DataFrame | None = None) -> DataF
                .select("session", F.col("seq").alias("entry_seq"), F.lit(0).alias("sub_pos"), "id",
                        F.lit(None).cast("string").alias("m0"), F.lit(None).cast("boolean").alias("c0"),
                        F.lit(1).cast("long").alias("_toggle")))
-    totals = toggles.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-    edits = (ev.filter((t == UPDATE_MESSAGE) & after).groupBy(*keys)
-             .agg(F.max_by(F.struct(F.col("seq").alias("_s"), F.col("message").alias("_m")), F.col("seq"))
-                  .alias("_edit")))
+    touched = (ev.filter(t.isin(TOGGLE, UPDATE_MESSAGE) & after).groupBy(*keys)
+               .agg(F.count_if(t == TOGGLE).alias("_total"),
+                    F.max_by(F.struct(F.col("seq").alias("_s"), F.col("message").alias("_m")),
+                             F.when(t == UPDATE_MESSAGE, F.col("seq"))).alias("_edit")))
     scanned = running_sum(entries.unionByName(toggles), keys, ["entry_seq", "_toggle", "sub_pos"],
                           "_toggle", "_upto")
-    mine = scanned.filter(F.col("_toggle") == 0).join(totals, keys, "left").join(edits, keys, "left")
+    mine = scanned.filter(F.col("_toggle") == 0).join(touched, keys, "left")
     toggles_after = F.coalesce(F.col("_total"), F.lit(0)) - F.col("_upto")
     message = F.when(F.col("_edit._s") > F.col("entry_seq"), F.col("_edit._m")).otherwise(F.col("m0"))
     return mine.select("session", "entry_seq", "sub_pos", "id", message.alias("message"),
