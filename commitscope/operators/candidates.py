@@ -38,21 +38,44 @@ def _last_of(types: list[str], value, seq: str = "seq"):
     return F.max_by(value, F.when(F.col("type").isin(types), F.col(seq)))
 
 
-def session_status(events: DataFrame) -> DataFrame:
+def session_status(events: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """OP-30 scalar state per session: generating, error, success count,
-    staged-files state, and the seq of the last list reset (``base_seq``)."""
+    staged-files state, and the seq of the last list reset (``base_seq``).
+
+    ``prior`` (the same columns, from older events) is merged: a field keeps
+    its prior value unless the new events hold an event that sets it."""
     t = F.col("type")
-    return events.groupBy("session").agg(
-        F.coalesce(_last_of([SET_LOADING, DONE, ERROR], t == SET_LOADING), F.lit(False))
-        .alias("generating"),
+    new = events.groupBy("session").agg(
+        _last_of([SET_LOADING, DONE, ERROR], t == SET_LOADING).alias("generating"),
         _last_of([SET_LOADING, ERROR], F.when(t == ERROR, F.col("message"))).alias("error"),
         _last_of([SET_LOADING, COMMITTED], F.when(t == COMMITTED, F.col("count"))).alias("success_count"),
         F.max(F.when(t == SET_STAGED_FILES, F.lit(True))).isNull().alias("staged_loading"),
         F.max(F.when(t.isin(LIST_RESETS), F.col("seq"))).alias("base_seq"),
+        F.max(F.when(t.isin(SET_LOADING, DONE, ERROR), F.lit(True))).alias("_has_gen"),
+        F.max(F.when(t.isin(SET_LOADING, ERROR), F.lit(True))).alias("_has_err"),
+        F.max(F.when(t.isin(SET_LOADING, COMMITTED), F.lit(True))).alias("_has_ok"),
+    )
+    if prior is None:
+        return new.select("session", F.coalesce("generating", F.lit(False)).alias("generating"), "error",
+                          "success_count", "staged_loading", "base_seq")
+    p = prior.select("session", *[F.col(c).alias("_p_" + c) for c in
+                                  ("generating", "error", "success_count", "staged_loading", "base_seq")])
+    m = new.join(p, "session", "left")
+
+    def pick(flag: str, col: str):
+        return F.when(F.col(flag).isNotNull(), F.col(col)).otherwise(F.col("_p_" + col))
+    return m.select(
+        "session",
+        F.coalesce(pick("_has_gen", "generating"), F.lit(False)).alias("generating"),
+        pick("_has_err", "error").alias("error"),
+        pick("_has_ok", "success_count").alias("success_count"),
+        (F.coalesce(F.col("_p_staged_loading"), F.lit(True)) & F.col("staged_loading")).alias("staged_loading"),
+        F.coalesce(F.col("base_seq"), F.col("_p_base_seq")).alias("base_seq"),
     )
 
 
-def fold_candidates(events: DataFrame, status: DataFrame | None = None) -> DataFrame:
+def fold_candidates(events: DataFrame, status: DataFrame | None = None,
+                    prior: DataFrame | None = None) -> DataFrame:
     """OP-30 candidate list per session, in list order.
 
     * the list restarts at the last SET_LOADING / COMMITTED / REORDER
@@ -66,6 +89,11 @@ def fold_candidates(events: DataFrame, status: DataFrame | None = None) -> DataF
     running count (a bucketed scan, so one hot (session, id) is spread over
     several tasks); its final message is the key's latest edit if that edit
     came after the entry (an aggregate + join, no window).
+
+    ``prior`` (session, entry_seq, sub_pos, id, message, checked) is the list
+    as it stood before ``events`` (all its seqs are older): it is kept for
+    sessions whose new events hold no list reset, and new toggles and edits
+    apply to it.  This makes the fold incremental for streams.
     Output: session, entry_seq, sub_pos, id, message, checked.
     """
     status = status if status is not None else session_status(events)
@@ -85,7 +113,13 @@ def fold_candidates(events: DataFrame, status: DataFrame | None = None) -> DataF
                 .select("session", "entry_seq", "sub_pos", F.col("p.id").alias("id"),
                         F.col("p.message").alias("m0"), F.coalesce(F.col("p.checked"), F.lit(False))
                         .alias("c0")))
-    entries = added.unionByName(replaced).withColumn("_toggle", F.lit(0).cast("long"))
+    entries = added.unionByName(replaced)
+    if prior is not None:
+        no_reset = base.filter(F.col("base_seq").isNull()).select("session")
+        kept = prior.join(no_reset, "session", "left_semi").select(
+            "session", "entry_seq", "sub_pos", "id", F.col("message").alias("m0"), F.col("checked").alias("c0"))
+        entries = entries.unionByName(kept)
+    entries = entries.withColumn("_toggle", F.lit(0).cast("long"))
     toggles = (ev.filter((t == TOGGLE) & after)
                .select("session", F.col("seq").alias("entry_seq"), F.lit(0).alias("sub_pos"), "id",
                        F.lit(None).cast("string").alias("m0"), F.lit(None).cast("boolean").alias("c0"),

@@ -112,30 +112,62 @@ def land_as_stream(spark: SparkSession, df: DataFrame, base: str, files: int = 4
 # ---------------------------------------------------------------------------
 
 def run_fold_stream(events: DataFrame, base: str) -> None:
-    """Fold a UI-event stream into candidate lists, exactly.
-
-    The list fold uses row order within a session, which a streaming
-    aggregate cannot express.  Each micro-batch therefore (1) appends its
-    events to ``base/events/batch_id=<n>``, (2) re-folds only the sessions
-    the batch touched, from their full event history, with the batch job,
-    and (3) writes those sessions' lists to ``base/lists/batch_id=<n>``.
-    Both writes overwrite their own batch folder, so a replayed batch is
-    harmless.  ``latest_lists`` reads the newest list of every session.
+    """Fold a UI-event stream into candidate lists and status, exactly.
+
+    The list fold uses event order within a session, which a streaming
+    aggregate cannot express, so each micro-batch runs the batch fold:
+
+    * sessions whose new events are all newer than the last event already
+      folded (the normal case) are folded *incrementally*: only the new
+      events, with the session's previous list entries (order keys, message,
+      checked flag) and status as ``prior``;
+    * sessions that received an older (late) event are re-folded from their
+      stored event history, so arrival order never changes the result.
+
+    Every batch appends its events to ``base/events`` and writes lists and
+    status of touched sessions under ``batch_id=<n>`` (overwritten on
+    replay, so a retried batch is exact); ``latest_lists`` /
+    ``latest_status`` read the newest version per session.
     """
     spark = events.sparkSession
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/events/batch_id={batch_id}")
-        history = spark.read.parquet(f"{base}/events").drop("batch_id")
-        touched = batch.select("session").distinct()
-        mine = history.join(touched, "session", "left_semi")
-        lists = cstate.list_positions(cstate.fold_candidates(mine))
-        # sessions whose list became empty still get a marker row
-        marker = touched.join(lists.select("session").distinct(), "session", "left_anti")
-        out = lists.select("session", "list_pos", "id", "message", "checked").unionByName(
-            marker.select("session", F.lit(None).cast("int").alias("list_pos"),
-                          F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("message"),
-                          F.lit(None).cast("boolean").alias("checked")))
+        seen = batch.groupBy("session").agg(F.min("seq").alias("_min"), F.max("seq").alias("_max"))
+        if batch_id > 0 and _exists(spark, f"{base}/status"):
+            prior_status = latest_status(spark, base).join(seen, "session", "left_semi")
+            late = (seen.join(prior_status.select("session", "last_seq"), "session")
+                    .filter(F.col("_min") < F.col("last_seq")).select("session"))
+            in_order = seen.select("session").join(late, "session", "left_anti")
+            prior_lists = latest_lists(spark, base, keep_order=True).join(in_order, "session", "left_semi")
+            inc_events = batch.join(in_order, "session", "left_semi")
+            inc_status = cstate.session_status(inc_events, prior_status.join(in_order, "session", "left_semi"))
+            inc = cstate.fold_candidates(inc_events, inc_status, prior_lists)
+            history = spark.read.parquet(f"{base}/events").drop("batch_id").join(late, "session", "left_semi")
+            full_status = cstate.session_status(history)
+            full = cstate.fold_candidates(history, full_status)
+            status = inc_status.unionByName(full_status)
+            entries = inc.unionByName(full)
+            before = prior_status.select("session", F.col("last_seq").alias("_prior_last"))
+        else:
+            status = cstate.session_status(batch)
+            entries = cstate.fold_candidates(batch, status)
+            before = None
+        # the newest seq folded so far (a late batch must not move it back)
+        last = seen.select("session", F.col("_max").alias("last_seq"))
+        if before is not None:
+            last = (last.join(before, "session", "left")
+                    .select("session", F.greatest("last_seq", "_prior_last").alias("last_seq")))
+        status = status.join(last, "session", "left")
+        lists = cstate.list_positions(entries)
+        status.write.mode("overwrite").parquet(f"{base}/status/batch_id={batch_id}")
+        # a session whose list became empty still gets a marker row
+        marker = seen.select("session").join(lists.select("session").distinct(), "session", "left_anti")
+        null = F.lit(None)
+        out = lists.select("session", "list_pos", "entry_seq", "sub_pos", "id", "message", "checked").unionByName(
+            marker.select("session", null.cast("int").alias("list_pos"), null.cast("long").alias("entry_seq"),
+                          null.cast("int").alias("sub_pos"), null.cast("string").alias("id"),
+                          null.cast("string").alias("message"), null.cast("boolean").alias("checked")))
         out.write.mode("overwrite").parquet(f"{base}/lists/batch_id={batch_id}")
 
     q = (events.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/ckpt")
@@ -143,12 +175,26 @@ def run_fold_stream(events: DataFrame, base: str) -> None:
     q.awaitTermination()
 
 
-def latest_lists(spark: SparkSession, base: str) -> DataFrame:
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _newest(df: DataFrame) -> DataFrame:
+    newest = df.groupBy("session").agg(F.max("batch_id").alias("batch_id"))
+    return df.join(newest, ["session", "batch_id"], "left_semi").drop("batch_id")
+
+
+def latest_status(spark: SparkSession, base: str) -> DataFrame:
+    """The newest status row of every session."""
+    return _newest(spark.read.parquet(f"{base}/status"))
+
+
+def latest_lists(spark: SparkSession, base: str, keep_order: bool = False) -> DataFrame:
     """The newest folded list of every session (empty lists give no rows)."""
-    lists = spark.read.parquet(f"{base}/lists")
-    newest = lists.groupBy("session").agg(F.max("batch_id").alias("batch_id"))
-    return (lists.join(newest, ["session", "batch_id"], "left_semi")
-            .filter(F.col("list_pos").isNotNull()).drop("batch_id"))
+    rows = _newest(spark.read.parquet(f"{base}/lists")).filter(F.col("list_pos").isNotNull())
+    return rows if keep_order else rows.drop("entry_seq", "sub_pos")
 
 
 def newest_run_stream(runs: DataFrame, session: str = "repo", generation: str = "generation") -> DataFrame:

@@ -40,3 +40,23 @@ def test_newest_run_stream(spark, tmp_path):
     jobs.run_versioned(jobs.newest_run_stream(src), f"{base}/out", f"{base}/ckpt")
     got = {r.repo: (r.generation, r.cancelled) for r in jobs.latest_versions(spark, f"{base}/out", ["repo"]).collect()}
     assert got == {"r": (3, True), "s": (2, False)}
+
+
+def test_incremental_stream_fold_matches_batch(spark, tmp_path):
+    from commitscope import catalog
+    from commitscope.operators import candidates as C
+    events = catalog._events(spark, "/root/testdata/sf0.001")
+    base = str(tmp_path / "fold")
+    bounds = [r[0] for r in events.selectExpr("percentile(seq, array(0.25, 0.5, 0.75)) AS p").first()]
+    edges = [-1] + [int(b) for b in bounds] + [1 << 62]
+    for lo, hi in zip(edges, edges[1:]):           # files land in seq order: the incremental path
+        events.filter((F.col("seq") > lo) & (F.col("seq") <= hi)).coalesce(1) \
+            .write.mode("append").parquet(f"{base}/in")
+    src = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    jobs.run_fold_stream(src, base)
+    got = jobs.latest_lists(spark, base).select("session", "list_pos", "id", "message", "checked")
+    want = C.list_positions(C.fold_candidates(events)).select("session", "list_pos", "id", "message", "checked")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    st = jobs.latest_status(spark, base).select("session", "generating", "error", "success_count")
+    want_st = C.session_status(events).select("session", "generating", "error", "success_count")
+    assert sorted(map(tuple, st.collect())) == sorted(map(tuple, want_st.collect()))
