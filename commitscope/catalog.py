@@ -1151,3 +1151,22 @@ def stream_state_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = streams.land_as_stream(spark, _events(spark, sf_dir), base)
     streams.run_fold_stream(src, base)
     return streams.latest_lists(spark, base)
+
+
+@register("stream_line_numbers", ORACLES["line_numbers"])
+def stream_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-07/08 streaming: numbering per micro-batch (foreachBatch)."""
+    base = streams.scratch_dir(spark, "lines")
+    src = streams.land_as_stream(spark, load_commits(spark, sf_dir), base)
+    streams.run_line_numbers_stream(src, f"{base}/out", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/out").select("repo", "commit_id", "file_seq", "pos", "kind", "sign",
+                                                     "text", "old_n", "new_n")
+
+
+@register("stream_recent_commits", ORACLES["recent_commits"])
+def stream_recent_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-16/17 streaming: newest 20 per repo kept incrementally."""
+    base = streams.scratch_dir(spark, "recent")
+    src = streams.land_as_stream(spark, load_commit_log(spark, sf_dir), base)
+    streams.run_recent_commits_stream(src, base)
+    return streams.latest_recent_commits(spark, base)

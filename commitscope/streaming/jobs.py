@@ -202,3 +202,58 @@ def newest_run_stream(runs: DataFrame, session: str = "repo", generation: str =
     per session, as an update-mode aggregate."""
     newest = F.max_by(F.struct(F.col(generation).alias("generation"), F.col("cancelled")), F.col(generation))
     return runs.groupBy(session).agg(newest.alias("_n")).select(session, "_n.generation", "_n.cancelled")
+
+
+# ---------------------------------------------------------------------------
+# Window jobs on streams (row windows are not allowed on streaming plans)
+# ---------------------------------------------------------------------------
+
+def run_line_numbers_stream(commits: DataFrame, out: str, checkpoint: str) -> None:
+    """OP-07/08 on a snapshot stream: each micro-batch runs the batch
+    numbering.  Exact because a snapshot (and so a file) is one input row
+    and never spans micro-batches."""
+    from ..operators import lines
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        fc = diffs.split_file_changes(batch)
+        numbered = lines.number_lines(lines.explode_lines(fc))
+        numbered.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    q = (commits.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def run_recent_commits_stream(log: DataFrame, base: str, n: int | None = None) -> None:
+    """OP-16/17 on a log stream, incrementally: the newest n entries of
+    (previous newest n + this batch) are the newest n of everything, so
+    each batch reads only the touched repos' previous lists."""
+    from ..operators import history
+    n = n or history.HISTORY_LIMIT
+    spark = log.sparkSession
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        entries = batch.filter(~F.col("is_merge")).select("repo", "log_pos", "hash", "subject", "author", "date")
+        if batch_id > 0 and _exists(spark, f"{base}/recent"):
+            prev = (_newest_by(spark.read.parquet(f"{base}/recent"), "repo")
+                    .join(entries.select("repo").distinct(), "repo", "left_semi"))
+            entries = entries.unionByName(prev)
+        top = history.newest_first(entries, n)
+        top.write.mode("overwrite").parquet(f"{base}/recent/batch_id={batch_id}")
+
+    q = (log.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/ckpt")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def _newest_by(df: DataFrame, key: str) -> DataFrame:
+    newest = df.groupBy(key).agg(F.max("batch_id").alias("batch_id"))
+    return df.join(newest, [key, "batch_id"], "left_semi").drop("batch_id")
+
+
+def latest_recent_commits(spark: SparkSession, base: str) -> DataFrame:
+    """Display rows (OP-17) of each repo's newest history list."""
+    recent = _newest_by(spark.read.parquet(f"{base}/recent"), "repo")
+    return recent.select("repo", "log_pos", F.substring("hash", 1, 8).alias("short_hash"),
+                         F.col("subject").alias("message"), "author",
+                         F.substring("date", 1, 16).alias("short_date"))
