@@ -148,7 +148,7 @@ commit_log AS (
     CASE WHEN doc_id % 3 = 0 THEN upper(lang) ELSE lang END || '@example.org' AS email,
     '{FIXTURE_DATE}' AS date, doc_id % 11 = 0 AS is_merge,
     CAST({LOG_POS_BASE} - doc_id AS BIGINT) AS log_pos
-  FROM (SELECT *, replace(substr(text, 1, 60), {NL}, ' ') AS subj FROM documents)
+  FROM (SELECT *, replace(text, {NL}, ' ') AS subj FROM documents)
 ),
 users AS (
   SELECT * FROM (VALUES {", ".join(f"('{r}', '  {u}@Example.org ')" for r, u in FIXTURE_USERS)})
@@ -221,7 +221,7 @@ models AS (
 RESPONSES_CTE = """
 conv_t AS (
   SELECT CAST(conv_id * 10 + turn AS BIGINT) AS request_id,
-    replace(replace(replace(substr(text, 1, 80), chr(92), chr(92) || chr(92)), '"', chr(92) || '"'),
+    replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'),
             chr(10), ' ') AS t
   FROM conversations
 ),

@@ -10,7 +10,8 @@ Recipes (all keyed by columns of the source rows, never by row order):
 
 * commits   - one document is one file diff, eight consecutive documents
   (``doc_id div 8``) are one staged snapshot; ``repo = 'repo-' || commit_id % 10``.
-* commit_log / users - one document is one log entry of repo ``doc_id % 4``.
+* commit_log / users - one document is one log entry of repo ``doc_id % 4``;
+  its whole text (newlines as spaces) is the subject.
 * responses - one conversation turn is one model answer of seven shapes.
 * response_chunks - each answer cut into 7-character pieces.
 * candidate_events - one event row is one UI action of session ``user_id``.
@@ -127,7 +128,7 @@ def commit_log_from_documents(documents: DataFrame) -> DataFrame:
     derivation needs no window over a possibly huge repo.
     """
     doc = F.col("doc_id")
-    subject = F.replace(F.substring(F.col("text"), 1, 60), F.lit("\n"), F.lit(" "))
+    subject = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
     subject = F.when(F.col("lang") == "es", F.translate(subject, "aeiou", CJK * 5)).otherwise(subject)
     email_local = F.when(doc % 3 == 0, F.upper(F.col("lang"))).otherwise(F.col("lang"))
     return documents.select(
@@ -257,8 +258,8 @@ def echo_model(batches):
 # ---------------------------------------------------------------------------
 
 def _answer_text(col: str = "text") -> F.Column:
-    """First 80 characters, JSON-escaped (backslash, quote), newlines as spaces."""
-    t = F.substring(F.col(col), 1, 80)
+    """The whole turn, JSON-escaped (backslash, quote), newlines as spaces."""
+    t = F.col(col)
     t = F.replace(t, F.lit("\\"), F.lit("\\\\"))
     t = F.replace(t, F.lit('"'), F.lit('\\"'))
     return F.replace(t, F.lit("\n"), F.lit(" "))
