@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 # The preferred vendor and family of the fallback tiers.
 FALLBACK_VENDOR = "copilot"
 FALLBACK_FAMILY = "gpt-4o"
@@ -83,6 +85,7 @@ def infer(prompts: DataFrame, fn: InferFn, prompt_col: str = "prompt_text",
     added (the original has none).
     Output: keys..., raw STRING, infer_error STRING.
     """
+    ship_package(prompts.sparkSession)
     keys = keys if keys is not None else [c for c in prompts.columns if c != prompt_col]
     src = prompts.select(*keys, prompt_col)
     if partitions:

@@ -13,6 +13,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.js import LINE_END, LINE_START, WS, js_trim, replace_first
+from ..session import ship_package
 
 ERROR_HEAD_UNITS = 300  # UTF-16 units of the raw answer kept in an error
 ITEMS_SCHEMA = "array<struct<message:string,reason:string>>"
@@ -138,6 +139,7 @@ def _parse_array_udf(cleaned: pd.Series, raw: pd.Series, expected: pd.Series) ->
 def parse_object(responses: DataFrame, raw_col: str = "raw") -> DataFrame:
     """OP-27 (object form): adds ``message``, ``reason`` (NULL on failure)
     and ``error``.  Fence stripping and trimming run in the JVM first."""
+    ship_package(responses.sparkSession)
     parsed = _parse_object_udf(strip_fences(raw_col), F.col(raw_col))
     return responses.withColumn("_p", parsed).select("*", "_p.*").drop("_p")
 
@@ -149,6 +151,7 @@ def parse_array(responses: DataFrame, expected_col: str, raw_col: str = "raw") -
     The UDF only validates and re-serialises canonical JSON; Spark's
     ``from_json`` then builds the array (the text is ours, so its leniency
     does not matter)."""
+    ship_package(responses.sparkSession)
     parsed = _parse_array_udf(strip_fences(raw_col), F.col(raw_col), F.col(expected_col).cast("long"))
     return (responses.withColumn("_p", parsed)
             .withColumn("items", F.from_json(F.col("_p.items_json"), ITEMS_SCHEMA))

@@ -62,3 +62,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     # time; the context's checkpoint folder can.
     spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext.getCheckpointDir() or local
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``commitscope`` importable in the Python workers.
+
+    Python stages (the JSON validator, the caller's model function) are
+    pickled by reference to this package; executors only have it if it is
+    installed there or shipped.  Ship a zip of the package once per
+    SparkContext with ``addPyFile`` (Spark copies it to every executor).
+    """
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    import zipfile
+
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="commitscope-py-"), "commitscope.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(dirpath, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(id(sc))
