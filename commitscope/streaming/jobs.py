@@ -138,16 +138,22 @@ def run_fold_stream(events: DataFrame, base: str) -> None:
             prior_status = latest_status(spark, base).join(seen, "session", "left_semi")
             late = (seen.join(prior_status.select("session", "last_seq"), "session")
                     .filter(F.col("_min") < F.col("last_seq")).select("session"))
+            late = late.checkpoint()  # small: decides both paths below
             in_order = seen.select("session").join(late, "session", "left_anti")
-            prior_lists = latest_lists(spark, base, keep_order=True).join(in_order, "session", "left_semi")
-            inc_events = batch.join(in_order, "session", "left_semi")
-            inc_status = cstate.session_status(inc_events, prior_status.join(in_order, "session", "left_semi"))
-            inc = cstate.fold_candidates(inc_events, inc_status, prior_lists)
-            history = spark.read.parquet(f"{base}/events").drop("batch_id").join(late, "session", "left_semi")
-            full_status = cstate.session_status(history)
-            full = cstate.fold_candidates(history, full_status)
-            status = inc_status.unionByName(full_status)
-            entries = inc.unionByName(full)
+            parts = []
+            if in_order.limit(1).count():
+                prior_lists = latest_lists(spark, base, keep_order=True).join(in_order, "session", "left_semi")
+                inc_events = batch.join(in_order, "session", "left_semi")
+                inc_status = cstate.session_status(inc_events,
+                                                   prior_status.join(in_order, "session", "left_semi"))
+                parts.append((inc_status, cstate.fold_candidates(inc_events, inc_status, prior_lists)))
+            if late.limit(1).count():
+                history = spark.read.parquet(f"{base}/events").drop("batch_id").join(late, "session", "left_semi")
+                full_status = cstate.session_status(history)
+                parts.append((full_status, cstate.fold_candidates(history, full_status)))
+            status, entries = parts[0]
+            for st, en in parts[1:]:
+                status, entries = status.unionByName(st), entries.unionByName(en)
             before = prior_status.select("session", F.col("last_seq").alias("_prior_last"))
         else:
             status = cstate.session_status(batch)
