@@ -28,20 +28,25 @@ def _bucket(order_col: str, width: int) -> Column:
     return F.floor(F.col(order_col) / F.lit(width)).cast("long")
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value, out,
                 width: int = DEFAULT_WIDTH, inclusive: bool = True) -> DataFrame:
     """``out`` = sum of ``value`` over rows of the same key at or before this
     row (``inclusive``) or strictly before it, in ``order`` (the first order
-    column is numeric and defines the buckets)."""
+    column is numeric and defines the buckets).  ``value``/``out`` may be
+    lists to sum several columns in the same pass."""
+    values = [value] if isinstance(value, str) else list(value)
+    outs = [out] if isinstance(out, str) else list(out)
     b = df.withColumn("_b", _bucket(order[0], width))
-    per = b.groupBy(*keys, "_b").agg(F.sum(value).alias("_bsum"))
+    per = b.groupBy(*keys, "_b").agg(*[F.sum(v).alias(f"_bsum{i}") for i, v in enumerate(values)])
     wk = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per.select(*keys, "_b", F.coalesce(F.sum("_bsum").over(wk), F.lit(0)).alias("_carry"))
+    carry = per.select(*keys, "_b", *[F.coalesce(F.sum(f"_bsum{i}").over(wk), F.lit(0)).alias(f"_carry{i}")
+                                      for i in range(len(values))])
     inner_end = 0 if inclusive else -1
     wb = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, inner_end)
     joined = b.join(carry, keys + ["_b"], "left")
-    return (joined.withColumn(out, F.coalesce(F.sum(value).over(wb), F.lit(0)) + F.col("_carry"))
-            .drop("_b", "_carry"))
+    joined = joined.withColumns({o: F.coalesce(F.sum(v).over(wb), F.lit(0)) + F.col(f"_carry{i}")
+                                 for i, (v, o) in enumerate(zip(values, outs))})
+    return joined.drop("_b", *[f"_carry{i}" for i in range(len(values))])
 
 
 def running_last(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,

@@ -25,16 +25,16 @@ def line_kind(raw: Column) -> Column:
 
 
 def explode_lines(file_changes: DataFrame, keys: list[str] | None = None,
-                  diff_col: str = "diff", prepartition: bool = True) -> DataFrame:
+                  diff_col: str = "diff", prepartition: bool = False) -> DataFrame:
     """OP-07: one row per line: pos, kind, sign, text, raw.
 
     The split is on ``\\n`` only, so the empty piece after a final newline is
     a ``ctx`` row; an empty diff gives no rows.
 
-    With ``prepartition`` the compact file rows are hash-partitioned by the
-    file key *before* the explode; the partitioning survives Generate, so the
-    numbering windows of OP-08 need no second Exchange and the exploded
-    lines are never shuffled.
+    ``prepartition`` hash-partitions the compact file rows by the file key
+    before the explode (the partitioning survives Generate), for consumers
+    that window by file; ``number_lines`` partitions by (file, line bucket)
+    itself and does not need it.
     """
     keys = keys or FILE_KEYS
     src = file_changes.filter(F.length(diff_col) > 0).select(*keys, diff_col)
@@ -52,7 +52,8 @@ def explode_lines(file_changes: DataFrame, keys: list[str] | None = None,
     return lines.select(*keys, "pos", kind.alias("kind"), sign.alias("sign"), text.alias("text"), "raw")
 
 
-def number_lines(diff_lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def number_lines(diff_lines: DataFrame, keys: list[str] | None = None,
+                 width: int = 1 << 15) -> DataFrame:
     """OP-08: old/new line numbers.
 
     Counters start at 0/0; a hunk line matching ``@@ -a[,n] +b[,m] @@`` sets
@@ -60,42 +61,55 @@ def number_lines(diff_lines: DataFrame, keys: list[str] | None = None) -> DataFr
     shows and advances new, ``del`` old, ``ctx`` both; the shown value is the
     one before the increment.
 
-    Everything is one window spec (file key, ordered by pos), so one sort:
-      * running counts of old- and new-advancing lines (inclusive),
-      * the last valid hunk's a/b and the counts as they were at that hunk,
-    and the number is base + (count before this row - count at the hunk).
+    With C(p) the running count of old-advancing lines up to line p and h the
+    last valid hunk at or before p: old_n(p) = a_h + C(p - 1) - C(h) (and the
+    same for new).  Lines are split into buckets of ``width`` positions so an
+    enormous file is numbered by many tasks; the lines cross the network
+    once:
+
+    1. one window per (file, bucket): in-bucket running counts and the
+       in-bucket last valid hunk;
+    2. a per-bucket summary aggregated from those rows (already clustered by
+       (file, bucket): no exchange);
+    3. carry-in per bucket from a window over the small bucket table;
+    4. the carry joins back on (file, bucket) (only the small side moves).
     """
     keys = keys or FILE_KEYS
-    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     raw, kind = F.col("raw"), F.col("kind")
-    a_txt = F.regexp_extract(raw, HUNK_RANGE, 1)
-    b_txt = F.regexp_extract(raw, HUNK_RANGE, 2)
     valid = (kind == "hunk") & raw.rlike(HUNK_RANGE)
-    adv_old = kind.isin("ctx", "del").cast("long")
-    adv_new = kind.isin("ctx", "add").cast("long")
     df = diff_lines.withColumns({
-        "_valid": valid,
-        "_a": F.when(valid, a_txt.try_cast("long")),
-        "_b": F.when(valid, b_txt.try_cast("long")),
-        "_adv_old": adv_old,
-        "_adv_new": adv_new,
-    })
-    df = df.withColumns({
-        "_c_old": F.sum("_adv_old").over(w),
-        "_c_new": F.sum("_adv_new").over(w),
-    })
-    df = df.withColumns({
-        "_base_old": F.last(F.when(F.col("_valid"), F.col("_a")), ignorenulls=True).over(w),
-        "_base_new": F.last(F.when(F.col("_valid"), F.col("_b")), ignorenulls=True).over(w),
-        "_at_old": F.last(F.when(F.col("_valid"), F.col("_c_old")), ignorenulls=True).over(w),
-        "_at_new": F.last(F.when(F.col("_valid"), F.col("_c_new")), ignorenulls=True).over(w),
+        "_b": F.floor(F.col("pos") / F.lit(width)).cast("long"),
+        "_o": kind.isin("ctx", "del").cast("long"),
+        "_n": kind.isin("ctx", "add").cast("long"),
     })
-    old_n = (F.coalesce("_base_old", F.lit(0)) + F.col("_c_old") - F.col("_adv_old")
-             - F.coalesce("_at_old", F.lit(0)))
-    new_n = (F.coalesce("_base_new", F.lit(0)) + F.col("_c_new") - F.col("_adv_new")
-             - F.coalesce("_at_new", F.lit(0)))
+    w = Window.partitionBy(*keys, "_b").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({"_co": F.sum("_o").over(w), "_cn": F.sum("_n").over(w)})
+    hunk = F.struct(F.regexp_extract(raw, HUNK_RANGE, 1).try_cast("long").alias("a"),
+                    F.regexp_extract(raw, HUNK_RANGE, 2).try_cast("long").alias("b"),
+                    F.col("_co").alias("co"), F.col("_cn").alias("cn"))
+    df = df.withColumn("_lh", F.last(F.when(valid, hunk), ignorenulls=True).over(w))
+    per = df.groupBy(*keys, "_b").agg(F.sum("_o").alias("_to"), F.sum("_n").alias("_tn"),
+                                      F.max_by("_lh", "pos").alias("_bh"))
+    wk = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumns({"_carry_o": F.coalesce(F.sum("_to").over(wk), F.lit(0)),
+                           "_carry_n": F.coalesce(F.sum("_tn").over(wk), F.lit(0))})
+    glob = F.when(F.col("_bh").isNotNull(), F.struct(
+        F.col("_bh.a").alias("a"), F.col("_bh.b").alias("b"),
+        (F.col("_bh.co") + F.col("_carry_o")).alias("co"), (F.col("_bh.cn") + F.col("_carry_n")).alias("cn")))
+    carry = (per.withColumn("_gh", glob)
+             .withColumn("_carry_h", F.last("_gh", ignorenulls=True).over(wk))
+             .select(*keys, "_b", "_carry_o", "_carry_n", "_carry_h"))
+    df = df.join(carry, keys + ["_b"], "left")
+    in_h = F.col("_lh")
+    a = F.when(in_h.isNotNull(), in_h["a"]).otherwise(F.col("_carry_h.a"))
+    b = F.when(in_h.isNotNull(), in_h["b"]).otherwise(F.col("_carry_h.b"))
+    h_co = F.when(in_h.isNotNull(), in_h["co"] + F.col("_carry_o")).otherwise(F.col("_carry_h.co"))
+    h_cn = F.when(in_h.isNotNull(), in_h["cn"] + F.col("_carry_n")).otherwise(F.col("_carry_h.cn"))
+    c_o = F.col("_carry_o") + F.col("_co")
+    c_n = F.col("_carry_n") + F.col("_cn")
+    old_n = F.coalesce(a, F.lit(0)) + c_o - F.col("_o") - F.coalesce(h_co, F.lit(0))
+    new_n = F.coalesce(b, F.lit(0)) + c_n - F.col("_n") - F.coalesce(h_cn, F.lit(0))
     return (df.withColumns({
         "old_n": F.when(kind.isin("ctx", "del"), old_n),
         "new_n": F.when(kind.isin("ctx", "add"), new_n),
-    }).drop("_valid", "_a", "_b", "_adv_old", "_adv_new", "_c_old", "_c_new",
-            "_base_old", "_base_new", "_at_old", "_at_new"))
+    }).drop("_b", "_o", "_n", "_co", "_cn", "_lh", "_carry_o", "_carry_n", "_carry_h"))
