@@ -24,20 +24,27 @@ def commit_plan(selected: DataFrame, leftovers: DataFrame, keys: list[str],
     """``selected``: keys, candidate_id, message, files, order_col;
     ``leftovers``: keys, list_pos, file_pos, path (from ``unselected_files``).
     Output: keys, step, action, files, message, file_ord.  Keys without a
-    selected candidate get no plan."""
+    selected candidate get no plan.
+
+    Each ranked candidate emits its own step rows with one ``explode``
+    (the first one also emits ``unstage_all``), so the selection is read by
+    one branch; the restage rows come from the leftovers."""
     ranked = running_count(selected, keys, [order_col], "_k")
-    n_sel = selected.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     null_s = F.lit(None).cast("string")
-    null_i = F.lit(None).cast("int")
-    unstage = n_sel.select(*keys, F.lit(0).cast("int").alias("step"), F.lit("unstage_all").alias("action"),
-                           null_s.alias("files"), null_s.alias("message"), null_i.alias("file_ord"))
-    stage = ranked.select(*keys, (1 + 2 * F.col("_k")).cast("int").alias("step"), F.lit("stage").alias("action"),
-                          F.array_join("files", ",").alias("files"), null_s.alias("message"), null_i.alias("file_ord"))
-    commit = ranked.select(*keys, (2 + 2 * F.col("_k")).cast("int").alias("step"),
-                           F.lit("commit").alias("action"), null_s.alias("files"), "message",
-                           null_i.alias("file_ord"))
+    k = F.col("_k")
+
+    def step(number, action, files, message):
+        return F.struct(number.cast("int").alias("step"), F.lit(action).alias("action"),
+                        files.alias("files"), message.alias("message"))
+    steps = F.array(
+        F.when(k == 0, step(F.lit(0), "unstage_all", null_s, null_s)),
+        step(1 + 2 * k, "stage", F.array_join("files", ","), null_s),
+        step(2 + 2 * k, "commit", null_s, F.col("message")))
+    planned = (ranked.select(*keys, F.explode(steps).alias("s")).filter(F.col("s").isNotNull())
+               .select(*keys, "s.*", F.lit(None).cast("int").alias("file_ord")))
+    n_sel = selected.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     left = running_count(leftovers, keys, ["list_pos", "file_pos"], "_f")
     restage = (left.join(n_sel, keys)
                .select(*keys, (1 + 2 * F.col("_n")).cast("int").alias("step"), F.lit("restage").alias("action"),
                        F.col("path").alias("files"), null_s.alias("message"), F.col("_f").cast("int").alias("file_ord")))
-    return unstage.unionByName(stage).unionByName(commit).unionByName(restage)
+    return planned.unionByName(restage)
