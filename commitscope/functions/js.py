@@ -67,12 +67,13 @@ def non_ascii_units(c) -> Column:
 def replace_first(c, pattern: str, replacement: str = "") -> Column:
     """``s.replace(/pattern/, replacement)``: replace the leftmost match only.
 
-    ``regexp_replace`` is global; anchoring a lazy prefix at ``\\A`` makes the
-    engine find the leftmost match and stop.  ``pattern`` must not use
-    numbered groups of its own.
+    ``regexp_replace`` is global.  ``split`` with limit 2 cuts at the
+    leftmost match only, and joining the (at most two) pieces with the
+    replacement gives the first-match replace in one regex scan.  The
+    pattern must not match the empty string (``split`` drops a leading
+    empty match) and ``replacement`` is literal text.
     """
-    wrapped = r"(?s)\A(.*?)(?:" + pattern + r")(.*)\z"
-    return F.regexp_replace(_col(c), F.lit(wrapped), F.lit("$1" + replacement + "$2"))
+    return F.array_join(F.split(_col(c), pattern, 2), replacement)
 
 
 def starts_with_any(c, prefixes: list[str]) -> Column:
