@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.js import is_blank, js_trim
-from ..functions.scans import running_count, running_sum
+from ..functions.scans import DEFAULT_WIDTH, running_count, running_sum
 
 # The event (action) types of the UI state machine.
 SET_LOADING = "SET_LOADING"
@@ -75,7 +75,7 @@ def session_status(events: DataFrame, prior: DataFrame | None = None) -> DataFra
 
 
 def fold_candidates(events: DataFrame, status: DataFrame | None = None,
-                    prior: DataFrame | None = None) -> DataFrame:
+                    prior: DataFrame | None = None, width: int = DEFAULT_WIDTH) -> DataFrame:
     """OP-30 candidate list per session, in list order.
 
     * the list restarts at the last SET_LOADING / COMMITTED / REORDER
@@ -129,7 +129,7 @@ def fold_candidates(events: DataFrame, status: DataFrame | None = None,
                     F.max_by(F.struct(F.col("seq").alias("_s"), F.col("message").alias("_m")),
                              F.when(t == UPDATE_MESSAGE, F.col("seq"))).alias("_edit")))
     scanned = running_sum(entries.unionByName(toggles), keys, ["entry_seq", "_toggle", "sub_pos"],
-                          "_toggle", "_upto")
+                          "_toggle", "_upto", width=width)
     mine = scanned.filter(F.col("_toggle") == 0).join(touched, keys, "left")
     toggles_after = F.coalesce(F.col("_total"), F.lit(0)) - F.col("_upto")
     message = F.when(F.col("_edit._s") > F.col("entry_seq"), F.col("_edit._m")).otherwise(F.col("m0"))
@@ -137,10 +137,10 @@ def fold_candidates(events: DataFrame, status: DataFrame | None = None,
                        (F.col("c0") != (toggles_after % 2 == 1)).alias("checked"))
 
 
-def list_positions(entries: DataFrame, key: str = "session") -> DataFrame:
+def list_positions(entries: DataFrame, key: str = "session", width: int = DEFAULT_WIDTH) -> DataFrame:
     """0-based list position of every entry (order: entry_seq, sub_pos),
     by a bucketed running count."""
-    return running_count(entries, [key], ["entry_seq", "sub_pos"], "list_pos").withColumn(
+    return running_count(entries, [key], ["entry_seq", "sub_pos"], "list_pos", width=width).withColumn(
         "list_pos", F.col("list_pos").cast("int"))
 
 

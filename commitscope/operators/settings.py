@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scans import running_last
+from ..functions.scans import DEFAULT_WIDTH, running_last
 
 # The defaults of the two stored options.
 DEFAULT_CONVENTIONAL = True
@@ -29,7 +29,7 @@ def stored_settings(updates: DataFrame) -> DataFrame:
                                        _last_set("language").alias("stored_language"))
 
 
-def resolve_settings(requests: DataFrame, stored: DataFrame) -> DataFrame:
+def resolve_settings(requests: DataFrame, stored: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """OP-20: effective options per request.
 
     ``requests``: repo, seq, kind ('regenerate' carries options, 'ready' does
@@ -45,7 +45,8 @@ def resolve_settings(requests: DataFrame, stored: DataFrame) -> DataFrame:
     kind, lang = F.col("kind"), F.col("language")
     setter = F.when((kind == "regenerate") & (lang.isNull() | (lang != "auto")),
                     F.coalesce(lang, F.lit("")))
-    df = running_last(requests.withColumn("_setter", setter), ["repo"], ["seq"], "_setter", "_session")
+    df = running_last(requests.withColumn("_setter", setter), ["repo"], ["seq"], "_setter", "_session",
+                      width=width)
     df = df.withColumn("session_language", F.nullif(F.col("_session"), F.lit(""))).drop("_setter", "_session")
     df = df.join(stored, "repo", "left")
     regen = kind == "regenerate"

@@ -121,3 +121,20 @@ def test_latest_generation_cancel(spark):
                                  "repo string, generation long, cancelled boolean")
     got = [r.candidate_id for r in C.latest_generation(cands, runs).collect()]
     assert got == ["b"]
+
+
+def test_fold_across_many_buckets_matches_reference(spark):
+    rnd = random.Random(11)
+    types = [C.ADD, C.ADD, C.ADD, C.TOGGLE, C.TOGGLE, C.UPDATE_MESSAGE, C.DONE, C.ERROR, C.REORDER, C.SET_LOADING]
+    evs = []
+    for _ in range(400):
+        t = rnd.choices(types, weights=[6, 6, 6, 8, 8, 5, 2, 1, 1, 1])[0]
+        cid = rnd.choice(["a", "b", "c", "d"])
+        payload = [(rnd.choice("abcd"), "p", rnd.random() < 0.5) for _ in range(rnd.randint(0, 3))]
+        evs.append((t, cid if t in (C.ADD, C.TOGGLE, C.UPDATE_MESSAGE) else None,
+                    f"m{len(evs)}" if t in (C.ADD, C.UPDATE_MESSAGE, C.ERROR) else None,
+                    None, payload if t == C.REORDER else None))
+    ev = _events(spark, evs)
+    entries = C.list_positions(C.fold_candidates(ev, width=5), width=3).orderBy("list_pos").collect()
+    got = [{"id": e.id, "message": e.message, "checked": e.checked} for e in entries]
+    assert got == _fold_py(evs)["cands"]

@@ -46,3 +46,13 @@ def test_line_numbers_independent_of_bucket_width(spark):
     small = lines.number_lines(dl, width=3).select(*cols)
     big = lines.number_lines(dl).select(*cols)
     assert small.exceptAll(big).count() == 0 and big.exceptAll(small).count() == 0
+
+
+def test_session_language_independent_of_bucket_width(spark):
+    from commitscope.operators import settings
+    from commitscope.sources.fixtures import option_updates_from_nation, requests_from_commits, table
+    reqs = requests_from_commits(load_commits(spark, SF))
+    stored = settings.stored_settings(option_updates_from_nation(table(spark, SF, "nation")))
+    a = settings.resolve_settings(reqs, stored, width=2)
+    b = settings.resolve_settings(reqs, stored)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
