@@ -287,12 +287,10 @@ FROM f
 def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-02 record layout: fields 1-4 used, short records quarantined."""
     log = load_commit_log(spark, sf_dir)
-    sep = F.lit(readers.RECORD_SEP)
     full = F.concat_ws(readers.RECORD_SEP, "hash", "subject", "author", "date", F.lit("extra"))
     short = F.concat_ws(readers.RECORD_SEP, "hash", "subject", "author")
     lines = log.select("repo", "log_pos",
                        F.when(F.col("hash").startswith("0"), short).otherwise(full).alias("line"))
-    del sep
     good, bad = readers.parse_log_records(lines)
     return (good.select("repo", "log_pos", F.lit("ok").alias("status"), "hash", "subject", "author",
                         "date")
