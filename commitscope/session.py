@@ -90,3 +90,27 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(path)
     _SHIPPED.add(id(sc))
+
+
+def recommended_conf(input_bytes: int, total_cores: int, target_partition_mb: int = 128) -> dict[str, str]:
+    """Partition sizing for a cluster run.
+
+    Diffs are wide text rows and the in-row parse multiplies a row's size a
+    few times (file arrays, groups, prompts), so stages are sized for
+    ``target_partition_mb`` of *input* per task: file splits of that size,
+    and an initial shuffle-partition count of input / target (at least two
+    waves of the cluster's cores), which AQE then coalesces towards the
+    same advisory size.  Skewed partitions above 4x the advisory size are
+    split by AQE's skew-join handling.
+    """
+    target = target_partition_mb * 1024 * 1024
+    partitions = max(2 * total_cores, -(-int(input_bytes) // target))
+    partitions = -(-partitions // total_cores) * total_cores  # whole waves
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target),
+    }

@@ -60,3 +60,11 @@ def test_incremental_stream_fold_matches_batch(spark, tmp_path):
     st = jobs.latest_status(spark, base).select("session", "generating", "error", "success_count")
     want_st = C.session_status(events).select("session", "generating", "error", "success_count")
     assert sorted(map(tuple, st.collect())) == sorted(map(tuple, want_st.collect()))
+
+
+def test_recommended_conf_sizes_partitions():
+    from commitscope.session import recommended_conf
+    conf = recommended_conf(100 * 1024 ** 4, total_cores=8000)          # 100 TB on 8000 cores
+    assert int(conf["spark.sql.shuffle.partitions"]) == 800000
+    small = recommended_conf(10 * 1024 ** 2, total_cores=8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16
