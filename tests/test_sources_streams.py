@@ -65,6 +65,6 @@ def test_incremental_stream_fold_matches_batch(spark, tmp_path):
 def test_recommended_conf_sizes_partitions():
     from commitscope.session import recommended_conf
     conf = recommended_conf(100 * 1024 ** 4, total_cores=8000)          # 100 TB on 8000 cores
-    assert int(conf["spark.sql.shuffle.partitions"]) == 800000
+    assert int(conf["spark.sql.shuffle.partitions"]) == 824000     # 819,200 rounded up to whole waves
     small = recommended_conf(10 * 1024 ** 2, total_cores=8)
     assert int(small["spark.sql.shuffle.partitions"]) == 16
