@@ -497,11 +497,14 @@ FROM p
 """)
 def group_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-21: one prompt per file group (md5 and length reported)."""
-    groups = _snapshot_groups(spark, sf_dir)
-    rows = groups.select("repo", "commit_id", F.explode_outer("groups").alias("g")).filter("g IS NOT NULL").select(
-        "repo", "commit_id", "g.group_ord", "g.label", "g.files")
-    ctx = _prompt_context(spark, sf_dir)
-    out = prompts.group_prompts(size_checked_join(rows, ctx, ["repo", "commit_id"]))
+    # join the context once per snapshot, then explode the groups
+    snap = size_checked_join(_snapshot_groups(spark, sf_dir), _prompt_context(spark, sf_dir),
+                             ["repo", "commit_id"])
+    ctx_cols = ["conventional", "prompt_language", "prompt", "history"]
+    rows = (snap.select("repo", "commit_id", *ctx_cols, F.explode_outer("groups").alias("g"))
+            .filter("g IS NOT NULL")
+            .select("repo", "commit_id", *ctx_cols, "g.group_ord", "g.label", "g.files"))
+    out = prompts.group_prompts(rows)
     return out.select("repo", "commit_id", "group_ord",
                       F.length("prompt_text").alias("prompt_chars"), F.md5("prompt_text").alias("prompt_md5"))
 
