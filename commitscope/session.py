@@ -47,21 +47,24 @@ def get_spark(master: str | None = None, app: str = "commitscope",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there and we use it as is.  Only when
-    nothing is set (local tests) do we create a scratch folder.
+    A cluster names a shared folder there and we use it as is.  Only a local
+    session without one gets a scratch folder; a cluster without one is
+    refused, since executors cannot see each other's folders.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return spark.sparkContext.getCheckpointDir() or configured
-    local = tempfile.mkdtemp(prefix="commitscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     # ``spark.checkpoint.dir`` is a core setting that cannot change at run
     # time; the context's checkpoint folder can.
-    spark.sparkContext.setCheckpointDir(local)
-    return spark.sparkContext.getCheckpointDir() or local
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="commitscope-ckpt-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 _SHIPPED: set[int] = set()
