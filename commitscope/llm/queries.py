@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, simhash
+from . import exact_dedup, mixing, pieces, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,28 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
 
 
+def _piece_model() -> str:
+    """The public 32k BPE model; its place is a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@register("op2_pieces")
+def op2_pieces(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    path = model_path or _piece_model()
+    encoded = pieces.encode(_table(spark, sf_dir, "documents"), path)
+    return pieces.decode(encoded, path).select(
+        "doc_id", "n_pieces", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register("op4_quality")
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).withColumn("held_out", quality.held_out(F.col("doc_id")))
+
+
 @register("op6_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
