@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, pieces, quality, simhash
+from . import exact_dedup, htmltext, mixing, pieces, quality, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,6 +65,31 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(_table(spark, sf_dir, "documents"))
 
 
+@register("op8_html")
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return htmltext.main_text(pages, htmltext.learn_weights(pages))
+
+
+# Five hex digits of the SHA-1 make four base32 letters.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', "
+    f"1 + ((CAST('0x' || substr(sha1(h), {5 * i + 1}, 5) AS INTEGER) >> {shift}) & 31), 1)"
+    for i in range(8) for shift in (15, 10, 5, 0))
+
+
+@register("op9_warc", f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+           FROM pages)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p
+""")
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(spark, warc.archive_pages(_table(spark, sf_dir, "pages")))
+
+
 @register("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_classes(_table(spark, sf_dir, "documents"), shingle=3, radius=2)
