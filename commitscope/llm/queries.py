@@ -33,7 +33,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
 
 
-def _piece_model() -> str:
+def piece_model() -> str:
     """The public 32k BPE model; its place is a parameter of the operator."""
     import public_tokenizers
 
@@ -42,7 +42,7 @@ def _piece_model() -> str:
 
 @register("op2_pieces")
 def op2_pieces(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
-    path = model_path or _piece_model()
+    path = model_path or piece_model()
     encoded = pieces.encode(_table(spark, sf_dir, "documents"), path)
     return pieces.decode(encoded, path).select(
         "doc_id", "n_pieces", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
