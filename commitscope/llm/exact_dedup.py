@@ -140,11 +140,10 @@ def _own(id_type: pa.DataType):
         for b, h, text, keep, n, top in chain:
             for known in out:
                 if known[2] == text:
-                    if known[3] is None or (keep is not None and keep > known[3]):
-                        known[5] = top
-                        known[3] = keep
-                    elif keep == known[3]:
+                    if keep == known[3]:
                         known[5] += top
+                    elif known[3] is None or (keep is not None and keep > known[3]):
+                        known[3], known[5] = keep, top
                     known[4] += n
                     break
             else:
