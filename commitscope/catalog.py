@@ -113,7 +113,7 @@ FROM diff_lines GROUP BY kind, sign
 def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-07: lines per kind; the empty piece after the final newline is ctx."""
     from .operators import lines
-    dl = lines.explode_lines(_file_changes(spark, sf_dir), prepartition=False)
+    dl = lines.explode_lines(_file_changes(spark, sf_dir))
     return (dl.groupBy("kind", "sign")
             .agg(F.count(F.lit(1)).alias("lines"),
                  F.sum(F.length("text")).cast("long").alias("text_chars"),
@@ -410,7 +410,6 @@ def resolved_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 from .operators import inference, prompts  # noqa: E402
-from .plans.joins import size_checked_join  # noqa: E402
 from .sources.fixtures import models_from_suppliers  # noqa: E402
 
 
@@ -419,7 +418,7 @@ def _prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     resolved = resolved_settings(spark, sf_dir).select(
         "repo", "commit_id", "conventional", "prompt_language", "prompt", "model")
     hist = prompts.history_text(load_commit_log(spark, sf_dir))
-    return size_checked_join(resolved, hist, "repo", "left")
+    return resolved.join(hist, "repo", "left")
 
 
 def _snapshot_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -436,7 +435,6 @@ def _rules_sql(n: str | None) -> str:
     style = (f"CASE WHEN conventional THEN {_q(prompts.STYLE_CONVENTIONAL)} "
              f"ELSE {_q(prompts.STYLE_PLAIN)} END")
     lang = f"CASE WHEN prompt_language = 'zh' THEN {_q(prompts.LANG_ZH)} ELSE {_q(prompts.LANG_EN)} END"
-    items = [style, _q(prompts.LENGTH_RULE), _q(prompts.REASON_RULE)]
     items = [style, lang, _q(prompts.LENGTH_RULE), _q(prompts.REASON_RULE),
              _q(prompts.JSON_ALL if n else prompts.JSON_ONE)]
     if n:
@@ -498,7 +496,7 @@ FROM p
 def group_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-21: one prompt per file group (md5 and length reported)."""
     # join the context once per snapshot, then explode the groups
-    snap = size_checked_join(_snapshot_groups(spark, sf_dir), _prompt_context(spark, sf_dir),
+    snap = _snapshot_groups(spark, sf_dir).join(_prompt_context(spark, sf_dir),
                              ["repo", "commit_id"])
     ctx_cols = ["conventional", "prompt_language", "prompt", "history"]
     rows = (snap.select("repo", "commit_id", *ctx_cols, F.explode_outer("groups").alias("g"))
@@ -543,13 +541,13 @@ def batch_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _batch_prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = _snapshot_groups(spark, sf_dir)
     ctx = _prompt_context(spark, sf_dir)
-    snap = size_checked_join(groups, ctx, ["repo", "commit_id"])
+    snap = groups.join(ctx, ["repo", "commit_id"])
     return prompts.batch_prompts(snap).withColumn("n_groups", F.size("groups"))
 
 
 @register("model_choice", f"""
 WITH {_RESOLVED_CTE}, {fx.MODELS_CTE},
-req AS (SELECT repo, commit_id, CAST(commit_id % 5 AS INTEGER) AS catalog_id, model FROM resolved),
+req AS (SELECT repo, commit_id, CAST(commit_id % 6 AS INTEGER) AS catalog_id, model FROM resolved),
 by_id AS (SELECT catalog_id, id, arg_min(name, cat_pos) AS name FROM models GROUP BY catalog_id, id),
 fb AS (
   SELECT catalog_id,
@@ -577,9 +575,10 @@ SELECT repo, commit_id, catalog_id, model AS requested,
 FROM j
 """)
 def model_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-23: tiered model choice per request; catalogue = commit_id % 5."""
+    """OP-23: tiered model choice per request; catalogue = commit_id % 6
+    (catalogue 5 has no model)."""
     req = resolved_settings(spark, sf_dir).select(
-        "repo", "commit_id", (F.col("commit_id") % 5).cast("int").alias("catalog_id"), "model")
+        "repo", "commit_id", (F.col("commit_id") % 6).cast("int").alias("catalog_id"), "model")
     models = models_from_suppliers(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation"))
     out = inference.assign_model(req, models)
     return out.select("repo", "commit_id", "catalog_id", F.col("model").alias("requested"), "model_id",
@@ -592,7 +591,7 @@ def model_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from .operators import responses  # noqa: E402
 from .sources.fixtures import (array_responses_from_conversations, chunks_from_responses,  # noqa: E402
-                               echo_model, responses_from_conversations)
+                               REFUSAL, echo_model, responses_from_conversations)
 
 
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -608,7 +607,7 @@ FROM responses
 def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-25: chunks (7 characters, any arrival order) reassembled by idx."""
     chunks = chunks_from_responses(_responses(spark, sf_dir))
-    out = responses.assemble_chunks(chunks.orderBy(F.col("idx").desc()))
+    out = responses.assemble_chunks(chunks)
     return out.select("request_id", F.md5("raw").alias("raw_md5"), "chunks", "complete")
 
 
@@ -723,31 +722,34 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.infer(snap, echo_model, keys=["repo", "commit_id", "n_groups", "group_files"])
 
 
-_ECHO_SQL = """
+_ECHO_SQL = f"""
 echo_items AS (
   SELECT s.repo, s.commit_id, s.group_ord, s.label, b.n_groups, length(b.prompt_text) % 4 AS variant,
-    '{"message": "chore(' || trim(s.label) || '): update ' || trim(s.label) ||
-    ' ", "reason": " Keeps the files of this group together."}' AS item
+    length(b.prompt_text) % 13 = 5 AS refused,
+    '{{"message": "chore(' || trim(s.label) || '): update ' || trim(s.label) ||
+    ' ", "reason": " Keeps the files of this group together."}}' AS item
   FROM sections s JOIN batch_prompts b ON s.repo = b.repo AND s.commit_id = b.commit_id
 ),
 echo_raw AS (
-  SELECT repo, commit_id, any_value(variant) AS variant,
+  SELECT repo, commit_id, any_value(variant) AS variant, any_value(refused) AS refused,
     '[' || coalesce(string_agg(item, ', ' ORDER BY group_ord)
                     FILTER (WHERE variant <> 3 OR group_ord < n_groups - 1), '') || ']' AS body
   FROM echo_items GROUP BY repo, commit_id
 ),
 answers AS (
-  SELECT repo, commit_id, variant,
-    CASE variant WHEN 1 THEN '```json' || chr(10) || body || chr(10) || '```'
-                 WHEN 2 THEN 'Here you go:' || chr(10) || body || chr(10) || 'Hope this helps.'
-                 ELSE body END AS raw
+  SELECT repo, commit_id, variant, refused,
+    CASE WHEN refused THEN NULL
+         WHEN variant = 1 THEN '```json' || chr(10) || body || chr(10) || '```'
+         WHEN variant = 2 THEN 'Here you go:' || chr(10) || body || chr(10) || 'Hope this helps.'
+         ELSE body END AS raw,
+    CASE WHEN refused THEN 'ValueError: {REFUSAL}' END AS infer_error
   FROM echo_raw
 )"""
 
 
 @register("inference", f"""
 WITH {_PROMPT_CTE}, {_BATCH_SQL}, {_ECHO_SQL}
-SELECT repo, commit_id, md5(raw) AS raw_md5, CAST(NULL AS VARCHAR) AS infer_error FROM answers
+SELECT repo, commit_id, md5(raw) AS raw_md5, infer_error FROM answers
 """)
 def inference_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-24: every batch prompt through the caller's function (mapInPandas)."""
@@ -767,7 +769,7 @@ SELECT e.repo, e.commit_id, e.group_ord,
 FROM echo_items e
 JOIN sections s ON e.repo = s.repo AND e.commit_id = s.commit_id AND e.group_ord = s.group_ord
 JOIN files f ON f.repo = s.repo AND f.commit_id = s.commit_id AND f.group_key = s.group_key
-WHERE e.variant <> 3
+WHERE e.variant <> 3 AND NOT e.refused
 )"""
 
 
@@ -1059,7 +1061,7 @@ def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {_CANDS_SQL}, {fx.MODELS_CTE},
 cat AS (SELECT DISTINCT catalog_id FROM models),
 snap_ok AS (
-  SELECT b.repo, b.commit_id, b.n_groups, (b.commit_id % 5) IN (SELECT catalog_id FROM cat) AS has_model
+  SELECT b.repo, b.commit_id, b.n_groups, (b.commit_id % 6) IN (SELECT catalog_id FROM cat) AS has_model
   FROM batch_prompts b
 ),
 errs AS (
@@ -1070,7 +1072,11 @@ errs AS (
   SELECT a.repo, a.commit_id, 'unparsable response (expected array of ' || CAST(s.n_groups AS VARCHAR)
          || '): ' || left(a.raw, 300)
   FROM answers a JOIN snap_ok s ON a.repo = s.repo AND a.commit_id = s.commit_id
-  WHERE s.has_model AND a.variant = 3
+  WHERE s.has_model AND a.variant = 3 AND NOT a.refused
+  UNION ALL
+  SELECT a.repo, a.commit_id, a.infer_error
+  FROM answers a JOIN snap_ok s ON a.repo = s.repo AND a.commit_id = s.commit_id
+  WHERE s.has_model AND a.refused
 )
 SELECT c.repo, c.commit_id, 'candidate' AS kind, c.group_ord, c.candidate_id, c.message, c.files,
        CAST(NULL AS VARCHAR) AS error
@@ -1081,8 +1087,8 @@ SELECT repo, commit_id, 'error', CAST(NULL AS INTEGER), CAST(NULL AS VARCHAR), C
 """)
 def generation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-39: snapshots -> candidates and error rows in one lazy plan (the
-    deterministic stand-in model answers; model catalogue = commit_id % 5)."""
-    ctx = _prompt_context(spark, sf_dir).withColumn("catalog_id", (F.col("commit_id") % 5).cast("int"))
+    deterministic stand-in model answers; model catalogue = commit_id % 6)."""
+    ctx = _prompt_context(spark, sf_dir).withColumn("catalog_id", (F.col("commit_id") % 6).cast("int"))
     models = models_from_suppliers(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation"))
     cands, errors = run_generation(load_commits(spark, sf_dir), ctx, echo_model, models)
     null = F.lit(None)

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.js import LT, NOT_LT, is_blank, js_trim_end
-from ..plans.joins import size_checked_join
 
 # A new file segment starts at every line start followed by the header word.
 SEGMENT_BOUNDARY = r"(?<=" + LT + r")(?=diff --git )"
@@ -100,7 +99,7 @@ def lookup_diffs(file_changes: DataFrame, wanted: DataFrame,
     """
     keys, order = list(keys), list(order)
     wanted_keys = wanted.select(*keys).distinct()
-    hits = size_checked_join(file_changes, wanted_keys, keys, "left_semi")
+    hits = file_changes.join(wanted_keys, keys, "left_semi")
     last = F.max_by(F.struct(*order, "diff"), F.struct(*order))
     return (hits.groupBy(*keys).agg(last.alias("_last"))
             .select(*keys, *[F.col("_last")[c].alias(c) for c in order], F.col("_last.diff").alias("diff")))

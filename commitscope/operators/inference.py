@@ -72,78 +72,87 @@ InferFn = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
 
 
 def infer(prompts: DataFrame, fn: InferFn, prompt_col: str = "prompt_text",
-          keys: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+          keys: list[str] | None = None, slice_rows: int = 64) -> DataFrame:
     """Run ``fn`` (an iterator of prompt batches -> iterator of answer batches)
-    over every prompt with ``mapInPandas``: Arrow batches, one call per
-    partition so a client can be built once per task.
-
-    Rows whose prompt is NULL are passed through (raw and error NULL) without
-    reaching ``fn``, so a caller can send all rows of a plan through one
-    stage.  A failing batch does not kill the job: its rows get ``raw = NULL``
-    and the error text, and ``fn`` is called afresh for the rest of the task.
-    ``partitions`` spreads the (slow, remote) calls; no retry or timeout is
-    added (the original has none).
+    over every prompt with ``mapInPandas``: one call per task, so a client can
+    be built once, fed slices of at most ``slice_rows`` prompts.
+
+    Rows whose prompt is NULL pass through (raw and error NULL) without
+    reaching ``fn``.  When ``fn`` fails, ends early or returns a wrong number
+    of answers, the prompts of the slices it had taken and not answered are
+    asked again one by one, so a bad prompt costs its own row only (``raw``
+    NULL and the error's whole text); ``fn`` is then called afresh for the
+    rest of the task.
     Output: keys..., raw STRING, infer_error STRING.
     """
     ship_package(prompts.sparkSession)
     keys = keys if keys is not None else [c for c in prompts.columns if c != prompt_col]
     src = prompts.select(*keys, prompt_col)
-    if partitions:
-        src = src.repartition(partitions)
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
                            for f in src.schema.fields if f.name in keys)
     schema = (key_schema + ", " if key_schema else "") + "raw string, infer_error string"
 
-    def rows(batch: pd.DataFrame, raw, err) -> pd.DataFrame:
-        out = batch[keys].copy()
+    def rows(part: pd.DataFrame, raw, err) -> pd.DataFrame:
+        out = part[keys].copy()
         out["raw"] = raw
         out["infer_error"] = err
         return out
 
+    def ask_one(prompt: str) -> tuple[str | None, str | None]:
+        try:
+            got = [a for answers in fn(iter([pd.Series([prompt], dtype=object)])) for a in answers]
+        except Exception as e:  # noqa: BLE001 - the error becomes data
+            return None, f"{type(e).__name__}: {e}"
+        return (got[0], None) if len(got) == 1 else (None, f"answer count {len(got)} != prompt count 1")
+
+    def one_by_one(part: pd.DataFrame) -> pd.DataFrame:
+        raw, err = zip(*map(ask_one, part[prompt_col]))
+        return rows(part, list(raw), list(err))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        source = iter(batches)
-        queued: list[pd.DataFrame] = []
-
-        def feed():
-            for b in source:
-                live = b[b[prompt_col].notna()]
-                if len(live) < len(b):  # pass-through rows never reach fn
-                    done.append(rows(b[b[prompt_col].isna()], None, None))
-                if len(live):
-                    queued.append(live)
-                    yield live[prompt_col].reset_index(drop=True)
-
-        done: list[pd.DataFrame] = []
-        answers = fn(feed())
+        done: list[pd.DataFrame] = []  # pass-through rows
+        taken: list[pd.DataFrame] = []  # slices handed over and not answered
+
+        def slices() -> Iterator[pd.DataFrame]:
+            for b in batches:
+                missing = b[prompt_col].isna()
+                if missing.any():
+                    done.append(rows(b[missing], None, None))
+                live = b[~missing]
+                for start in range(0, len(live), slice_rows):
+                    yield live.iloc[start:start + slice_rows]
+
+        rest = slices()
+        fed = 0
+
+        def feed() -> Iterator[pd.Series]:
+            nonlocal fed
+            for part in rest:
+                fed += 1
+                taken.append(part)
+                yield part[prompt_col].reset_index(drop=True)
+
         while True:
+            before = fed
             try:
-                raw = next(answers)
-            except StopIteration:
-                break
-            except Exception as e:  # noqa: BLE001 - the error becomes data
-                err = f"{type(e).__name__}: {e}"[:1000]
-                while done:
-                    yield done.pop(0)
-                if not queued:  # failed before taking input: charge the next batch
-                    nxt = next(source, None)
-                    if nxt is None:
-                        break
-                    queued.append(nxt)
-                while queued:  # every batch handed over and not answered
-                    yield rows(queued.pop(0), None, err)
-                answers = fn(feed())  # a fresh call for the rest of the task
-                continue
-            while done:
-                yield done.pop(0)
-            batch = queued.pop(0)
-            raw = list(raw)
-            if len(raw) != len(batch):
-                yield rows(batch, None, f"answer count {len(raw)} != prompt count {len(batch)}")
-            else:
-                yield rows(batch, raw, None)
+                for answers in fn(feed()):
+                    answers = list(answers)
+                    if not taken:
+                        break  # more answers than prompts
+                    part = taken.pop(0)
+                    yield rows(part, answers, None) if len(answers) == len(part) else one_by_one(part)
+                    while done:
+                        yield done.pop(0)
+            except Exception:  # noqa: BLE001 - found out prompt by prompt below
+                pass
+            if fed == before:
+                part = next(rest, None)  # fn took nothing: go on prompt by prompt
+                if part is None:
+                    break
+                taken.append(part)
+            while taken:
+                yield one_by_one(taken.pop(0))
         while done:
             yield done.pop(0)
-        while queued:
-            yield rows(queued.pop(0), None, "no answer returned")
 
     return src.mapInPandas(run, schema)

@@ -25,29 +25,22 @@ def line_kind(raw: Column) -> Column:
 
 
 def explode_lines(file_changes: DataFrame, keys: list[str] | None = None,
-                  diff_col: str = "diff", prepartition: bool = False) -> DataFrame:
+                  diff_col: str = "diff") -> DataFrame:
     """OP-07: one row per line: pos, kind, sign, text, raw.
 
     The split is on ``\\n`` only, so the empty piece after a final newline is
     a ``ctx`` row; an empty diff gives no rows.
-
-    ``prepartition`` hash-partitions the compact file rows by the file key
-    before the explode (the partitioning survives Generate), for consumers
-    that window by file; ``number_lines`` partitions by (file, line bucket)
-    itself and does not need it.
     """
     keys = keys or FILE_KEYS
     src = file_changes.filter(F.length(diff_col) > 0).select(*keys, diff_col)
-    if prepartition:
-        src = src.repartition(*keys)
     lines = (src.select(*keys, F.posexplode_outer(F.split(diff_col, "\n", -1)).alias("pos", "raw"))
              .filter(F.col("pos").isNotNull()))
     raw = F.col("raw")
     kind = line_kind(raw)
     sign = (F.when(kind == "add", F.lit("+")).when(kind == "del", F.lit("-"))
             .when(kind == "ctx", F.lit(" ")).otherwise(F.lit("")))
-    text = (F.when(kind.isin("add", "del"), F.substring(raw, 2, 1 << 30))
-            .when((kind == "ctx") & raw.startswith(" "), F.substring(raw, 2, 1 << 30))
+    text = (F.when(kind.isin("add", "del"), F.substr(raw, F.lit(2)))
+            .when((kind == "ctx") & raw.startswith(" "), F.substr(raw, F.lit(2)))
             .otherwise(raw))
     return lines.select(*keys, "pos", kind.alias("kind"), sign.alias("sign"), text.alias("text"), "raw")
 

@@ -134,7 +134,7 @@ def group_files_in_row(parsed: DataFrame, files_col: str = "files") -> DataFrame
 
     The snapshot is one row, so the grouping runs inside that row: no
     shuffle, and no group is ever larger than the input row it came from.
-    A snapshot without any group produces no rows (see ``no_groups``).
+    A snapshot without any group produces no rows.
     """
     grouped = with_groups(parsed, files_col, "_groups")
     others = [c for c in grouped.columns if c != "_groups"]
@@ -142,11 +142,6 @@ def group_files_in_row(parsed: DataFrame, files_col: str = "files") -> DataFrame
             .filter(F.col("g").isNotNull()).select(*others, "g.*"))
 
 
-def no_groups(parsed: DataFrame, files_col: str = "files") -> DataFrame:
-    """Snapshots that are not blank but yield no file group (no valid header)."""
-    return parsed.filter(F.size(files_col) == 0).drop(files_col)
-
-
 def group_file_changes(file_changes: DataFrame) -> DataFrame:
     """OP-14 for one-row-per-file input: aggregate per (snapshot, group).
 
@@ -170,5 +165,5 @@ def relativize(df: DataFrame, path_col: str, root_col: str, out_col: str = "rel_
     path, needle = F.col(path_col), F.concat(F.col(root_col), F.lit("/"))
     pos = F.instr(path, needle)
     cut = F.when(pos > 0, F.concat(F.substring(path, F.lit(1), pos - 1),
-                                   F.substring(path, pos + F.length(needle), F.lit(1 << 30))))
+                                   F.substr(path, pos + F.length(needle))))
     return df.withColumn(out_col, F.replace(F.coalesce(cut, path), F.lit("\\"), F.lit("/")))

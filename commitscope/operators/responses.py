@@ -136,12 +136,18 @@ def _parse_array_udf(cleaned: pd.Series, raw: pd.Series, expected: pd.Series) ->
     return pd.DataFrame({"items_json": items, "error": errors})
 
 
+def _once(value: Column) -> Column:
+    """A generator of one row: filters on its fields stay above it, so the
+    Python stage below is planned once."""
+    return F.explode_outer(F.array(value))
+
+
 def parse_object(responses: DataFrame, raw_col: str = "raw") -> DataFrame:
     """OP-27 (object form): adds ``message``, ``reason`` (NULL on failure)
     and ``error``.  Fence stripping and trimming run in the JVM first."""
     ship_package(responses.sparkSession)
-    parsed = _parse_object_udf(strip_fences(raw_col), F.col(raw_col))
-    return responses.withColumn("_p", parsed).select("*", "_p.*").drop("_p")
+    parsed = _once(_parse_object_udf(strip_fences(raw_col), F.col(raw_col)))
+    return responses.select("*", parsed.alias("_p")).select("*", "_p.*").drop("_p")
 
 
 def parse_array(responses: DataFrame, expected_col: str, raw_col: str = "raw") -> DataFrame:
@@ -153,7 +159,7 @@ def parse_array(responses: DataFrame, expected_col: str, raw_col: str = "raw") -
     does not matter)."""
     ship_package(responses.sparkSession)
     parsed = _parse_array_udf(strip_fences(raw_col), F.col(raw_col), F.col(expected_col).cast("long"))
-    return (responses.withColumn("_p", parsed)
+    return (responses.select("*", _once(parsed).alias("_p"))
             .withColumn("items", F.from_json(F.col("_p.items_json"), ITEMS_SCHEMA))
             .withColumn("error", F.col("_p.error")).drop("_p"))
 
@@ -172,37 +178,15 @@ def response_errors(parsed: DataFrame, keys: list[str], cancelled: DataFrame | N
     return errors
 
 
-def build_candidates(groups: DataFrame, parsed: DataFrame,
-                     keys: tuple[str, ...] = ("repo", "commit_id"),
-                     generation_col: str | None = None) -> DataFrame:
-    """OP-29: the i-th answer item belongs to the i-th group.
-
-    ``groups``: keys, group_ord, files (paths); ``parsed``: keys, items.
-    Items are exploded with their position and equi-joined on (keys,
-    group_ord); the parser guaranteed the count, so the join is total.
-    message/reason are trimmed, candidates start checked, and the id is a
-    hash of (keys, generation, group_ord) so re-runs give the same id.
-    """
-    keys = list(keys)
-    gen = [generation_col] if generation_col else []
-    items = (parsed.filter(F.col("items").isNotNull())
-             .select(*keys, *gen, F.posexplode_outer("items").alias("group_ord", "item"))
-             .filter(F.col("group_ord").isNotNull()))
-    joined = items.join(groups.select(*keys, "group_ord", "files"), keys + ["group_ord"])
-    id_parts = [F.col(k).cast("string") for k in keys + gen] + [F.col("group_ord").cast("string")]
-    return joined.select(
-        *keys, *gen, "group_ord",
-        F.sha2(F.concat_ws("|", *id_parts), 256).alias("candidate_id"),
-        js_trim(F.col("item.message")).alias("message"),
-        js_trim(F.col("item.reason")).alias("reason"),
-        "files", F.lit(True).alias("checked"))
-
-
 def build_candidates_in_row(parsed: DataFrame, keys: list[str], group_files_col: str = "group_files",
                             generation_col: str | None = None) -> DataFrame:
-    """OP-29 when the answer row still carries its snapshot's file lists
-    (``group_files``: ARRAY<ARRAY<STRING>> in group order): zip by position
-    inside the row, no join."""
+    """OP-29: the i-th answer item belongs to the i-th group.
+
+    The answer row still carries its snapshot's file lists (``group_files``:
+    ARRAY<ARRAY<STRING>> in group order), so items and groups are zipped by
+    position inside the row, no join.  message/reason are trimmed, candidates
+    start checked, and the id is a hash of (keys, generation, group_ord), so
+    re-runs give the same id."""
     gen = [generation_col] if generation_col else []
     zipped = F.transform(F.col("items"), lambda it, i: F.struct(
         i.alias("group_ord"), it["message"].alias("message"), it["reason"].alias("reason"),

@@ -25,21 +25,19 @@ from pyspark.sql import functions as F
 
 from ..functions.js import is_blank
 from ..operators import diffs, inference, paths, prompts, responses
-from ..plans.joins import size_checked_join
 from ..session import ensure_checkpoint_dir
 
 NO_CHANGES = "no_changes"
 NO_GROUPS = "could not analyse the staged changes"
 
 
-def snapshot_outcomes(commits: DataFrame, context: DataFrame, fn, models: DataFrame | None = None,
-                      infer_partitions: int | None = None) -> DataFrame:
+def snapshot_outcomes(commits: DataFrame, context: DataFrame, fn, models: DataFrame | None = None) -> DataFrame:
     """One row per snapshot: repo, commit_id, error (NULL when fine),
     items (parsed answer), group_files.  Not yet materialised."""
     keys = ["repo", "commit_id"]
     parsed = diffs.parse_files(commits.withColumn("_blank", is_blank("raw_diff")), keep_blank=True)
     grouped = paths.with_groups(parsed)
-    snap = size_checked_join(grouped, context, keys, "left")
+    snap = grouped.join(context, keys, "left")
     if models is not None:
         snap = inference.assign_model(snap, models)
     else:
@@ -53,16 +51,14 @@ def snapshot_outcomes(commits: DataFrame, context: DataFrame, fn, models: DataFr
         *keys, "_pre", F.size("groups").alias("n_groups"),
         F.when(F.col("_pre").isNull(), F.col("prompt_text")).alias("prompt_text"),
         F.transform("groups", lambda g: F.transform(g["files"], lambda f: f["path"])).alias("group_files"))
-    answers = inference.infer(staged, fn, keys=keys + ["_pre", "n_groups", "group_files"],
-                              partitions=infer_partitions)
+    answers = inference.infer(staged, fn, keys=keys + ["_pre", "n_groups", "group_files"])
     parsed_answers = responses.parse_array(answers, "n_groups")
     error = F.coalesce(F.col("_pre"), F.col("infer_error"), F.col("error"))
     return parsed_answers.select(*keys, error.alias("error"),
                                  F.when(error.isNull(), F.col("items")).alias("items"), "group_files")
 
 
-def run_generation(commits: DataFrame, context: DataFrame, fn, models: DataFrame | None = None,
-                   infer_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+def run_generation(commits: DataFrame, context: DataFrame, fn, models: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Return (candidates, errors).
 
     ``context``: one row per snapshot (repo, commit_id, conventional,
@@ -71,7 +67,7 @@ def run_generation(commits: DataFrame, context: DataFrame, fn, models: DataFrame
     choice failures, inference failures and unparsable answers.
     """
     ensure_checkpoint_dir(commits.sparkSession)
-    outcome = snapshot_outcomes(commits, context, fn, models, infer_partitions).checkpoint()
+    outcome = snapshot_outcomes(commits, context, fn, models).checkpoint()
     keys = ["repo", "commit_id"]
     cands = responses.build_candidates_in_row(outcome.filter(F.col("error").isNull()), keys)
     errors = outcome.filter(F.col("error").isNotNull()).select(*keys, "error")

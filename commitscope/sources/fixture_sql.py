@@ -9,7 +9,7 @@ them.
 
 from __future__ import annotations
 
-from .fixtures import BLANK_DIFF, CJK, FIXTURE_DATE, FIXTURE_PATHS, FIXTURE_USERS, JUNK_PREFIX, \
+from .fixtures import BLANK_DIFF, BLANK_ID_BASE, CJK, FIXTURE_DATE, FIXTURE_PATHS, FIXTURE_USERS, JUNK_PREFIX, \
     LOG_POS_BASE
 from ..functions.js import JS_WS_CHARS
 
@@ -58,10 +58,12 @@ fx_seg AS (
 ),
 commits AS (
   SELECT 'repo-' || CAST(commit_id % 10 AS VARCHAR) AS repo, commit_id,
-         CASE WHEN commit_id % 16 = 15 THEN {sql_str(BLANK_DIFF)}
-              WHEN commit_id % 5 = 4 THEN {sql_str(JUNK_PREFIX)} || body
-              ELSE body END AS raw_diff
+         CASE WHEN commit_id % 5 = 4 THEN {sql_str(JUNK_PREFIX)} || body ELSE body END AS raw_diff
   FROM (SELECT commit_id, string_agg(seg, '' ORDER BY doc_id) AS body FROM fx_seg GROUP BY commit_id)
+  UNION ALL
+  SELECT 'blank-' || CAST(n_nationkey % 10 AS VARCHAR), CAST({BLANK_ID_BASE} + n_nationkey AS BIGINT),
+         {sql_str(BLANK_DIFF)}
+  FROM nation
 )"""
 
 # OP-01 + OP-04 + OP-05: non-blank snapshots split into file changes.  DuckDB
@@ -215,7 +217,6 @@ models AS (
          ELSE {_in_list(MODEL_FAMILIES)}[1 + s.s_suppkey % 4] END AS family,
     CAST(s.s_suppkey AS INTEGER) AS cat_pos
   FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey
-  WHERE n.n_regionkey <> 4
 )"""
 
 RESPONSES_CTE = """

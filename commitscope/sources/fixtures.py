@@ -47,6 +47,8 @@ FIXTURE_PATHS = [
 ]
 JUNK_PREFIX = "warning: LF will be replaced by CRLF in staged files\n"
 BLANK_DIFF = " \t\n"
+BLANK_ID_BASE = 10**15
+REFUSAL = "the model refused this prompt"
 
 
 def _pick(values: list[str], index_col) -> F.Column:
@@ -84,29 +86,32 @@ def file_diff_segments(documents: DataFrame) -> DataFrame:
                             diff_segment(doc, F.col("text")).alias("seg"))
 
 
-def commits_from_documents(documents: DataFrame) -> DataFrame:
+def commits_from_documents(documents: DataFrame, nation: DataFrame) -> DataFrame:
     """``commits(repo, commit_id, raw_diff)``: one row per staged snapshot.
 
     Groups hold exactly eight documents, so the ordered collect is bounded.
     The raw documents are shuffled to their snapshot and the segments are
     built after the shuffle, so that work runs on every reduce partition
-    even when the table arrives as one file.  Every 16th snapshot is blank
-    (reported as ``no_changes``); every 5th has text before its first header
-    (skipped by the parser).
+    even when the table arrives as one file.  Every 5th snapshot has text
+    before its first header (skipped by the parser).  Each nation adds a
+    blank snapshot (reported as ``no_changes``) of a repo of its own.
     """
     docs = documents.select("doc_id", "text", F.expr("doc_id div 8").alias("commit_id"))
     snap = docs.groupBy("commit_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("_docs"))
     body = F.array_join(F.transform("_docs", lambda d: diff_segment(d["doc_id"], d["text"])), "")
     cid = F.col("commit_id")
-    raw = (F.when(cid % 16 == 15, F.lit(BLANK_DIFF))
-           .when(cid % 5 == 4, F.concat(F.lit(JUNK_PREFIX), body))
-           .otherwise(body))
-    return snap.select(F.concat(F.lit("repo-"), (cid % 10).cast("string")).alias("repo"),
+    raw = F.when(cid % 5 == 4, F.concat(F.lit(JUNK_PREFIX), body)).otherwise(body)
+    full = snap.select(F.concat(F.lit("repo-"), (cid % 10).cast("string")).alias("repo"),
                        cid.alias("commit_id"), raw.alias("raw_diff"))
+    key = F.col("n_nationkey")
+    blank = nation.select(F.concat(F.lit("blank-"), (key % 10).cast("string")).alias("repo"),
+                          (F.lit(BLANK_ID_BASE) + key).cast("long").alias("commit_id"),
+                          F.lit(BLANK_DIFF).alias("raw_diff"))
+    return full.unionByName(blank)
 
 
 def load_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return commits_from_documents(table(spark, sf_dir, "documents"))
+    return commits_from_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "nation"))
 
 
 # ---------------------------------------------------------------------------
@@ -200,21 +205,20 @@ def option_updates_from_nation(nation: DataFrame) -> DataFrame:
 # Fixed values of the recipe: vendors and families by supplier key.
 MODEL_VENDORS = ["copilot", "openai", "anthropic"]
 MODEL_FAMILIES = ["gpt-4o", "gpt-4.1", "claude", "gemini"]
-CATALOGUES = 5  # catalogue = region of the supplier's nation; region 4 has none
 
 
 def models_from_suppliers(supplier: DataFrame, nation: DataFrame) -> DataFrame:
     """``models(catalog_id, id, name, vendor, family, cat_pos)``.
 
-    Catalogue r = suppliers of region r.  Region 1 lacks the preferred family,
-    region 2 the preferred vendor, region 4 is empty: every fallback tier
-    and the error case occur."""
+    Catalogue r = suppliers of region r.  Region 1 lacks the preferred family
+    and region 2 the preferred vendor; requests may also name a catalogue
+    that no supplier is in: every fallback tier and the error case occur."""
     s = supplier.join(nation.select("n_nationkey", "n_regionkey"),
                       supplier["s_nationkey"] == nation["n_nationkey"])
     k, r = F.col("s_suppkey"), F.col("n_regionkey")
     vendor = F.when(r == 2, _pick(MODEL_VENDORS[1:], k % 2)).otherwise(_pick(MODEL_VENDORS, k % 3))
     family = F.when(r == 1, _pick(MODEL_FAMILIES[1:3], k % 2)).otherwise(_pick(MODEL_FAMILIES, k % 4))
-    return s.filter(r != 4).select(
+    return s.select(
         r.cast("int").alias("catalog_id"),
         F.concat(F.lit("model-"), k.cast("string")).alias("id"),
         F.when(k % 5 == 0, F.lit("")).otherwise(F.col("s_name")).alias("name"),
@@ -230,7 +234,7 @@ def echo_model(batches):
     lists.  A pure function of the prompt text (re-runs and retried tasks
     give the same answers); by prompt length it also answers in a code
     fence, between chatter lines, or with one item too few, so the parser's
-    paths all occur."""
+    paths all occur, and it fails on some prompts."""
     import json
     import re
 
@@ -238,6 +242,8 @@ def echo_model(batches):
     for prompts in batches:
         out = []
         for p in prompts:
+            if len(p) % 13 == 5:
+                raise ValueError(REFUSAL)
             labels = re.findall(r"(?m)^Group: (.*)$", p)
             items = [{"message": f"chore({lab.strip()}): update {lab.strip()} ",
                       "reason": " Keeps the files of this group together."} for lab in labels]

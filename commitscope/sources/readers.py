@@ -91,7 +91,7 @@ def parse_author_subject(lines: DataFrame, line_col: str = "line") -> DataFrame:
     keys = [c for c in lines.columns if c != line_col]
     return (lines.filter(tab > 0)
             .select(*keys, F.substring(line, F.lit(1), tab - 1).alias("email"),
-                    F.substring(line, tab + 1, F.lit(1 << 30)).alias("subject")))
+                    F.substr(line, tab + 1).alias("subject")))
 
 
 # ---------------------------------------------------------------------------

@@ -99,16 +99,38 @@ def test_assemble_any_order(spark):
 
 
 def test_infer_failure_becomes_rows(spark):
-    df = spark.range(10).select(F.col("id").alias("k"), F.concat(F.lit("p"), F.col("id")).alias("prompt_text"))
+    prompt = F.when(F.col("id") != 5, F.concat(F.lit("p"), F.col("id")))
+    df = spark.range(200).select(F.col("id").alias("k"), prompt.alias("prompt_text")).repartition(1)
+    long = "boom" * 1000
 
     def flaky(batches):
         for b in batches:
-            if (b.str.len() > 0).any() and "p3" in set(b):
-                raise RuntimeError("boom")
+            if {"p3", "p77"} & set(b):
+                raise RuntimeError(long)
             yield pd.Series(["ok:" + p for p in b])
-    out = inference.infer(df.repartition(1), flaky, keys=["k"]).collect()
-    assert len(out) == 10
-    assert all(r.infer_error and "boom" in r.infer_error for r in out if r.raw is None)
+
+    def broken(batches):
+        raise ValueError("no client")
+
+    def short(batches):
+        for b in batches:
+            yield pd.Series(["ok:" + p for p in b][:10])
+
+    def early(batches):
+        yield pd.Series(["ok:" + p for p in next(batches)])
+
+    def noisy(batches):
+        yield pd.Series(["x"])
+        yield pd.Series(["y"])
+
+    def run(fn):
+        return {r.k: (r.raw, r.infer_error) for r in inference.infer(df, fn, keys=["k"], slice_rows=16).collect()}
+    want = {k: (f"ok:p{k}", None) if k != 5 else (None, None) for k in range(200)}
+    bad = {k: (None, f"RuntimeError: {long}") for k in (3, 77)}
+    assert run(flaky) == {**want, **bad}
+    assert run(short) == want and run(early) == want
+    assert run(broken) == {k: (None, None if k == 5 else "ValueError: no client") for k in range(200)}
+    assert set(run(noisy).values()) == {(None, None), (None, "answer count 2 != prompt count 1")}
 
 
 def test_quality_flags(spark):
