@@ -29,14 +29,14 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..session import ship_package
 from .common import quoted
 
 MARK = "▁"
-KEPT_SEGMENTS = 1 << 19
-KEPT_PAIRS = 1 << 20
+KEPT_SEGMENTS = 1 << 18
+KEPT_PAIRS = 1 << 19
 LONGEST_KEPT = 48
 # Fixed values of the model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -306,6 +306,13 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Small pieces of each batch, so that few results are held at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, ids array<int>, n_pieces long``.
 
@@ -318,13 +325,12 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(proto.value)
-        for batch in batches:
+        for batch in _slices(batches):
             ids = [np.array(model.encode(t.as_py()), dtype=np.int32) for t in batch.column("text")]
             sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
             offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(offsets, flat), pa.array(sizes)],
+                [batch.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids))), pa.array(sizes)],
                 names=["doc_id", "ids", "n_pieces"])
 
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_pieces long")
@@ -334,10 +340,13 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: s
     """``encoded`` with the text of its ids (null ids: null)."""
     ship_package(encoded.sparkSession)
     proto = encoded.sparkSession.sparkContext.broadcast(read_model(model_path))
+    at = encoded.columns.index(ids_col)
 
-    @F.pandas_udf("string")
-    def text_of(ids):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(proto.value)
-        return ids.map(lambda x: None if x is None else model.decode(x.tolist()))
+        for batch in _slices(batches):
+            texts = [None if x.values is None else model.decode(x.values.to_numpy().tolist()) for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
+                                             names=[*batch.schema.names, out_col])
 
-    return encoded.withColumn(out_col, text_of(quoted(ids_col)))
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(out_col, StringType())]))
