@@ -35,7 +35,7 @@ from ..session import ship_package
 from .common import quoted
 
 MARK = "▁"
-KEPT_SEGMENTS = 1 << 18
+KEPT_SEGMENTS = 1 << 17
 KEPT_PAIRS = 1 << 19
 LONGEST_KEPT = 48
 # Fixed values of the model format: piece types and model types.
@@ -116,7 +116,9 @@ class Pieces:
         other = f"[^{MARK}{lone}]"
         self.cut = None if inner else re.compile(f"{MARK}+{other}*|{other}+" + (f"|{lone}" if lone else "")).findall
         self.known: dict[str, tuple[int, ...]] = {}
-        self.stable: dict[tuple[str, str], bool] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.stable: dict[int, bool] = {}  # by the ids of two neighbours
+        self.char_ids = {p: i for p, i in self.ids.items() if len(p) == 1}
         self.rank = {self.pieces[i]: -self.scores[i] for i in normal}
         shift = min(self.rank.values(), default=0.0)
         self.rank = {p: r - shift for p, r in self.rank.items()}  # from 0 up
@@ -143,71 +145,89 @@ class Pieces:
         for segment in self.cut(text):
             ids = known.get(segment)
             if ids is None:
-                ids = self._segment(segment)
+                ids = self.older.get(segment) or self._segment(segment)
                 if len(segment) <= LONGEST_KEPT:
-                    if len(known) >= KEPT_SEGMENTS:
-                        known.clear()
+                    if len(known) >= KEPT_SEGMENTS:  # the last two tables are kept
+                        self.older, self.known = known, {}
+                        known = self.known
                     known[segment] = ids
             extend(ids)
         return out
 
     def _segment(self, text: str) -> tuple[int, ...]:
-        if text in self.ids and self.kind == BPE and self._is_stable("", text):
-            return (self.ids[text],)
-        # back[p]: length of the last piece of the best way to position p.
-        back = (self._stable_ways if self.kind == BPE else self._best_ways)(text)
+        whole = self.ids.get(text)
+        if whole is not None and self.kind == BPE and self._halves(text) is not None:
+            return (whole,)
+        # back[p], last[p]: size and id of the last piece of the best way to p.
+        last = [0, *map(self.char_ids.get, text)]
+        if None in last:
+            last = [0, *(self.char_ids.get(c, ~ord(c)) for c in text)]
+        back = (self._stable_ways if self.kind == BPE else self._best_ways)(text, last)
         out: list[int] = []
         p = len(text)
         while p:
-            piece = text[p - back[p]:p]
-            i = self.ids.get(piece)
-            if i is not None:
+            i = last[p]
+            if i >= 0:
                 out.append(i)
             elif self.byte_fallback:
-                out += [self.byte_ids[b] for b in reversed(piece.encode("utf-8", "surrogatepass"))]
+                out += [self.byte_ids[b] for b in reversed(text[p - 1].encode("utf-8", "surrogatepass"))]
             elif not (out and out[-1] == self.unknown):
                 out.append(self.unknown)
             p -= back[p]
         return tuple(reversed(out))
 
-    def _best_ways(self, text: str) -> list[int]:
+    def _best_ways(self, text: str, last: list[int]) -> list[int]:
         n, scores = len(text), self.scores
-        best, back = [0.0] + [-float("inf")] * n, [0] * (n + 1)
+        self.lone = list(last)
+        best, back = [0.0] + [-float("inf")] * n, [1] * (n + 1)
         at = 0  # positions up to here are final
         for end, (size, i) in self.automaton.iter(text):
             end += 1
             while at < end - 1:
                 at += 1
-                self._relax_unknown(text, at, best, back)
+                self._relax_unknown(last, at, best, back)
             way = best[end - size] + scores[i]
             if way > best[end]:
                 best[end], back[end] = way, size
+                last[end] = i
         while at < n:
             at += 1
-            self._relax_unknown(text, at, best, back)
+            self._relax_unknown(last, at, best, back)
         return back
 
-    def _relax_unknown(self, text: str, end: int, best: list[float], back: list[int]) -> None:
-        if text[end - 1] not in self.ids:
+    def _relax_unknown(self, last: list[int], end: int, best: list[float], back: list[int]) -> None:
+        """The character before ``end``, if it has no piece (a longer piece
+        may end there too)."""
+        lone = self.lone[end]
+        if lone < 0:
             way = best[end - 1] + self.unknown_score
             if way > best[end]:
-                best[end], back[end] = way, 1
+                best[end], back[end], last[end] = way, 1, lone
 
-    def _stable_ways(self, text: str) -> list[int]:
+    def _stable_ways(self, text: str, last: list[int]) -> list[int]:
         back = [1] * (len(text) + 1)  # a lone character, unless a longer piece is stable
-        settled, stable = 0, self.stable.get
-        for end, (size, _) in self.automaton.iter(text):
+        settled, stable, width = 0, self.stable.get, len(self.pieces)
+        for end, (size, i) in self.automaton.iter(text):
             end += 1
             if end == settled:
                 continue
             start = end - size
-            pair = (text[start - back[start]:start] if start else "", text[start:end])
-            holds = stable(pair)
-            if holds or holds is None and self._is_stable(*pair):
-                back[end], settled = size, end
+            key = last[start] * width + i if start else ~i
+            holds = stable(key)
+            if holds is None:
+                left = text[start - back[start]:start] if start else ""
+                holds = self._remember(key, left, text[start:end])
+            if holds:
+                back[end], last[end], settled = size, i, end
         return back
 
-    def _is_stable(self, left: str, right: str) -> bool:
+    def _remember(self, key: int, left: str, right: str) -> bool:
+        if len(self.stable) >= KEPT_PAIRS:
+            self.stable.clear()
+        found = self.stable[key] = self._border_holds(left, right)
+        return found
+
+    def _border_holds(self, left: str, right: str) -> bool:
         """Whether the merges of ``left + right`` end in just these two
         (``left`` may be empty).
 
@@ -216,15 +236,6 @@ class Pieces:
         undone, and each pair that stood side by side there is looked at: had
         it a merge that came before the one undone, the border would be gone.
         """
-        key = (left, right)
-        found = self.stable.get(key)
-        if found is None:
-            if len(self.stable) >= KEPT_PAIRS:
-                self.stable.clear()
-            found = self.stable[key] = self._border_holds(left, right)
-        return found
-
-    def _border_holds(self, left: str, right: str) -> bool:
         if self._halves(right) is None:
             return False
         if not left:
