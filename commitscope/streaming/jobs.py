@@ -69,12 +69,9 @@ def latest_versions(spark: SparkSession, out: str, keys: list[str]) -> DataFrame
 # Stateful aggregates (streaming DataFrames in, streaming DataFrames out)
 # ---------------------------------------------------------------------------
 
-def assemble_stream(chunks: DataFrame, watermark: str | None = None) -> DataFrame:
-    """OP-25 on a chunk stream.  ``watermark`` (e.g. "10 minutes" on
-    ``event_ts``) bounds the state for requests that never finish; the
-    original keeps no bound, so the default is none."""
-    if watermark:
-        chunks = chunks.withWatermark("event_ts", watermark)
+def assemble_stream(chunks: DataFrame) -> DataFrame:
+    """OP-25 on a chunk stream.  State is kept for every request, as in the
+    original: an answer may be completed at any time."""
     ordered = F.array_sort(F.collect_list(F.struct("idx", "chunk")))
     return (chunks.groupBy("request_id")
             .agg(F.array_join(F.transform(ordered, lambda c: c["chunk"]), "").alias("raw"),
@@ -100,11 +97,35 @@ def newest_snapshot_stream(commits: DataFrame) -> DataFrame:
 # Helpers that land a batch table as files and stream it back
 # ---------------------------------------------------------------------------
 
-def land_as_stream(spark: SparkSession, df: DataFrame, base: str, files: int = 4) -> DataFrame:
+def land_as_stream(spark: SparkSession, df: DataFrame, base: str, batches: int = 4) -> DataFrame:
     """Write ``df`` as parquet files under ``base/in`` and return a stream
-    reading that folder (the file source sees each file once)."""
+    reading that folder (the file source sees each file once) in about
+    ``batches`` micro-batches.  There are as many files as the session has
+    shuffle partitions, which is sized with the data."""
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.repartition(files).write.mode("overwrite").parquet(f"{base}/in")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    return (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-files // batches))
+            .parquet(f"{base}/in"))
+
+
+# ---------------------------------------------------------------------------
+# State kept as one table per micro-batch
+# ---------------------------------------------------------------------------
+
+def state_before(spark: SparkSession, path: str, batch_id: int | None = None) -> DataFrame | None:
+    """The newest state under ``path`` written by a batch before ``batch_id``
+    (by any, without one); None if there is none.
+
+    Every micro-batch writes the whole state to its own folder, so a batch
+    reads one earlier table however many came before, and a replayed batch
+    never reads what its first attempt left."""
+    if batch_id == 0:
+        return None
+    versions = spark.read.parquet(path)
+    if batch_id is not None:
+        versions = versions.filter(F.col("batch_id") < batch_id)
+    newest = versions.agg(F.max("batch_id")).first()[0]
+    return None if newest is None else versions.filter(F.col("batch_id") == newest).drop("batch_id")
 
 
 # ---------------------------------------------------------------------------
@@ -122,85 +143,66 @@ def run_fold_stream(events: DataFrame, base: str) -> None:
       events, with the session's previous list entries (order keys, message,
       checked flag) and status as ``prior``;
     * sessions that received an older (late) event are re-folded from their
-      stored event history, so arrival order never changes the result.
+      stored event history, so arrival order never changes the result;
+    * all other sessions are carried over.
 
-    Every batch appends its events to ``base/events`` and writes lists and
-    status of touched sessions under ``batch_id=<n>`` (overwritten on
-    replay, so a retried batch is exact); ``latest_lists`` /
-    ``latest_status`` read the newest version per session.
+    A batch reads the state of the batch before it (``state_before``) and
+    events up to its own, and writes events, status and lists to
+    ``batch_id=<n>`` (overwritten on replay, so a retried batch is exact).
     """
     spark = events.sparkSession
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/events/batch_id={batch_id}")
+        batch = spark.read.schema(batch.schema).parquet(f"{base}/events/batch_id={batch_id}")
         seen = batch.groupBy("session").agg(F.min("seq").alias("_min"), F.max("seq").alias("_max"))
-        if batch_id > 0 and _exists(spark, f"{base}/status"):
-            prior_status = latest_status(spark, base).join(seen, "session", "left_semi")
-            late = (seen.join(prior_status.select("session", "last_seq"), "session")
+        before = state_before(spark, f"{base}/status", batch_id)
+        if before is None:
+            status = cstate.session_status(batch)
+            entries = cstate.fold_candidates(batch, status)
+            carried_status = carried_lists = None
+            last = seen.select("session", F.col("_max").alias("last_seq"))
+        else:
+            lists_before = state_before(spark, f"{base}/lists", batch_id)
+            late = (seen.join(before.select("session", "last_seq"), "session")
                     .filter(F.col("_min") < F.col("last_seq")).select("session"))
             late = late.checkpoint()  # small: decides both paths below
             in_order = seen.select("session").join(late, "session", "left_anti")
-            parts = []
-            if in_order.limit(1).count():
-                prior_lists = latest_lists(spark, base, keep_order=True).join(in_order, "session", "left_semi")
-                inc_events = batch.join(in_order, "session", "left_semi")
-                inc_status = cstate.session_status(inc_events,
-                                                   prior_status.join(in_order, "session", "left_semi"))
-                parts.append((inc_status, cstate.fold_candidates(inc_events, inc_status, prior_lists)))
-            if late.limit(1).count():
-                history = spark.read.parquet(f"{base}/events").drop("batch_id").join(late, "session", "left_semi")
-                full_status = cstate.session_status(history)
-                parts.append((full_status, cstate.fold_candidates(history, full_status)))
-            status, entries = parts[0]
-            for st, en in parts[1:]:
-                status, entries = status.unionByName(st), entries.unionByName(en)
-            before = prior_status.select("session", F.col("last_seq").alias("_prior_last"))
-        else:
-            status = cstate.session_status(batch)
-            entries = cstate.fold_candidates(batch, status)
-            before = None
-        # the newest seq folded so far (a late batch must not move it back)
-        last = seen.select("session", F.col("_max").alias("last_seq"))
-        if before is not None:
-            last = (last.join(before, "session", "left")
-                    .select("session", F.greatest("last_seq", "_prior_last").alias("last_seq")))
+            inc_events = batch.join(in_order, "session", "left_semi")
+            status = cstate.session_status(inc_events, before.join(in_order, "session", "left_semi"))
+            entries = cstate.fold_candidates(inc_events, status, lists_before.join(in_order, "session", "left_semi"))
+            if not late.isEmpty():
+                history = (spark.read.parquet(f"{base}/events").filter(F.col("batch_id") <= batch_id)
+                           .drop("batch_id").join(late, "session", "left_semi"))
+                full = cstate.session_status(history)
+                status = status.unionByName(full)
+                entries = entries.unionByName(cstate.fold_candidates(history, full))
+            carried_status = before.join(seen, "session", "left_anti")
+            carried_lists = lists_before.join(seen, "session", "left_anti")
+            # a late batch must not move the newest folded seq back
+            last = (seen.join(before.select("session", F.col("last_seq").alias("_prior")), "session", "left")
+                    .select("session", F.greatest("_max", "_prior").alias("last_seq")))
         status = status.join(last, "session", "left")
-        lists = cstate.list_positions(entries)
+        lists = cstate.list_positions(entries).select("session", "list_pos", "entry_seq", "sub_pos", "id", "message",
+                                                      "checked")
+        if carried_status is not None:
+            status, lists = status.unionByName(carried_status), lists.unionByName(carried_lists)
         status.write.mode("overwrite").parquet(f"{base}/status/batch_id={batch_id}")
-        # a session whose list became empty still gets a marker row
-        marker = seen.select("session").join(lists.select("session").distinct(), "session", "left_anti")
-        null = F.lit(None)
-        out = lists.select("session", "list_pos", "entry_seq", "sub_pos", "id", "message", "checked").unionByName(
-            marker.select("session", null.cast("int").alias("list_pos"), null.cast("long").alias("entry_seq"),
-                          null.cast("int").alias("sub_pos"), null.cast("string").alias("id"),
-                          null.cast("string").alias("message"), null.cast("boolean").alias("checked")))
-        out.write.mode("overwrite").parquet(f"{base}/lists/batch_id={batch_id}")
+        lists.write.mode("overwrite").parquet(f"{base}/lists/batch_id={batch_id}")
 
     q = (events.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/ckpt")
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def _newest(df: DataFrame) -> DataFrame:
-    newest = df.groupBy("session").agg(F.max("batch_id").alias("batch_id"))
-    return df.join(newest, ["session", "batch_id"], "left_semi").drop("batch_id")
-
-
 def latest_status(spark: SparkSession, base: str) -> DataFrame:
     """The newest status row of every session."""
-    return _newest(spark.read.parquet(f"{base}/status"))
+    return state_before(spark, f"{base}/status")
 
 
-def latest_lists(spark: SparkSession, base: str, keep_order: bool = False) -> DataFrame:
+def latest_lists(spark: SparkSession, base: str) -> DataFrame:
     """The newest folded list of every session (empty lists give no rows)."""
-    rows = _newest(spark.read.parquet(f"{base}/lists")).filter(F.col("list_pos").isNotNull())
-    return rows if keep_order else rows.drop("entry_seq", "sub_pos")
+    return state_before(spark, f"{base}/lists").drop("entry_seq", "sub_pos")
 
 
 def newest_run_stream(runs: DataFrame, session: str = "repo", generation: str = "generation") -> DataFrame:
@@ -232,34 +234,27 @@ def run_line_numbers_stream(commits: DataFrame, out: str, checkpoint: str) -> No
 
 def run_recent_commits_stream(log: DataFrame, base: str, n: int | None = None) -> None:
     """OP-16/17 on a log stream, incrementally: the newest n entries of
-    (previous newest n + this batch) are the newest n of everything, so
-    each batch reads only the touched repos' previous lists."""
+    (previous newest n + this batch) are the newest n of everything.  Each
+    batch reads the state of the batch before it and writes the whole state,
+    at most n rows per repository."""
     from ..operators import history
     n = n or history.HISTORY_LIMIT
     spark = log.sparkSession
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         entries = batch.filter(~F.col("is_merge")).select("repo", "log_pos", "hash", "subject", "author", "date")
-        if batch_id > 0 and _exists(spark, f"{base}/recent"):
-            prev = (_newest_by(spark.read.parquet(f"{base}/recent"), "repo")
-                    .join(entries.select("repo").distinct(), "repo", "left_semi"))
-            entries = entries.unionByName(prev)
-        top = history.newest_first(entries, n)
-        top.write.mode("overwrite").parquet(f"{base}/recent/batch_id={batch_id}")
+        before = state_before(spark, f"{base}/recent", batch_id)
+        if before is not None:
+            entries = entries.unionByName(before)
+        history.newest_first(entries, n).write.mode("overwrite").parquet(f"{base}/recent/batch_id={batch_id}")
 
     q = (log.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/ckpt")
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def _newest_by(df: DataFrame, key: str) -> DataFrame:
-    newest = df.groupBy(key).agg(F.max("batch_id").alias("batch_id"))
-    return df.join(newest, [key, "batch_id"], "left_semi").drop("batch_id")
-
-
 def latest_recent_commits(spark: SparkSession, base: str) -> DataFrame:
     """Display rows (OP-17) of each repo's newest history list."""
-    recent = _newest_by(spark.read.parquet(f"{base}/recent"), "repo")
-    return recent.select("repo", "log_pos", F.substring("hash", 1, 8).alias("short_hash"),
-                         F.col("subject").alias("message"), "author",
-                         F.substring("date", 1, 16).alias("short_date"))
+    return state_before(spark, f"{base}/recent").select(
+        "repo", "log_pos", F.substring("hash", 1, 8).alias("short_hash"), F.col("subject").alias("message"), "author",
+        F.substring("date", 1, 16).alias("short_date"))

@@ -36,7 +36,7 @@ def test_newest_run_stream(spark, tmp_path):
     runs = spark.createDataFrame([("r", 1, False), ("r", 3, True), ("s", 2, False)],
                                  "repo string, generation long, cancelled boolean")
     base = str(tmp_path / "runs")
-    src = jobs.land_as_stream(spark, runs, base, files=2)
+    src = jobs.land_as_stream(spark, runs, base, batches=2)
     jobs.run_versioned(jobs.newest_run_stream(src), f"{base}/out", f"{base}/ckpt")
     got = {r.repo: (r.generation, r.cancelled) for r in jobs.latest_versions(spark, f"{base}/out", ["repo"]).collect()}
     assert got == {"r": (3, True), "s": (2, False)}
@@ -62,6 +62,54 @@ def test_incremental_stream_fold_matches_batch(spark, tmp_path):
     assert sorted(map(tuple, st.collect())) == sorted(map(tuple, want_st.collect()))
 
 
+def _forget_last_commit(checkpoint):
+    """As if the driver had died between a batch's writes and its commit."""
+    import os
+    names = [n for n in os.listdir(f"{checkpoint}/commits") if n.isdigit()]
+    last = max(names, key=int)
+    assert int(last) > 0
+    for name in (last, f".{last}.crc"):
+        if os.path.exists(f"{checkpoint}/commits/{name}"):
+            os.remove(f"{checkpoint}/commits/{name}")
+
+
+def _stream(spark, df, base):
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+
+
+def test_replayed_batches_change_nothing(spark, tmp_path):
+    from commitscope import catalog
+    from commitscope.operators import lines
+    from commitscope.sources.fixtures import load_commit_log, load_commits
+    sf = "/root/testdata/sf0.001"
+    log, events, commits = load_commit_log(spark, sf), catalog._events(spark, sf), load_commits(spark, sf)
+    runs = {
+        "recent": (log, lambda s, b: jobs.run_recent_commits_stream(s, b), lambda b: jobs.latest_recent_commits(spark, b),
+                   catalog.recent_commits(spark, sf)),
+        "fold": (events, lambda s, b: jobs.run_fold_stream(s, b), lambda b: jobs.latest_lists(spark, b),
+                 catalog.state_candidates(spark, sf)),
+        "lines": (commits, lambda s, b: jobs.run_line_numbers_stream(s, f"{b}/out", f"{b}/ckpt"),
+                  lambda b: spark.read.parquet(f"{b}/out").drop("batch_id", "raw"),
+                  lines.number_lines(lines.explode_lines(catalog._file_changes(spark, sf))).drop("raw"))}
+    for name, (df, run, read, want) in runs.items():
+        base = str(tmp_path / name)
+        df.repartition(4).write.parquet(f"{base}/in")
+        run(_stream(spark, df, base), base)
+        _forget_last_commit(f"{base}/ckpt")
+        run(_stream(spark, df, base), base)
+        cols = want.columns
+        assert sorted(map(str, read(base).select(*cols).collect())) == sorted(map(str, want.collect())), name
+
+
+def test_state_is_one_table_per_batch(spark, tmp_path):
+    path = str(tmp_path / "state")
+    assert jobs.state_before(spark, path, 0) is None
+    for n in (0, 1, 2):
+        spark.createDataFrame([(n, "x")], "v int, w string").write.parquet(f"{path}/batch_id={n}")
+    assert jobs.state_before(spark, path).first().v == 2
+    assert jobs.state_before(spark, path, 2).collect() == [(1, "x")]
+
+
 def test_recommended_conf_sizes_partitions():
     from commitscope.session import recommended_conf
     conf = recommended_conf(100 * 1024 ** 4, total_cores=8000)          # 100 TB on 8000 cores
