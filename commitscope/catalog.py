@@ -154,8 +154,7 @@ FROM bases
 def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-07 + OP-08: every diff line with its old/new number."""
     from .operators import lines
-    dl = lines.explode_lines(_file_changes(spark, sf_dir))
-    return lines.number_lines(dl).select("repo", "commit_id", "file_seq", "pos", "kind", "sign",
+    return lines.number_lines(_file_changes(spark, sf_dir)).select("repo", "commit_id", "file_seq", "pos", "kind", "sign",
                                          "text", "old_n", "new_n")
 
 
@@ -291,12 +290,7 @@ def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = F.concat_ws(readers.RECORD_SEP, "hash", "subject", "author")
     lines = log.select("repo", "log_pos",
                        F.when(F.col("hash").startswith("0"), short).otherwise(full).alias("line"))
-    good, bad = readers.parse_log_records(lines)
-    return (good.select("repo", "log_pos", F.lit("ok").alias("status"), "hash", "subject", "author",
-                        "date")
-            .unionByName(bad.select("repo", "log_pos", F.lit("rejected").alias("status"),
-                                    *[F.lit(None).cast("string").alias(c)
-                                      for c in ("hash", "subject", "author", "date")])))
+    return readers.log_records(lines).select("repo", "log_pos", "status", "hash", "subject", "author", "date")
 
 
 @register("log_author_subject", f"""
@@ -398,7 +392,6 @@ def resolved_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     reqs = requests_from_commits(commits)
     stored = settings.stored_settings(option_updates_from_nation(table(spark, sf_dir, "nation")))
     eff = settings.resolve_settings(reqs, stored)
-    eff = eff.join(reqs.select("repo", "seq", "commit_id"), ["repo", "seq"])
     detected = history.detect_language(load_commit_log(spark, sf_dir), users_table(spark))
     out = history.resolve_language(eff, detected)
     return out.select("repo", "commit_id", "seq", "kind", "conventional", "language", "model", "prompt",
@@ -413,17 +406,19 @@ from .operators import inference, prompts  # noqa: E402
 from .sources.fixtures import models_from_suppliers  # noqa: E402
 
 
-def _prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per snapshot: options (resolved) and the repo's history bullets."""
-    resolved = resolved_settings(spark, sf_dir).select(
+def _with_prompt_context(snapshots: DataFrame, spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame:
+    """Snapshots with their resolved options (a few short columns per
+    snapshot) and, last, their repository's history: one row per repository,
+    never a copy per request."""
+    options = resolved_settings(spark, sf_dir).select(
         "repo", "commit_id", "conventional", "prompt_language", "prompt", "model")
     hist = prompts.history_text(load_commit_log(spark, sf_dir))
-    return resolved.join(hist, "repo", "left")
+    return snapshots.join(options, ["repo", "commit_id"], how).join(hist, "repo", "left")
 
 
-def _snapshot_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _snapshot_groups(commits: DataFrame) -> DataFrame:
     """(repo, commit_id, groups) for every snapshot with at least one group."""
-    grouped = paths.with_groups(diffs.parse_files(load_commits(spark, sf_dir)))
+    grouped = paths.with_groups(diffs.parse_files(commits))
     return keep_where(grouped, F.size("groups") > 0)
 
 
@@ -496,8 +491,7 @@ FROM p
 def group_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-21: one prompt per file group (md5 and length reported)."""
     # join the context once per snapshot, then explode the groups
-    snap = _snapshot_groups(spark, sf_dir).join(_prompt_context(spark, sf_dir),
-                             ["repo", "commit_id"])
+    snap = _with_prompt_context(_snapshot_groups(load_commits(spark, sf_dir)), spark, sf_dir)
     ctx_cols = ["conventional", "prompt_language", "prompt", "history"]
     rows = (snap.select("repo", "commit_id", *ctx_cols, F.explode_outer("groups").alias("g"))
             .filter("g IS NOT NULL")
@@ -533,15 +527,13 @@ FROM batch_prompts
 """)
 def batch_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-22: one prompt per snapshot for all its groups."""
-    out = _batch_prompt_rows(spark, sf_dir)
+    out = _batch_prompt_rows(spark, sf_dir, load_commits(spark, sf_dir))
     return out.select("repo", "commit_id", "n_groups", F.length("prompt_text").alias("prompt_chars"),
                       F.md5("prompt_text").alias("prompt_md5"))
 
 
-def _batch_prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = _snapshot_groups(spark, sf_dir)
-    ctx = _prompt_context(spark, sf_dir)
-    snap = groups.join(ctx, ["repo", "commit_id"])
+def _batch_prompt_rows(spark: SparkSession, sf_dir: str, commits: DataFrame) -> DataFrame:
+    snap = _with_prompt_context(_snapshot_groups(commits), spark, sf_dir)
     return prompts.batch_prompts(snap).withColumn("n_groups", F.size("groups"))
 
 
@@ -713,10 +705,10 @@ def parsed_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "error")
 
 
-def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _answers(spark: SparkSession, sf_dir: str, commits: DataFrame) -> DataFrame:
     """Batch prompts answered by the deterministic stand-in model; each row
     keeps its snapshot's file lists so candidates need no join."""
-    snap = _batch_prompt_rows(spark, sf_dir).select(
+    snap = _batch_prompt_rows(spark, sf_dir, commits).select(
         "repo", "commit_id", "n_groups", "prompt_text",
         F.transform("groups", lambda g: F.transform(g["files"], lambda f: f["path"])).alias("group_files"))
     return inference.infer(snap, echo_model, keys=["repo", "commit_id", "n_groups", "group_files"])
@@ -753,7 +745,7 @@ SELECT repo, commit_id, md5(raw) AS raw_md5, infer_error FROM answers
 """)
 def inference_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-24: every batch prompt through the caller's function (mapInPandas)."""
-    return _answers(spark, sf_dir).select("repo", "commit_id", F.md5("raw").alias("raw_md5"), "infer_error")
+    return _answers(spark, sf_dir, load_commits(spark, sf_dir)).select("repo", "commit_id", F.md5("raw").alias("raw_md5"), "infer_error")
 
 
 _CANDS_SQL = f"""{_PROMPT_CTE}, {_BATCH_SQL}, {_ECHO_SQL},
@@ -780,7 +772,11 @@ SELECT * FROM cands
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-24 + OP-27 + OP-29: answers parsed as arrays of exactly n_groups
     items and zipped with the groups; failed snapshots yield no candidates."""
-    parsed_rows = responses.parse_array(_answers(spark, sf_dir), "n_groups")
+    return _candidates(spark, sf_dir, load_commits(spark, sf_dir))
+
+
+def _candidates(spark: SparkSession, sf_dir: str, commits: DataFrame) -> DataFrame:
+    parsed_rows = responses.parse_array(_answers(spark, sf_dir, commits), "n_groups")
     cands = responses.build_candidates_in_row(parsed_rows, ["repo", "commit_id"])
     return cands.select("repo", "commit_id", "group_ord", "candidate_id", "message", "reason",
                         F.array_join("files", ",").alias("files"), "checked")
@@ -1028,11 +1024,14 @@ WHERE NOT n.cancelled
 """)
 def latest_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-31: per repo only the newest run's candidates survive; a cancelled
-    newest run leaves none.  Run = regenerate request, generation = seq."""
-    cands = candidates(spark, sf_dir).withColumnRenamed("commit_id", "generation")
-    runs = (requests_from_commits(load_commits(spark, sf_dir)).filter(F.col("kind") == "regenerate")
+    newest run leaves none.  Run = regenerate request, generation = seq.  Only
+    the snapshots of surviving runs reach the model."""
+    commits = load_commits(spark, sf_dir)
+    runs = (requests_from_commits(commits).filter(F.col("kind") == "regenerate")
             .select("repo", F.col("seq").alias("generation"), (F.col("commit_id") % 9 == 4).alias("cancelled")))
-    return cstate.latest_generation(cands, runs).select("repo", "generation", "group_ord", "candidate_id")
+    newest = cstate.latest_generation(commits.withColumnRenamed("commit_id", "generation"), runs)
+    cands = _candidates(spark, sf_dir, newest.withColumnRenamed("generation", "commit_id"))
+    return cands.select("repo", F.col("commit_id").alias("generation"), "group_ord", "candidate_id")
 
 
 @register("quality", f"""
@@ -1086,11 +1085,14 @@ SELECT repo, commit_id, 'error', CAST(NULL AS INTEGER), CAST(NULL AS VARCHAR), C
        CAST(NULL AS VARCHAR), error FROM errs
 """)
 def generation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-39: snapshots -> candidates and error rows in one lazy plan (the
-    deterministic stand-in model answers; model catalogue = commit_id % 6)."""
-    ctx = _prompt_context(spark, sf_dir).withColumn("catalog_id", (F.col("commit_id") % 6).cast("int"))
+    """OP-39: snapshots -> candidates and error rows; the model's answers are
+    checkpointed when the query is built (the deterministic stand-in model answers; model catalogue = commit_id % 6)."""
     models = models_from_suppliers(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation"))
-    cands, errors = run_generation(load_commits(spark, sf_dir), ctx, echo_model, models)
+
+    def context(snapshots: DataFrame) -> DataFrame:
+        return _with_prompt_context(snapshots, spark, sf_dir, "left").withColumn(
+            "catalog_id", (F.col("commit_id") % 6).cast("int"))
+    cands, errors = run_generation(load_commits(spark, sf_dir), context, echo_model, models)
     null = F.lit(None)
     return (cands.select("repo", "commit_id", F.lit("candidate").alias("kind"), "group_ord", "candidate_id",
                          "message", F.array_join("files", ",").alias("files"),

@@ -92,14 +92,13 @@ def lookup_diffs(file_changes: DataFrame, wanted: DataFrame,
     """OP-06: the diff for each wanted key; among duplicates the last one (by
     ``order``) wins, a missing key gives no row.
 
-    The request table is semi-joined first (broadcast only when its size is
-    checked to be small), so only requested files reach the aggregate.
-    ``max_by`` is a declarative aggregate: it combines map-side, so a hot key
-    ships one partial row per task, never its whole group.
+    The request table is semi-joined first, so only requested files reach
+    the aggregate.  It holds the order columns only (a partial row per key
+    and task); the diffs are joined to its few rows afterwards and are never
+    sorted or aggregated.
     """
     keys, order = list(keys), list(order)
-    wanted_keys = wanted.select(*keys).distinct()
-    hits = file_changes.join(wanted_keys, keys, "left_semi")
-    last = F.max_by(F.struct(*order, "diff"), F.struct(*order))
-    return (hits.groupBy(*keys).agg(last.alias("_last"))
-            .select(*keys, *[F.col("_last")[c].alias(c) for c in order], F.col("_last.diff").alias("diff")))
+    hits = file_changes.join(wanted.select(*keys).distinct(), keys, "left_semi")
+    last = hits.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_last"))
+    place = last.select(*keys, *[F.col("_last")[c].alias(c) for c in order])
+    return file_changes.join(place, keys + order).select(*keys, *order, "diff")

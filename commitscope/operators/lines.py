@@ -24,85 +24,91 @@ def line_kind(raw: Column) -> Column:
             .otherwise(F.lit("ctx")))
 
 
+def _with_kinds(lines: DataFrame, keep: list[str]) -> DataFrame:
+    raw = F.col("raw")
+    kind = line_kind(raw)
+    sign = (F.when(kind == "add", F.lit("+")).when(kind == "del", F.lit("-"))
+            .when(kind == "ctx", F.lit(" ")).otherwise(F.lit("")))
+    text = (F.when(kind.isin("add", "del"), F.substr(raw, F.lit(2)))
+            .when((kind == "ctx") & raw.startswith(" "), F.substr(raw, F.lit(2)))
+            .otherwise(raw))
+    return lines.select(*keep, "pos", kind.alias("kind"), sign.alias("sign"), text.alias("text"), "raw")
+
+
 def explode_lines(file_changes: DataFrame, keys: list[str] | None = None,
                   diff_col: str = "diff") -> DataFrame:
     """OP-07: one row per line: pos, kind, sign, text, raw.
 
-    The split is on ``\\n`` only, so the empty piece after a final newline is
+    The split is on ``\n`` only, so the empty piece after a final newline is
     a ``ctx`` row; an empty diff gives no rows.
     """
     keys = keys or FILE_KEYS
     src = file_changes.filter(F.length(diff_col) > 0).select(*keys, diff_col)
     lines = (src.select(*keys, F.posexplode_outer(F.split(diff_col, "\n", -1)).alias("pos", "raw"))
              .filter(F.col("pos").isNotNull()))
-    raw = F.col("raw")
-    kind = line_kind(raw)
-    sign = (F.when(kind == "add", F.lit("+")).when(kind == "del", F.lit("-"))
-            .when(kind == "ctx", F.lit(" ")).otherwise(F.lit("")))
-    text = (F.when(kind.isin("add", "del"), F.substr(raw, F.lit(2)))
-            .when((kind == "ctx") & raw.startswith(" "), F.substr(raw, F.lit(2)))
-            .otherwise(raw))
-    return lines.select(*keys, "pos", kind.alias("kind"), sign.alias("sign"), text.alias("text"), "raw")
+    return _with_kinds(lines, keys)
 
 
-def number_lines(diff_lines: DataFrame, keys: list[str] | None = None,
+def number_lines(file_changes: DataFrame, keys: list[str] | None = None, diff_col: str = "diff",
                  width: int = 1 << 15) -> DataFrame:
-    """OP-08: old/new line numbers.
+    """OP-07 + OP-08: one row per line with its old/new line numbers.
 
     Counters start at 0/0; a hunk line matching ``@@ -a[,n] +b[,m] @@`` sets
     them to a/b (one that does not match is kept but resets nothing); ``add``
     shows and advances new, ``del`` old, ``ctx`` both; the shown value is the
     one before the increment.
 
-    With C(p) the running count of old-advancing lines up to line p and h the
-    last valid hunk at or before p: old_n(p) = a_h + C(p - 1) - C(h) (and the
-    same for new).  Lines are split into buckets of ``width`` positions so an
-    enormous file is numbered by many tasks; the lines cross the network
-    once:
-
-    1. one window per (file, bucket): in-bucket running counts and the
-       in-bucket last valid hunk;
-    2. a per-bucket summary aggregated from those rows (already clustered by
-       (file, bucket): no exchange);
-    3. carry-in per bucket from a window over the small bucket table;
-    4. the carry joins back on (file, bucket) (only the small side moves).
+    One pass: a file's lines are cut into buckets of ``width`` lines inside
+    its row, and each bucket gets the counters it starts with, folded over
+    the buckets before it.  The compact bucket rows are then dealt out by
+    (file, bucket), so that an enormous file is exploded and numbered by many
+    tasks, and one window per bucket numbers its lines.
     """
     keys = keys or FILE_KEYS
+    counters = "struct<o:bigint,n:bigint>"
+
+    def after(state: Column, raw: Column) -> Column:
+        kind = line_kind(raw)
+        valid = (kind == "hunk") & raw.rlike(HUNK_RANGE)
+        number = lambda i: F.coalesce(F.regexp_extract(raw, HUNK_RANGE, i).try_cast("long"), F.lit(0))
+        return F.struct(
+            F.when(valid, number(1)).otherwise(state["o"] + kind.isin("ctx", "del").cast("long")).alias("o"),
+            F.when(valid, number(2)).otherwise(state["n"] + kind.isin("ctx", "add").cast("long")).alias("n"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("o"), F.lit(0).cast("long").alias("n"))
+    lines = F.split(diff_col, "\n", -1)
+    buckets = F.transform(F.sequence(F.lit(0), F.floor((F.size("_lines") - 1) / width).cast("int")),
+                          lambda b: F.slice("_lines", b * width + 1, F.lit(width)))
+    # The counters before each bucket: one fold over the file, bucket by bucket.
+    start = F.struct(zero.alias("at"), F.array().cast(f"array<{counters}>").alias("before"))
+    carried = F.aggregate("_buckets", start, lambda acc, part: F.struct(
+        F.aggregate(part, acc["at"], after).alias("at"),
+        F.concat(acc["before"], F.array(acc["at"])).alias("before")))
+    # A file of one bucket starts at zero: nothing is folded.
+    before = F.when(F.size("_buckets") == 1, F.array(zero).cast(f"array<{counters}>")).otherwise(carried["before"])
+    cut = (file_changes.filter(F.length(diff_col) > 0).select(*keys, lines.alias("_lines"))
+           .select(*keys, F.explode_outer(F.array(F.struct(buckets.alias("b")))).alias("_s"))
+           .select(*keys, F.col("_s.b").alias("_buckets"))
+           .select(*keys, F.posexplode_outer(F.arrays_zip(F.col("_buckets").alias("part"), before.alias("start")))
+                   .alias("_b", "_z")))
+    dealt = cut.filter(F.col("_b").isNotNull()).repartition(*keys, "_b")
+    rows = (dealt.select(*keys, "_b", F.col("_z.start").alias("_start"), F.posexplode("_z.part").alias("_i", "raw"))
+            .withColumn("pos", (F.col("_b") * width + F.col("_i")).cast("int")))
+    numbered = _with_kinds(rows, [*keys, "_b", "_start"])
     raw, kind = F.col("raw"), F.col("kind")
     valid = (kind == "hunk") & raw.rlike(HUNK_RANGE)
-    df = diff_lines.withColumns({
-        "_b": F.floor(F.col("pos") / F.lit(width)).cast("long"),
-        "_o": kind.isin("ctx", "del").cast("long"),
-        "_n": kind.isin("ctx", "add").cast("long"),
-    })
     w = Window.partitionBy(*keys, "_b").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns({"_co": F.sum("_o").over(w), "_cn": F.sum("_n").over(w)})
-    hunk = F.struct(F.regexp_extract(raw, HUNK_RANGE, 1).try_cast("long").alias("a"),
-                    F.regexp_extract(raw, HUNK_RANGE, 2).try_cast("long").alias("b"),
+    numbered = numbered.withColumns({"_o": kind.isin("ctx", "del").cast("long"), "_n": kind.isin("ctx", "add").cast("long")})
+    numbered = numbered.withColumns({"_co": F.sum("_o").over(w), "_cn": F.sum("_n").over(w)})
+    number = lambda i: F.coalesce(F.regexp_extract(raw, HUNK_RANGE, i).try_cast("long"), F.lit(0))
+    hunk = F.struct(number(1).alias("a"), number(2).alias("b"),
                     F.col("_co").alias("co"), F.col("_cn").alias("cn"))
-    df = df.withColumn("_lh", F.last(F.when(valid, hunk), ignorenulls=True).over(w))
-    per = df.groupBy(*keys, "_b").agg(F.sum("_o").alias("_to"), F.sum("_n").alias("_tn"),
-                                      F.max_by("_lh", "pos").alias("_bh"))
-    wk = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumns({"_carry_o": F.coalesce(F.sum("_to").over(wk), F.lit(0)),
-                           "_carry_n": F.coalesce(F.sum("_tn").over(wk), F.lit(0))})
-    glob = F.when(F.col("_bh").isNotNull(), F.struct(
-        F.col("_bh.a").alias("a"), F.col("_bh.b").alias("b"),
-        (F.col("_bh.co") + F.col("_carry_o")).alias("co"), (F.col("_bh.cn") + F.col("_carry_n")).alias("cn")))
-    carry = (per.withColumn("_gh", glob)
-             .withColumn("_carry_h", F.last("_gh", ignorenulls=True).over(wk))
-             .select(*keys, "_b", "_carry_o", "_carry_n", "_carry_h"))
-    df = df.join(carry, keys + ["_b"], "left")
-    in_h = F.col("_lh")
-    a = F.when(in_h.isNotNull(), in_h["a"]).otherwise(F.col("_carry_h.a"))
-    b = F.when(in_h.isNotNull(), in_h["b"]).otherwise(F.col("_carry_h.b"))
-    h_co = F.when(in_h.isNotNull(), in_h["co"] + F.col("_carry_o")).otherwise(F.col("_carry_h.co"))
-    h_cn = F.when(in_h.isNotNull(), in_h["cn"] + F.col("_carry_n")).otherwise(F.col("_carry_h.cn"))
-    c_o = F.col("_carry_o") + F.col("_co")
-    c_n = F.col("_carry_n") + F.col("_cn")
-    old_n = F.coalesce(a, F.lit(0)) + c_o - F.col("_o") - F.coalesce(h_co, F.lit(0))
-    new_n = F.coalesce(b, F.lit(0)) + c_n - F.col("_n") - F.coalesce(h_cn, F.lit(0))
-    return (df.withColumns({
-        "old_n": F.when(kind.isin("ctx", "del"), old_n),
-        "new_n": F.when(kind.isin("ctx", "add"), new_n),
-    }).drop("_b", "_o", "_n", "_co", "_cn", "_lh", "_carry_o", "_carry_n", "_carry_h"))
+    numbered = numbered.withColumn("_h", F.last(F.when(valid, hunk), ignorenulls=True).over(w))
+    # From the last hunk of the bucket, else from where the bucket starts.
+    old_n = F.when(F.col("_h").isNotNull(), F.col("_h.a") - F.col("_h.co")).otherwise(F.col("_start.o")) + \
+        F.col("_co") - F.col("_o")
+    new_n = F.when(F.col("_h").isNotNull(), F.col("_h.b") - F.col("_h.cn")).otherwise(F.col("_start.n")) + \
+        F.col("_cn") - F.col("_n")
+    return numbered.select(*keys, "pos", "kind", "sign", "text", "raw",
+                           F.when(kind.isin("ctx", "del"), old_n).alias("old_n"),
+                           F.when(kind.isin("ctx", "add"), new_n).alias("new_n"))

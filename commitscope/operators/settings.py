@@ -33,7 +33,7 @@ def resolve_settings(requests: DataFrame, stored: DataFrame, width: int = DEFAUL
     """OP-20: effective options per request.
 
     ``requests``: repo, seq, kind ('regenerate' carries options, 'ready' does
-    not), conventional, language, model, prompt.
+    not), conventional, language, model, prompt; other columns pass through.
 
     * a regenerate request's own options win whole;
     * otherwise stored options (defaults where unset), with the session
@@ -50,8 +50,9 @@ def resolve_settings(requests: DataFrame, stored: DataFrame, width: int = DEFAUL
     df = df.withColumn("session_language", F.nullif(F.col("_session"), F.lit(""))).drop("_setter", "_session")
     df = df.join(stored, "repo", "left")
     regen = kind == "regenerate"
+    own = ("repo", "seq", "kind", "conventional", "language", "model", "prompt")
     return df.select(
-        "repo", "seq", "kind",
+        "repo", "seq", "kind", *[c for c in requests.columns if c not in own],
         F.when(regen, F.col("conventional"))
         .otherwise(F.coalesce("stored_conventional", F.lit(DEFAULT_CONVENTIONAL))).alias("conventional"),
         F.when(regen, lang)

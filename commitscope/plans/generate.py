@@ -12,14 +12,16 @@ to the shared checkpoint folder before it is split into candidates and
 errors: both read the same answers, and a lost executor never re-runs a
 model call that already succeeded.
 
-Shuffles: the per-snapshot options/history join (AQE broadcasts it when the
-measured size is small), the per-repo history (<= 20 rows per repo) and the
+Shuffles: the per-snapshot options join (AQE broadcasts it when the measured
+size is small), the per-repo history (one row per repo) and the
 model-catalogue aggregate.  Groups never leave their snapshot row, so
 candidates need no join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,13 +33,13 @@ NO_CHANGES = "no_changes"
 NO_GROUPS = "could not analyse the staged changes"
 
 
-def snapshot_outcomes(commits: DataFrame, context: DataFrame, fn, models: DataFrame | None = None) -> DataFrame:
+def snapshot_outcomes(commits: DataFrame, context: Callable[[DataFrame], DataFrame], fn, models: DataFrame | None = None) -> DataFrame:
     """One row per snapshot: repo, commit_id, error (NULL when fine),
     items (parsed answer), group_files.  Not yet materialised."""
     keys = ["repo", "commit_id"]
     parsed = diffs.parse_files(commits.withColumn("_blank", is_blank("raw_diff")), keep_blank=True)
     grouped = paths.with_groups(parsed)
-    snap = grouped.join(context, keys, "left")
+    snap = context(grouped)
     if models is not None:
         snap = inference.assign_model(snap, models)
     else:
@@ -58,11 +60,11 @@ def snapshot_outcomes(commits: DataFrame, context: DataFrame, fn, models: DataFr
                                  F.when(error.isNull(), F.col("items")).alias("items"), "group_files")
 
 
-def run_generation(commits: DataFrame, context: DataFrame, fn, models: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def run_generation(commits: DataFrame, context: Callable[[DataFrame], DataFrame], fn, models: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Return (candidates, errors).
 
-    ``context``: one row per snapshot (repo, commit_id, conventional,
-    prompt_language, prompt, history[, model, catalog_id]).  ``errors`` holds
+    ``context`` adds to each snapshot row (repo, commit_id, ...) the columns
+    conventional, prompt_language, prompt, history[, model, catalog_id].  ``errors`` holds
     blank snapshots (``no_changes``), snapshots without a file group, model
     choice failures, inference failures and unparsable answers.
     """

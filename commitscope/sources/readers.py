@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,16 +20,19 @@ def read_commits(spark: SparkSession, path: str, fmt: str = "parquet",
 
     ``parquet``/``json``/``orc`` read rows of ``schema`` (column pruning and
     filter push-down apply).  ``text`` reads one snapshot per file with
-    ``wholetext``: repo = parent folder name, commit_id = a hash of the file
-    name, so a directory of ``git diff --cached`` dumps is a corpus.
+    ``wholetext``: repo = the file's folder below the first part of ``path``
+    without a wildcard, commit_id = a hash of the file's whole path below it,
+    so a tree of ``git diff --cached`` dumps is a corpus.
     """
     if fmt == "text":
         raw = spark.read.text(path, wholetext=True)
-        src = F.input_file_name()
-        parts = F.split(src, "/")
-        df = raw.select(F.element_at(parts, -2).alias("repo"),
-                        F.xxhash64(F.element_at(parts, -1)).alias("commit_id"),
-                        F.col("value").alias("raw_diff"))
+        fixed = re.split(r"[*?\[{]", path.split("://")[-1].removeprefix("file:"))[0]
+        root = fixed.rstrip("/") if fixed == path.split("://")[-1].removeprefix("file:") else fixed.rpartition("/")[0]
+        src = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
+        below = F.substring_index(src, root + "/", -1)
+        df = (raw.select(below.alias("_below"), F.col("value").alias("raw_diff"))
+              .select(F.regexp_replace("_below", "/?[^/]*$", "").alias("repo"),
+                      F.xxhash64("_below").alias("commit_id"), "raw_diff"))
     else:
         df = spark.read.schema(schema).format(fmt).load(path)
     return non_blank(df), blank_snapshots(df)
@@ -35,8 +40,11 @@ def read_commits(spark: SparkSession, path: str, fmt: str = "parquet",
 
 def read_commits_stream(spark: SparkSession, path: str, fmt: str = "parquet",
                         schema: str = COMMIT_SCHEMA) -> DataFrame:
-    """OP-01 as a stream: new files under ``path`` become new snapshots."""
-    return non_blank(spark.readStream.schema(schema).format(fmt).load(path))
+    """OP-01 as a stream: new files under ``path`` become new snapshots, blank
+    ones with ``status`` ``no_changes`` (NULL otherwise), for the sink to
+    report or split off."""
+    df = spark.readStream.schema(schema).format(fmt).load(path)
+    return df.withColumn("status", F.when(is_blank(F.col("raw_diff")), F.lit("no_changes")))
 
 
 # ---------------------------------------------------------------------------
@@ -58,6 +66,19 @@ def read_log_text(spark: SparkSession, path: str) -> DataFrame:
             .withColumn("log_pos", F.col("log_pos").cast("long")))
 
 
+def log_records(lines: DataFrame, line_col: str = "line") -> DataFrame:
+    """OP-02, record layout, one pass: every record with ``status`` ``ok`` or
+    ``rejected`` (fewer than four fields; its fields are NULL), so a sink can
+    split good and bad ones without reading the logs twice."""
+    keys = [c for c in lines.columns if c != line_col]
+    fields = F.split(F.col(line_col), RECORD_SEP, -1)
+    ok = F.size("_f") >= 4
+    return (lines.filter(~is_blank(F.col(line_col)) | (F.col("log_pos") > 0)).withColumn("_f", fields)
+            .select(*keys, line_col, F.when(ok, "ok").otherwise("rejected").alias("status"),
+                    *[F.when(ok, F.get("_f", F.lit(i))).alias(c)
+                      for i, c in enumerate(("hash", "subject", "author", "date"))]))
+
+
 def parse_log_records(lines: DataFrame, line_col: str = "line",
                       strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """OP-02, record layout ``hash %x1f subject %x1f author %x1f date``.
@@ -67,16 +88,11 @@ def parse_log_records(lines: DataFrame, line_col: str = "line",
     all-or-nothing rule: one bad record empties its repo's whole history.
     Blank outputs (a single empty line) give no entries.
     """
-    f = F.split(F.col(line_col), RECORD_SEP, -1)
     keys = [c for c in lines.columns if c != line_col]
-    base = lines.filter(~is_blank(F.col(line_col)) | (F.col("log_pos") > 0)).withColumn("_f", f)
-    ok = F.size("_f") >= 4
-    good = base.filter(ok).select(
-        *keys,
-        F.element_at("_f", 1).alias("hash"), F.element_at("_f", 2).alias("subject"),
-        F.element_at("_f", 3).alias("author"), F.element_at("_f", 4).alias("date"))
-    bad = base.filter(~ok).select(*keys, F.col(line_col).alias("line"),
-                                  F.lit("fewer than 4 fields").alias("reason"))
+    records = log_records(lines, line_col)
+    good = records.filter("status = 'ok'").select(*keys, "hash", "subject", "author", "date")
+    bad = records.filter("status = 'rejected'").select(*keys, F.col(line_col).alias("line"),
+                                                       F.lit("fewer than 4 fields").alias("reason"))
     if strict:
         bad_repos = bad.select("repo").distinct()
         good = good.join(bad_repos, "repo", "left_anti")

@@ -224,7 +224,7 @@ def run_line_numbers_stream(commits: DataFrame, out: str, checkpoint: str) -> No
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         fc = diffs.split_file_changes(batch)
-        numbered = lines.number_lines(lines.explode_lines(fc))
+        numbered = lines.number_lines(fc)
         numbered.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     q = (commits.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)

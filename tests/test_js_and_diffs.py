@@ -64,7 +64,7 @@ def test_lookup_last_duplicate_wins(spark):
 
 def _lines(spark, diff):
     fc = spark.createDataFrame([("r", 1, 0, diff)], "repo string, commit_id bigint, file_seq int, diff string")
-    dl = lines.number_lines(lines.explode_lines(fc))
+    dl = lines.number_lines(fc)
     return [(r.kind, r.old_n, r.new_n, r.text) for r in dl.orderBy("pos").collect()]
 
 

@@ -41,10 +41,9 @@ def test_selected_and_unselected_partition_the_host_list(spark):
 
 def test_line_numbers_independent_of_bucket_width(spark):
     fc = diffs.split_file_changes(load_commits(spark, SF))
-    dl = lines.explode_lines(fc)
     cols = ["repo", "commit_id", "file_seq", "pos", "old_n", "new_n"]
-    small = lines.number_lines(dl, width=3).select(*cols)
-    big = lines.number_lines(dl).select(*cols)
+    small = lines.number_lines(fc, width=3).select(*cols)
+    big = lines.number_lines(fc).select(*cols)
     assert small.exceptAll(big).count() == 0 and big.exceptAll(small).count() == 0
 
 
