@@ -816,16 +816,56 @@ def state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("state_candidates", f"""
 WITH {fx.CANDIDATE_EVENTS_CTE}, {fx.FOLD_CTE}
-SELECT session, list_pos, id, message, checked FROM final_list
+SELECT session, list_pos, id, message, reason, array_to_string(files, ',') AS files, checked FROM final_list
 """)
 def state_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-30: the folded candidate list of every session."""
     entries = cstate.fold_candidates(_events(spark, sf_dir))
-    return cstate.list_positions(entries).select("session", "list_pos", "id", "message", "checked")
+    return _shown(cstate.list_positions(entries))
+
+
+def _shown(lists: DataFrame) -> DataFrame:
+    return lists.select("session", "list_pos", "id", "message", "reason", F.array_join("files", ",").alias("files"),
+                        "checked")
+
+
+@register("panel_state", f"""
+WITH {fx.CANDIDATE_EVENTS_CTE},
+sets AS (
+  SELECT user_id AS session, event_id AS seq, event_id % 6 = 2 AS whole, event_id % 4 < 2 AS on_conventional,
+    CASE WHEN event_id % 6 = 2 THEN event_id % 4 = 0 ELSE event_id % 8 < 4 END AS conventional,
+    CASE WHEN event_id % 6 = 2 THEN ['en', 'zh', 'auto'][1 + event_id % 3]
+         ELSE ['zh', 'fr'][1 + (event_id % 8) // 4] END AS language
+  FROM events WHERE event_type = 'purchase' AND event_id % 6 IN (2, 4)
+),
+settings AS (
+  SELECT session, arg_max(conventional, seq) FILTER (WHERE whole OR on_conventional) AS conventional,
+    arg_max(language, seq) FILTER (WHERE whole OR NOT on_conventional) AS language
+  FROM sets GROUP BY session
+),
+last AS (
+  SELECT session, arg_max(files[1], seq) FILTER (WHERE type = 'SET_STAGED_FILES') AS staged_files,
+    'model-' || CAST(max(seq) FILTER (WHERE type = 'SET_MODELS') AS VARCHAR) || '=Model' AS models,
+    arg_max(message, seq) FILTER (WHERE type = 'SET_PROMPT') AS prompt,
+    md5(CAST(max(seq) FILTER (WHERE type = 'SET_COMMIT_HISTORY') AS VARCHAR)) AS history
+  FROM candidate_events GROUP BY session
+)
+SELECT l.session, coalesce(staged_files, '') AS staged_files, coalesce(models, '') AS models,
+  coalesce(prompt, '') AS prompt, coalesce(history, '') AS history, coalesce(conventional, true) AS conventional,
+  coalesce(language, 'en') AS language
+FROM last l LEFT JOIN settings s ON l.session = s.session
+""")
+def panel_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-30: staged files, models, prompt, history and settings per session."""
+    p = cstate.panel_state(_events(spark, sf_dir))
+    models = F.transform("models", lambda m: F.concat(m["id"], F.lit("="), m["name"]))
+    return p.select("session", F.array_join("staged_files", ",").alias("staged_files"),
+                    F.array_join(models, ",").alias("models"), "prompt",
+                    F.array_join("history", ",").alias("history"), "conventional", "language")
 
 
 def _host_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folded lists as host candidates: candidate_id = entry key, two files each.
+    """Folded lists as host candidates: candidate_id = entry key, files as added.
 
     Several branches of a query read this list (selection, client order,
     leftovers, counts), so it is computed once and checkpointed to the shared
@@ -836,24 +876,26 @@ def _host_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select(
         "session", "list_pos", "id", "message", "checked",
         F.concat_ws(":", F.col("id"), F.col("entry_seq").cast("string"), F.col("sub_pos").cast("string"))
-        .alias("candidate_id"),
-        F.array(F.concat(F.lit("src/"), F.col("id"), F.lit(".ts")),
-                F.concat(F.lit("tests/"), F.col("id"), F.lit("_"), F.col("entry_seq").cast("string"),
-                         F.lit(".ts"))).alias("files")).checkpoint()
+        .alias("candidate_id"), "files").checkpoint()
 
 
 _HOST_SQL = """
 host AS (
   SELECT session, list_pos, id, message, checked,
-    id || ':' || CAST(entry_seq AS VARCHAR) || ':' || CAST(sub_pos AS VARCHAR) AS candidate_id,
-    ['src/' || id || '.ts', 'tests/' || id || '_' || CAST(entry_seq AS VARCHAR) || '.ts'] AS files
+    id || ':' || CAST(entry_seq AS VARCHAR) || ':' || CAST(sub_pos AS VARCHAR) AS candidate_id, files
   FROM final_list
 ),
 nlist AS (SELECT session, count(*) AS n FROM host GROUP BY session),
-moved AS (
+first_move AS (
   SELECT h.*, n.n, h.session % 3 AS i, (h.session + 1) % 4 AS j, n.n - 1 - h.list_pos AS d
   FROM host h JOIN nlist n ON h.session = n.session
 ),
+moved AS (
+  SELECT * REPLACE (session % 2 AS i, (session + 2) % 3 AS j,
+    CASE WHEN NOT (i <> j AND i < n AND j < n) THEN d WHEN d = i THEN j
+         WHEN i < d AND d <= j THEN d - 1 WHEN j <= d AND d < i THEN d + 1 ELSE d END AS d)
+  FROM first_move
+),
 reordered AS (
   SELECT session, id, message, checked, candidate_id, files,
     CAST(n - 1 - CASE WHEN NOT (i <> j AND i < n AND j < n) THEN d WHEN d = i THEN j
@@ -868,11 +910,18 @@ WITH {fx.CANDIDATE_EVENTS_CTE}, {fx.FOLD_CTE}, {_HOST_SQL}
 SELECT session, list_pos, candidate_id FROM reordered
 """)
 def reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-32: one drag per session (display i = session % 3 to j = (session + 1) % 4)."""
+    """OP-32: two drags per session, one after the other."""
     host = _host_list(spark, sf_dir)
-    moves = host.select("session").distinct().select(
-        "session", (F.col("session") % 3).alias("from_idx"), ((F.col("session") + 1) % 4).alias("to_idx"))
-    return cstate.reorder(host, moves).select("session", "list_pos", "candidate_id")
+    return cstate.reorder(host, _moves(host)).select("session", "list_pos", "candidate_id")
+
+
+def _moves(host: DataFrame) -> DataFrame:
+    """Two drags per session: display session % 3 to (session + 1) % 4, then
+    session % 2 to (session + 2) % 3."""
+    s = F.col("session")
+    drag = lambda n, i, j: F.struct(F.lit(n).alias("seq"), i.alias("from_idx"), j.alias("to_idx"))
+    return host.select("session").distinct().select(
+        "session", F.inline(F.array(drag(1, s % 3, (s + 1) % 4), drag(2, s % 2, (s + 2) % 3))))
 
 
 @register("edited", f"""
@@ -896,9 +945,7 @@ def _selection_inputs(spark: SparkSession, sf_dir: str):
     host = _host_list(spark, sf_dir)
     sel_ids = host.filter("checked").select("session", "id").distinct()
     selection = host.join(sel_ids, ["session", "id"], "left_semi").select("session", "candidate_id")
-    moves = host.select("session").distinct().select(
-        "session", (F.col("session") % 3).alias("from_idx"), ((F.col("session") + 1) % 4).alias("to_idx"))
-    client = cstate.reorder(host, moves).filter(F.col("session") % 2 == 0)
+    client = cstate.reorder(host, _moves(host)).filter(F.col("session") % 2 == 0)
     return host, selection, client
 
 
@@ -1159,7 +1206,7 @@ def stream_state_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = streams.scratch_dir(spark, "fold")
     src = streams.land_as_stream(spark, _events(spark, sf_dir), base)
     streams.run_fold_stream(src, base)
-    return streams.latest_lists(spark, base)
+    return _shown(streams.latest_lists(spark, base))
 
 
 @register("stream_line_numbers", ORACLES["line_numbers"])

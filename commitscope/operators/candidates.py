@@ -26,10 +26,20 @@ TOGGLE = "TOGGLE_CANDIDATE"
 UPDATE_MESSAGE = "UPDATE_CANDIDATE_MESSAGE"
 REORDER = "REORDER_CANDIDATES"
 SET_STAGED_FILES = "SET_STAGED_FILES"
+SET_SETTINGS = "SET_SETTINGS"
+SET_MODELS = "SET_MODELS"
+SET_PROMPT = "SET_PROMPT"
+UPDATE_SETTING = "UPDATE_SETTING"
+SET_COMMIT_HISTORY = "SET_COMMIT_HISTORY"
 LIST_RESETS = [SET_LOADING, COMMITTED, REORDER]
 
-EVENT_SCHEMA = ("session BIGINT, seq BIGINT, type STRING, id STRING, message STRING, count INT, "
-                "payload ARRAY<STRUCT<id: STRING, message: STRING, checked: BOOLEAN>>")
+EVENT_SCHEMA = ("session BIGINT, seq BIGINT, type STRING, id STRING, message STRING, reason STRING, "
+                "files ARRAY<STRING>, count INT, payload ARRAY<STRUCT<id: STRING, message: STRING, reason: STRING, "
+                "files: ARRAY<STRING>, checked: BOOLEAN>>, settings STRUCT<conventional: BOOLEAN, language: STRING>, "
+                "key STRING, value STRING, models ARRAY<STRUCT<id: STRING, name: STRING>>, history ARRAY<STRING>")
+# The settings' names in UPDATE_SETTING and their first values.
+SETTING_CONVENTIONAL, SETTING_LANGUAGE = "conventionalCommits", "language"
+FIRST_CONVENTIONAL, FIRST_LANGUAGE = True, "en"
 
 
 def _last_of(types: list[str], value, seq: str = "seq"):
@@ -74,6 +84,32 @@ def session_status(events: DataFrame, prior: DataFrame | None = None) -> DataFra
     )
 
 
+def panel_state(events: DataFrame) -> DataFrame:
+    """OP-30, everything but the candidate list and the status: per session
+    the staged files, models, prompt, commit history and settings, each from
+    the last event that sets it (SET_SETTINGS sets both settings,
+    UPDATE_SETTING the one it names).  All aggregates combine map-side."""
+    t = F.col("type")
+
+    def setting(name: str, whole, one):
+        sets = (t == SET_SETTINGS) | ((t == UPDATE_SETTING) & (F.col("key") == name))
+        return F.max_by(F.when(t == SET_SETTINGS, whole).otherwise(one), F.when(sets, F.col("seq")))
+    nothing = F.array().cast("array<string>")
+    out = events.groupBy("session").agg(
+        _last_of([SET_STAGED_FILES], F.col("files")).alias("staged_files"),
+        _last_of([SET_MODELS], F.col("models")).alias("models"),
+        _last_of([SET_PROMPT], F.col("message")).alias("prompt"),
+        _last_of([SET_COMMIT_HISTORY], F.col("history")).alias("history"),
+        setting(SETTING_CONVENTIONAL, F.col("settings.conventional"), F.col("value") == "true").alias("conventional"),
+        setting(SETTING_LANGUAGE, F.col("settings.language"), F.col("value")).alias("language"))
+    return out.select(
+        "session", F.coalesce("staged_files", nothing).alias("staged_files"),
+        F.coalesce("models", F.array().cast("array<struct<id:string,name:string>>")).alias("models"),
+        F.coalesce("prompt", F.lit("")).alias("prompt"), F.coalesce("history", nothing).alias("history"),
+        F.coalesce("conventional", F.lit(FIRST_CONVENTIONAL)).alias("conventional"),
+        F.coalesce("language", F.lit(FIRST_LANGUAGE)).alias("language"))
+
+
 def fold_candidates(events: DataFrame, status: DataFrame | None = None,
                     prior: DataFrame | None = None, width: int = DEFAULT_WIDTH) -> DataFrame:
     """OP-30 candidate list per session, in list order.
@@ -90,11 +126,11 @@ def fold_candidates(events: DataFrame, status: DataFrame | None = None,
     several tasks); its final message is the key's latest edit if that edit
     came after the entry (an aggregate + join, no window).
 
-    ``prior`` (session, entry_seq, sub_pos, id, message, checked) is the list
+    ``prior`` (the columns of the output) is the list
     as it stood before ``events`` (all its seqs are older): it is kept for
     sessions whose new events hold no list reset, and new toggles and edits
     apply to it.  This makes the fold incremental for streams.
-    Output: session, entry_seq, sub_pos, id, message, checked.
+    Output: session, entry_seq, sub_pos, id, message, reason, files, checked.
     """
     status = status if status is not None else session_status(events)
     base = status.select("session", "base_seq")
@@ -105,24 +141,26 @@ def fold_candidates(events: DataFrame, status: DataFrame | None = None,
 
     added = ev.filter((t == ADD) & after).select(
         "session", F.col("seq").alias("entry_seq"), F.lit(0).alias("sub_pos"), "id",
-        F.col("message").alias("m0"), F.lit(True).alias("c0"))
+        F.col("message").alias("m0"), "reason", "files", F.lit(True).alias("c0"))
     replaced = (ev.filter((t == REORDER) & (F.col("seq") == F.col("base_seq")))
                 .select("session", F.col("seq").alias("entry_seq"),
                         F.posexplode_outer("payload").alias("sub_pos", "p"))
                 .filter(F.col("sub_pos").isNotNull())
                 .select("session", "entry_seq", "sub_pos", F.col("p.id").alias("id"),
-                        F.col("p.message").alias("m0"), F.coalesce(F.col("p.checked"), F.lit(False))
-                        .alias("c0")))
+                        F.col("p.message").alias("m0"), F.col("p.reason").alias("reason"),
+                        F.col("p.files").alias("files"), F.coalesce(F.col("p.checked"), F.lit(False)).alias("c0")))
     entries = added.unionByName(replaced)
     if prior is not None:
         no_reset = base.filter(F.col("base_seq").isNull()).select("session")
         kept = prior.join(no_reset, "session", "left_semi").select(
-            "session", "entry_seq", "sub_pos", "id", F.col("message").alias("m0"), F.col("checked").alias("c0"))
+            "session", "entry_seq", "sub_pos", "id", F.col("message").alias("m0"), "reason", "files",
+            F.col("checked").alias("c0"))
         entries = entries.unionByName(kept)
     entries = entries.withColumn("_toggle", F.lit(0).cast("long"))
     toggles = (ev.filter((t == TOGGLE) & after)
                .select("session", F.col("seq").alias("entry_seq"), F.lit(0).alias("sub_pos"), "id",
-                       F.lit(None).cast("string").alias("m0"), F.lit(None).cast("boolean").alias("c0"),
+                       F.lit(None).cast("string").alias("m0"), F.lit(None).cast("string").alias("reason"),
+                       F.lit(None).cast("array<string>").alias("files"), F.lit(None).cast("boolean").alias("c0"),
                        F.lit(1).cast("long").alias("_toggle")))
     touched = (ev.filter(t.isin(TOGGLE, UPDATE_MESSAGE) & after).groupBy(*keys)
                .agg(F.count_if(t == TOGGLE).alias("_total"),
@@ -133,7 +171,7 @@ def fold_candidates(events: DataFrame, status: DataFrame | None = None,
     mine = scanned.filter(F.col("_toggle") == 0).join(touched, keys, "left")
     toggles_after = F.coalesce(F.col("_total"), F.lit(0)) - F.col("_upto")
     message = F.when(F.col("_edit._s") > F.col("entry_seq"), F.col("_edit._m")).otherwise(F.col("m0"))
-    return mine.select("session", "entry_seq", "sub_pos", "id", message.alias("message"),
+    return mine.select("session", "entry_seq", "sub_pos", "id", message.alias("message"), "reason", "files",
                        (F.col("c0") != (toggles_after % 2 == 1)).alias("checked"))
 
 
@@ -178,26 +216,31 @@ def latest_generation(cands: DataFrame, runs: DataFrame, session: str = "repo",
 
 def reorder(items: DataFrame, moves: DataFrame, key: str = "session",
             pos_col: str = "list_pos") -> DataFrame:
-    """Apply one drag per key: move *display* index i to j, where the list is
-    shown newest first (display d = n - 1 - list position).
+    """Apply each key's drags in order of ``seq`` (one drag per key needs no
+    ``seq``): move *display* index i to j, where the list is shown newest
+    first (display d = n - 1 - list position).
 
     Rank arithmetic, no per-row Python: the moved item goes to j, items
     between shift by one toward the gap, others stay.  i == j or an index
-    outside 0..n-1 leaves the list unchanged.  Returns items with a new
-    ``pos_col``.
+    outside 0..n-1 leaves the list unchanged.  A key's drags (what one user
+    did by hand) travel as one array.  Returns items with a new ``pos_col``.
     """
     n = items.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    m = moves.select(key, F.col("from_idx").alias("_i"), F.col("to_idx").alias("_j"))
+    seq = F.col("seq") if "seq" in moves.columns else F.lit(0)
+    m = moves.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(
+        seq.alias("seq"), F.col("from_idx").cast("long").alias("i"), F.col("to_idx").cast("long").alias("j")))).alias("_m"))
     df = items.join(n, key).join(m, key, "left")
-    d = F.col("_n") - 1 - F.col(pos_col)
-    i, j = F.col("_i"), F.col("_j")
-    valid = (i.isNotNull() & j.isNotNull() & (i != j) & (i >= 0) & (j >= 0)
-             & (i < F.col("_n")) & (j < F.col("_n")))
-    new_d = (F.when(~valid, d).when(d == i, j)
-             .when((i < d) & (d <= j), d - 1)
-             .when((j <= d) & (d < i), d + 1)
-             .otherwise(d))
-    return df.withColumn(pos_col, (F.col("_n") - 1 - new_d).cast("int")).drop("_n", "_i", "_j")
+
+    def moved(d, move):
+        i, j, size = move["i"], move["j"], F.col("_n")
+        valid = i.isNotNull() & j.isNotNull() & (i != j) & (i >= 0) & (j >= 0) & (i < size) & (j < size)
+        return (F.when(~valid, d).when(d == i, j)
+                .when((i < d) & (d <= j), d - 1)
+                .when((j <= d) & (d < i), d + 1)
+                .otherwise(d))
+    shown = (F.col("_n") - 1 - F.col(pos_col)).cast("long")
+    new_d = F.coalesce(F.aggregate("_m", shown, moved), shown)
+    return df.withColumn(pos_col, (F.col("_n") - 1 - new_d).cast("int")).drop("_n", "_m")
 
 
 # ---------------------------------------------------------------------------

@@ -260,20 +260,36 @@ candidate_events AS (
   SELECT user_id AS session, event_id AS seq,
     CASE event_type WHEN 'signup' THEN 'ADD_CANDIDATE' WHEN 'click' THEN 'TOGGLE_CANDIDATE'
       WHEN 'view' THEN 'UPDATE_CANDIDATE_MESSAGE'
-      WHEN 'error' THEN CASE WHEN event_id % 4 = 0 THEN 'SET_LOADING' ELSE 'ERROR' END
-      WHEN 'purchase' THEN CASE WHEN event_id % 6 = 0 THEN 'COMMITTED'
-                                WHEN event_id % 6 = 3 THEN 'REORDER_CANDIDATES' ELSE 'DONE' END
+      WHEN 'error' THEN CASE WHEN event_id % 4 = 0 THEN 'SET_LOADING' WHEN event_id % 4 = 1 THEN 'SET_MODELS'
+                             WHEN event_id % 8 = 3 THEN 'SET_PROMPT' WHEN event_id % 8 = 7 THEN 'SET_COMMIT_HISTORY'
+                             ELSE 'ERROR' END
+      WHEN 'purchase' THEN ['COMMITTED', 'SET_STAGED_FILES', 'SET_SETTINGS', 'REORDER_CANDIDATES', 'UPDATE_SETTING',
+                            'DONE'][1 + event_id % 6]
     END AS type,
     CASE WHEN event_type IN ('signup', 'click', 'view') THEN 'c' || CAST(event_id % 5 AS VARCHAR) END AS id,
     CASE WHEN event_type = 'signup' THEN 'add ' || CAST(event_id AS VARCHAR)
          WHEN event_type = 'view' THEN props
-         WHEN event_type = 'error' AND event_id % 4 <> 0 THEN
+         WHEN event_type = 'error' AND event_id % 8 = 3 THEN 'prompt ' || CAST(event_id AS VARCHAR)
+         WHEN event_type = 'error' AND event_id % 4 = 2 THEN
            CASE WHEN event_id % 8 = 2 THEN '' ELSE 'failed ' || CAST(event_id AS VARCHAR) END
     END AS message,
+    CASE WHEN event_type = 'signup' THEN 'why ' || CAST(event_id AS VARCHAR) END AS reason,
+    CASE WHEN event_type = 'signup' THEN
+           ['src/c' || CAST(event_id % 5 AS VARCHAR) || '.ts',
+            'tests/c' || CAST(event_id % 5 AS VARCHAR) || '_' || CAST(event_id AS VARCHAR) || '.ts']
+         WHEN event_type = 'purchase' AND event_id % 6 = 1 THEN ['staged/' || CAST(event_id AS VARCHAR)] END AS files,
     CASE WHEN event_type = 'purchase' AND event_id % 6 = 0 THEN CAST(event_id % 3 + 1 AS INTEGER) END AS count,
     CASE WHEN event_type = 'purchase' AND event_id % 6 = 3 THEN
-      [{'id': 'c' || CAST((event_id + 1) % 5 AS VARCHAR), 'message': 'r' || CAST(event_id AS VARCHAR), 'checked': true},
-       {'id': 'c' || CAST((event_id + 2) % 5 AS VARCHAR), 'message': 'r' || CAST(event_id AS VARCHAR), 'checked': false}]
+      [{'id': 'c' || CAST((event_id + 1) % 5 AS VARCHAR), 'message': 'r' || CAST(event_id AS VARCHAR),
+        'reason': 'moved ' || CAST(event_id AS VARCHAR),
+        'files': ['src/c' || CAST((event_id + 1) % 5 AS VARCHAR) || '.ts',
+                  'tests/c' || CAST((event_id + 1) % 5 AS VARCHAR) || '_' || CAST(event_id AS VARCHAR) || '.ts'],
+        'checked': true},
+       {'id': 'c' || CAST((event_id + 2) % 5 AS VARCHAR), 'message': 'r' || CAST(event_id AS VARCHAR),
+        'reason': 'moved ' || CAST(event_id AS VARCHAR),
+        'files': ['src/c' || CAST((event_id + 2) % 5 AS VARCHAR) || '.ts',
+                  'tests/c' || CAST((event_id + 2) % 5 AS VARCHAR) || '_' || CAST(event_id AS VARCHAR) || '.ts'],
+        'checked': false}]
     END AS payload
   FROM events
 ),
@@ -301,17 +317,17 @@ ev AS (
   FROM candidate_events e JOIN status s ON e.session = s.session
 ),
 entries AS (
-  SELECT session, seq AS entry_seq, 0 AS sub_pos, id, message AS m0, true AS c0, 0 AS kind
+  SELECT session, seq AS entry_seq, 0 AS sub_pos, id, message AS m0, true AS c0, 0 AS kind, reason, files
   FROM ev WHERE type = 'ADD_CANDIDATE' AND after
   UNION ALL
   SELECT session, seq AS entry_seq, CAST(generate_subscripts(payload, 1) - 1 AS INTEGER) AS sub_pos,
     unnest(payload).id AS id, unnest(payload).message AS m0, coalesce(unnest(payload).checked, false) AS c0,
-    0 AS kind
+    0 AS kind, unnest(payload).reason AS reason, unnest(payload).files AS files
   FROM ev WHERE type = 'REORDER_CANDIDATES' AND seq = base_seq
   UNION ALL
   SELECT session, seq AS entry_seq, 0 AS sub_pos, id,
     CASE WHEN type = 'UPDATE_CANDIDATE_MESSAGE' THEN message END AS m0, CAST(NULL AS BOOLEAN) AS c0,
-    CASE WHEN type = 'TOGGLE_CANDIDATE' THEN 1 ELSE 2 END AS kind
+    CASE WHEN type = 'TOGGLE_CANDIDATE' THEN 1 ELSE 2 END AS kind, NULL AS reason, NULL AS files
   FROM ev WHERE type IN ('TOGGLE_CANDIDATE', 'UPDATE_CANDIDATE_MESSAGE') AND after
 ),
 folded AS (
@@ -326,7 +342,7 @@ folded AS (
 ),
 final_list AS (
   SELECT session, entry_seq, sub_pos, id, coalesce(edit_after, m0) AS message,
-    c0 <> (toggles_after % 2 = 1) AS checked,
+    c0 <> (toggles_after % 2 = 1) AS checked, reason, files,
     CAST(row_number() OVER (PARTITION BY session ORDER BY entry_seq, sub_pos) - 1 AS INTEGER) AS list_pos
   FROM folded WHERE kind = 0
 )"""

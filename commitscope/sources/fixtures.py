@@ -329,32 +329,52 @@ def chunks_from_responses(responses: DataFrame) -> DataFrame:
 
 def candidate_events_from_events(events: DataFrame) -> DataFrame:
     """``candidate_events``: one UI action per event row; session = user_id,
-    seq = event_id.  signup -> add, click -> toggle, view -> edit, error ->
-    loading (every 4th) or error (every 8th+2 with empty text), purchase ->
-    committed (every 6th), reorder (every 6th+3) or done."""
+    seq = event_id.  signup -> add, click -> toggle, view -> edit; error ->
+    loading, models, error (every 8th+2 with empty text), prompt or history by
+    ``event_id``; purchase -> committed, staged files, settings, reorder, one
+    setting or done by ``event_id % 6``."""
     from ..operators import candidates as C
     eid, et = F.col("event_id"), F.col("event_type")
     cid = F.concat(F.lit("c"), (eid % 5).cast("string"))
     typ = (F.when(et == "signup", F.lit(C.ADD)).when(et == "click", F.lit(C.TOGGLE))
            .when(et == "view", F.lit(C.UPDATE_MESSAGE))
-           .when(et == "error", F.when(eid % 4 == 0, F.lit(C.SET_LOADING)).otherwise(F.lit(C.ERROR)))
-           .when(et == "purchase", F.when(eid % 6 == 0, F.lit(C.COMMITTED))
-                 .when(eid % 6 == 3, F.lit(C.REORDER)).otherwise(F.lit(C.DONE))))
+           .when(et == "error", F.when(eid % 4 == 0, F.lit(C.SET_LOADING)).when(eid % 4 == 1, F.lit(C.SET_MODELS))
+                 .when(eid % 8 == 3, F.lit(C.SET_PROMPT)).when(eid % 8 == 7, F.lit(C.SET_COMMIT_HISTORY))
+                 .otherwise(F.lit(C.ERROR)))
+           .when(et == "purchase", _pick([C.COMMITTED, C.SET_STAGED_FILES, C.SET_SETTINGS, C.REORDER, C.UPDATE_SETTING,
+                                          C.DONE], eid % 6)))
     message = (F.when(et == "signup", F.concat(F.lit("add "), eid.cast("string")))
                .when(et == "view", F.col("props"))
-               .when((et == "error") & (eid % 4 != 0),
+               .when(typ == C.SET_PROMPT, F.concat(F.lit("prompt "), eid.cast("string")))
+               .when(typ == C.ERROR,
                      F.when(eid % 8 == 2, F.lit("")).otherwise(F.concat(F.lit("failed "), eid.cast("string")))))
 
+    def files_of(name):
+        return F.array(F.concat(F.lit("src/"), name, F.lit(".ts")),
+                       F.concat(F.lit("tests/"), name, F.lit("_"), eid.cast("string"), F.lit(".ts")))
+
     def entry(offset: int, checked: bool):
-        return F.struct(F.concat(F.lit("c"), ((eid + offset) % 5).cast("string")).alias("id"),
-                        F.concat(F.lit("r"), eid.cast("string")).alias("message"),
+        name = F.concat(F.lit("c"), ((eid + offset) % 5).cast("string"))
+        return F.struct(name.alias("id"), F.concat(F.lit("r"), eid.cast("string")).alias("message"),
+                        F.concat(F.lit("moved "), eid.cast("string")).alias("reason"), files_of(name).alias("files"),
                         F.lit(checked).alias("checked"))
     payload = F.when((et == "purchase") & (eid % 6 == 3), F.array(entry(1, True), entry(2, False)))
     return events.select(
         F.col("user_id").alias("session"), eid.alias("seq"), typ.alias("type"),
         F.when(et.isin("signup", "click", "view"), cid).alias("id"), message.alias("message"),
+        F.when(et == "signup", F.concat(F.lit("why "), eid.cast("string"))).alias("reason"),
+        F.when(et == "signup", files_of(cid))
+        .when(typ == C.SET_STAGED_FILES, F.array(F.concat(F.lit("staged/"), eid.cast("string")))).alias("files"),
         F.when((et == "purchase") & (eid % 6 == 0), (eid % 3 + 1).cast("int")).alias("count"),
-        payload.alias("payload"))
+        payload.alias("payload"),
+        F.when(typ == C.SET_SETTINGS, F.struct((eid % 4 == 0).alias("conventional"),
+                                               _pick(["en", "zh", "auto"], eid % 3).alias("language"))).alias("settings"),
+        F.when(typ == C.UPDATE_SETTING, _pick([C.SETTING_CONVENTIONAL, C.SETTING_LANGUAGE], eid % 4 / 2)).alias("key"),
+        F.when(typ == C.UPDATE_SETTING, F.when(eid % 4 < 2, _pick(["true", "false"], eid % 8 / 4))
+               .otherwise(_pick(["zh", "fr"], eid % 8 / 4))).alias("value"),
+        F.when(typ == C.SET_MODELS, F.array(F.struct(F.concat(F.lit("model-"), eid.cast("string")).alias("id"),
+                                                     F.lit("Model").alias("name")))).alias("models"),
+        F.when(typ == C.SET_COMMIT_HISTORY, F.array(F.md5(eid.cast("string")))).alias("history"))
 
 
 def edits_from_events(events: DataFrame) -> DataFrame:

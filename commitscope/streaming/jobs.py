@@ -184,7 +184,7 @@ def run_fold_stream(events: DataFrame, base: str) -> None:
                     .select("session", F.greatest("_max", "_prior").alias("last_seq")))
         status = status.join(last, "session", "left")
         lists = cstate.list_positions(entries).select("session", "list_pos", "entry_seq", "sub_pos", "id", "message",
-                                                      "checked")
+                                                      "reason", "files", "checked")
         if carried_status is not None:
             status, lists = status.unionByName(carried_status), lists.unionByName(carried_lists)
         status.write.mode("overwrite").parquet(f"{base}/status/batch_id={batch_id}")

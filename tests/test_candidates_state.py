@@ -7,18 +7,23 @@ from commitscope.plans.commit_plan import commit_plan
 
 
 def _events(spark, evs):
-    rows = [(1, i, *e) for i, e in enumerate(evs)]
+    rows = []
+    for i, (t, cid, msg, count, payload) in enumerate(evs):
+        rows.append((1, i, t, cid, msg, f"why {i}" if t == C.ADD else None, [f"f{i}"] if t == C.ADD else None, count,
+                     payload and [(p[0], p[1], f"moved {i}", [f"g{i}"], p[2]) for p in payload], None, None, None, None,
+                     None))
     return spark.createDataFrame(rows, C.EVENT_SCHEMA)
 
 
 def _fold_py(evs):
     """Reference fold: the state machine applied event by event."""
     st = {"generating": False, "cands": [], "error": None, "success": None}
-    for t, cid, msg, count, payload in evs:
+    for i, (t, cid, msg, count, payload) in enumerate(evs):
         if t == C.SET_LOADING:
             st.update(generating=True, cands=[], error=None, success=None)
         elif t == C.ADD:
-            st["cands"] = st["cands"] + [{"id": cid, "message": msg, "checked": True}]
+            st["cands"] = st["cands"] + [{"id": cid, "message": msg, "reason": f"why {i}", "files": [f"f{i}"],
+                                            "checked": True}]
         elif t == C.DONE:
             st["generating"] = False
         elif t == C.ERROR:
@@ -30,7 +35,7 @@ def _fold_py(evs):
         elif t == C.UPDATE_MESSAGE:
             st["cands"] = [dict(c, message=msg) if c["id"] == cid else c for c in st["cands"]]
         elif t == C.REORDER:
-            st["cands"] = [dict(id=p[0], message=p[1], checked=p[2]) for p in payload]
+            st["cands"] = [dict(id=p[0], message=p[1], reason=f"moved {i}", files=[f"g{i}"], checked=p[2]) for p in payload]
     return st
 
 
@@ -39,15 +44,20 @@ def _fold_spark(spark, evs):
     status = C.session_status(ev).first()
     entries = C.list_positions(C.fold_candidates(ev)).orderBy("list_pos").collect()
     return {"generating": status.generating, "error": status.error, "success": status.success_count,
-            "cands": [{"id": e.id, "message": e.message, "checked": e.checked} for e in entries]}
+            "cands": [_candidate(e) for e in entries]}
+
+
+def _candidate(e):
+    return {"id": e.id, "message": e.message, "reason": e.reason, "files": e.files, "checked": e.checked}
 
 
 def test_fold_edge_cases(spark):
     evs = [(C.TOGGLE, "a", None, None, None), (C.ADD, "a", "m", None, None), (C.TOGGLE, "a", None, None, None),
            (C.TOGGLE, "a", None, None, None), (C.ADD, "a", "dup", None, None), (C.TOGGLE, "a", None, None, None)]
     got = _fold_spark(spark, evs)
-    assert got["cands"] == [{"id": "a", "message": "m", "checked": False},
-                            {"id": "a", "message": "dup", "checked": False}]
+    assert got["cands"] == [
+        {"id": "a", "message": "m", "reason": "why 1", "files": ["f1"], "checked": False},
+        {"id": "a", "message": "dup", "reason": "why 4", "files": ["f4"], "checked": False}]
     evs2 = [(C.ADD, "a", "m", None, None), (C.UPDATE_MESSAGE, "a", "e", None, None),
             (C.SET_LOADING, None, None, None, None)]
     assert _fold_spark(spark, evs2)["cands"] == []
@@ -136,5 +146,38 @@ def test_fold_across_many_buckets_matches_reference(spark):
                     None, payload if t == C.REORDER else None))
     ev = _events(spark, evs)
     entries = C.list_positions(C.fold_candidates(ev, width=5), width=3).orderBy("list_pos").collect()
-    got = [{"id": e.id, "message": e.message, "checked": e.checked} for e in entries]
-    assert got == _fold_py(evs)["cands"]
+    assert [_candidate(e) for e in entries] == _fold_py(evs)["cands"]
+
+
+def test_panel_state_takes_the_last_of_each(spark):
+    none = dict.fromkeys(["id", "message", "reason", "files", "count", "payload", "settings", "key", "value", "models",
+                          "history"])
+    evs = [dict(type=C.SET_SETTINGS, settings=(False, "zh")), dict(type=C.UPDATE_SETTING, key="language", value="fr"),
+           dict(type=C.SET_STAGED_FILES, files=["a"]), dict(type=C.SET_STAGED_FILES, files=["b", "c"]),
+           dict(type=C.SET_MODELS, models=[("m", "M")]), dict(type=C.SET_PROMPT, message="p"),
+           dict(type=C.SET_COMMIT_HISTORY, history=["h"]), dict(type=C.ADD, id="x", message="not a prompt"),
+           dict(type=C.UPDATE_SETTING, key="conventionalCommits", value="true")]
+    fields = [f.split()[0] for f in ("session seq type id message reason files count payload settings key value models "
+                                     "history").split()]
+    rows = [tuple({**none, **e, "session": 1, "seq": i}[f] for f in fields) for i, e in enumerate(evs)]
+    rows.append(tuple({**none, "type": C.DONE, "session": 2, "seq": 0}[f] for f in fields))
+    got = {r.session: r for r in C.panel_state(spark.createDataFrame(rows, C.EVENT_SCHEMA)).collect()}
+    a = got[1]
+    assert (a.staged_files, [tuple(m) for m in a.models], a.prompt, a.history, a.conventional, a.language) == (
+        ["b", "c"], [("m", "M")], "p", ["h"], True, "fr")
+    assert tuple(got[2])[1:] == ([], [], "", [], True, "en")
+
+
+def test_reorder_applies_moves_in_turn(spark):
+    rnd = random.Random(3)
+    for _ in range(4):
+        n = rnd.randint(1, 6)
+        drags = [(rnd.randint(-1, n), rnd.randint(-1, n)) for _ in range(rnd.randint(1, 5))]
+        moves = spark.createDataFrame([(1, s, i, j) for s, (i, j) in enumerate(drags)],
+                                      "session long, seq int, from_idx int, to_idx int")
+        shown = [f"c{p}" for p in range(n)][::-1]
+        for i, j in drags:
+            if 0 <= i < n and 0 <= j < n:
+                shown.insert(j, shown.pop(i))
+        got = C.reorder(_items(spark, n), moves).orderBy("list_pos").collect()
+        assert [r.candidate_id for r in got] == shown[::-1]
