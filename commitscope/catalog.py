@@ -13,7 +13,7 @@ from .functions import keep_where
 from .session import ensure_checkpoint_dir
 from .operators import churn, diffs, paths
 from .sources import fixture_sql as fx
-from .sources.fixtures import load_commits
+from .sources.fixtures import BLANK_DIFF, load_commits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -453,15 +453,15 @@ _PROMPT_CTE = f"""{_RESOLVED_CTE},
 {_CLASSIFY_ONLY.strip()},
 grp AS (
   SELECT repo, commit_id, group_key, label, min(file_seq) AS first_seq,
-    string_agg('  - ' || path || ' (' || change_type || ')', chr(10) ORDER BY file_seq) AS file_list,
+    string_agg('* ' || change_type || ': ' || path, chr(10) ORDER BY file_seq) AS file_list,
     string_agg(diff, chr(10) ORDER BY file_seq) AS diffs
   FROM classified GROUP BY repo, commit_id, group_key, label
 ),
 sections AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY repo, commit_id ORDER BY first_seq) - 1 AS INTEGER)
               AS group_ord,
-    'Group: ' || label || chr(10) || 'Files:' || chr(10) || file_list || chr(10) || chr(10) ||
-    'Diff:' || chr(10) || '```diff' || chr(10) || diffs || chr(10) || '```' AS section
+    '{prompts.PART}' || label || chr(10) || '{prompts.PATHS}' || chr(10) || file_list || chr(10) || chr(10) ||
+    '{prompts.PATCH}' || chr(10) || '{prompts.FENCE}' || chr(10) || diffs || chr(10) || '{prompts.FENCE}' AS section
   FROM grp
 ),
 hist AS (
@@ -513,7 +513,7 @@ batch AS (
 batch_prompts AS (
   SELECT repo, commit_id, n_groups, model,
     {_head_sql(prompts.TASK_ALL, "n_groups")} || body ||
-    {_q(chr(10) + chr(10) + 'JSON shape (array of ')} || CAST(n_groups AS VARCHAR) || {_q(' item(s)):' + chr(10) + '[{"message":"<commit message>","reason":"<why>"},...]')} ||
+    {_q(chr(10) + chr(10) + prompts.SHAPE_ALL[0])} || CAST(n_groups AS VARCHAR) || {_q(prompts.SHAPE_ALL[1])} ||
     {_TAIL_SQL} AS prompt_text
   FROM batch
 )"""
@@ -651,11 +651,14 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("dead_letters", f"""
 WITH {fx.RESPONSES_CTE}, {_OBJ_SQL}
-SELECT request_id, error FROM parsed WHERE error IS NOT NULL
+SELECT request_id, error FROM parsed WHERE error IS NOT NULL AND request_id % 11 <> 3
 """)
 def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-28: failed answers with the first 300 characters of the raw text."""
-    return responses.response_errors(responses.parse_object(_responses(spark, sf_dir)), ["request_id"])
+    """OP-28: failed answers with the first 300 characters of the raw text;
+    requests that were cancelled are no errors."""
+    rows = _responses(spark, sf_dir)
+    cancelled = rows.select("request_id").filter(F.col("request_id") % 11 == 3)
+    return responses.response_errors(responses.parse_object(rows), ["request_id"], cancelled)
 
 
 @register("parsed_arrays", f"""
@@ -1046,6 +1049,7 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 from .operators import quality  # noqa: E402
+from .sources.fixtures import CJK  # noqa: E402
 from .plans.generate import run_generation  # noqa: E402
 from .streaming import jobs as streams  # noqa: E402
 
@@ -1082,7 +1086,14 @@ def latest_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("quality", f"""
-WITH {fx.RESPONSES_CTE}, {_OBJ_SQL}
+WITH {fx.RESPONSES_CTE}, {_OBJ_SQL},
+messages AS (
+  SELECT request_id, error,
+    CASE request_id % 4 WHEN 0 THEN 'feat: ' || message WHEN 1 THEN 'fix(core): ' || message
+                        WHEN 2 THEN translate(message, 'aeiou', '{CJK * 5}') ELSE message END AS message,
+    reason || CASE request_id % 3 WHEN 0 THEN '.' WHEN 1 THEN '. So. There. It is!' ELSE '' END AS reason
+  FROM parsed
+)
 SELECT request_id, message, CAST(length(message) AS INTEGER) AS chars, length(message) < 72 AS under_limit,
   regexp_matches(message, '^(?:feat|fix|docs|style|refactor|perf|test|chore|ci|build)(?:\\([^()\\r\\n]*\\))?: ')
     AS conventional,
@@ -1093,11 +1104,18 @@ SELECT request_id, message, CAST(length(message) AS INTEGER) AS chars, length(me
        THEN 'zh' ELSE 'en' END AS language,
   CAST(len(regexp_extract_all(reason, '[.!?。！？](\\s|$)')) AS INTEGER) AS reason_sentences,
   len(regexp_extract_all(reason, '[.!?。！？](\\s|$)')) BETWEEN 1 AND 2 AS reason_ok
-FROM parsed WHERE error IS NULL
+FROM messages WHERE error IS NULL
 """)
 def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-38 (derived): length, type prefix, scope, language and reason-sentence flags."""
     ok = responses.parse_object(_responses(spark, sf_dir)).filter(F.col("error").isNull())
+    kind, m = F.col("request_id") % 4, F.col("message")
+    ending = (F.when(F.col("request_id") % 3 == 0, ".").when(F.col("request_id") % 3 == 1, ". So. There. It is!")
+              .otherwise(""))
+    ok = ok.withColumns({
+        "message": F.when(kind == 0, F.concat(F.lit("feat: "), m)).when(kind == 1, F.concat(F.lit("fix(core): "), m))
+        .when(kind == 2, F.translate(m, "aeiou", CJK * 5)).otherwise(m),
+        "reason": F.concat("reason", ending)})
     return quality.message_quality(ok).select(
         "request_id", "message", "chars", "under_limit", "conventional", "has_scope", "language",
         "reason_sentences", "reason_ok")
@@ -1151,6 +1169,50 @@ def generation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        null.cast("string").alias("files"), "error")))
 
 
+_ROUNDTRIP_SQL = f"""
+WITH {fx.COMMITS_CTE}
+SELECT repo, commit_id, md5(raw_diff) AS diff_md5,
+       CASE WHEN trim(raw_diff, {fx.WS_SET}) = '' THEN 'no_changes' END AS status
+FROM commits
+"""
+
+
+@register("commits_roundtrip", _ROUNDTRIP_SQL)
+def commits_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-01 + OP-03: the corpus through the table sink and the reader."""
+    path = streams.scratch_dir(spark, "commits")
+    readers.write_table(load_commits(spark, sf_dir), path)
+    full, blank = readers.read_commits(spark, path)
+    return (full.select("repo", "commit_id", F.md5("raw_diff").alias("diff_md5"), F.lit(None).cast("string").alias("status"))
+            .unionByName(blank.select("repo", "commit_id", F.md5(F.lit(BLANK_DIFF)).alias("diff_md5"), "status")))
+
+
+@register("stream_commits_roundtrip", _ROUNDTRIP_SQL)
+def stream_commits_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-01 + OP-03 streaming: reader stream to sink stream; blank snapshots
+    arrive with their status."""
+    base = streams.scratch_dir(spark, "commits-stream")
+    readers.write_table(load_commits(spark, sf_dir), f"{base}/in")
+    rows = readers.read_commits_stream(spark, f"{base}/in")
+    readers.write_stream(rows, f"{base}/out", f"{base}/ckpt").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("repo", "commit_id", F.md5("raw_diff").alias("diff_md5"), "status")
+
+
+@register("stream_newest_run", f"""
+WITH {fx.COMMITS_CTE}, {fx.REQUESTS_CTE}
+SELECT repo, max(seq) AS generation, arg_max(commit_id % 9 = 4, seq) AS cancelled
+FROM requests WHERE kind = 'regenerate' GROUP BY repo
+""")
+def stream_newest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-31 streaming: the newest run of each repo and whether it was cancelled."""
+    base = streams.scratch_dir(spark, "runs")
+    runs = (requests_from_commits(load_commits(spark, sf_dir)).filter(F.col("kind") == "regenerate")
+            .select("repo", F.col("seq").alias("generation"), (F.col("commit_id") % 9 == 4).alias("cancelled")))
+    src = streams.land_as_stream(spark, runs, base)
+    streams.run_versioned(streams.newest_run_stream(src), f"{base}/out", f"{base}/ckpt")
+    return streams.latest_versions(spark, f"{base}/out", ["repo"])
+
+
 @register("stream_churn", ORACLES["churn_by_group"])
 def stream_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-40: snapshots landed as files and streamed (availableNow); the

@@ -244,7 +244,7 @@ def echo_model(batches):
         for p in prompts:
             if len(p) % 13 == 5:
                 raise ValueError(REFUSAL)
-            labels = re.findall(r"(?m)^Group: (.*)$", p)
+            labels = re.findall(r"(?m)^Part: (.*)$", p)
             items = [{"message": f"chore({lab.strip()}): update {lab.strip()} ",
                       "reason": " Keeps the files of this group together."} for lab in labels]
             variant = len(p) % 4

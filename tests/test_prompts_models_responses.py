@@ -33,7 +33,7 @@ def test_batch_prompt_states_count(spark):
                                "prompt_language string, prompt string, history string")
     text = prompts.batch_prompts(df).first().prompt_text
     assert "exactly 2 item(s)" in text and "array of 2 item(s)" in text
-    assert text.index("Group: docs") < text.index("Group: misc")
+    assert text.index("Part: docs") < text.index("Part: misc")
     assert prompts.LANG_ZH in text and prompts.STYLE_PLAIN in text
 
 
