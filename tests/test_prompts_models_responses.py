@@ -20,7 +20,7 @@ def test_prompt_slots_and_empty_history(spark):
     assert prompts.HISTORY_RULE in text                  # the rule line stays
     assert prompts.HISTORY_HEAD not in text              # no history section
     assert prompts.USER_HEAD not in text                 # empty user text adds nothing
-    assert "  - README.md (added)" in text and "```diff\n" in text
+    assert "* added: README.md" in text and f"{prompts.PATCH}\n{prompts.FENCE}\n" in text
     text2 = prompts.group_prompts(_group_row(spark, "  - fix: x", "Be short.")).first().prompt_text
     assert prompts.HISTORY_HEAD + "\n  - fix: x" in text2 and text2.endswith(prompts.USER_HEAD + "\nBe short.")
 
@@ -32,7 +32,7 @@ def test_batch_prompt_states_count(spark):
                                "path:string,change_type:string,diff:string>>>>, conventional boolean, "
                                "prompt_language string, prompt string, history string")
     text = prompts.batch_prompts(df).first().prompt_text
-    assert "exactly 2 item(s)" in text and "array of 2 item(s)" in text
+    assert "exactly 2 item(s)" in text and "Answer with 2 of these" in text
     assert text.index("Part: docs") < text.index("Part: misc")
     assert prompts.LANG_ZH in text and prompts.STYLE_PLAIN in text
 
