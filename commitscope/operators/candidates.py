@@ -162,10 +162,15 @@ def fold_candidates(events: DataFrame, status: DataFrame | None = None,
                        F.lit(None).cast("string").alias("m0"), F.lit(None).cast("string").alias("reason"),
                        F.lit(None).cast("array<string>").alias("files"), F.lit(None).cast("boolean").alias("c0"),
                        F.lit(1).cast("long").alias("_toggle")))
-    touched = (ev.filter(t.isin(TOGGLE, UPDATE_MESSAGE) & after).groupBy(*keys)
-               .agg(F.count_if(t == TOGGLE).alias("_total"),
-                    F.max_by(F.struct(F.col("seq").alias("_s"), F.col("message").alias("_m")),
-                             F.when(t == UPDATE_MESSAGE, F.col("seq"))).alias("_edit")))
+    # Dealt out by bucket first: an aggregate straight on the session join
+    # would keep its partitioning, and with it a hot session in one task.
+    touched = (ev.filter(t.isin(TOGGLE, UPDATE_MESSAGE) & after)
+               .withColumn("_b", F.floor(F.col("seq") / width)).repartition(*keys, "_b")
+               .groupBy(*keys, "_b")
+               .agg(F.count_if(t == TOGGLE).alias("_n"),
+                    F.max(F.when(t == UPDATE_MESSAGE, F.struct(F.col("seq").alias("_s"), F.col("message").alias("_m"))))
+                    .alias("_e"))
+               .groupBy(*keys).agg(F.sum("_n").alias("_total"), F.max("_e").alias("_edit")))
     scanned = running_sum(entries.unionByName(toggles), keys, ["entry_seq", "_toggle", "sub_pos"],
                           "_toggle", "_upto", width=width)
     mine = scanned.filter(F.col("_toggle") == 0).join(touched, keys, "left")
