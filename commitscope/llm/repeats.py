@@ -8,10 +8,11 @@ the work is first split into groups that hold all places of a string:
    ``GRAM``-byte strings in it (its minimizer).  Equal windows have equal
    names.  Neighbouring windows of one name form a segment (at most
    ``length - GRAM + 1`` windows).
-2. Names are counted.  A name with one segment holds no repeat; segments
-   equal as a whole are repeats as a whole (128-bit digests).  What is left
-   are segments that share a name with different ones: the borders of
-   repeats.  Only their bytes are gathered, by name.
+2. Names are counted.  A name with one segment holds no repeat, unless its
+   minimizer occurs in it more than once; segments of
+   one name that are equal as a whole (by a 64-bit digest) are repeats as a
+   whole.  What is left are segments that share a name with different ones:
+   the borders of repeats.  Only their bytes are gathered, by name.
 3. ``repeated_windows`` concatenates the segments of many names into one
    text, sorts its suffixes and finds the boundaries between suffixes that
    share fewer than ``length`` bytes, by increasing value: each interval of
@@ -22,7 +23,8 @@ the work is first split into groups that hold all places of a string:
    Its windows are compared by 128-bit digest in a distributed count.
 
 Every step is an aggregate, a splittable join or a task over a bounded
-piece of text.
+piece of text.  Texts are shuffled only where ``_maybe`` (a Bloom filter of
+bounded size) lets their key pass; it spares work and decides nothing.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -42,6 +45,7 @@ LENGTH = 400
 GRAM = 200
 CROWD = 512
 TEXT = 1 << 20
+FILTER_BITS = 1 << 23
 # Any odd multiplier and any fixed table of 64-bit values will do.
 _STEP = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(3).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -53,16 +57,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         size = 1 << max(16, n.bit_length())
         inverse = pow(_STEP, -1, 1 << 64)
-        _POWERS[:] = [np.cumprod(np.concatenate(([1], np.full(size - 1, base, dtype=np.uint64))), dtype=np.uint64)
+        _POWERS[:] = [np.cumprod(np.where(np.arange(size) > 0, np.uint64(base), np.uint64(1)), dtype=np.uint64)
                       for base in (_STEP, inverse)]
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def segments(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(first, last, name)``: runs of window starts with one minimizer."""
+def segments(data: bytes, length: int = LENGTH,
+             gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(first, last, name, twin)``: runs of window starts with one
+    minimizer, and whether it occurs in them more than once (only then can
+    windows of one segment be equal)."""
     n = len(data)
     if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     step, back = _powers(n)
     with np.errstate(over="ignore"):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[np.frombuffer(data, np.uint8)] * step)))
@@ -79,7 +86,11 @@ def segments(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
     behind = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
     windows = n - length + 1
     least = np.minimum(behind[:windows], ahead[width - 1:width - 1 + windows])
-    starts = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    same = least[1:] == least[:-1]
+    # Windows that begin with their minimizer, and are followed by one with
+    # another occurrence of it.
+    again = np.concatenate(([0], np.cumsum(same & (grams[:windows - 1] == least[:-1]))))
+    starts = np.flatnonzero(np.concatenate(([True], ~same)))
     ends = np.concatenate((starts[1:], [windows]))
     pieces = -(-(ends - starts) // width)  # long runs are cut
     if pieces.max() > 1:
@@ -87,7 +98,7 @@ def segments(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
         part = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         first = starts[which] + part * width
         ends, starts = np.minimum(first + width, ends[which]), first
-    return starts, ends - 1, least[starts].view(np.int64)
+    return starts, ends - 1, least[starts].view(np.int64), again[ends - 1] > again[starts]
 
 
 def _sorted_suffixes(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +191,7 @@ def _data(value) -> bytes:
     return (value.as_py() or "").encode("utf-8", "surrogatepass")
 
 
-_SEGMENTS = "k1 long, k2 long, n long, first array<int>, last array<int>, name array<long>, d1 array<long>, d2 array<long>"
+_SEGMENTS = "k1 long, k2 long, n long, bytes long, first array<int>, last array<int>, name array<long>, d array<long>, twin array<boolean>"
 
 
 def _segment_batches(length: int, gram: int):
@@ -193,18 +204,19 @@ def _segment_batches(length: int, gram: int):
             rows = []
             for key, where in copies.items():
                 data = _data(batch.column("text")[where[0]])
-                first, last, name = segments(data, length, gram)
+                first, last, name, twin = segments(data, length, gram)
                 if len(first):
-                    digests = np.frombuffer(b"".join(
-                        xxhash.xxh3_128_digest(data[a:b + length]) for a, b in zip(first.tolist(), last.tolist())),
-                        dtype="<i8").reshape(-1, 2)
-                    rows.append((*key, len(where), first, last, name, digests[:, 0], digests[:, 1]))
+                    digests = np.fromiter(
+                        (xxhash.xxh3_64_intdigest(data[a:b + length]) for a, b in zip(first.tolist(), last.tolist())),
+                        dtype=np.uint64, count=len(first)).view(np.int64)
+                    rows.append((*key, len(where), len(data), first, last, name, digests, twin))
             if rows:
                 columns = list(zip(*rows))
-                types = [pa.int64()] * 3 + [pa.list_(pa.int32())] * 2 + [pa.list_(pa.int64())] * 3
+                types = [pa.int64()] * 4 + [pa.list_(pa.int32())] * 2 + [pa.list_(pa.int64())] * 2 + [
+                    pa.list_(pa.bool_())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(columns, types)],
-                    names=["k1", "k2", "n", "first", "last", "name", "d1", "d2"])
+                    names=["k1", "k2", "n", "bytes", "first", "last", "name", "d", "twin"])
 
     return run
 
@@ -299,64 +311,100 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.xxhash64(F.lit(7), text).alias("k2"))
 
 
+def _maybe(keys: DataFrame, bits: int = FILTER_BITS):
+    """A Bloom filter of ``keys.k1`` as a pandas UDF on ``k1``: never false
+    for one of the keys.  ``bits / 64`` words reach the driver."""
+    places = F.explode(F.array(F.col("k1").bitwiseAND(bits - 1), F.shiftrightunsigned("k1", 32).bitwiseAND(bits - 1)))
+    words = np.zeros(bits // 64, dtype=np.uint64)
+    for r in (keys.select(places.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("w"))
+              .agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("b")).collect()):
+        words[r["w"]] = np.int64(r["b"]).view(np.uint64)
+
+    @F.pandas_udf("boolean")
+    def maybe(k1: pd.Series) -> pd.Series:
+        v = k1.to_numpy().view(np.uint64)
+        out = np.ones(len(v), dtype=bool)
+        for p in (v & np.uint64(bits - 1), (v >> np.uint64(32)) & np.uint64(bits - 1)):
+            out &= (words[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return pd.Series(out)
+
+    return maybe
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                    gram: int = GRAM, crowd: int = CROWD, work: Workspace | None = None) -> DataFrame:
-    """``(k1, k2, spans)``: for each text (by two hashes) with repeats, the
-    byte ranges ``[a, b)`` that they cover, which may overlap."""
+    """``(k1, k2, bytes, runs)``: for each text (by two hashes) with repeats,
+    its size and the maximal byte ranges ``{a, b}`` that they cover."""
     work = work or Workspace(docs.sparkSession, "repeats")
-    texts = _keyed(docs, id_col, text_col)
-    long_texts = texts.filter(F.octet_length("text") >= length)
-    rows = work.stage(long_texts.select("k1", "k2", "text").mapInArrow(_segment_batches(length, gram), _SEGMENTS),
-                      "segments")
-    each = rows.select("k1", "k2", "n", F.explode(F.arrays_zip("first", "last", "name", "d1", "d2")).alias("s")).select(
-        "k1", "k2", "n", "s.*")
-    counted = work.stage(each.groupBy("name", "d1", "d2").agg(F.sum("n").alias("m")), "counted")
-    named = work.stage(counted.groupBy("name").agg(F.sum("m").alias("m"), F.count("*").alias("kinds"))
-                       .filter("m > 1").select("name", "kinds"), "names")
-    kinds = counted.join(named, "name").select("name", "d1", "d2", (F.col("m") > 1).alias("whole"), "kinds")
-    shared = work.stage(each.join(kinds, ["name", "d1", "d2"])
-                        .select("k1", "k2", "first", "last", "name", "whole", "kinds", "d1", "d2"), "shared")
-    # One place stands for all copies of a segment.
+    texts = _keyed(docs, id_col, text_col).filter(F.octet_length("text") >= length).select("k1", "k2", "text")
+    rows = work.stage(texts.mapInArrow(_segment_batches(length, gram), _SEGMENTS), "segments")
+    each = rows.select("k1", "k2", "n", "bytes", F.explode(F.arrays_zip("first", "last", "name", "d", "twin")).alias("s"))
+    each = each.select("k1", "k2", "n", "bytes", "s.*")
+    names = work.stage(each.groupBy("name").agg(F.sum(F.col("n") + F.col("twin").cast("int")).alias("m"))
+                       .filter("m > 1").select("name"), "names")
+    shared = work.stage(each.join(names, "name"), "shared")
+    counted = work.stage(shared.groupBy("name", "d").agg(F.sum("n").alias("m"), F.max("twin").alias("twin")), "counted")
+    kinds = work.stage(counted.groupBy("name").agg(F.count("*").alias("kinds"), F.max("twin").alias("twin"))
+                       .filter("kinds > 1 or twin").select("name", "kinds"), "kinds")
+    # Of each name with different segments, or with equal windows in one:
+    # those that occur once, and one place of each that occurs more often.
     place = F.struct("k1", "k2", "first", "last")
-    known = (shared.filter("whole and kinds > 1").groupBy("name", "d1", "d2", "kinds").agg(F.min(place).alias("p"))
-             .select("p.*", "name", "kinds", F.lit(True).alias("known")))
-    wanted = (shared.filter("not whole").select("k1", "k2", "first", "last", "name", "kinds", F.lit(False).alias("known"))
-              .unionByName(known)
-              .groupBy("k1", "k2").agg(F.collect_list(F.struct(
-                  "first", "last", "name", "known", (F.col("kinds") > crowd).alias("crowd"))).alias("wanted")))
-    wanted = work.stage(wanted, "wanted")
-    # A text that stands for its copies is cut once, whichever copy it is.
-    cut = (long_texts.select("k1", "k2", "text").join(wanted, ["k1", "k2"])
+    mixed = shared.drop("twin").join(kinds, "name").join(counted.drop("twin"), ["name", "d"])
+    borders = (mixed.groupBy("name", "d").agg(F.min(place).alias("p"), F.max("m").alias("m"), F.max("kinds").alias("kinds"))
+               .select("name", "p.*", (F.col("m") > 1).alias("known"), (F.col("kinds") > crowd).alias("crowd")))
+    wanted = work.stage(borders.groupBy("k1", "k2").agg(
+        F.collect_list(F.struct("first", "last", "name", "known", "crowd")).alias("wanted")), "wanted")
+    # A text that stands for its copies may be cut once for each of them.
+    cut = (texts.filter(_maybe(wanted)("k1")).join(wanted, ["k1", "k2"])
            .mapInArrow(_cut_batches(length), _PARTS))
     parts = work.stage(cut, "parts").dropDuplicates(["name", "k1", "k2", "first"])
     width = shuffle_width(docs.sparkSession)
-    borders = (parts.filter("not crowd").repartition(width, "name").sortWithinPartitions("name")
-               .mapInArrow(_compare_batches(length), "k1 long, k2 long, a int, b int"))
+    compared = (parts.filter("not crowd").repartition(width, "name").sortWithinPartitions("name")
+                .mapInArrow(_compare_batches(length), "k1 long, k2 long, a int, b int"))
     digests = work.stage(parts.filter("crowd").mapInArrow(
         _digest_batches(length), "k1 long, k2 long, a int, known boolean, d1 long, d2 long"), "digests")
     twice = work.stage(digests.groupBy("d1", "d2").agg(F.count("*").alias("m")).filter("m > 1").select("d1", "d2"),
                        "twice")
     crowded = digests.filter("not known").join(twice, ["d1", "d2"]).select(
         "k1", "k2", "a", (F.col("a") + length).alias("b"))
-    whole = shared.filter("whole").select("k1", "k2", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
-    return work.stage(whole.unionByName(borders).unionByName(crowded)
-                      .groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+    single = counted.filter("m = 1").select("name", "d")
+    whole = shared.join(single, ["name", "d"], "left_anti").select(
+        "k1", "k2", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
+    sizes = shared.groupBy("k1", "k2").agg(F.max("bytes").alias("bytes"))
+    spans = (whole.unionByName(compared).unionByName(crowded)
+             .groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [_merged([(x["a"], x["b"]) for x in spans]) for spans in batch.column("spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("k1"), batch.column("k2"),
+                 pa.array([[{"a": a, "b": b} for a, b in r] for r in runs], _RUNS)], names=["k1", "k2", "runs"])
+
+    merged = work.stage(spans.mapInArrow(merge, "k1 long, k2 long, runs array<struct<a:int,b:int>>"), "runs")
+    return work.stage(merged.join(sizes, ["k1", "k2"]), "spans")
+
+
+_RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
-def _keep(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
-    """What is left of a text, and the maximal removed runs."""
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     runs: list[list[int]] = []
     for a, b in sorted(spans):
         if runs and a <= runs[-1][1]:
             runs[-1][1] = max(runs[-1][1], b)
         else:
             runs.append([a, b])
+    return [tuple(r) for r in runs]
+
+
+def without(data: bytes, runs: list[tuple[int, int]]) -> bytes:
+    """What is left of a text."""
     left, at = [], 0
     for a, b in runs:
         left.append(data[at:a])
         at = b
-    left.append(data[at:])
-    return b"".join(left), [tuple(r) for r in runs]
+    return b"".join([*left, data[at:]])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
@@ -370,25 +418,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     work = Workspace(docs.sparkSession, "repeats")
     spans = repeated_spans(docs, id_col, text_col, length, gram, crowd, work)
-    rows = _keyed(docs, id_col, text_col)
-    none = F.array().cast("array<struct<a:int,b:int>>")
-    joined = rows.join(spans, ["k1", "k2"], "left").select("doc_id", "text", F.coalesce("spans", none).alias("spans"))
+    keyed = _keyed(docs, id_col, text_col)
+    # Texts that go in part are read once more for what is left of them.
+    part = spans.filter((F.size("runs") > 1) | (F.col("runs")[0]["b"] - F.col("runs")[0]["a"] < F.col("bytes")))
+    cut = keyed.select("k1", "k2", "text").filter(_maybe(part)("k1")).join(part, ["k1", "k2"]).select(
+        "k1", "k2", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist()):
-                data = _data(text)
-                left, runs = _keep(data, [(s["a"], s["b"]) for s in spans])
-                out.append((len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest(),
-                            [{"a": a, "b": b} for a, b in runs]))
-            if out:
-                columns = [pa.array(c, t) for c, t in zip(zip(*out), (
-                    pa.int64(), pa.int64(), pa.int64(), pa.string(),
-                    pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=[
-                    "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
-
-    id_type = joined.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
-                                  "removed array<struct<a:int,b:int>>")
+            kept = [hashlib.sha256(without(_data(t), [(r["a"], r["b"]) for r in runs])).hexdigest()
+                    for t, runs in zip(batch.column("text"), batch.column("runs").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(kept, pa.string())],
+                                             names=["k1", "k2", "kept"])
+
+    kept = work.stage(cut.mapInArrow(run, "k1 long, k2 long, kept string").dropDuplicates(["k1", "k2"]), "kept")
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    nothing = hashlib.sha256(b"").hexdigest()
+    found = work.stage(spans.join(kept, ["k1", "k2"], "left")
+                       .select("k1", "k2", "runs", F.coalesce("kept", F.lit(nothing)).alias("kept")), "found")
+    rows = keyed.select("doc_id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"),
+                        F.sha2("text", 256).alias("sha")).join(found, ["k1", "k2"], "left")
+    runs = F.coalesce("runs", none)
+    removed = F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"])
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size(runs).cast("long").alias("n_spans"),
+                       F.coalesce("kept", "sha").alias("kept_sha256"), runs.alias("removed"))

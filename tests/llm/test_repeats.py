@@ -34,6 +34,7 @@ def corpus(seed):
     out += [text(rng.randint(0, 40)) + passage[rng.randint(0, 60):rng.randint(70, 130)] + text(rng.randint(0, 40))
             for _ in range(40)]
     out += [text(30) + other + text(20) + other + text(9), "abab" * 60, "x" * 200, passage, passage + passage]
+    out += [(text(6) * 20) + text(30) for _ in range(3)]  # repeats within one stretch of text
     out += [out[3], out[20], out[20], "", text(39), text(40)]
     return out
 
@@ -67,13 +68,14 @@ def test_segments_cover_windows_and_share_names():
     b = bytes(rng.randrange(256) for _ in range(700)) + a[500:1500] + b"tail" * 200
 
     def names(data):
-        first, last, name = repeats.segments(data, 400, 200)
+        first, last, name, _ = repeats.segments(data, 400, 200)
         assert first[0] == 0 and last[-1] == len(data) - 400 and (first[1:] == last[:-1] + 1).all()
         assert (last - first < 201).all()
         return np.repeat(name, last - first + 1)
 
     assert (names(a)[500:1101] == names(b)[700:1301]).all()
-    assert [len(x) for x in repeats.segments(b"short")] == [0, 0, 0]
+    assert len(set(names(a).tolist())) > 15  # names tell windows apart
+    assert [len(x) for x in repeats.segments(b"short")] == [0, 0, 0, 0]
 
 
 def test_nulls_repeats_and_empty_tables(odd_docs, no_docs):
