@@ -86,7 +86,7 @@ def test_replayed_batches_change_nothing(spark, tmp_path):
     runs = {
         "recent": (log, lambda s, b: jobs.run_recent_commits_stream(s, b), lambda b: jobs.latest_recent_commits(spark, b),
                    catalog.recent_commits(spark, sf)),
-        "fold": (events, lambda s, b: jobs.run_fold_stream(s, b), lambda b: jobs.latest_lists(spark, b),
+        "fold": (events, lambda s, b: jobs.run_fold_stream(s, b), lambda b: catalog._shown(jobs.latest_lists(spark, b)),
                  catalog.state_candidates(spark, sf)),
         "lines": (commits, lambda s, b: jobs.run_line_numbers_stream(s, f"{b}/out", f"{b}/ckpt"),
                   lambda b: spark.read.parquet(f"{b}/out").drop("batch_id", "raw"),
