@@ -24,6 +24,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -35,8 +36,8 @@ from ..session import ship_package
 from .common import quoted
 
 MARK = "▁"
-KEPT_SEGMENTS = 1 << 17
-KEPT_PAIRS = 1 << 19
+KEPT_SEGMENTS = 1 << 16
+KEPT_PAIRS = 1 << 18
 LONGEST_KEPT = 48
 # Fixed values of the model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -106,11 +107,6 @@ class Pieces:
         self.byte_ids = [byte_at[b] for b in range(256)] if self.byte_fallback else []
         self.byte_of = {i: b for b, i in byte_at.items()}
         self.unknown_score = min((self.scores[i] for i in normal), default=0.0) - 10.0
-        self.automaton = ahocorasick.Automaton()
-        # Lone characters need no match in BPE: they are what is left.
-        for i in (i for i in normal if self.kind == UNIGRAM or len(self.pieces[i]) > 1):
-            self.automaton.add_word(self.pieces[i], (len(self.pieces[i]), i))
-        self.automaton.make_automaton()
         inner = any(MARK in p.lstrip(MARK) for p in self.ids)
         lone = "" if any("\n" in p for p in self.ids) else "\n"
         other = f"[^{MARK}{lone}]"
@@ -126,6 +122,17 @@ class Pieces:
 
     # -- encoding -----------------------------------------------------------
 
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        """Matches all pieces.  BPE needs none for lone characters: they are
+        what is left."""
+        out = ahocorasick.Automaton()
+        for piece, i in self.ids.items():
+            if self.kind == UNIGRAM or len(piece) > 1:
+                out.add_word(piece, (len(piece), i))
+        out.make_automaton()
+        return out
+
     def normalize(self, text: str) -> str:
         if self.squeeze:
             text = re.sub(" +", " ", text.strip(" "))
@@ -324,8 +331,10 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
             yield batch.slice(start, rows)
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, ids array<int>, n_pieces long``.
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
+           decoded: bool = False) -> DataFrame:
+    """One row per input row: ``doc_id, ids array<int>, n_pieces long``, and
+    with ``decoded`` the text that the ids stand for.
 
     Null and empty texts have no ids.  An empty table gives no rows; other
     columns are ignored.
@@ -340,11 +349,14 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             ids = [np.array(model.encode(t.as_py()), dtype=np.int32) for t in batch.column("text")]
             sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
             offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids))), pa.array(sizes)],
-                names=["doc_id", "ids", "n_pieces"])
-
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_pieces long")
+            columns = [batch.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids))),
+                       pa.array(sizes)]
+            if decoded:
+                columns.append(pa.array([model.decode(x.tolist()) for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "n_pieces", "decoded"][:len(columns)])
+
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_pieces long"
+                              + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

@@ -43,8 +43,8 @@ def piece_model() -> str:
 @register("op2_pieces")
 def op2_pieces(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     path = model_path or piece_model()
-    encoded = pieces.encode(_table(spark, sf_dir, "documents"), path)
-    return pieces.decode(encoded, path).select(
+    encoded = pieces.encode(_table(spark, sf_dir, "documents"), path, decoded=True)
+    return encoded.select(
         "doc_id", "n_pieces", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

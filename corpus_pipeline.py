@@ -41,8 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of each row, and the digest of their decoded text."""
-    encoded = pieces.encode(docs, piece_model())
-    return pieces.decode(encoded, piece_model()).select(
+    encoded = pieces.encode(docs, piece_model(), decoded=True)
+    return encoded.select(
         "doc_id", "n_pieces", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
