@@ -343,15 +343,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = work.stage(each.groupBy("name").agg(F.sum(F.col("n") + F.col("twin").cast("int")).alias("m"))
                        .filter("m > 1").select("name"), "names")
     shared = work.stage(each.join(names, "name"), "shared")
-    counted = work.stage(shared.groupBy("name", "d").agg(F.sum("n").alias("m"), F.max("twin").alias("twin")), "counted")
+    place = F.struct("k1", "k2", "first", "last")
+    counted = work.stage(shared.groupBy("name", "d").agg(F.sum("n").alias("m"), F.max("twin").alias("twin"),
+                                                         F.min(place).alias("p")), "counted")
     kinds = work.stage(counted.groupBy("name").agg(F.count("*").alias("kinds"), F.max("twin").alias("twin"))
                        .filter("kinds > 1 or twin").select("name", "kinds"), "kinds")
     # Of each name with different segments, or with equal windows in one:
     # those that occur once, and one place of each that occurs more often.
-    place = F.struct("k1", "k2", "first", "last")
-    mixed = shared.drop("twin").join(kinds, "name").join(counted.drop("twin"), ["name", "d"])
-    borders = (mixed.groupBy("name", "d").agg(F.min(place).alias("p"), F.max("m").alias("m"), F.max("kinds").alias("kinds"))
-               .select("name", "p.*", (F.col("m") > 1).alias("known"), (F.col("kinds") > crowd).alias("crowd")))
+    borders = counted.join(kinds, "name").select("name", "p.*", (F.col("m") > 1).alias("known"),
+                                                 (F.col("kinds") > crowd).alias("crowd"))
     wanted = work.stage(borders.groupBy("k1", "k2").agg(
         F.collect_list(F.struct("first", "last", "name", "known", "crowd")).alias("wanted")), "wanted")
     # A text that stands for its copies may be cut once for each of them.
