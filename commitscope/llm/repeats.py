@@ -44,7 +44,7 @@ from .common import Workspace, quoted, shuffle_width
 LENGTH = 400
 GRAM = 200
 CROWD = 512
-TEXT = 1 << 20
+TEXT = 1 << 19
 FILTER_BITS = 1 << 23
 # Any odd multiplier and any fixed table of 64-bit values will do.
 _STEP = 0x9E3779B97F4A7C15
