@@ -50,12 +50,18 @@ ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense
                         "pagination pager toolbar login copyright disclaimer form".split())
 LAYOUT_WORDS = frozenset("nav navbar navigation menu header masthead footer sidebar side aside banner widget widgets "
                          "topbar search".split())
+# Comments alone are often longer than what they are about.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond list section thread threads area "
+                          "wrapper".split())
 CONTENT_WORDS = frozenset("article entry post content main story body text".split())
 # What opens closes these still open ones of its own kind.
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)),
           "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")),
           "option": ("option", ("select",))}
 
+# What class and id say of an element: a part of a layout, a name that asides
+# have, nothing but reader comments.
+LAYOUT, NAMED, COMMENTS = 1, 2, 3
 WORD, WORD_ASIDE, WORD_OUTSIDE, TAG = "word", "aside", "outside", "tag"
 PRIOR = {WORD: 1.0, WORD_ASIDE: -0.25, WORD_OUTSIDE: -1.0, TAG: -0.05}
 KNOWN = frozenset(SILENT | RAW | VOID | BLOCKS | INLINE | ASIDE)
@@ -67,10 +73,25 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def _marked(attributes: str) -> tuple[bool, bool]:
-    """Whether an element's attributes say it isn't main text: for certain,
-    and by words that also name parts of a layout."""
-    sure = layout = False
+def _class_mark(value: str) -> int:
+    """What a class or id says.  A token of content words only outvotes the
+    names of asides beside it (``post comments-open``)."""
+    mark, content = 0, False
+    for one in unescape(value).split():
+        words = {w.lower() for w in _PART.findall(one)}
+        if words & ASIDE_WORDS:
+            mark = max(mark, COMMENTS if words <= COMMENT_WORDS else NAMED)
+        elif words & LAYOUT_WORDS and not words & CONTENT_WORDS:
+            mark = max(mark, LAYOUT)
+        elif words & CONTENT_WORDS:
+            content = content or not words & LAYOUT_WORDS
+    return 0 if content and mark >= NAMED else mark
+
+
+def _marked(attributes: str) -> tuple[bool, int]:
+    """Whether an element's attributes say for certain that it isn't main
+    text, and the mark of its names."""
+    sure, mark = False, 0
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -80,56 +101,72 @@ def _marked(attributes: str) -> tuple[bool, bool]:
         elif name == "style":
             sure = sure or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
         elif name in ("class", "id"):
-            for one in unescape(value).split():
-                words = {w.lower() for w in _PART.findall(one)}
-                if words & ASIDE_WORDS:
-                    sure = True
-                elif words & LAYOUT_WORDS and not words & CONTENT_WORDS:
-                    layout = True
-    return sure, layout
+            mark = max(mark, _class_mark(value))
+    return sure, mark
 
 
 class _Element:
-    __slots__ = ("tag", "sure", "layout", "article", "words", "up")
+    __slots__ = ("tag", "sure", "mark", "out", "article", "words", "up")
 
-    def __init__(self, tag: str, up: "_Element | None", sure: bool = False, layout: bool = False):
+    def __init__(self, tag: str, up: "_Element | None", sure: bool = False, mark: int = 0):
         self.tag, self.up = tag, up
         self.article = tag in ARTICLE or up is not None and up.article
         # Marks above an article don't reach into it.
         fresh = tag in ARTICLE and not (up is not None and up.article)
         self.sure = sure or (up is not None and up.sure and not fresh)
-        self.layout, self.words = layout, 0
+        self.mark, self.out, self.words = mark, False, 0
 
-    def aside(self, total: int) -> bool:
-        """Not main text; layout words don't count on what holds most of the page."""
+    def aside(self) -> bool:
+        """Not main text, by its own or an outer element's mark."""
         if self.sure:
             return True
         e, inside = self, self.article
         while e is not None and (e.article or not inside):
-            if e.layout and 2 * e.words <= total:
+            if e.out:
                 return True
             e = e.up
         return False
 
 
+def _settle(named: list["_Element"], top: "_Element") -> None:
+    """Decides which elements with marks are asides: none that holds most of
+    the words (of its article, if it stands in one, else of the page); of
+    comments, none with less than a tenth of the words beside it.
+
+    Comments first, then small ones first; words of asides no longer count
+    for what holds them.
+    """
+    for e in sorted(named, key=lambda e: (-e.mark, e.words)):
+        scope = top
+        if e.mark != LAYOUT and e.article:
+            scope = e
+            while scope.up is not None and scope.up.article:
+                scope = scope.up
+        e.out = 10 * e.words <= 9 * scope.words if e.mark == COMMENTS else 2 * e.words <= scope.words
+        if e.out and e.mark != LAYOUT:
+            up, words = e, e.words
+            while up is not None:
+                up.words -= words
+                up = up.up
+
+
 Token = tuple[str, object, "_Element"]
 
 
-def tokens(html: str) -> tuple[list[Token], bool, int]:
-    """``("word", text run, element)``, ``("tag", name, element)``, whether
-    the page marks an article, and the number of words."""
+def tokens(html: str) -> tuple[list[Token], bool]:
+    """``("word", text run, element)``, ``("tag", name, element)``, and
+    whether the page marks an article."""
     out: list[Token] = []
     top = at = _Element("", None)
-    marked, total, pos, n = False, 0, 0, len(html)
+    named: list[_Element] = []
+    marked, pos, n = False, 0, len(html)
 
     def text(run: str) -> None:
-        nonlocal total
         run = unescape(run) if "&" in run else run
         count = len(run.split())
         if run and at.tag not in SILENT:
             out.append((WORD, run, at))
             if not at.sure:
-                total += count
                 e = at
                 while e is not None:
                     e.words += count
@@ -169,10 +206,13 @@ def tokens(html: str) -> tuple[list[Token], bool, int]:
         if tag in VOID:
             out.append((TAG, tag, at))
             continue
-        sure, layout = (False, False) if tag in ("html", "body", "main", "article") else _marked(m.group(3))
+        sure, mark = (False, 0) if tag in ("html", "body", "main", "article") else _marked(m.group(3))
         sure = sure or tag in ASIDE or tag in SILENT
-        layout = layout or tag == "header" and not at.article
-        at = _Element(tag, at, sure, layout)
+        if tag == "header" and not at.article:
+            mark = max(mark, LAYOUT)
+        at = _Element(tag, at, sure, mark)
+        if mark and not at.sure:
+            named.append(at)
         out.append((TAG, tag, at))
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, pos)
@@ -180,7 +220,8 @@ def tokens(html: str) -> tuple[list[Token], bool, int]:
             at = at.up
     if pos < n:
         text(html[pos:])
-    return out, marked, total
+    _settle(named, top)
+    return out, marked
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -201,7 +242,7 @@ def extract(html: str | None, weights: dict[str, float] | None = None) -> str:
     """The main text: blocks joined by two line feeds, white space within a
     block as one space.  Null, empty and text-free pages give ''."""
     weights = weights or {}
-    sequence, marked, total = tokens(html or "")
+    sequence, marked = tokens(html or "")
     kinds, scores, aside = [], [], {}
     for kind, value, element in sequence:
         if kind == TAG:
@@ -210,7 +251,7 @@ def extract(html: str | None, weights: dict[str, float] | None = None) -> str:
             scores.append(weights.get(name, PRIOR[TAG]))
             continue
         if element not in aside:
-            aside[element] = element.aside(total)
+            aside[element] = element.aside()
         kind = WORD_ASIDE if aside[element] else WORD_OUTSIDE if marked and not element.article else WORD
         kinds.append(kind)
         scores.append(PRIOR[kind] * len(value.split()))
@@ -233,7 +274,7 @@ def extract(html: str | None, weights: dict[str, float] | None = None) -> str:
 
 def tag_counts(html: str | None) -> Counter:
     """``(tag, inside)`` counts of a page that marks its article, else none."""
-    sequence, marked, _ = tokens(html or "")
+    sequence, marked = tokens(html or "")
     if not marked:
         return Counter()
     return Counter((value if value in KNOWN else "other", element.article)

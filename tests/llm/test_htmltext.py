@@ -43,6 +43,25 @@ def test_main_text(before, after, frame):
     assert htmltext.extract(html) == WANT
 
 
+@pytest.mark.parametrize("wrapper", [
+    "<div class='post comments-open'>{}</div>", "<div id=page class='cookies-accepted'>{}</div>",
+    "<div class=has-share><div class='related-on'>{}</div></div>", "<article><div class='entry-content has-related'>{}</div></article>",
+    "<article><div class='social-ready'>{}</div></article>", "<div class='form'><main><div id=notice-free>{}</div></main></div>"])
+def test_wrappers_named_like_asides(wrapper):
+    before, after = "<div class=ad>Buy now</div>", "<div id=comments><p>First!</p></div>"
+    links = "<div>" + "<p>A teaser of some other page and its very long headline</p>" * 12 + "</div>"
+    assert htmltext.extract(before + wrapper.format(BODY + after)) == WANT
+    if "<article>" in wrapper or "<main>" in wrapper:
+        assert htmltext.extract(links + wrapper.format(before + BODY) + links) == WANT
+
+
+@pytest.mark.parametrize("frame", ["{}", "<article>{}</article>", "<div class='share-on'>{}</div>"])
+def test_comments_longer_than_the_text_go(frame):
+    thread = "<div id=comments>" + "<div class=comment-body><p>I read it all and I liked it.</p></div>" * 30 + "</div>"
+    assert htmltext.extract(frame.format(f"<div class='post comments-open'>{BODY}</div>{thread}")) == WANT
+    assert htmltext.extract(frame.format(BODY + thread)) == WANT
+
+
 def test_asides_within_an_article_go():
     html = f"<article>{BODY}<aside>Elsewhere</aside><div class=advert><p>Buy</p></div><p>The end<br>of it</p>" \
            "<table><tr><td>a<td>b</tr></table></article>"
