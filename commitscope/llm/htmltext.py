@@ -181,9 +181,8 @@ def tokens(html: str) -> tuple[list[Token], bool]:
                 return
             e = e.up
 
-    for m in _TOKEN.finditer(html):
-        if m.start() < pos:
-            continue
+    scan = _TOKEN.finditer(html)
+    while (m := next(scan, None)) is not None:
         if m.start() > pos:
             text(html[pos:m.start()])
         pos = m.end()
@@ -217,6 +216,8 @@ def tokens(html: str) -> tuple[list[Token], bool]:
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, pos)
             pos = end.end() if end else n
+            # Nothing within it begins a token.
+            scan = _TOKEN.finditer(html, pos)
             at = at.up
     if pos < n:
         text(html[pos:])

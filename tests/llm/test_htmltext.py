@@ -77,6 +77,18 @@ def test_odd_pages(html, want):
     assert htmltext.extract(html) == want
 
 
+@pytest.mark.parametrize("script", [
+    "<script>for(i=0;i<n;i++){} // don't</script>", "<script>if (a <b) x = \"it's</script>", "<script>s = '<!--'</script>",
+    "<script>document.write('<p title=\\'')</script>", "<style>/* <b ' */</style>", "<textarea><i '</textarea>",
+    "<script>a<b</script><script>c<d '</script >", "<title>1 <x \"</title>"])
+@pytest.mark.parametrize("frame", ["{}<article>{}</article>", "<article>{}{}</article>", "<div id=content>{}{}</div>"])
+def test_scripts_that_look_like_tags(script, frame):
+    body = "<p>It's the first.</p><p class=\"x\">And it's the \"second\".</p>" + BODY
+    html = f"<body>{frame.format(script, script.join([body, '']))}<nav>Don't</nav></body>"
+    assert htmltext.extract(html) == "It's the first.\n\nAnd it's the \"second\".\n\n" + WANT
+    assert htmltext.tag_counts(html) == htmltext.tag_counts(re.sub("(?s)(<(script|style|textarea|title)>).*?(</\\2)", r"\1\3", html))
+
+
 def test_very_long_page():
     html = "<article>" + "<p>word and word</p>" * 50_000 + "</article>"
     assert htmltext.extract(html).count("\n\n") == 49_999
