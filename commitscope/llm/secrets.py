@@ -35,7 +35,7 @@ HARMLESS_NAMES = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "hash",
 _NAME = "|".join(sorted(SECRET_NAMES, key=len, reverse=True))
 # A name with the value assigned to it, else a long string with a digit.
 ASSIGNED = rf"(?<![A-Za-z])(?i:{_NAME})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?"
-CANDIDATE = (rf"{ASSIGNED}[A-Za-z0-9+/_.~=-]{{6,512}}+"
+CANDIDATE = (rf"{ASSIGNED}[A-Za-z0-9+/_.~=-]{{6,}}+"
              r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16})[A-Za-z+/_-]*+[0-9][A-Za-z0-9+/_-]*+={0,2}")
 RUNS = "[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+"
 WORD_PARTS = "[A-Z]?[a-z]{2,}|[A-Z]{3,}"
@@ -106,14 +106,14 @@ def features(found: DataFrame, known_words: DataFrame, key: list[str]) -> DataFr
         "hex_only": flag(c.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
         "dictionary_share": F.coalesce("covered", F.lit(0)) / n,
         "separators": share("[^A-Za-z0-9]"),
-        "in_path": flag(F.col("before").rlike(r"/$") | F.col("after").rlike(r"^[/?]") | c.rlike(".*[a-zA-Z]/[a-zA-Z].*")),
+        "in_path": flag(F.col("before").rlike(r"/$") | F.col("after").rlike(r"^[/?]") | c.rlike("[a-zA-Z]/[a-zA-Z]")),
         "near_url": flag(F.col("before").rlike(r"(?:https?|ftp|file|s3)://[^\s\"']*$")),
         "file_ending": flag(F.col("after").rlike(r"^\.[A-Za-z]{1,5}\b")),
         "secret_word_before": flag(beside(SECRET_NAMES)),
         "harmless_word_before": flag(beside(HARMLESS_NAMES)),
         "assigned": flag(F.col("before").rlike("[=:][\"' ]*$")),
         "quoted_value": flag(F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")),
-        "repeats": flag(c.rlike(r"(.)\1{3,}|(..+?)\2{3,}|(?i)(?:xxxx|changeme|your[_-]|example|placeholder|dummy)")),
+        "repeats": flag(c.rlike(r"(.)\1{3,}|(.{2,64}?)\2{3,}|(?i)(?:xxxx|changeme|your[_-]|example|placeholder|dummy)")),
     }).drop("near", "covered")
 
 

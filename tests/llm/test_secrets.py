@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from commitscope.llm import secrets
 
@@ -27,6 +29,15 @@ def test_every_candidate_of_a_text(spark):
     assert rows[0].before.endswith('token="') and rows[0].after.startswith('" and')
 
 
+def test_long_values_are_found_whole(spark):
+    rng = random.Random(3)
+    value = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    jwt, key = ".".join(value(n) for n in (200, 4000, 300)), value(200_000)
+    docs = spark.createDataFrame([(1, f"token: {jwt} and private_key = '{key}' end")], "doc_id long, text string")
+    rows = secrets.scan(docs).orderBy("start").collect()
+    assert [(r.start, r.candidate) for r in rows] == [(7, jwt), (7 + len(jwt) + len(" and private_key = '"), key)]
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.read.parquet(f"{SF_LARGER}/documents.parquet")
     plan = secrets.scan(docs)._jdf.queryExecution().toString()
