@@ -1,8 +1,9 @@
 """Secret scans: candidate strings by pattern, false positives removed by a
 random forest.  DataFrame and SQL functions only.
 
-``candidates`` finds long unbroken strings that hold a digit, and values
-assigned to a secret's name, with the text around them.  ``features`` turns
+``candidates`` finds long unbroken strings that hold a digit or letters of
+both cases, keys of known kinds, and values assigned to a secret's name (in
+quotes up to the closing one), with the text around them.  ``features`` turns
 each into numbers: length, changes of character class, share of dictionary
 words, path-likeness and the neighbouring words.  Spark ML fits the forest on
 labelled findings and scores the rows, both in the JVM.
@@ -33,10 +34,26 @@ HARMLESS_NAMES = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "hash",
                   "version", "revision", "build", "ref", "blob", "tree", "integrity", "isbn", "phone", "example", "test",
                   "dummy", "placeholder", "sample")
 _NAME = "|".join(sorted(SECRET_NAMES, key=len, reverse=True))
-# A name with the value assigned to it, else a long string with a digit.
-ASSIGNED = rf"(?<![A-Za-z])(?i:{_NAME})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?"
-CANDIDATE = (rf"{ASSIGNED}[A-Za-z0-9+/_.~=-]{{6,}}+"
-             r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16})[A-Za-z+/_-]*+[0-9][A-Za-z0-9+/_-]*+={0,2}")
+# Names that no other word ends in; the others begin at a word or a hump.
+_STRONG = "password|passwd|secret|token|apikey|api_key|api-key|credential|credentials"
+# Beginnings of keys that may hold letters only; parts joined by dots.
+_KNOWN = (r"(?:gh[oprsu]_|github_pat_|glpat-|xox[abeprs]-|[rsp]k_(?:live|test)_|sk-|AIza|npm_|pypi-|dop_v1_|hf_|shpat_"
+          r"|(?:eyJ|SG\.|ya29\.)(?=[A-Za-z0-9_-]))")
+_P = "A-Za-z0-9+/_-"
+# A name at the end of an unbroken string, and what stands between it and its value.
+ASSIGNED = (rf"(?<![{_P}])[{_P}]*?(?:(?:(?<![A-Za-z])|(?<=[a-z0-9])(?=[A-Z]))(?i:{_NAME})|(?i:{_STRONG}))"
+            r"[\"']?\s{0,2}(?:=>|:=|[=:])\s{0,2}")
+# Values: between quotes up to the closing one on the same line, else up to
+# white space, quotes, brackets, commas, semicolons and the next URL parameter.
+_QUOTED = r"\"(?=(?:[^\"\\\r\n]|\\.){6,}+\")|'(?=(?:[^'\\\r\n]|\\.){6,}+')"
+_PLAIN = r"(?:[^\s\"'`,;()<>{}\[\]\\&]|&(?!\w+=)){6,}+"
+VALUE = (r"(?:(?<=\")(?:[^\"\\\r\n]|\\.){6,}+(?=\")|(?<=')(?:[^'\\\r\n]|\\.){6,}+(?=')|" + _PLAIN + ")")
+LEAD = rf"{ASSIGNED}(?:{_QUOTED}|[\"']?(?={_PLAIN}))"
+# A name with the value assigned to it, else a key of a known kind, else a
+# long string with a digit or with letters of both cases.
+CANDIDATE = (rf"{LEAD}{VALUE}|(?<![{_P}]){_KNOWN}[{_P}]{{12,}}+(?:\.[{_P}]+)*+"
+             rf"|(?<![{_P}])(?=[{_P}]{{16}})(?:[A-Za-z+/_-]*+[0-9]|[A-Z+/_-]*+[a-z][a-z+/_-]*+[A-Z]|[+/_-]*+[A-Z]++[+/_-]*+[a-z])"
+             rf"[{_P}]*+={{0,2}}")
 RUNS = "[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+"
 WORD_PARTS = "[A-Z]?[a-z]{2,}|[A-Z]{3,}"
 
@@ -61,7 +78,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "c", F.slice("p", F.lit(1), F.size("c")).alias("b"), F.slice("p", F.lit(2), F.size("c")).alias("a")))
         .alias("i", "z"))
     # The name of an assigned value belongs to the text before it.
-    lead = F.regexp_extract("z.c", f"^{ASSIGNED}(?=.)", 0)
+    lead = F.regexp_extract("z.c", rf"^{ASSIGNED}[\"']?(?=[\s\S]{{6}})", 0)
     each = each.select("doc_id", "row", "i", lead.alias("lead"), F.col("z.c").alias("c"),
                        F.length("z.b").alias("gap"), F.right("z.b", F.lit(BEFORE)).alias("b"),
                        F.left("z.a", F.lit(AFTER)).alias("after"))
@@ -90,8 +107,8 @@ def features(found: DataFrame, known_words: DataFrame, key: list[str]) -> DataFr
     covered = (parts.join(F.broadcast(known_words), F.lower("part") == F.col("word")).groupBy(*key)
                .agg(F.sum(F.length("part")).alias("covered")))
     share = lambda pattern: (n - F.length(F.regexp_replace(c, pattern, ""))) / n
-    last_words = F.slice(F.reverse(F.filter(F.split(F.lower("before"), r"[^a-z0-9_-]+"), lambda w: w != "")),
-                         F.lit(1), F.lit(3))
+    humps = F.lower(F.regexp_replace("before", "([a-z0-9])([A-Z])", "$1 $2"))
+    last_words = F.slice(F.reverse(F.filter(F.split(humps, r"[^a-z0-9_-]+"), lambda w: w != "")), F.lit(1), F.lit(3))
     beside = lambda names: F.arrays_overlap("near", F.array(*map(F.lit, names)))
     runs = F.regexp_count(c, F.lit(RUNS)) - 1
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
@@ -109,9 +126,9 @@ def features(found: DataFrame, known_words: DataFrame, key: list[str]) -> DataFr
         "in_path": flag(F.col("before").rlike(r"/$") | F.col("after").rlike(r"^[/?]") | c.rlike("[a-zA-Z]/[a-zA-Z]")),
         "near_url": flag(F.col("before").rlike(r"(?:https?|ftp|file|s3)://[^\s\"']*$")),
         "file_ending": flag(F.col("after").rlike(r"^\.[A-Za-z]{1,5}\b")),
-        "secret_word_before": flag(beside(SECRET_NAMES)),
+        "secret_word_before": flag(F.exists("near", lambda w: w.rlike(rf"(?:(?:^|[_-])(?:{_NAME})|{_STRONG})$"))),
         "harmless_word_before": flag(beside(HARMLESS_NAMES)),
-        "assigned": flag(F.col("before").rlike("[=:][\"' ]*$")),
+        "assigned": flag(F.col("before").rlike("[=:]>?[\"' ]*$")),
         "quoted_value": flag(F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")),
         "repeats": flag(c.rlike(r"(.)\1{3,}|(.{2,64}?)\2{3,}|(?i)(?:xxxx|changeme|your[_-]|example|placeholder|dummy)")),
     }).drop("near", "covered")
@@ -138,6 +155,9 @@ def labelled_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         value.alias("candidate"), before.alias("before"), after.alias("after"), F.lit(float(label)).alias("label"))
     number = F.translate("h", "abcdef", "012345")
     tail = say(" ", pick(5), " ", pick(6))
+    letters = F.translate(base64, "0123456789+/", "")
+    digest = lambda salt: F.translate(F.base64(F.unhex(F.sha2(F.concat("h", F.lit(salt)), 512))), "+/=\n", "xY")
+    camel = say(F.lower(pick(20)), F.initcap(pick(21)), F.initcap(pick(22)), F.initcap(pick(23)))
     found = F.array(
         one(1, F.col("h1"), say(lead, 'token = "'), say('"', tail)),
         one(1, F.upper("h1"), say(F.upper(lead), 'TOKEN = "'), say('"', tail)),
@@ -145,6 +165,26 @@ def labelled_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         one(1, F.substring("h", 1, 32), say(lead, "api_key="), tail),
         one(1, F.substring(base64, 3, 24), say(lead, "password = '"), say("'", tail)),
         one(1, say("ghp_", F.substring(F.regexp_replace(base64, "[+/]", "x"), 1, 36)), say(lead, "auth "), tail),
+        one(1, say(F.substring(base64, 5, 4), "@", F.substring(base64, 11, 3), "!"), say(lead, 'password = "'), say('"', tail)),
+        one(1, say(F.substring(base64, 7, 5), "!", F.substring(base64, 21, 2), "$$"), say(lead, "dbPassword="), tail),
+        one(1, F.substring(base64, 9, 9), say(lead, 'userToken: "'), say('"', tail)),
+        one(1, say(F.initcap(F.substring(pick(27), 1, 6)), "@", F.substring(number, 1, 2), "!"), say(lead, "DB_PASSWORD="), tail),
+        one(1, F.translate(F.substring("h", 1, 14), "abcdef", "!@#$%^"), say(lead, "secret: '"), say("'", tail)),
+        one(1, F.substring(letters, 1, 24), say(lead, 'secret = "'), say('"', tail)),
+        one(1, F.substring(letters, 3, 28), say(lead, "bearer "), tail),
+        one(1, say("eyJ", F.substring(digest("a"), 1, 33), ".", digest("b"), digest("c"), ".", F.substring(digest("d"), 1, 43)),
+            say(lead, "token: "), tail),
+        one(1, say(digest("e"), digest("f"), digest("g"), digest("h")), say(lead, "private_key = '"), say("'", tail)),
+        one(0, say(pick(28), " ", pick(29), " ", pick(30), " ", pick(31)), say(lead, 'key: "'), say('"', tail)),
+        one(0, say(pick(32), " ", pick(33), " ", pick(34), "."), say(lead, 'passwordHint = "'), say('"', tail)),
+        one(0, camel, lead, tail),
+        one(0, camel, say(lead, "token: "), tail),
+        one(0, say(F.initcap(pick(24)), F.initcap(pick(25)), F.initcap(pick(26)), "Factory"), lead, say("(", tail)),
+        one(0, say(F.initcap(pick(28)), "/", F.initcap(pick(29)), "/", F.lower(pick(30))), say(lead, "/"), say(".txt", tail)),
+        one(0, say("${", F.upper(pick(31)), "_", F.upper(pick(32)), "}"), say(lead, 'password: "'), say('"', tail)),
+        one(0, say(F.lower(pick(33)), ".", F.lower(pick(34)), ".", F.lower(pick(35))), say(lead, "apiKey = "), tail),
+        one(0, say("https://", F.lower(pick(36)), ".example.org/", F.lower(pick(37))), say(lead, 'auth: "'), say('"', tail)),
+        one(0, F.initcap(F.concat(pick(38), pick(39))), say(lead, "key: "), tail),
         one(0, F.col("h1"), say(lead, "commit "), tail),
         one(0, F.col("h"), say(lead, "sha256: "), tail),
         one(0, F.substring("h", 1, 32), say(lead, "md5 checksum "), tail),

@@ -38,6 +38,31 @@ def test_long_values_are_found_whole(spark):
     assert [(r.start, r.candidate) for r in rows] == [(7, jwt), (7 + len(jwt) + len(" and private_key = '"), key)]
 
 
+def test_candidates_of_many_kinds(spark):
+    want = {'password = "P@ssw0rd!"': "P@ssw0rd!", "pwd: 'S3cr3t!Pa$$'": "S3cr3t!Pa$$", "password=S3cr3t!Pa$$ x": "S3cr3t!Pa$$",
+            'dbPassword = "abc123"': "abc123", "userToken: k3yk3y": "k3yk3y", "DB2_LONG_NAME_OF_A_PASSWORD=hunter2x": "hunter2x",
+            "passwd => 'correct horse battery'": "correct horse battery", "password := abcdef1": "abcdef1",
+            "?apiKey=ab12cd34&user=me": "ab12cd34", 'secret: "a\\"b\\"cdef"': 'a\\"b\\"cdef', "f(dbpassword='abcdefg')": "abcdefg",
+            "say qWeRtYuIoPaSdFgHjK now": "qWeRtYuIoPaSdFgHjK", "use ghp_abcdefghijklmnopqrst.": "ghp_abcdefghijklmnopqrst",
+            "eyJabcdefghijklm.eyJnopqrstu.vwxyz and": "eyJabcdefghijklm.eyJnopqrstu.vwxyz",
+            "key: 'tis the season": None, "monkey: abcdefgh": None, "a verylongwordofsmallletters here": None}
+    docs = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    rows = secrets.candidates(docs).collect()
+    got = {i: (r.candidate, r.start) for i in range(len(want)) for r in rows if r.doc_id == i}
+    assert len(rows) == len(got)
+    for i, (text, value) in enumerate(want.items()):
+        assert got.get(i) == (value and (value, text.index(value))), text
+
+
+def test_secrets_of_many_kinds_are_told_from_look_alikes(spark):
+    docs = spark.read.parquet(f"{SF_LARGER}/documents.parquet").select("doc_id", "text")
+    real = ['password = "P@ssw0rd!7x"', "dbPassword=x7!Kp2$$q", 'userToken: "Zk4wq9RtB"', 'secret = "qWzRtYbIoPxSdFgHjKvMnQa"']
+    fake = ['key: "please read this first"', "token: getUserAccountName", "say UserAccountManagerFactory(", 'password: "${DB_PASSWORD}"']
+    more = spark.createDataFrame([(-i - 1, f"we say {t} here") for i, t in enumerate(real + fake)], "doc_id long, text string")
+    rows = secrets.scan(docs.unionByName(more)).filter("doc_id < 0").collect()
+    assert {-r.doc_id - 1: r.is_secret for r in rows} == {i: i < len(real) for i in range(len(real + fake))}
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.read.parquet(f"{SF_LARGER}/documents.parquet")
     plan = secrets.scan(docs)._jdf.queryExecution().toString()
