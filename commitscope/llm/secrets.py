@@ -8,12 +8,14 @@ each into numbers: length, changes of character class, share of dictionary
 words, path-likeness and the neighbouring words.  Spark ML fits the forest on
 labelled findings and scores the rows, both in the JVM.
 
-The dictionary is the corpus' own: the ``DICTIONARY_WORDS`` commonest words
-of all documents.
+The dictionary is the corpus' own: words that at least ``DICTIONARY_SHARE`` of
+its documents hold, and two of them at least.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, quoted
 
-DICTIONARY_WORDS = 20_000
+DICTIONARY_SHARE = 1e-4
 MAX_LABELLED = 400
 BEFORE, AFTER = 64, 32
 # Names that secrets are assigned to, and words that stand
@@ -91,20 +93,22 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                        "after")
 
 
-def dictionary(docs: DataFrame, text_col: str = "text", words: int = DICTIONARY_WORDS) -> DataFrame:
-    """The corpus' commonest words of four letters and more: ``(word)``."""
-    all_words = F.explode(F.split(F.lower(quoted(text_col).cast("string")), r"[^a-z]+"))
-    return (docs.select(all_words.alias("word")).filter(F.length("word").between(4, 24))
-            .groupBy("word").count().orderBy(F.desc("count"), "word").limit(words).select("word"))
+def dictionary(docs: DataFrame, text_col: str = "text", share: float = DICTIONARY_SHARE) -> DataFrame:
+    """The corpus' own words of four letters and more (``word``): those in at
+    least ``share`` of its documents and in two."""
+    least = max(2, math.ceil(share * docs.count()))
+    words = F.array_distinct(F.split(F.lower(quoted(text_col).cast("string")), r"[^a-z]+"))
+    return (docs.select(F.explode(words).alias("word")).filter(F.length("word") >= 4)
+            .groupBy("word").count().filter(F.col("count") >= least).select("word"))
 
 
 def features(found: DataFrame, known_words: DataFrame, key: list[str]) -> DataFrame:
     """``found`` (``candidate, before, after``; ``key`` identifies a row)
-    with the columns of ``FEATURES``.  ``known_words`` holds at most
-    ``DICTIONARY_WORDS`` rows and is broadcast."""
+    with the columns of ``FEATURES``.  ``known_words`` is
+    broadcast only where Spark measures it as small."""
     c, n = F.col("candidate"), F.length("candidate")
     parts = found.select(*key, F.explode(F.regexp_extract_all("candidate", F.lit(WORD_PARTS), F.lit(0))).alias("part"))
-    covered = (parts.join(F.broadcast(known_words), F.lower("part") == F.col("word")).groupBy(*key)
+    covered = (parts.join(known_words, F.lower("part") == F.col("word")).groupBy(*key)
                .agg(F.sum(F.length("part")).alias("covered")))
     share = lambda pattern: (n - F.length(F.regexp_replace(c, pattern, ""))) / n
     humps = F.lower(F.regexp_replace("before", "([a-z0-9])([A-Z])", "$1 $2"))

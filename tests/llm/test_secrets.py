@@ -63,6 +63,15 @@ def test_secrets_of_many_kinds_are_told_from_look_alikes(spark):
     assert {-r.doc_id - 1: r.is_secret for r in rows} == {i: i < len(real) for i in range(len(real + fake))}
 
 
+def test_dictionary_by_share_of_documents(spark):
+    rows = [(i, f"common words {'rarely' if i % 10 == 0 else ''} scrap{'abcdefghij'[i // 4]}{'klmn'[i % 4]} {'long' * 9}")
+            for i in range(40)]
+    docs = spark.createDataFrame([*rows, (40, "once once once"), (41, None)], "doc_id long, text string")
+    words = lambda share, d: {r.word for r in secrets.dictionary(d, share=share).collect()}
+    assert words(1e-4, docs) == {"common", "words", "rarely", "long" * 9}
+    assert words(0.2, docs) == words(0.2, docs.unionByName(docs)) == {"common", "words", "long" * 9}
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.read.parquet(f"{SF_LARGER}/documents.parquet")
     plan = secrets.scan(docs)._jdf.queryExecution().toString()
