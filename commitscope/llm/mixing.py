@@ -3,15 +3,18 @@ splitting tree.
 
 1. ``targets``: each source's share of all words, water-filled under a cap of
    ``max_repeat`` times its size.
-2. Documents are dealt to blocks of their source by a seeded hash; only the
-   blocks' word counts (at most about ``MAX_BLOCKS``) reach the driver.  Each
-   source takes all its blocks as often as its target holds its size whole,
-   then blocks in a permuted order while they fit: its exact block quota.
-3. ``split_quotas`` halves the range of output shards again and again and
-   draws from a multivariate hypergeometric law how many blocks of each
-   source go left, so each shard's block count is exact and its composition
-   is that of a uniform shuffle.  Shards then take consecutive runs of each
-   source's permuted block draws: the runs are disjoint and use up the quota.
+2. Documents are dealt to blocks of their source by a seeded hash, at least
+   ``SOURCE_BLOCKS`` of each source that has as many rows.  Each source takes
+   all its blocks as often as its target holds its size whole, then blocks in
+   a permuted order while they fit: its exact block quota.  A task per source
+   chooses them.
+3. Sources are dealt to ``GROUPS`` groups.  ``split_quotas`` halves the range
+   of output shards again and again and draws from a multivariate
+   hypergeometric law how many blocks of each group go left, so each shard's
+   block count is exact and its composition is that of a uniform shuffle.
+   Shards then take consecutive runs of each group's permuted block draws: the
+   runs are disjoint and use up the quota.  Only the groups' quotas reach the
+   driver.
 4. ``mix`` sends the documents to their shards and shuffles inside each.
 
 All draws come from the seed, so reruns agree.
@@ -23,13 +26,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, fresh, quoted
 
 WEIGHTS = (5, 2, 1)
 MAX_BLOCKS = 1 << 14
+SOURCE_BLOCKS = 256
+GROUPS = 256
 MAX_SHARDS = 1 << 12
 SHARD_WORDS = 1 << 27
 SOURCE_NO, BLOCK, DRAWS = "_source_no", "_block", "_draws"
@@ -109,9 +114,8 @@ def _partial(words: np.ndarray, want: float) -> np.ndarray:
 
 @dataclass
 class Plan:
-    sources: pd.DataFrame  # source, source_size, target, n_blocks
-    draws: pd.DataFrame  # source_no, block, epoch, shard
-    shards: int
+    sources: DataFrame  # _name, _source_no, source_size, target, _blocks
+    draws: DataFrame  # _source_no, _block, _draws
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
@@ -121,59 +125,89 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
         F.xxhash64(F.lit(seed), quoted(id_col), quoted(text_col).cast("string")).alias("k"))
 
 
-def _with_block(keyed: DataFrame, sources: pd.DataFrame) -> DataFrame:
-    """Adds the source's number, size, target and the block.  The source
-    table is the mixture's definition: a row per source."""
-    spark = keyed.sparkSession
-    table = spark.createDataFrame(
-        [(None if pd.isna(s) else s, i, int(z), float(t), int(b)) for i, (s, z, t, b) in
-         enumerate(zip(sources["source"], sources["source_size"], sources["target"], sources["n_blocks"]))],
-        f"_name string, {SOURCE_NO} int, source_size long, target double, _blocks int")
-    return (keyed.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_name")))
+def _with_block(keyed: DataFrame, sources: DataFrame) -> DataFrame:
+    """Adds the source's number, size, target and the block."""
+    return (keyed.join(sources, F.col("source").eqNullSafe(F.col("_name")))
             .withColumn(BLOCK, F.pmod("k", F.col("_blocks").cast("long")).cast("int")).drop("_name", "_blocks"))
 
 
-def make_plan(keyed: DataFrame, weights: tuple[int, ...], max_repeat: int, seed: int) -> Plan:
-    per = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")).toPandas()
-    # Code-point order, null last.
-    per = per.iloc[sorted(range(len(per)), key=lambda i: (per["source"].isna()[i], per["source"].fillna("")[i]))]
-    per = per.reset_index(drop=True)
-    total = int(per["source_size"].sum()) if len(per) else 0
-    per["target"] = targets([int(x) for x in per["source_size"]], weights, max_repeat) if len(per) else []
+def _sources(keyed: DataFrame, work: Workspace, weights: tuple[int, ...], max_repeat: int) -> tuple[DataFrame, int]:
+    """A row per source with its number (code-point order, null last), the
+    target that ``targets`` gives it and its number of blocks; and all words."""
+    per = work.stage(keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), "per")
+    order = F.col("source").asc_nulls_last()
+    ranged = work.stage(per.repartitionByRange(order).withColumn("p", F.spark_partition_id()), "ranged")
+    counts = {r["p"]: r["count"] for r in ranged.groupBy("p").count().collect()}  # a row per partition
+    before = np.cumsum([0] + [counts.get(p, 0) for p in range(max(counts, default=0) + 1)])
+    number = F.get(F.lit([int(b) for b in before]), "p") + F.row_number().over(Window.partitionBy("p").orderBy(order)) - 1
+    weight = F.get(F.lit([float(w) for w in weights]), F.col(SOURCE_NO) % len(weights))
+    ranked = work.stage(ranged.withColumn(SOURCE_NO, number.cast("int")).withColumn("w", weight).drop("p"), "ranked")
+    total = int(ranked.agg(F.sum("source_size")).first()[0] or 0)
+    cap, share, rounds = max_repeat * F.col("source_size"), None, -1
+    # The share only grows, so what is capped stays capped.
+    while True:
+        free = F.lit(True) if share is None else share <= cap
+        held, w, n = ranked.agg(F.sum(F.when(free, 0).otherwise(cap)), F.sum(F.when(free, F.col("w"))),
+                                F.count_if(free)).first()
+        if n == rounds or not n:
+            break
+        rounds, share = n, F.lit(float(total - held)) * F.col("w") / F.lit(w)
+    target = cap.cast("double") if share is None else F.when(share <= cap, share).otherwise(cap.cast("double"))
     block_words = max(1, -(-total // MAX_BLOCKS))
-    per["n_blocks"] = [max(1, min(int(r), -(-int(z) // block_words))) for r, z in zip(per["rows"], per["source_size"])]
-    blocks = (_with_block(keyed, per).groupBy(SOURCE_NO, BLOCK).agg(F.sum("size").alias("words"))
-              .toPandas())  # at most MAX_BLOCKS and a block per source
-    sequence = []
-    for no, (size, target) in enumerate(zip(per["source_size"], per["target"])):
-        own = blocks[blocks[SOURCE_NO] == no].sort_values(BLOCK)
-        rng = np.random.default_rng([seed, no])
-        epochs, parts = (int(target // size), []) if size else (0, [])
-        for epoch in range(epochs + 1):
-            order = rng.permutation(len(own))
-            ids, words = own[BLOCK].to_numpy()[order], own["words"].to_numpy()[order]
-            if epoch == epochs:
-                rest = target - epochs * size
-                taken = _partial(words, rest) if size and epochs < max_repeat else np.zeros(len(words), dtype=bool)
-                ids = ids[taken]
-            parts += [(no, int(b), epoch) for b in ids]
-        sequence.append(parts)
-    quotas = np.array([len(p) for p in sequence], dtype=np.int64)
+    blocks = F.least("rows", F.greatest(F.lit(SOURCE_BLOCKS), F.ceil(F.col("source_size") / block_words)))
+    return work.stage(ranked.select(F.col("source").alias("_name"), SOURCE_NO, "source_size", target.alias("target"),
+                                    blocks.cast("int").alias("_blocks")), "sources"), total
+
+
+def _chosen(own: pd.DataFrame, max_repeat: int, seed: int) -> pd.DataFrame:
+    """The block draws of one source."""
+    own = own.sort_values(BLOCK)
+    no, size, target = int(own[SOURCE_NO].iloc[0]), int(own["source_size"].iloc[0]), float(own["target"].iloc[0])
+    rng = np.random.default_rng([seed, no])
+    epochs, parts = (int(target // size), []) if size else (0, [])
+    for epoch in range(epochs + 1):
+        order = rng.permutation(len(own))
+        ids, words = own[BLOCK].to_numpy()[order], own["words"].to_numpy()[order]
+        if epoch == epochs:
+            rest = target - epochs * size
+            taken = _partial(words, rest) if size and epochs < max_repeat else np.zeros(len(words), dtype=bool)
+            ids = ids[taken]
+        parts += [(no, no % GROUPS, int(b), epoch) for b in ids]
+    return pd.DataFrame(parts, columns=[SOURCE_NO, "_group", BLOCK, "epoch"])
+
+
+def _dealt(own: pd.DataFrame, counts: np.ndarray, seed: int) -> pd.DataFrame:
+    """The draws of one group with their shards, in runs of a permuted order."""
+    own = own.sort_values([SOURCE_NO, "epoch", BLOCK], ignore_index=True)
+    group = int(own["_group"].iloc[0])
+    order = np.random.default_rng([seed, group, 1]).permutation(len(own))
+    shard = np.empty(len(own), dtype=np.int32)
+    shard[order] = np.repeat(np.arange(len(counts)), counts[:, group])
+    return own[[SOURCE_NO, BLOCK, "epoch"]].assign(shard=shard)
+
+
+def make_plan(keyed: DataFrame, weights: tuple[int, ...], max_repeat: int, seed: int) -> Plan:
+    work = Workspace(keyed.sparkSession, "mixing-plan")
+    sources, total = _sources(keyed, work, weights, max_repeat)
+    blocks = (_with_block(keyed, sources).groupBy(SOURCE_NO, BLOCK)
+              .agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"),
+                   F.first("target").alias("target")))
+    chosen = work.stage(blocks.groupBy(SOURCE_NO).applyInPandas(
+        lambda own: _chosen(own, max_repeat, seed), f"{SOURCE_NO} int, _group int, {BLOCK} int, epoch int"), "chosen")
+    quotas = np.zeros(GROUPS, dtype=np.int64)
+    for r in chosen.groupBy("_group").count().collect():  # at most GROUPS rows
+        quotas[r["_group"]] = r["count"]
     shards = int(min(MAX_SHARDS, max(1, -(-total // SHARD_WORDS), min(64, int(quotas.sum())))))
-    counts = split_quotas(quotas, shards, seed) if len(quotas) else np.zeros((shards, 0), dtype=np.int64)
-    rows = [(*draw, shard) for no, parts in enumerate(sequence)
-            for draw, shard in zip(parts, np.repeat(np.arange(shards), counts[:, no]).tolist())]
-    return Plan(per, pd.DataFrame(rows, columns=["source_no", "block", "epoch", "shard"]), shards)
+    counts = split_quotas(quotas, shards, seed)
+    dealt = chosen.groupBy("_group").applyInPandas(
+        lambda own: _dealt(own, counts, seed), f"{SOURCE_NO} int, {BLOCK} int, epoch int, shard int")
+    draws = dealt.groupBy(SOURCE_NO, BLOCK).agg(F.array_sort(F.collect_list(F.struct("epoch", "shard"))).alias(DRAWS))
+    return Plan(sources, work.stage(draws, "draws"))
 
 
 def _draws(dealt: DataFrame, plan: Plan) -> DataFrame:
-    """``dealt`` with the draws of each row's block (a row per drawn block is
-    broadcast: at most ``MAX_BLOCKS`` and one per source)."""
-    table = dealt.sparkSession.createDataFrame(
-        [(int(s), int(b), list(zip(g["epoch"].tolist(), g["shard"].tolist())))
-         for (s, b), g in plan.draws.groupby(["source_no", "block"])],
-        f"{SOURCE_NO} int, {BLOCK} int, {DRAWS} array<struct<epoch:int,shard:int>>")
-    return (dealt.join(F.broadcast(table), [SOURCE_NO, BLOCK], "left")
+    """``dealt`` with the draws of each row's block."""
+    return (dealt.join(plan.draws, [SOURCE_NO, BLOCK], "left")
             .withColumn(DRAWS, F.coalesce(DRAWS, F.array().cast("array<struct<epoch:int,shard:int>>"))))
 
 

@@ -58,6 +58,21 @@ def test_assign_meets_targets_and_agrees(spark):
         assert abs(taken[s] - target[s]) <= max(largest[s] / 2, 0.02 * target[s])
 
 
+def test_targets_are_met_with_many_sources(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(["w"] * int(rng.integers(1, 60))), f"s{i % 700:03}") for i in range(700 * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    by = (mixing.assign(docs).groupBy("source").agg({"size": "sum", "target": "max", "*": "count"})
+          .withColumnRenamed("sum(size)", "size").withColumnRenamed("max(target)", "target").collect())
+    assert len(by) == 700
+    names = {r.source: r for r in by}
+    want = brute_targets([names[s]["size"] for s in sorted(names)])
+    assert [names[s].target for s in sorted(names)] == pytest.approx(want)
+    taken = {r.source: r.taken for r in mixing.assign(docs).selectExpr("source", "size * size(draws) AS taken")
+             .groupBy("source").agg({"taken": "sum"}).toDF("source", "taken").collect()}
+    assert max(abs(taken[s] - names[s].target) / names[s].target for s in names) < 0.01
+
+
 def test_mix_returns_the_assigned_rows(odd_docs):
     want = Counter()
     for r in mixing.assign(odd_docs).collect():
