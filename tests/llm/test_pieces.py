@@ -6,6 +6,7 @@ import pytest
 import sentencepiece
 
 from commitscope.llm import pieces
+from commitscope.llm.queries import piece_model
 
 from .conftest import SF, odd_rows
 
@@ -116,3 +117,28 @@ def test_encode_and_decode_tables(odd_docs, no_docs, library):
     assert sorted(((r.doc_id, r.ids, r.decoded) for r in rows), key=str) == want
     assert all(r.n_pieces == len(r.ids) for r in rows)
     assert pieces.encode(no_docs, MODEL).count() == 0
+
+
+def test_many_texts_at_once_are_encoded_as_alone():
+    model = pieces.load(pieces.read_model(piece_model()))
+    texts = [r[1] for r in odd_rows()]
+    ids, offsets = model.encode_many(texts)
+    alone = [pieces.Pieces(pieces.read_model(piece_model()))._segment(model.normalize(t or "")) for t in texts[:6]]
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])][:6] == [list(x) for x in alone]
+    assert model.decode_many(ids, offsets) == [t or "" for t in texts]
+    none, nowhere = model.encode_many([])
+    assert len(none) == 0 and nowhere.tolist() == [0]
+
+
+def test_a_full_table_starts_anew(monkeypatch):
+    monkeypatch.setattr(pieces, "KEPT_SEGMENTS", 3)
+    model = pieces.Pieces(pieces.read_model(piece_model()))
+    first = [model.encode("one two three four five") for _ in range(3)]
+    assert first[0] == first[1] == first[2]
+
+
+def test_decode_replaces_a_column_of_its_name(spark):
+    encoded = spark.createDataFrame([(1, [1, 2], "old"), (2, None, "x")], "doc_id long, ids array<int>, decoded string")
+    out = pieces.decode(encoded, piece_model())
+    assert out.columns == ["doc_id", "ids", "decoded"]
+    assert {r.doc_id: r.decoded for r in out.collect()}[2] is None
