@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, htmltext, mixing, pieces, quality, repeats, secrets, simhash, topk, warc
+from . import (alignment, exact_dedup, htmltext, mixing, pieces, private, quality, repeats, secrets, simhash, topk, warc,
+               whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +117,28 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_classes(_table(spark, sf_dir, "documents"), shingle=3, radius=2)
+
+
+def byte_vocabulary() -> str:
+    """The public byte-level vocabulary; its place is a parameter of the
+    operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("op11_alignment")
+def op11_alignment(spark: SparkSession, sf_dir: str, byte_path: str | None = None,
+                   piece_path: str | None = None) -> DataFrame:
+    return alignment.link_counts(_table(spark, sf_dir, "documents"), byte_path or byte_vocabulary(),
+                                 piece_path or piece_model())
+
+
+@register("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=8)
+
+
+@register("op13_private")
+def op13_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.private_spans(_table(spark, sf_dir, "documents"))

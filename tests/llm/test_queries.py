@@ -16,7 +16,10 @@ COLUMNS = {
     "op3": "doc_id n_bytes n_removed n_spans kept_sha256", "op4": "doc_id held_out score predicted",
     "op5": "doc_id ordinal start candidate score is_secret", "op6": "doc_id keep_id group_size kept text_sha256",
     "op7": "query_id rank vec_id score", "op8": "page_id url text n_chars",
-    "op9": "page_id payload_bytes payload_digest record_type refers_to", "op10": "doc_id fingerprint component_id"}
+    "op9": "page_id payload_bytes payload_digest record_type refers_to", "op10": "doc_id fingerprint component_id",
+    "op11": "doc_id n_a n_b n_groups n_links groups_sha256 n_best count_sum",
+    "op12": "vec_id component n deviation whitened explained identity_error deviation_digits",
+    "op13": "doc_id n_email n_ip n_card n_phone base_sha256 spans"}
 
 
 def test_registered_once_each():
