@@ -1213,16 +1213,32 @@ def stream_newest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.latest_versions(spark, f"{base}/out", ["repo"])
 
 
-@register("stream_churn", ORACLES["churn_by_group"])
-def stream_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register("stream_file_churn", ORACLES["churn_by_group"])
+def stream_file_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-40: snapshots landed as files and streamed (availableNow); the
     stateless in-row jobs run on the stream and must equal the batch result."""
-    base = streams.scratch_dir(spark, "churn")
+    base = streams.scratch_dir(spark, "file-churn")
     src = streams.land_as_stream(spark, load_commits(spark, sf_dir), base)
     streams.run_available(streams.file_churn_stream(src), f"{base}/out", f"{base}/ckpt")
     return churn.churn_totals(spark.read.parquet(f"{base}/out"), ["repo", "group_type"])
 
 
+@register("stream_churn", f"""
+WITH {_CLASSIFIED}
+SELECT repo, group_type, CAST(count(*) AS BIGINT) AS files,
+       CAST(sum(additions) AS BIGINT) AS additions, CAST(sum(deletions) AS BIGINT) AS deletions
+FROM churned WHERE (repo, commit_id) IN (SELECT (repo, max(commit_id)) FROM commits GROUP BY repo)
+GROUP BY repo, group_type
+""")
+def stream_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-40: churn of each repo's newest snapshot, kept up by retractions:
+    a newer snapshot takes back what the one before it contributed."""
+    base = streams.scratch_dir(spark, "churn")
+    src = streams.land_as_stream(spark, load_commits(spark, sf_dir), base)
+    streams.run_superseding_churn(src, base)
+    return streams.latest_churn(spark, base)
+
+
 @register("stream_assembled", ORACLES["assembled"])
 def stream_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-25 streaming: chunks arrive over several micro-batches; the

@@ -174,7 +174,7 @@ def fold_candidates(events: DataFrame, status: DataFrame | None = None,
     scanned = running_sum(entries.unionByName(toggles), keys, ["entry_seq", "_toggle", "sub_pos"],
                           "_toggle", "_upto", width=width)
     mine = scanned.filter(F.col("_toggle") == 0).join(touched, keys, "left")
-    toggles_after = F.coalesce(F.col("_total"), F.lit(0)) - F.col("_upto")
+    toggles_after = F.coalesce(F.col("_total"), F.lit(0)) - F.coalesce(F.col("_upto"), F.lit(0))  # no id: no toggles
     message = F.when(F.col("_edit._s") > F.col("entry_seq"), F.col("_edit._m")).otherwise(F.col("m0"))
     return mine.select("session", "entry_seq", "sub_pos", "id", message.alias("message"), "reason", "files",
                        (F.col("c0") != (toggles_after % 2 == 1)).alias("checked"))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..operators import candidates as cstate
 from ..operators import churn, diffs, paths
 from ..session import ensure_checkpoint_dir
+from . import keyed
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -129,80 +130,115 @@ def state_before(spark: SparkSession, path: str, batch_id: int | None = None) ->
 
 
 # ---------------------------------------------------------------------------
-# OP-30 candidate lists and OP-31 newest run on streams
+# OP-30 candidate lists on streams
 # ---------------------------------------------------------------------------
 
-def run_fold_stream(events: DataFrame, base: str) -> None:
-    """Fold a UI-event stream into candidate lists and status, exactly.
+def run_fold_stream(events: DataFrame, base: str, idle_ms: int | None = None) -> None:
+    """Fold a UI-event stream into candidate lists and status, exactly,
+    whatever order events arrive in (:class:`keyed.ListFold`).
 
-    The list fold uses event order within a session, which a streaming
-    aggregate cannot express, so each micro-batch runs the batch fold:
-
-    * sessions whose new events are all newer than the last event already
-      folded (the normal case) are folded *incrementally*: only the new
-      events, with the session's previous list entries (order keys, message,
-      checked flag) and status as ``prior``;
-    * sessions that received an older (late) event are re-folded from their
-      stored event history, so arrival order never changes the result;
-    * all other sessions are carried over.
-
-    A batch reads the state of the batch before it (``state_before``) and
-    events up to its own, and writes events, status and lists to
-    ``batch_id=<n>`` (overwritten on replay, so a retried batch is exact).
+    Every micro-batch writes the changes of the sessions it touched to
+    ``changes/batch_id=<n>`` (overwritten on replay; the state is versioned by
+    batch too, so a retried batch is exact).  Sessions without new events cost
+    nothing.
     """
-    spark = events.sparkSession
-
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/events/batch_id={batch_id}")
-        batch = spark.read.schema(batch.schema).parquet(f"{base}/events/batch_id={batch_id}")
-        seen = batch.groupBy("session").agg(F.min("seq").alias("_min"), F.max("seq").alias("_max"))
-        before = state_before(spark, f"{base}/status", batch_id)
-        if before is None:
-            status = cstate.session_status(batch)
-            entries = cstate.fold_candidates(batch, status)
-            carried_status = carried_lists = None
-            last = seen.select("session", F.col("_max").alias("last_seq"))
-        else:
-            lists_before = state_before(spark, f"{base}/lists", batch_id)
-            late = (seen.join(before.select("session", "last_seq"), "session")
-                    .filter(F.col("_min") < F.col("last_seq")).select("session"))
-            late = late.checkpoint()  # small: decides both paths below
-            in_order = seen.select("session").join(late, "session", "left_anti")
-            inc_events = batch.join(in_order, "session", "left_semi")
-            status = cstate.session_status(inc_events, before.join(in_order, "session", "left_semi"))
-            entries = cstate.fold_candidates(inc_events, status, lists_before.join(in_order, "session", "left_semi"))
-            if not late.isEmpty():
-                history = (spark.read.parquet(f"{base}/events").filter(F.col("batch_id") <= batch_id)
-                           .drop("batch_id").join(late, "session", "left_semi"))
-                full = cstate.session_status(history)
-                status = status.unionByName(full)
-                entries = entries.unionByName(cstate.fold_candidates(history, full))
-            carried_status = before.join(seen, "session", "left_anti")
-            carried_lists = lists_before.join(seen, "session", "left_anti")
-            # a late batch must not move the newest folded seq back
-            last = (seen.join(before.select("session", F.col("last_seq").alias("_prior")), "session", "left")
-                    .select("session", F.greatest("_max", "_prior").alias("last_seq")))
-        status = status.join(last, "session", "left")
-        lists = cstate.list_positions(entries).select("session", "list_pos", "entry_seq", "sub_pos", "id", "message",
-                                                      "reason", "files", "checked")
-        if carried_status is not None:
-            status, lists = status.unionByName(carried_status), lists.unionByName(carried_lists)
-        status.write.mode("overwrite").parquet(f"{base}/status/batch_id={batch_id}")
-        lists.write.mode("overwrite").parquet(f"{base}/lists/batch_id={batch_id}")
-
-    q = (events.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/ckpt")
-         .trigger(availableNow=True).start())
+        batch.write.mode("overwrite").parquet(f"{base}/changes/batch_id={batch_id}")
+
+    with keyed.rocksdb(events.sparkSession):
+        q = (keyed.list_changes(events, idle_ms).writeStream.outputMode("update").foreachBatch(sink)
+             .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def _changes(spark: SparkSession, base: str, kind: str) -> DataFrame:
+    schema = f"{keyed.CHANGES}, batch_id long"
+    return spark.read.schema(schema).parquet(f"{base}/changes").filter(F.col("kind") == kind)
+
+
 def latest_status(spark: SparkSession, base: str) -> DataFrame:
-    """The newest status row of every session."""
-    return state_before(spark, f"{base}/status")
+    """The newest status row of every session, with the epoch of its list."""
+    values = ["generating", "error", "success_count", "staged_loading", "base_seq", "last_seq", "epoch"]
+    newest = F.max_by(F.struct(*values), "batch_id")
+    return _changes(spark, base, keyed.STATUS).groupBy("session").agg(newest.alias("_s")).select("session", "_s.*")
 
 
 def latest_lists(spark: SparkSession, base: str) -> DataFrame:
-    """The newest folded list of every session (empty lists give no rows)."""
-    return state_before(spark, f"{base}/lists").drop("entry_seq", "sub_pos")
+    """The newest folded list of every session (empty lists give no rows).
+
+    An entry's toggles are those of its id less the ones before it; its
+    message is its id's last edit, if that came after it."""
+    now = latest_status(spark, base).select("session", "epoch")
+    touched = (_changes(spark, base, keyed.TOUCH).groupBy("session", "epoch", "id")
+               .agg(F.max_by(F.struct("toggles", "seq", "message"), "batch_id").alias("_t")))
+    entries = _changes(spark, base, keyed.ENTRY).join(now, ["session", "epoch"])
+    shown = entries.join(touched, ["session", "epoch", "id"], "left").select(
+        "session", F.col("seq").alias("entry_seq"), "sub_pos", "id",
+        F.when(F.col("_t.seq") > F.col("seq"), F.col("_t.message")).otherwise(F.col("message")).alias("message"),
+        "reason", "files",
+        (F.col("checked") != ((F.coalesce("_t.toggles", "toggles") - F.col("toggles")) % 2 == 1)).alias("checked"))
+    return cstate.list_positions(shown).select("session", "list_pos", "id", "message", "reason", "files", "checked")
+
+
+def late_events(spark: SparkSession, base: str) -> DataFrame:
+    """Events that came for lists whose events an idle timer had dropped."""
+    return _changes(spark, base, keyed.LATE).select("session", "seq", "id", "message")
+
+
+# ---------------------------------------------------------------------------
+# OP-40 superseded snapshots
+# ---------------------------------------------------------------------------
+
+def snapshot_groups(commits: DataFrame) -> DataFrame:
+    """``repo, commit_id, groups``: files, additions and deletions per group
+    type of each snapshot, counted inside its row; blank snapshots have no
+    group."""
+    parsed = diffs.parse_files(commits, keep_blank=True)
+    files = F.transform("files", lambda f: F.struct(
+        paths.classification(f["path"])["group_type"].alias("group_type"),
+        churn.count_sign_lines(f["diff"], "+").alias("additions"),
+        churn.count_sign_lines(f["diff"], "-").alias("deletions")))
+
+    def total(rows, field: str):
+        return F.aggregate(rows, F.lit(0).cast("long"), lambda n, r: n + r[field])
+
+    def summed(group):
+        rows = F.filter("_f", lambda r: r["group_type"] == group)
+        return F.struct(group.alias("group_type"), F.size(rows).cast("long").alias("files"),
+                        total(rows, "additions").alias("additions"), total(rows, "deletions").alias("deletions"))
+
+    return parsed.select("repo", "commit_id", files.alias("_f")).select(
+        "repo", "commit_id", F.transform(F.array_distinct("_f.group_type"), summed).alias("groups"))
+
+
+def newest_of_batches(snapshots: DataFrame, key: str = "repo", order: str = "commit_id") -> DataFrame:
+    """The newest row per key of every Arrow batch: less to shuffle where one
+    key has many rows, the same newest row per key."""
+    def run(batches):
+        for rows in batches:
+            yield rows.loc[rows.groupby(key, dropna=False)[order].idxmax()]
+
+    return snapshots.mapInPandas(run, snapshots.schema)
+
+
+def run_superseding_churn(commits: DataFrame, base: str) -> None:
+    """Stream of snapshots -> signed churn rows (:class:`keyed.Supersede`), a
+    folder per micro-batch (overwritten on replay)."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/signed/batch_id={batch_id}")
+
+    with keyed.rocksdb(commits.sparkSession):
+        signed = keyed.superseding(newest_of_batches(snapshot_groups(commits)))
+        q = (signed.writeStream.outputMode("update").foreachBatch(sink)
+             .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def latest_churn(spark: SparkSession, base: str) -> DataFrame:
+    """Churn over the newest snapshots only: the sum of the signed rows."""
+    rows = spark.read.schema(f"{keyed.SIGNED}, batch_id long").parquet(f"{base}/signed")
+    sums = [F.sum(F.col("sign") * F.col(c)).alias(c) for c in ("files", "additions", "deletions")]
+    return rows.groupBy("repo", "group_type").agg(*sums).filter(F.col("files") > 0)
 
 
 def newest_run_stream(runs: DataFrame, session: str = "repo", generation: str = "generation") -> DataFrame:
