@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import keep_where
+from .functions.js import is_blank
 from .session import ensure_checkpoint_dir
 from .operators import churn, diffs, paths
 from .sources import fixture_sql as fx
-from .sources.fixtures import BLANK_DIFF, load_commits
+from .sources.fixtures import load_commits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1050,6 +1051,7 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from .operators import quality  # noqa: E402
 from .sources.fixtures import CJK  # noqa: E402
+from .operators.ledger import AnswerLedger  # noqa: E402
 from .plans.generate import run_generation  # noqa: E402
 from .streaming import jobs as streams  # noqa: E402
 
@@ -1157,7 +1159,10 @@ def generation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     def context(snapshots: DataFrame) -> DataFrame:
         return _with_prompt_context(snapshots, spark, sf_dir, "left").withColumn(
             "catalog_id", (F.col("commit_id") % 6).cast("int"))
-    cands, errors = run_generation(load_commits(spark, sf_dir), context, echo_model, models)
+    return _outcome_rows(*run_generation(load_commits(spark, sf_dir), context, echo_model, models))
+
+
+def _outcome_rows(cands: DataFrame, errors: DataFrame) -> DataFrame:
     null = F.lit(None)
     return (cands.select("repo", "commit_id", F.lit("candidate").alias("kind"), "group_ord", "candidate_id",
                          "message", F.array_join("files", ",").alias("files"),
@@ -1169,6 +1174,30 @@ def generation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        null.cast("string").alias("files"), "error")))
 
 
+@register("generation_resumed", f"""
+WITH whole AS ({ORACLES["generation_run"]}), {fx.COMMITS_CTE}, {fx.REQUESTS_CTE},
+newest AS (SELECT repo, max(seq) AS generation, arg_max(commit_id % 9 = 4, seq) AS cancelled
+           FROM requests WHERE kind = 'regenerate' GROUP BY repo)
+SELECT w.* FROM whole w JOIN newest n ON w.repo = n.repo AND w.commit_id = n.generation WHERE NOT n.cancelled
+""")
+def generation_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-39 with OP-31: only each repo's newest run, none that was cancelled;
+    answers kept in a ledger.  Half of the runs are asked first, as by a job
+    that broke; the whole job then asks the rest."""
+    models = models_from_suppliers(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation"))
+    commits = load_commits(spark, sf_dir)
+    runs = (requests_from_commits(commits).filter(F.col("kind") == "regenerate")
+            .select("repo", F.col("seq").alias("commit_id"), (F.col("commit_id") % 9 == 4).alias("cancelled")))
+
+    def context(snapshots: DataFrame) -> DataFrame:
+        return _with_prompt_context(snapshots, spark, sf_dir, "left").withColumn(
+            "catalog_id", (F.col("commit_id") % 6).cast("int"))
+
+    ledger = AnswerLedger(spark, streams.scratch_dir(spark, "ledger"), waves=2)
+    run_generation(commits.filter(F.col("commit_id") % 2 == 0), context, echo_model, models, runs, ledger=ledger)
+    return _outcome_rows(*run_generation(commits, context, echo_model, models, runs, ledger=ledger))
+
+
 _ROUNDTRIP_SQL = f"""
 WITH {fx.COMMITS_CTE}
 SELECT repo, commit_id, md5(raw_diff) AS diff_md5,
@@ -1184,7 +1213,23 @@ def commits_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     readers.write_table(load_commits(spark, sf_dir), path)
     full, blank = readers.read_commits(spark, path)
     return (full.select("repo", "commit_id", F.md5("raw_diff").alias("diff_md5"), F.lit(None).cast("string").alias("status"))
-            .unionByName(blank.select("repo", "commit_id", F.md5(F.lit(BLANK_DIFF)).alias("diff_md5"), "status")))
+            .unionByName(blank.select("repo", "commit_id", F.md5("raw_diff").alias("diff_md5"), "status")))
+
+
+@register("commits_upserted", _ROUNDTRIP_SQL)
+def commits_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-03: the corpus through the keyed sink, a third of it written again
+    and a third first with an older text; one row per snapshot is left."""
+    path = streams.scratch_dir(spark, "upserted")
+    ensure_checkpoint_dir(spark)
+    commits = load_commits(spark, sf_dir)
+    third = F.pmod(F.col("commit_id"), F.lit(3))
+    old = commits.filter(third != 0).withColumn("raw_diff", F.when(third == 1, F.lit("older")).otherwise(F.col("raw_diff")))
+    for rows in (old, commits):
+        readers.upsert_table(rows, path, ["repo", "commit_id"])
+    return readers.read_upserted(spark, path).select(
+        "repo", "commit_id", F.md5("raw_diff").alias("diff_md5"),
+        F.when(is_blank("raw_diff"), F.lit("no_changes")).alias("status"))
 
 
 @register("stream_commits_roundtrip", _ROUNDTRIP_SQL)

@@ -52,9 +52,10 @@ def non_blank(commits: DataFrame, diff_col: str = "raw_diff") -> DataFrame:
     return commits.filter(~is_blank(F.col(diff_col)))
 
 
-def blank_snapshots(commits: DataFrame, diff_col: str = "raw_diff") -> DataFrame:
-    """OP-01 report: blank snapshots as ``no_changes`` rows."""
-    keys = [c for c in commits.columns if c != diff_col]
+def blank_snapshots(commits: DataFrame, diff_col: str = "raw_diff", keep_diff: bool = False) -> DataFrame:
+    """OP-01 report: blank snapshots as ``no_changes`` rows (``keep_diff``:
+    with their white space)."""
+    keys = [c for c in commits.columns if keep_diff or c != diff_col]
     return (commits.filter(is_blank(F.col(diff_col)))
             .select(*keys, F.lit("no_changes").alias("status")))
 

@@ -26,16 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.js import is_blank
-from ..operators import diffs, inference, paths, prompts, responses
+from ..operators import candidates, diffs, inference, paths, prompts, responses
+from ..operators.ledger import AnswerLedger
 from ..session import ensure_checkpoint_dir
 
 NO_CHANGES = "no_changes"
 NO_GROUPS = "could not analyse the staged changes"
 
 
-def snapshot_outcomes(commits: DataFrame, context: Callable[[DataFrame], DataFrame], fn, models: DataFrame | None = None) -> DataFrame:
+def snapshot_outcomes(commits: DataFrame, context: Callable[[DataFrame], DataFrame], fn, models: DataFrame | None = None,
+                      ledger: AnswerLedger | None = None) -> DataFrame:
     """One row per snapshot: repo, commit_id, error (NULL when fine),
-    items (parsed answer), group_files.  Not yet materialised."""
+    items (parsed answer), group_files.  Not yet materialised, but for the
+    prompts and answers where a ``ledger`` keeps them."""
     keys = ["repo", "commit_id"]
     parsed = diffs.parse_files(commits.withColumn("_blank", is_blank("raw_diff")), keep_blank=True)
     grouped = paths.with_groups(parsed)
@@ -50,26 +53,38 @@ def snapshot_outcomes(commits: DataFrame, context: Callable[[DataFrame], DataFra
                  .otherwise(F.col("error")))
     staged = prompts.batch_prompts(snap.withColumn("_pre", pre_error))
     staged = staged.select(
-        *keys, "_pre", F.size("groups").alias("n_groups"),
+        *keys, "model_id", "_pre", F.size("groups").alias("n_groups"),
         F.when(F.col("_pre").isNull(), F.col("prompt_text")).alias("prompt_text"),
         F.transform("groups", lambda g: F.transform(g["files"], lambda f: f["path"])).alias("group_files"))
-    answers = inference.infer(staged, fn, keys=keys + ["_pre", "n_groups", "group_files"])
+    if ledger is None:
+        answers = inference.infer(staged, fn, keys=keys + ["_pre", "n_groups", "group_files"])
+    else:
+        answers = ledger.ask(staged.checkpoint(), fn)
     parsed_answers = responses.parse_array(answers, "n_groups")
     error = F.coalesce(F.col("_pre"), F.col("infer_error"), F.col("error"))
     return parsed_answers.select(*keys, error.alias("error"),
                                  F.when(error.isNull(), F.col("items")).alias("items"), "group_files")
 
 
-def run_generation(commits: DataFrame, context: Callable[[DataFrame], DataFrame], fn, models: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def run_generation(commits: DataFrame, context: Callable[[DataFrame], DataFrame], fn, models: DataFrame | None = None,
+                   runs: DataFrame | None = None, generation: str = "commit_id",
+                   ledger: AnswerLedger | None = None) -> tuple[DataFrame, DataFrame]:
     """Return (candidates, errors).
 
+    With ``runs`` (repo, ``generation``, cancelled) only the snapshots of each
+    repo's newest run are asked about, and none where that run was cancelled.
+    With a ``ledger`` equal prompts are asked once, and a run that broke asks
+    only what has no answer yet.
+
     ``context`` adds to each snapshot row (repo, commit_id, ...) the columns
     conventional, prompt_language, prompt, history[, model, catalog_id].  ``errors`` holds
     blank snapshots (``no_changes``), snapshots without a file group, model
     choice failures, inference failures and unparsable answers.
     """
     ensure_checkpoint_dir(commits.sparkSession)
-    outcome = snapshot_outcomes(commits, context, fn, models).checkpoint()
+    if runs is not None:
+        commits = candidates.latest_generation(commits, runs, "repo", generation)
+    outcome = snapshot_outcomes(commits, context, fn, models, ledger).checkpoint()
     keys = ["repo", "commit_id"]
     cands = responses.build_candidates_in_row(outcome.filter(F.col("error").isNull()), keys)
     errors = outcome.filter(F.col("error").isNotNull()).select(*keys, "error")
