@@ -305,6 +305,9 @@ def _digest_batches(length: int):
     return run
 
 
+SALTS = 16
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
     return docs.select(quoted(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("k1"),
@@ -410,7 +413,9 @@ def without(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                    gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_removed, n_spans,
-    kept_sha256, removed`` (the maximal removed byte ranges).
+    kept_sha256, removed`` (the maximal removed byte ranges), ``n_kept`` and
+    ``kept_text``, what is left (a character that a range cuts through shows
+    as U+FFFD there; the digest is of the bytes).
 
     Null texts count as empty.  A row that repeats is a repeat of itself, so
     texts of ``length`` bytes and more that occur twice go whole.  An empty
@@ -418,27 +423,36 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     work = Workspace(docs.sparkSession, "repeats")
     spans = repeated_spans(docs, id_col, text_col, length, gram, crowd, work)
+    maybe = _maybe(spans)
     keyed = _keyed(docs, id_col, text_col)
-    # Texts that go in part are read once more for what is left of them.
-    part = spans.filter((F.size("runs") > 1) | (F.col("runs")[0]["b"] - F.col("runs")[0]["a"] < F.col("bytes")))
-    cut = keyed.select("k1", "k2", "text").filter(_maybe(part)("k1")).join(part, ["k1", "k2"]).select(
-        "k1", "k2", "text", "runs")
+    id_type = keyed.schema["doc_id"].dataType.simpleString()
+    # Texts without repeats pass as they are.  The others meet their ranges;
+    # copies of one text are dealt over several keys.
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    clean = keyed.filter(~maybe("k1")).select("doc_id", "text", F.sha2("text", 256).alias("kept_sha256"), none.alias("removed"),
+                                              F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"))
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    found = keyed.filter(maybe("k1")).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(
+        spans.select("k1", "k2", "runs", salt.alias("salt")), ["k1", "k2", "salt"], "left").select(
+        "doc_id", "text", F.coalesce("runs", none).alias("removed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [hashlib.sha256(without(_data(t), [(r["a"], r["b"]) for r in runs])).hexdigest()
-                    for t, runs in zip(batch.column("text"), batch.column("runs").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(kept, pa.string())],
-                                             names=["k1", "k2", "kept"])
-
-    kept = work.stage(cut.mapInArrow(run, "k1 long, k2 long, kept string").dropDuplicates(["k1", "k2"]), "kept")
-    none = F.array().cast("array<struct<a:int,b:int>>")
-    nothing = hashlib.sha256(b"").hexdigest()
-    found = work.stage(spans.join(kept, ["k1", "k2"], "left")
-                       .select("k1", "k2", "runs", F.coalesce("kept", F.lit(nothing)).alias("kept")), "found")
-    rows = keyed.select("doc_id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"),
-                        F.sha2("text", 256).alias("sha")).join(found, ["k1", "k2"], "left")
-    runs = F.coalesce("runs", none)
-    removed = F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"])
-    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size(runs).cast("long").alias("n_spans"),
-                       F.coalesce("kept", "sha").alias("kept_sha256"), runs.alias("removed"))
+            texts, digests, sizes, removed = [], [], [], []
+            for t, runs in zip(batch.column("text"), batch.column("removed").to_pylist()):
+                data = _data(t)
+                kept = without(data, [(r["a"], r["b"]) for r in runs])
+                texts.append(bytes(kept).decode("utf-8", "replace"))
+                digests.append(hashlib.sha256(kept).hexdigest())
+                sizes.append(len(data))
+                removed.append(len(data) - len(kept))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(digests, pa.string()),
+                 batch.column("removed"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64())],
+                names=["doc_id", "text", "kept_sha256", "removed", "n_bytes", "n_removed"])
+
+    cut = found.mapInArrow(run, f"doc_id {id_type}, text string, kept_sha256 string, removed array<struct<a:int,b:int>>, "
+                                "n_bytes long, n_removed long")
+    return clean.unionByName(cut).select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256", "removed",
+        (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), F.col("text").alias("kept_text"))

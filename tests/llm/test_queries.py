@@ -13,7 +13,7 @@ from .conftest import SF
 
 COLUMNS = {
     "op1": "doc_id size source_size target taken", "op2": "doc_id n_pieces ids decoded_sha256",
-    "op3": "doc_id n_bytes n_removed n_spans kept_sha256", "op4": "doc_id held_out score predicted",
+    "op3": "doc_id n_bytes n_removed n_spans kept_sha256 n_kept kept_text", "op4": "doc_id held_out score predicted",
     "op5": "doc_id ordinal start candidate score is_secret", "op6": "doc_id keep_id group_size kept text_sha256",
     "op7": "query_id rank vec_id score", "op8": "page_id url text n_chars",
     "op9": "page_id payload_bytes payload_digest record_type refers_to", "op10": "doc_id fingerprint component_id",

@@ -7,6 +7,8 @@ import pytest
 
 from commitscope.llm import repeats
 
+from .conftest import SF
+
 
 def brute(texts, length):
     count = Counter(d[i:i + length] for d in texts for i in range(len(d) - length + 1))
@@ -84,3 +86,18 @@ def test_nulls_repeats_and_empty_tables(odd_docs, no_docs):
     want = Counter((i, *x) for (i, _), x in zip(texts, brute([t for _, t in texts], 400)))
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == want
     assert repeats.remove_repeats(no_docs).count() == 0
+    for r in rows:
+        assert r.n_kept == r.n_bytes - r.n_removed
+        assert r.n_removed or hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
+
+
+def test_table_against_brute_force_at_full_length(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    want = {i: x for (i, _), x in zip(texts, brute([t for _, t in texts], 400))}
+    got = {r.doc_id: r for r in repeats.remove_repeats(docs).collect()}
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == want
+    assert any(r.n_removed and r.n_kept for r in got.values())
+    for i, data in texts:
+        kept = repeats.without(data, [(x.a, x.b) for x in got[i].removed])
+        assert got[i].kept_text == bytes(kept).decode("utf-8", "replace") and got[i].n_kept == len(kept)
