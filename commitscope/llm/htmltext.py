@@ -4,7 +4,8 @@ A page becomes a sequence of tokens in page order.  Words outside menus,
 headers, footers, sidebars, notices, adverts, forms and reader comments score
 positive, other words and all tags negative; one linear scan finds the run of
 tokens with the largest sum, and the words in it that scored positive are the
-article, block by block.
+article, block by block.  Inside an element that marks the article nothing
+scores negative, so long figures or asides in it cut no block off.
 
 Weights come from labelled pages: pages that mark their article with an
 ``article`` or ``main`` element tell which tags stand inside and outside of
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
@@ -52,7 +54,7 @@ LAYOUT_WORDS = frozenset("nav navbar navigation menu header masthead footer side
                          "topbar search".split())
 # Comments alone are often longer than what they are about.
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond list section thread threads area "
-                          "wrapper".split())
+                          "wrapper body content text item".split())
 CONTENT_WORDS = frozenset("article entry post content main story body text".split())
 # What opens closes these still open ones of its own kind.
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)),
@@ -106,48 +108,117 @@ def _marked(attributes: str) -> tuple[bool, int]:
 
 
 class _Element:
-    __slots__ = ("tag", "sure", "mark", "out", "article", "words", "up")
-
-    def __init__(self, tag: str, up: "_Element | None", sure: bool = False, mark: int = 0):
-        self.tag, self.up = tag, up
-        self.article = tag in ARTICLE or up is not None and up.article
-        # Marks above an article don't reach into it.
-        fresh = tag in ARTICLE and not (up is not None and up.article)
-        self.sure = sure or (up is not None and up.sure and not fresh)
-        self.mark, self.out, self.words = mark, False, 0
-
-    def aside(self) -> bool:
-        """Not main text, by its own or an outer element's mark."""
-        if self.sure:
-            return True
-        e, inside = self, self.article
-        while e is not None and (e.article or not inside):
-            if e.out:
-                return True
-            e = e.up
-        return False
+    """``words`` are those of its own, later of all within it; ``index`` and
+    ``end`` bound its descendants in page order."""
+
+    __slots__ = ("tag", "up", "sure", "mark", "out", "article", "scope", "words", "index", "end")
+
+    def __init__(self, tag: str, up: "_Element | None", index: int, sure: bool = False, mark: int = 0):
+        self.tag, self.up, self.sure, self.mark = tag, up, sure, mark
+        self.index = self.end = index
+        self.words, self.out, self.article, self.scope = 0, False, False, self
 
 
-def _settle(named: list["_Element"], top: "_Element") -> None:
-    """Decides which elements with marks are asides: none that holds most of
-    the words (of its article, if it stands in one, else of the page); of
-    comments, none with less than a tenth of the words beside it.
+def _articles(elements: list["_Element"]) -> set["_Element"]:
+    """The outermost ``article`` and ``main`` elements that hold main text.
 
-    Comments first, then small ones first; words of asides no longer count
-    for what holds them.
+    Those free of asides do.  Of those held by one (a class of their own, a
+    wrapper, an element left open), the longest does if no free one has as
+    many words, and with it those of the same holder: a teaser in a sidebar is
+    none, a page in a wrapper named like an aside is.  Those of reader
+    comments never do.
     """
-    for e in sorted(named, key=lambda e: (-e.mark, e.words)):
-        scope = top
-        if e.mark != LAYOUT and e.article:
-            scope = e
-            while scope.up is not None and scope.up.article:
-                scope = scope.up
-        e.out = 10 * e.words <= 9 * scope.words if e.mark == COMMENTS else 2 * e.words <= scope.words
-        if e.out and e.mark != LAYOUT:
-            up, words = e, e.words
-            while up is not None:
-                up.words -= words
-                up = up.up
+    levels: list[int] = []
+    holders: list[_Element | None] = []
+    roots: list[_Element | None] = []
+    silent: list[bool] = []
+    words: dict[_Element, int] = {}
+    for e in elements:
+        up = e.up.index if e.up is not None else None
+        own = 2 if e.mark == COMMENTS else 1 if e.sure or e.mark else 0
+        levels.append(max(own, levels[up] if up is not None else 0))
+        holders.append(e if own else holders[up] if up is not None else None)
+        root = roots[up] if up is not None else None
+        silent.append(root is not None and (e.sure or silent[up]))
+        if root is None and e.tag in ARTICLE:
+            root = e
+            words[e] = 0
+        roots.append(root)
+        if root is not None and not silent[-1]:
+            words[root] += e.words
+    chosen = {e for e in words if levels[e.index] == 0}
+    held = [e for e in words if levels[e.index] == 1]
+    longest = max(held, key=words.__getitem__, default=None)
+    if longest is not None and words[longest] > max((words[e] for e in chosen), default=-1):
+        chosen.update(e for e in held if holders[e.index] is holders[longest.index])
+    return chosen
+
+
+def _settle(elements: list["_Element"]) -> bool:
+    """Decides what is article and what aside (``out``, inherited down to the
+    next article); whether the page marks an article.
+
+    Of elements with marks, none that holds most of the words (of its
+    article, if it stands in one, else of the page) is an aside; of comments,
+    none with less than a tenth of the words beside it.  Comments first, then
+    small ones first; words of asides no longer count for what holds them.
+    """
+    articles = _articles(elements)
+    top = elements[0]
+    named: list[_Element] = []
+    for e in elements[1:]:
+        fresh = e in articles
+        e.article = fresh or e.up.article
+        e.scope = e if fresh else e.up.scope
+        if fresh:  # marks of its own and above don't reach into it
+            e.sure, e.mark = False, 0
+        else:
+            e.sure = e.sure or e.up.sure
+            if e.tag == "header" and not e.article:
+                e.mark = max(e.mark, LAYOUT)
+        if e.sure:
+            e.words = 0
+        elif e.mark:
+            named.append(e)
+    for e in reversed(elements[1:]):
+        e.up.words += e.words
+        e.up.end = max(e.up.end, e.end)
+
+    # Words of asides found so far, summed over ranges of the marked elements.
+    index = [e.index for e in named]
+    sums = [0] * (len(named) + 1)
+
+    def upto(i: int) -> int:
+        total = 0
+        while i:
+            total += sums[i]
+            i &= i - 1
+        return total
+
+    def left(e: _Element) -> int:
+        return e.words - upto(bisect_right(index, e.end)) + upto(bisect_left(index, e.index))
+
+    for mark in (COMMENTS, NAMED, LAYOUT):
+        todo, within = [], None
+        for i, e in enumerate(named):
+            if within is not None and e.index <= within.end and e.scope is within.scope:
+                continue
+            if e.out:
+                within = e
+            elif e.mark == mark:
+                todo.append((e.words, -i))
+        for _, i in sorted(todo):
+            e = named[-i]
+            words, whole = left(e), left(e.scope if e.mark != LAYOUT and e.article else top)
+            e.out = 10 * words <= 9 * whole if mark == COMMENTS else 2 * words <= whole
+            if e.out and mark != LAYOUT:
+                i = 1 - i
+                while i < len(sums):
+                    sums[i] += words
+                    i += i & -i
+    for e in elements[1:]:
+        e.out = e.sure or e.out or (e.up.out and e.scope is e.up.scope)
+    return bool(articles)
 
 
 Token = tuple[str, object, "_Element"]
@@ -155,31 +226,29 @@ Token = tuple[str, object, "_Element"]
 
 def tokens(html: str) -> tuple[list[Token], bool]:
     """``("word", text run, element)``, ``("tag", name, element)``, and
-    whether the page marks an article."""
+    whether the page marks an article.  Linear in the page, however deep it
+    nests: open elements are found by tag, not by walks to the root."""
     out: list[Token] = []
-    top = at = _Element("", None)
-    named: list[_Element] = []
-    marked, pos, n = False, 0, len(html)
+    top = _Element("", None, 0)
+    elements, stack = [top], [top]
+    depths: dict[str, list[int]] = {}  # tag -> depths at which it is open
+    pos, n = 0, len(html)
 
     def text(run: str) -> None:
         run = unescape(run) if "&" in run else run
-        count = len(run.split())
-        if run and at.tag not in SILENT:
-            out.append((WORD, run, at))
-            if not at.sure:
-                e = at
-                while e is not None:
-                    e.words += count
-                    e = e.up
+        if run and stack[-1].tag not in SILENT:
+            out.append((WORD, run, stack[-1]))
+            stack[-1].words += len(run.split())
+
+    def deepest(tags) -> int:
+        return max((depths[t][-1] for t in tags if depths.get(t)), default=0)
 
     def close(names, until=()) -> None:
-        nonlocal at
-        e = at
-        while e.up is not None and e.tag not in until:
-            if e.tag in names:
-                at = e.up
-                return
-            e = e.up
+        depth = deepest(names)
+        if depth > deepest(until):
+            for e in stack[depth:]:
+                depths[e.tag].pop()
+            del stack[depth:]
 
     scan = _TOKEN.finditer(html)
     while (m := next(scan, None)) is not None:
@@ -191,7 +260,7 @@ def tokens(html: str) -> tuple[list[Token], bool]:
             continue
         tag = tag.lower()
         if m.group(1):
-            out.append((TAG, "/" + tag, at))
+            out.append((TAG, "/" + tag, stack[-1]))
             close((tag,), ("table",) if tag in ("td", "th", "tr") else ())
             continue
         if tag in BLOCKS:
@@ -200,29 +269,24 @@ def tokens(html: str) -> tuple[list[Token], bool]:
             names, until = CLOSES[tag]
             for name in names.split()[::-1]:
                 close((name,), until)
-        if tag in ARTICLE:
-            marked = True
         if tag in VOID:
-            out.append((TAG, tag, at))
+            out.append((TAG, tag, stack[-1]))
             continue
-        sure, mark = (False, 0) if tag in ("html", "body", "main", "article") else _marked(m.group(3))
-        sure = sure or tag in ASIDE or tag in SILENT
-        if tag == "header" and not at.article:
-            mark = max(mark, LAYOUT)
-        at = _Element(tag, at, sure, mark)
-        if mark and not at.sure:
-            named.append(at)
-        out.append((TAG, tag, at))
+        sure, mark = (False, 0) if tag in ("html", "body") else _marked(m.group(3))
+        e = _Element(tag, stack[-1], len(elements), sure or tag in ASIDE or tag in SILENT, mark)
+        elements.append(e)
+        out.append((TAG, tag, e))
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, pos)
             pos = end.end() if end else n
             # Nothing within it begins a token.
             scan = _TOKEN.finditer(html, pos)
-            at = at.up
+        else:
+            depths.setdefault(tag, []).append(len(stack))
+            stack.append(e)
     if pos < n:
         text(html[pos:])
-    _settle(named, top)
-    return out, marked
+    return out, _settle(elements)
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -244,18 +308,16 @@ def extract(html: str | None, weights: dict[str, float] | None = None) -> str:
     block as one space.  Null, empty and text-free pages give ''."""
     weights = weights or {}
     sequence, marked = tokens(html or "")
-    kinds, scores, aside = [], [], {}
+    kinds, scores = [], []
     for kind, value, element in sequence:
         if kind == TAG:
-            name = value.lstrip("/")
             kinds.append(TAG)
-            scores.append(weights.get(name, PRIOR[TAG]))
+            # An article that is marked as such is whole, whatever stands in it.
+            scores.append(0.0 if element.article else weights.get(value.lstrip("/"), PRIOR[TAG]))
             continue
-        if element not in aside:
-            aside[element] = element.aside()
-        kind = WORD_ASIDE if aside[element] else WORD_OUTSIDE if marked and not element.article else WORD
+        kind = WORD_ASIDE if element.out else WORD_OUTSIDE if marked and not element.article else WORD
         kinds.append(kind)
-        scores.append(PRIOR[kind] * len(value.split()))
+        scores.append(0.0 if kind == WORD_ASIDE and element.article else PRIOR[kind] * len(value.split()))
     start, end = best_run(scores)
     blocks, run = [], []
     for kind, (_, value, element) in zip(kinds[start:end], sequence[start:end]):

@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 from html import unescape
 
 import pytest
@@ -89,6 +90,92 @@ def test_scripts_that_look_like_tags(script, frame):
     assert htmltext.tag_counts(html) == htmltext.tag_counts(re.sub("(?s)(<(script|style|textarea|title)>).*?(</\\2)", r"\1\3", html))
 
 
+COMMENT = "<article class=\"{}\"><footer>Someone</footer><p>I read it all, twice, and I liked it a lot.</p></article>"
+
+
+@pytest.mark.parametrize("frame", ["<article>{}</article>", "<main>{}</main>", "<div id=content>{}</div>",
+                                   "<article class='post has-related'>{}</article>", "<div class='with-sidebar'><article>{}</article></div>"])
+@pytest.mark.parametrize("thread", [
+    "<section id=comments>{}</section>", "<div class='comments-area'><ol><li>{}</ol></div>", "{}"])
+@pytest.mark.parametrize("name", ["comment-body", "comment", "comment even depth-1"])
+def test_comments_in_articles_of_their_own_go(frame, thread, name):
+    comments = thread.format(COMMENT.format(name) * 12)
+    assert htmltext.extract(f"<body>{frame.format(BODY)}{comments}</body>") == WANT
+    assert htmltext.extract(f"<body>{frame.format(BODY + comments)}</body>") == WANT
+
+
+def test_one_comment_longer_than_the_article_goes():
+    rant = "<article class=comment-body><p>" + "No, no and no. " * 100 + "</p></article>"
+    assert htmltext.extract(f"<article>{BODY}</article><section id=comments>{rant}</section>") == WANT
+    assert htmltext.extract(f"<article>{BODY}</article>{rant}") == WANT
+
+
+@pytest.mark.parametrize("teasers", [
+    "<aside class=related>{}</aside>", "<div class=related-posts>{}</div>", "<div id=sidebar>{}</div>", "<nav>{}</nav>",
+    "<footer>{}</footer>"])
+@pytest.mark.parametrize("frame", ["<article>{}</article>", "<main><div>{}</div></main>",
+                                   "<div id=page class='cookies-accepted'><article>{}</article></div>"])
+def test_teasers_in_articles_go(teasers, frame):
+    cards = teasers.format("<article class=card><h3>Another page</h3><p>and what it is about</p></article>" * 9)
+    assert htmltext.extract(cards + frame.format(BODY) + cards) == WANT
+
+
+def test_wrapped_page_with_a_short_free_article():
+    html = f"<article class=card><p>Short one</p></article><div class='cookies-accepted'><main>{BODY}</main></div>"
+    assert WANT in htmltext.extract(html)
+
+
+@pytest.mark.parametrize("between", [
+    "<figure><img src=a></figure>" * 150, "<div></div>" * 200, "<aside><p>" + "Buy this and that. " * 200 + "</p></aside>",
+    "<div class=ad><p>Buy now, buy here, buy it all</p></div>" * 3, "<table>" + "<tr><td><td></tr>" * 300 + "</table>"])
+@pytest.mark.parametrize("frame", ["<article>{}</article>", "<nav>A menu</nav><main>{}</main><footer>All rights</footer>"])
+def test_no_block_of_an_article_is_lost(between, frame):
+    assert htmltext.extract(frame.format("<p>The intro.</p>" + between + BODY)) == "The intro.\n\n" + WANT
+    assert htmltext.extract(frame.format(BODY + between + "<p>The end.</p>")) == WANT + "\n\nThe end."
+
+
+@pytest.mark.parametrize("opening,closing", [
+    ("<div>", "</div>"), ("<div>", ""), ("<span>", ""), ("<div class=comment>", ""), ("<article>", "</article>"),
+    ("<p><div><span><hr>", ""), ("<ul><li>", ""), ("<b>x</i>", ""), ("<div class=sidebar>y", "</div>")])
+def test_depth_costs_no_more_than_length(opening, closing):
+    def seconds(n):
+        html = "<p>start</p>" + opening * n + BODY + closing * n
+        began = time.process_time()
+        htmltext.extract(html)
+        return time.process_time() - began
+    seconds(1_000)
+    # A quadratic walk would take 256 times as long.
+    assert seconds(64_000) < 60 * max(seconds(4_000), 0.01)
+
+
+DIV = 0.0537123  # no sum of these and of whole words ties
+
+
+def brute_extract(words, tags_open, tags_close):
+    """Kept words of an unmarked page of blocks: the run of blocks with the
+    largest sum, every run tried."""
+    scores = [len(w) - DIV * (o + c) for w, o, c in zip(words, tags_open, tags_close)]
+    best, kept = 0.0, []
+    for a, b in itertools.combinations(range(len(words) + 1), 2):
+        # Tags before the first and behind the last word needn't be taken.
+        total = sum(scores[a:b]) + DIV * (tags_open[a] + tags_close[b - 1])
+        if words[a] and words[b - 1] and total > best + 1e-9:
+            best, kept = total, words[a:b]
+    return "\n\n".join(" ".join(w) for w in kept if w)
+
+
+def test_small_pages_against_all_runs():
+    rng = random.Random(3)
+    for _ in range(300):
+        words, opens, closes, html = [], [], [], []
+        for _ in range(rng.randint(1, 7)):
+            w = [rng.choice("abc") for _ in range(rng.choice([0, 0, 1, 2, 5]))]
+            k = rng.choice([1, 2, 15, 40])
+            words.append(w), opens.append(k), closes.append(k)
+            html.append("<div>" * k + " ".join(w) + "</div>" * k)
+        assert htmltext.extract("".join(html), {"div": -DIV}) == brute_extract(words, opens, closes)
+
+
 def test_very_long_page():
     html = "<article>" + "<p>word and word</p>" * 50_000 + "</article>"
     assert htmltext.extract(html).count("\n\n") == 49_999
