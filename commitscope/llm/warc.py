@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition,
                                     IsNotNull, WriterCommitMessage)
@@ -37,6 +37,7 @@ SCHEMA = ("record_type string, record_id string, target_uri string, date string,
 HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri",
            "date": "warc-date", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 LISTING = "_files.json"
+SALTS = 16  # tasks that share the copies of one payload
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -150,19 +151,33 @@ class _Records:
         self.body, self.length = cut, int(head["content-length"])
         return head
 
+    def _more(self, want: int) -> None:
+        if self.compressed:
+            more = self._inflate_more()
+        else:
+            data = self.f.read(min(self.CHUNK, want - len(self.plain)))
+            self.plain += data
+            more = bool(data)
+        if not more:
+            raise EOFError("archive ends within a record")
+
     def block(self) -> bytes:
         want = self.body + self.length
         while len(self.plain) < want:
-            if self.compressed:
-                if not self._inflate_more():
-                    raise EOFError("archive ends within a record")
-            else:
-                data = self.f.read(want - len(self.plain))
-                if not data:
-                    raise EOFError("archive ends within a record")
-                self.plain += data
+            self._more(want)
         return bytes(self.plain[self.body:want])
 
+    def http_head(self) -> tuple[bytes, int]:
+        """The HTTP headers and the length of what follows, which is left
+        unread."""
+        want, seen = self.body + self.length, self.body
+        while (cut := self.plain.find(b"\r\n\r\n", seen, want)) < 0:
+            if len(self.plain) >= want:
+                return bytes(self.plain[self.body:want]), 0
+            seen = max(self.body, len(self.plain) - 3)
+            self._more(want)
+        return bytes(self.plain[self.body:cut]), want - cut - 4
+
     def skip(self) -> None:
         if not self.compressed:
             self.at += self.body + self.length + 4
@@ -221,12 +236,17 @@ class WarcReader(DataSourceReader):
             while (head := records.next_head()) is not None:
                 values = {c: _bare(head.get(h), c) for c, h in HEADERS.items()}
                 if all(values[c] is not None and (not want or values[c] in want) for c, want in self.wanted):
-                    block = records.block()
-                    http, _, payload = block.partition(b"\r\n\r\n") if "http" in head.get("content-type", "") else (
-                        b"", b"", block)
-                    size = _parse_head(b"\r\n" + http).get("content-length") if http else None
-                    yield (*values.values(), int(size) if size is not None else len(payload),
-                           payload if self.with_payload and values["record_type"] != "revisit" else None)
+                    payload, size = None, records.length
+                    if "http" in head.get("content-type", ""):
+                        http, size = records.http_head()
+                        # What a revisit doesn't hold, its HTTP headers tell.
+                        if values["record_type"] == "revisit":
+                            size = int(_parse_head(b"\r\n" + http).get("content-length", size))
+                        elif self.with_payload:
+                            payload = records.block()[records.length - size:]
+                    elif self.with_payload and values["record_type"] != "revisit":
+                        payload = records.block()
+                    yield *values.values(), size, payload
                 records.skip()
 
 
@@ -305,29 +325,59 @@ def archive_pages(pages: DataFrame, path: str | None = None, id_col: str = "page
     Of pages with equal payloads of ``min_revisit_bytes`` and more, those
     with the smallest id are responses and the others revisits of it (a null
     id is above all others; rows that share the smallest id are all
-    responses).  Null html counts as empty; an empty table writes no file.
+    responses).  Payloads are equal if their SHA-256 is.  Null html counts as
+    empty; an empty table writes no file.
+
+    Which page comes first is found on rows without payloads, dealt out by
+    digest and salt; payloads then meet the ids of responses by (digest, id),
+    so copies of one payload never meet in one task.
     """
     work = Workspace(pages.sparkSession, "warc")
     path = path or f"{work.path}/archive"
     payload = F.coalesce(quoted(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(quoted(id_col).alias("id"), quoted(url_col).cast("string").alias("target_uri"),
-                        payload.alias("payload"), sha1_base32(payload).alias("payload_digest"))
-    first = work.stage(rows.groupBy("payload_digest").agg(F.min("id").alias("first")), "first")
-    name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")))
-    again = ~F.col("id").eqNullSafe(F.col("first")) & (F.octet_length("payload") >= min_revisit_bytes)
-    records = rows.join(first, "payload_digest").select(
-        F.when(again, "revisit").otherwise("response").alias("record_type"), name("id").alias("record_id"),
-        "target_uri", F.lit(date).alias("date"), "payload_digest", F.when(again, name("first")).alias("refers_to"),
+                        payload.alias("payload"), F.sha2(payload, 256).alias("key"))
+    narrow = work.stage(rows.select(
+        "id", "target_uri", "key", sha1_base32(F.col("payload")).alias("payload_digest"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.when(~again, F.col("payload")).alias("payload"))
-    write_warc(records, path)
+        F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")), "narrow")
+    least = narrow.groupBy("key", "salt").agg(F.min("id").alias("least"), F.max("payload_bytes").alias("size"))
+    first = work.stage(least.select("key", "salt", "size", F.min("least").over(Window.partitionBy("key")).alias("first"))
+                       .withColumn("whole", F.col("size") < min_revisit_bytes), "first")
+    name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    revisits = narrow.join(first, ["key", "salt"]).filter(~F.col("whole") & ~F.col("id").eqNullSafe(F.col("first"))).select(
+        F.lit("revisit").alias("record_type"), name("id").alias("record_id"), "target_uri", F.lit(date).alias("date"),
+        "payload_digest", name("first").alias("refers_to"), "payload_bytes", F.lit(None).cast("binary").alias("payload"))
+    answered = first.filter(~F.col("whole")).select(F.col("key").alias("k"), F.col("first").alias("f")).distinct()
+    responses = rows.join(answered, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("f")), "left_semi")
+    if min_revisit_bytes > 0:
+        responses = responses.filter(F.octet_length("payload") >= min_revisit_bytes).unionByName(
+            rows.filter(F.octet_length("payload") < min_revisit_bytes))
+    responses = responses.select(
+        F.lit("response").alias("record_type"), name("id").alias("record_id"), "target_uri", F.lit(date).alias("date"),
+        sha1_base32(F.col("payload")).alias("payload_digest"), F.lit(None).cast("string").alias("refers_to"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"), "payload")
+    write_warc(responses.unionByName(revisits), path)
     return path
 
 
 def page_records(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of
-    an archive that ``archive_pages`` wrote."""
+    an archive that ``archive_pages`` wrote.
+
+    Size and digest of responses are those of the payload that was read; the
+    job fails if the digest isn't the one in the headers.  Revisits hold no
+    payload: theirs come from their headers, and no payload is inflated to
+    read them.
+    """
     page = lambda c: F.nullif(F.substring_index(F.col(c), "urn:page:", -1), F.lit("")).cast(id_type)
-    return read_warc(spark, path, payload=False).select(
-        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
-        page("refers_to").alias("refers_to"))
+    columns = [page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+               page("refers_to").alias("refers_to")]
+    digest = sha1_base32(F.col("payload"))
+    broken = F.raise_error(F.concat(F.lit("damaged payload of record "), F.coalesce("record_id", F.lit("?"))))
+    responses = (read_warc(spark, path).filter(F.col("record_type") == "response")
+                 .withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+                 .withColumn("payload_digest", F.when(digest == F.col("payload_digest"), digest)
+                             .otherwise(broken.cast("string"))))
+    revisits = read_warc(spark, path, payload=False).filter(F.col("record_type") == "revisit")
+    return responses.select(*columns).unionByName(revisits.select(*columns))

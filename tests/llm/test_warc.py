@@ -90,6 +90,45 @@ def test_members_are_skipped_without_inflating(tmp_path, monkeypatch):
     assert read("c.warc", data) == (good, 0)
 
 
+def test_sizes_are_told_without_inflating_payloads(tmp_path, monkeypatch):
+    import os
+    rows = [{"record_type": "response", "record_id": f"urn:page:{i}", "target_uri": "http://x", "date": "d",
+             "payload_digest": "D", "refers_to": None, "payload_bytes": None, "payload": p}
+            for i, p in enumerate([os.urandom(900_000), b"", b"a\r\n\r\nb"])]
+    monkeypatch.setattr(warc, "_Records", Counting)
+    for name, members in [("a.warc.gz", [warc.gzip_member(warc.record_bytes(r)) for r in rows]),
+                          ("b.warc", [warc.record_bytes(r) for r in rows])]:
+        _write(tmp_path / name, members)
+        for with_payload in (False, True):
+            reader = warc.WarcReader(str(tmp_path / name), with_payload)
+            Counting.inflated = 0
+            out = list(reader.read(warc.WarcFile(str(tmp_path / name))))
+            assert [r[6] for r in out] == [900_000, 0, 7]
+            assert [r[7] for r in out] == ([r["payload"] for r in rows] if with_payload else [None] * 3)
+            assert with_payload or Counting.inflated <= 3
+
+
+def test_a_damaged_payload_fails_the_job(spark, pages, tmp_path):
+    path = str(tmp_path / "archive")
+    warc.archive_pages(pages, path)
+    assert warc.page_records(spark, path).count() == len(PAGES)
+    good = warc.read_warc(spark, path).collect()
+    rows = [r.asDict() for r in good]
+    next(r for r in rows if r["record_id"] == "urn:page:5")["payload"] = b"something else"
+    broken = str(tmp_path / "broken")
+    warc.write_warc(spark.createDataFrame([tuple(r.values()) for r in rows], warc.SCHEMA), broken)
+    with pytest.raises(Exception, match="damaged payload of record urn:page:5"):
+        warc.page_records(spark, broken).collect()
+
+
+def test_many_copies_of_one_payload(spark):
+    pages = spark.range(3_000).selectExpr(
+        "id AS page_id", "'u' AS url", "CASE WHEN id % 3 > 0 THEN 'same' ELSE concat('own ', id) END AS html")
+    got = warc.page_records(spark, warc.archive_pages(pages)).toPandas()
+    assert (got.record_type == "revisit").sum() == 1_999 and set(got.refers_to.dropna()) == {1}
+    assert sorted(got.page_id) == list(range(3_000))
+
+
 def test_members_are_plain_gzip():
     data = b"abc" * 1000
     assert gzip.decompress(warc.gzip_member(data) + warc.gzip_member(b"") + warc.gzip_member(data)) == data * 2
