@@ -10,11 +10,12 @@ keyed by (session, candidate id) that is linear in its rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.js import is_blank, js_trim
 from ..functions.scans import DEFAULT_WIDTH, running_count, running_sum
+from .drags import composed
 
 # The event (action) types of the UI state machine.
 SET_LOADING = "SET_LOADING"
@@ -220,32 +221,42 @@ def latest_generation(cands: DataFrame, runs: DataFrame, session: str = "repo",
 # ---------------------------------------------------------------------------
 
 def reorder(items: DataFrame, moves: DataFrame, key: str = "session",
-            pos_col: str = "list_pos") -> DataFrame:
+            pos_col: str = "list_pos", width: int = DEFAULT_WIDTH) -> DataFrame:
     """Apply each key's drags in order of ``seq`` (one drag per key needs no
     ``seq``): move *display* index i to j, where the list is shown newest
     first (display d = n - 1 - list position).
 
-    Rank arithmetic, no per-row Python: the moved item goes to j, items
-    between shift by one toward the gap, others stay.  i == j or an index
-    outside 0..n-1 leaves the list unchanged.  A key's drags (what one user
-    did by hand) travel as one array.  Returns items with a new ``pos_col``.
+    The moved item goes to j, items between shift by one toward the gap,
+    others stay.  i == j or an index outside 0..n-1 leaves the list unchanged.
+    Returns items with a new ``pos_col``.
+
+    A key's drags are composed into shifts of index ranges (``drags``); each
+    item then takes the shift of its range, found by a window over ``width``
+    list positions, so neither long lists nor long histories of drags meet an
+    item one by one.
     """
-    n = items.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    seq = F.col("seq") if "seq" in moves.columns else F.lit(0)
-    m = moves.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(
-        seq.alias("seq"), F.col("from_idx").cast("long").alias("i"), F.col("to_idx").cast("long").alias("j")))).alias("_m"))
-    df = items.join(n, key).join(m, key, "left")
-
-    def moved(d, move):
-        i, j, size = move["i"], move["j"], F.col("_n")
-        valid = i.isNotNull() & j.isNotNull() & (i != j) & (i >= 0) & (j >= 0) & (i < size) & (j < size)
-        return (F.when(~valid, d).when(d == i, j)
-                .when((i < d) & (d <= j), d - 1)
-                .when((j <= d) & (d < i), d + 1)
-                .otherwise(d))
-    shown = (F.col("_n") - 1 - F.col(pos_col)).cast("long")
-    new_d = F.coalesce(F.aggregate("_m", shown, moved), shown)
-    return df.withColumn(pos_col, (F.col("_n") - 1 - new_d).cast("int")).drop("_n", "_m")
+    n = items.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    seq = F.coalesce(F.col("seq"), F.lit(-1)) if "seq" in moves.columns else F.lit(0)
+    # A drag from i to j is one from n-1-i to n-1-j by list position.
+    drags = (moves.select(F.col(key).alias("key"), seq.cast("long").alias("seq"),
+                          F.col("from_idx").cast("long").alias("f"), F.col("to_idx").cast("long").alias("t"))
+             .join(n.withColumnRenamed(key, "key"), "key")
+             .filter((F.col("f") != F.col("t")) & (F.col("f") >= 0) & (F.col("t") >= 0)
+                     & (F.col("f") < F.col("n")) & (F.col("t") < F.col("n")))
+             .select("key", "n", "seq", (F.col("n") - 1 - F.col("f")).alias("i"), (F.col("n") - 1 - F.col("t")).alias("j")))
+    block = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width)))
+    shifts = (composed(drags).withColumn("_block", block)
+              .select(F.col("key").alias(key), "_block", F.greatest("start", F.col("_block") * width).alias("_at"),
+                      F.struct("end", "shift").alias("_shift")))
+    at = F.col(pos_col).cast("long")
+    rows = items.withColumns({"_block": F.floor(at / width), "_at": at, "_shift": F.lit(None), "_item": F.lit(True)})
+    upto = (Window.partitionBy(key, "_block").orderBy("_at", F.col("_item").asc_nulls_first())
+            .rowsBetween(Window.unboundedPreceding, 0))
+    found = (rows.withColumn("_shift", F.col("_shift").cast("struct<end: bigint, shift: bigint>"))
+             .unionByName(shifts, allowMissingColumns=True)
+             .withColumn("_shift", F.last("_shift", ignorenulls=True).over(upto)).filter("_item"))
+    moved = F.when(at < F.col("_shift.end"), at + F.col("_shift.shift")).otherwise(at)
+    return found.withColumn(pos_col, moved.cast("int")).drop("_block", "_at", "_shift", "_item")
 
 
 # ---------------------------------------------------------------------------

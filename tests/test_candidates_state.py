@@ -1,8 +1,10 @@
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from commitscope.operators import candidates as C
+from commitscope.operators import drags
 from commitscope.plans.commit_plan import commit_plan
 
 
@@ -181,3 +183,57 @@ def test_reorder_applies_moves_in_turn(spark):
                 shown.insert(j, shown.pop(i))
         got = C.reorder(_items(spark, n), moves).orderBy("list_pos").collect()
         assert [r.candidate_id for r in got] == shown[::-1]
+
+
+def _replayed(n, drags):
+    shown = [f"c{p}" for p in range(n)][::-1]
+    for i, j in drags:
+        if 0 <= i < n and 0 <= j < n:
+            shown.insert(j, shown.pop(i))
+    return shown[::-1]
+
+
+def test_drags_compose_in_any_grouping():
+    rnd = random.Random(5)
+    for _ in range(200):
+        n = rnd.randint(2, 9)
+        moves = [tuple(rnd.sample(range(n), 2)) for _ in range(rnd.randint(1, 9))]
+        items = list(range(n))
+        for i, j in moves:
+            items.insert(j, items.pop(i))
+        maps = [drags.drag(i, j, n) for i, j in moves]
+        cut = rnd.randint(0, len(maps) - 1)
+        parts = [drags.merged(m) for m in (maps[:cut], maps[cut:]) if m]
+        for starts, shifts in (drags.merged(maps), drags.merged(parts)):
+            at = [p + int(shifts[starts.searchsorted(p, "right") - 1]) for p in range(n)]
+            assert [items[q] for q in at] == list(range(n))
+            assert len(starts) <= min(n, 3 * len(moves) + 1)
+
+
+def test_reorder_with_a_long_history_of_drags(spark):
+    rnd = random.Random(9)
+    n, m = 3_000, 100_000
+    moved = [(rnd.randint(0, n - 1), rnd.randint(0, n - 1)) for _ in range(m)]
+    lists = spark.range(n).selectExpr("1L AS session", "CAST(id AS INT) AS list_pos", "concat('c', id) AS candidate_id")
+    other = lists.selectExpr("2L AS session", "list_pos", "candidate_id")
+    moves = spark.createDataFrame(pd.DataFrame(
+        [(1, s, i, j) for s, (i, j) in enumerate(moved)], columns=["session", "seq", "from_idx", "to_idx"]))
+    # Ranges of positions and drags end within the lists.
+    out = C.reorder(lists.unionByName(other), moves, width=700)
+    got = out.orderBy("session", "list_pos").toPandas()
+    assert got[got.session == 1].candidate_id.tolist() == _replayed(n, moved)
+    assert got[got.session == 2].candidate_id.tolist() == [f"c{p}" for p in range(n)]
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
+def test_reorder_odd_rows(spark):
+    items = spark.createDataFrame([(1, 0, "a", "x"), (1, 1, "b", None), (1, None, "c", "x"), (None, 0, "d", "x"), (2, 0, "e", "y")],
+                                  "session long, list_pos int, candidate_id string, seq string")
+    schema = "session long, seq long, from_idx int, to_idx int"
+    moves = spark.createDataFrame([(1, None, 1, 2), (1, 4, None, 1), (3, 1, 0, 1), (None, 1, 0, 1), (1, 5, 0, 7)], schema)
+    got = {(r.session, r.candidate_id): r.list_pos for r in C.reorder(items, moves).collect()}
+    # Three rows: shown 1 -> 2 is list position 1 -> 0.
+    assert got == {(1, "a"): 1, (1, "b"): 0, (1, "c"): None, (None, "d"): 0, (2, "e"): 0}
+    assert C.reorder(items, moves).columns == items.columns
+    assert C.reorder(items.limit(0), moves).count() == 0
+    assert sorted(C.reorder(items, moves.limit(0)).collect(), key=str) == sorted(items.collect(), key=str)
