@@ -16,6 +16,8 @@ splitting tree.
    runs are disjoint and use up the quota.  Only the groups' quotas reach the
    driver.
 4. ``mix`` sends the documents to their shards and shuffles inside each.
+   Shards beyond ``SHARD_WORDS`` words are cut into slices, a task each.
+   ``measure`` writes a mixture and counts what it holds of each document.
 
 All draws come from the seed, so reruns agree.
 """
@@ -116,18 +118,24 @@ def _partial(words: np.ndarray, want: float) -> np.ndarray:
 class Plan:
     sources: DataFrame  # _name, _source_no, source_size, target, _blocks
     draws: DataFrame  # _source_no, _block, _draws
+    slices: int  # tasks that share a shard
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, *more: str) -> DataFrame:
     return docs.select(
+        *[quoted(c) for c in more],
         quoted(id_col).alias("doc_id"), quoted(source_col).cast("string").alias("source"),
         size_of(text_col).alias("size"),
         F.xxhash64(F.lit(seed), quoted(id_col), quoted(text_col).cast("string")).alias("k"))
 
 
+def _with_source(keyed: DataFrame, sources: DataFrame) -> DataFrame:
+    return keyed.join(sources, F.col("source").eqNullSafe(F.col("_name")))
+
+
 def _with_block(keyed: DataFrame, sources: DataFrame) -> DataFrame:
     """Adds the source's number, size, target and the block."""
-    return (keyed.join(sources, F.col("source").eqNullSafe(F.col("_name")))
+    return (_with_source(keyed, sources)
             .withColumn(BLOCK, F.pmod("k", F.col("_blocks").cast("long")).cast("int")).drop("_name", "_blocks"))
 
 
@@ -202,7 +210,7 @@ def make_plan(keyed: DataFrame, weights: tuple[int, ...], max_repeat: int, seed:
     dealt = chosen.groupBy("_group").applyInPandas(
         lambda own: _dealt(own, counts, seed), f"{SOURCE_NO} int, {BLOCK} int, epoch int, shard int")
     draws = dealt.groupBy(SOURCE_NO, BLOCK).agg(F.array_sort(F.collect_list(F.struct("epoch", "shard"))).alias(DRAWS))
-    return Plan(sources, work.stage(draws, "draws"))
+    return Plan(sources, work.stage(draws, "draws"), max(1, -(-total // (shards * SHARD_WORDS))))
 
 
 def _draws(dealt: DataFrame, plan: Plan) -> DataFrame:
@@ -226,17 +234,60 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
         "doc_id", "source", "size", "source_size", "target", F.col(DRAWS).alias("draws"))
 
 
+def _mixed(docs: DataFrame, plan: Plan, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """``row`` (a struct of ``docs``' columns) and ``shard``."""
+    rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"),
+                       quoted(source_col).cast("string").alias("source"),
+                       F.xxhash64(F.lit(seed), quoted(id_col), quoted(text_col).cast("string")).alias("k"))
+    taken = (_draws(_with_block(rows, plan.sources), plan).select("row", "k", F.explode(DRAWS).alias("draw"))
+             .select("row", F.col("draw.shard").alias("shard"),
+                     F.xxhash64(F.lit(seed), "draw.shard", "draw.epoch", "k").alias("place")))
+    order = ["shard"]
+    if plan.slices > 1:
+        taken = taken.withColumn("slice", F.pmod("place", F.lit(plan.slices)))
+        order.append("slice")
+    return taken.repartition(*order).sortWithinPartitions(*order, "place").select("row", "shard")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[int, ...] = WEIGHTS, max_repeat: int = 3, seed: int = 20) -> DataFrame:
     """The mixture itself: ``docs``' columns, a row for each time a document
-    is taken, shard by shard, each shard in a random order of its own."""
+    is taken, shard by shard, each shard in a random order of its own.
+
+    Null and empty texts have size 0 and come with their block; a null source
+    is a source of its own, ranked last.  Rows with equal id and text are
+    taken alike, each as often.  An empty table, or one without words, gives
+    no rows; other columns pass through, whatever their names.
+    """
     keyed = Workspace(docs.sparkSession, "mixing").stage(_keyed(docs, id_col, text_col, source_col, seed), "sizes")
     plan = make_plan(keyed, weights, max_repeat, seed)
-    work = fresh("_mix", docs.columns)
-    key = F.xxhash64(F.lit(seed), quoted(id_col), quoted(text_col).cast("string"))
-    rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias(work),
-                       quoted(source_col).cast("string").alias("source"), key.alias("k"))
-    taken = (_draws(_with_block(rows, plan.sources), plan).select(work, "k", F.explode(DRAWS).alias("draw"))
-             .select(work, F.col("draw.shard").alias("shard"),
-                     F.xxhash64(F.lit(seed), "draw.shard", "draw.epoch", "k").alias("place")))
-    return taken.repartition("shard").sortWithinPartitions("shard", "place").select(f"{work}.*")
+    return _mixed(docs, plan, id_col, text_col, source_col, seed).select("row.*")
+
+
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+            weights: tuple[int, ...] = WEIGHTS, max_repeat: int = 3, seed: int = 20) -> DataFrame:
+    """Writes the mixture to the shared folder and reads it back: a row per
+    input row with ``doc_id, size, source_size, target``, ``taken`` (words
+    that the written shards hold of the row, repeats counted) and ``shards``
+    (those it stands in, ascending).
+
+    Nulls, empty texts and tables as in ``mix``; of rows with equal id, text
+    and source, each has its equal part of what the shards hold.
+    """
+    work = Workspace(docs.sparkSession, "mixing")
+    keyed = work.stage(_keyed(docs, id_col, text_col, source_col, seed), "sizes")
+    plan = make_plan(keyed, weights, max_repeat, seed)
+    mixture = work.stage(_mixed(docs, plan, id_col, text_col, source_col, seed), "mixture")
+    held = mixture.select("row.*", F.col("shard").alias(shard := fresh("shard", docs.columns)))
+    same = ["doc_id", "source", "k"]
+    written = _keyed(held, id_col, text_col, source_col, seed, shard).select(
+        *same, F.lit(0).alias("rows"), F.col("size").alias("words"), F.col(shard).alias("shard"))
+    given = keyed.select(*same, F.lit(1).alias("rows"), F.lit(0).alias("words"), F.lit(None).cast("int").alias("shard"))
+    # A row stands in at most as many shards as it is taken.
+    found = written.unionByName(given).groupBy(*same).agg(
+        F.sum("rows").alias("rows"), F.sum("words").alias("words"), F.array_sort(F.collect_set("shard")).alias("shards"))
+    found = found.toDF(*["f_" + c for c in same], "rows", "words", "shards")
+    whole = _with_source(keyed, plan.sources)
+    equal = [whole[c].eqNullSafe(found["f_" + c]) for c in same]
+    return whole.join(found, equal[0] & equal[1] & equal[2]).select(
+        "doc_id", "size", "source_size", "target", F.expr("words DIV rows").alias("taken"), "shards")

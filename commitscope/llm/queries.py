@@ -30,8 +30,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @register("op1_mixing")
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dealt = mixing.assign(_table(spark, sf_dir, "documents"))
-    return dealt.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+    return mixing.measure(_table(spark, sf_dir, "documents")).drop("shards")
 
 
 def piece_model() -> str:

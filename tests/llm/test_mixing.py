@@ -99,3 +99,34 @@ def test_empty_table_and_empty_texts(spark, no_docs):
     blank = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert [(r["size"], r.source_size, r.target, r.draws) for r in mixing.assign(blank).collect()] == [(0, 0, 0.0, [])] * 2
     assert mixing.mix(blank).count() == 0
+
+
+def _measured(docs):
+    return Counter((r.doc_id, r["size"], r.source_size, r.target, r.taken, tuple(r.shards)) for r in mixing.measure(docs).collect())
+
+
+def _assigned(docs):
+    return Counter((r.doc_id, r["size"], r.source_size, r.target, r["size"] * len(r.draws), tuple(sorted({d.shard for d in r.draws})))
+                   for r in mixing.assign(docs).collect())
+
+
+def test_the_written_mixture_holds_what_was_assigned(spark, odd_docs, no_docs):
+    assert _measured(odd_docs) == _assigned(odd_docs)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "1 AS shard", "2 AS `row`", "3 AS k")
+    assert _measured(docs) == _assigned(docs)
+    again = docs.unionByName(docs.limit(40)).unionByName(docs.limit(30).withColumn("source", docs.lang))
+    assert _measured(again) == _assigned(again)
+    assert mixing.measure(no_docs).count() == 0
+
+
+def test_long_shards_are_shared_by_tasks(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = Counter(r.doc_id for r in mixing.mix(docs).collect())
+    monkeypatch.setattr(mixing, "MAX_SHARDS", 2)
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 5_000)
+    plans = []
+    make = mixing.make_plan
+    monkeypatch.setattr(mixing, "make_plan", lambda *a: plans.append(make(*a)) or plans[-1])
+    mixed = mixing.mix(docs)
+    assert plans[0].slices > 2
+    assert Counter(r.doc_id for r in mixed.collect()) == want
