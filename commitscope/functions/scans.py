@@ -71,6 +71,30 @@ def running_last(df: DataFrame, keys: list[str], order: list[str], value: str, o
             .drop("_b", "_carry"))
 
 
+def after_sum_and_max(df: DataFrame, keys: list[str], order: list[str], summed: str, greatest: str,
+                      width: int = DEFAULT_WIDTH) -> DataFrame:
+    """Replaces ``summed`` by its sum and ``greatest`` by its maximum over the
+    rows of the same key that come after this one in ``order`` (0 and NULL
+    where there is none).  Rows with a NULL key column stand alone."""
+    b = df.withColumn("_b", _bucket(order[0], width))
+    per = b.groupBy(*keys, "_b").agg(F.sum(summed).alias("_bsum"), F.max(greatest).alias("_bmax"))
+    # Descending, so that the frame grows by a row: one that ends behind the
+    # last row is computed anew for every row.
+    later = Window.partitionBy(*keys).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = per.select(*keys, "_b", F.sum("_bsum").over(later).alias("_csum"), F.max("_bmax").over(later).alias("_cmax"))
+    inner = (Window.partitionBy(*keys, "_b").orderBy(*[F.col(c).desc() for c in order])
+             .rowsBetween(Window.unboundedPreceding, -1))
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    joined = b.join(carry, keys + ["_b"], "left").withColumns(
+        {"_isum": F.sum(summed).over(inner), "_imax": F.max(greatest).over(inner)})
+    total = F.coalesce("_isum", F.lit(0)) + F.coalesce("_csum", F.lit(0))
+    return (joined.withColumns({summed: F.when(known, total).otherwise(F.lit(0)),
+                                greatest: F.when(known, F.greatest("_imax", "_cmax"))})
+            .drop("_b", "_csum", "_cmax", "_isum", "_imax"))
+
+
 def running_count(df: DataFrame, keys: list[str], order: list[str], out: str,
                   width: int = DEFAULT_WIDTH) -> DataFrame:
     """0-based position of each row within its key in ``order`` (a

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.js import is_blank, js_trim
-from ..functions.scans import DEFAULT_WIDTH, running_count, running_sum
+from ..functions.scans import DEFAULT_WIDTH, after_sum_and_max, running_count
 from .drags import composed
 
 # The event (action) types of the UI state machine.
@@ -122,10 +122,9 @@ def fold_candidates(events: DataFrame, status: DataFrame | None = None,
     * a TOGGLE / UPDATE_MESSAGE at seq t touches every entry with that id
       that exists at t, i.e. entered before t.
 
-    Per entry: the toggles after it are the key's toggle total minus a
-    running count (a bucketed scan, so one hot (session, id) is spread over
-    several tasks); its final message is the key's latest edit if that edit
-    came after the entry (an aggregate + join, no window).
+    Per entry: the number of toggles and the latest edit after it come from
+    one bucketed scan from the end (both merge associatively), so one hot
+    (session, id) is spread over several tasks.
 
     ``prior`` (the columns of the output) is the list
     as it stood before ``events`` (all its seqs are older): it is kept for
@@ -140,45 +139,33 @@ def fold_candidates(events: DataFrame, status: DataFrame | None = None,
     t = F.col("type")
     keys = ["session", "id"]
 
-    added = ev.filter((t == ADD) & after).select(
-        "session", F.col("seq").alias("entry_seq"), F.lit(0).alias("sub_pos"), "id",
-        F.col("message").alias("m0"), "reason", "files", F.lit(True).alias("c0"))
-    replaced = (ev.filter((t == REORDER) & (F.col("seq") == F.col("base_seq")))
-                .select("session", F.col("seq").alias("entry_seq"),
-                        F.posexplode_outer("payload").alias("sub_pos", "p"))
-                .filter(F.col("sub_pos").isNotNull())
-                .select("session", "entry_seq", "sub_pos", F.col("p.id").alias("id"),
-                        F.col("p.message").alias("m0"), F.col("p.reason").alias("reason"),
-                        F.col("p.files").alias("files"), F.coalesce(F.col("p.checked"), F.lit(False)).alias("c0")))
-    entries = added.unionByName(replaced)
+    def entry(sub_pos, id_, message, reason, files, checked):
+        return F.struct(sub_pos.cast("int").alias("sub_pos"), id_.alias("id"), message.alias("m0"), reason.alias("reason"),
+                        files.alias("files"), checked.alias("c0"))
+    touch = t.isin(TOGGLE, UPDATE_MESSAGE)
+    of_event = entry(F.lit(0), F.col("id"), F.when(t == ADD, F.col("message")), F.when(t == ADD, F.col("reason")),
+                     F.when(t == ADD, F.col("files")), t == ADD)
+    of_list = F.transform("payload", lambda p, i: entry(i, p["id"], p["message"], p["reason"], p["files"],
+                                                        F.coalesce(p["checked"], F.lit(False))))
+    # One branch for all: events are read and joined once.
+    rows = (ev.filter((t.isin(ADD, TOGGLE, UPDATE_MESSAGE) & after) | ((t == REORDER) & (F.col("seq") == F.col("base_seq"))))
+            .select("session", F.col("seq").alias("entry_seq"), touch.cast("int").alias("_touch"),
+                    (t == TOGGLE).cast("long").alias("_toggles"),
+                    F.when(t == UPDATE_MESSAGE, F.struct(F.col("seq").alias("_s"), F.col("message").alias("_m"))).alias("_edit"),
+                    F.explode_outer(F.when(t == REORDER, of_list).otherwise(F.array(of_event))).alias("_e"))
+            .filter(F.col("_e.sub_pos").isNotNull())
+            .select("session", "entry_seq", "_e.*", "_touch", "_toggles", "_edit"))
     if prior is not None:
         no_reset = base.filter(F.col("base_seq").isNull()).select("session")
-        kept = prior.join(no_reset, "session", "left_semi").select(
+        rows = rows.unionByName(prior.join(no_reset, "session", "left_semi").select(
             "session", "entry_seq", "sub_pos", "id", F.col("message").alias("m0"), "reason", "files",
-            F.col("checked").alias("c0"))
-        entries = entries.unionByName(kept)
-    entries = entries.withColumn("_toggle", F.lit(0).cast("long"))
-    toggles = (ev.filter((t == TOGGLE) & after)
-               .select("session", F.col("seq").alias("entry_seq"), F.lit(0).alias("sub_pos"), "id",
-                       F.lit(None).cast("string").alias("m0"), F.lit(None).cast("string").alias("reason"),
-                       F.lit(None).cast("array<string>").alias("files"), F.lit(None).cast("boolean").alias("c0"),
-                       F.lit(1).cast("long").alias("_toggle")))
-    # Dealt out by bucket first: an aggregate straight on the session join
-    # would keep its partitioning, and with it a hot session in one task.
-    touched = (ev.filter(t.isin(TOGGLE, UPDATE_MESSAGE) & after)
-               .withColumn("_b", F.floor(F.col("seq") / width)).repartition(*keys, "_b")
-               .groupBy(*keys, "_b")
-               .agg(F.count_if(t == TOGGLE).alias("_n"),
-                    F.max(F.when(t == UPDATE_MESSAGE, F.struct(F.col("seq").alias("_s"), F.col("message").alias("_m"))))
-                    .alias("_e"))
-               .groupBy(*keys).agg(F.sum("_n").alias("_total"), F.max("_e").alias("_edit")))
-    scanned = running_sum(entries.unionByName(toggles), keys, ["entry_seq", "_toggle", "sub_pos"],
-                          "_toggle", "_upto", width=width)
-    mine = scanned.filter(F.col("_toggle") == 0).join(touched, keys, "left")
-    toggles_after = F.coalesce(F.col("_total"), F.lit(0)) - F.coalesce(F.col("_upto"), F.lit(0))  # no id: no toggles
+            F.col("checked").alias("c0"), F.lit(0).alias("_touch"), F.lit(0).cast("long").alias("_toggles"),
+            F.lit(None).cast("struct<_s: bigint, _m: string>").alias("_edit")))
+    touched = after_sum_and_max(rows, keys, ["entry_seq", "_touch", "sub_pos"], "_toggles", "_edit", width)
     message = F.when(F.col("_edit._s") > F.col("entry_seq"), F.col("_edit._m")).otherwise(F.col("m0"))
-    return mine.select("session", "entry_seq", "sub_pos", "id", message.alias("message"), "reason", "files",
-                       (F.col("c0") != (toggles_after % 2 == 1)).alias("checked"))
+    return touched.filter(F.col("_touch") == 0).select(
+        "session", "entry_seq", "sub_pos", "id", message.alias("message"), "reason", "files",
+        (F.col("c0") != (F.col("_toggles") % 2 == 1)).alias("checked"))
 
 
 def list_positions(entries: DataFrame, key: str = "session", width: int = DEFAULT_WIDTH) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from commitscope.functions.scans import running_count, running_last, running_sum
+from commitscope.functions.scans import after_sum_and_max, running_count, running_last, running_sum
 
 
 def _data(spark):
@@ -34,3 +34,15 @@ def test_running_helpers_match_windows_across_buckets(spark):
     got = running_count(got, ["k"], ["seq"], "pos", width=7)
     cols = ["k", "seq", "s_in", "s_ex", "l_in", "l_ex", "l_rev", "pos"]
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, expect.select(*cols).collect()))
+
+
+def test_sum_and_max_of_what_comes_after(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["a", "b", None]), s, rnd.choice([0, 1, 1]), rnd.choice([None, s])) for s in range(120)]
+    df = spark.createDataFrame(rows, "k string, seq long, n long, m long").repartition(3)
+    for width in (7, 1_000):
+        got = {r.seq: (r.n, r.m) for r in after_sum_and_max(df, ["k"], ["seq"], "n", "m", width).collect()}
+        assert len(got) == len(rows)
+        for k, s, _, _ in rows:
+            later = [r for r in rows if r[0] == k and k is not None and r[1] > s]
+            assert got[s] == (sum(r[2] for r in later), max((r[3] for r in later if r[3] is not None), default=None))
