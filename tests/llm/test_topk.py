@@ -41,15 +41,35 @@ def test_block_prunes_and_stays_exact():
     basis = topk.rotation(x.T.astype(float) @ x)
     assert np.allclose(basis.T @ basis, np.eye(16))
     block = topk.Block(ids, x, basis, 4)
-    row, found, score = block.search(ids[:9], x[:9], basis, 5, np.full(9, -np.inf))
+    row, found, score = block.search(ids[:9], x[:9], basis, 5, np.full(9, topk.NO_SCORE), np.full(9, topk.NO_ID))
     for q in range(9):
         s = x @ x[q]
         want = sorted((-int(s[j]), int(ids[j])) for j in range(3000) if ids[j] != ids[q])[:5]
         assert [(-int(a), int(b)) for a, b in zip(score[row == q], found[row == q])] == want
     large = np.array([[2**40, 1], [2**40, 3]], dtype=np.int64)  # beyond exact floats
     row, found, score = topk.Block(np.array([1, 2]), large, np.eye(2), 1).search(
-        np.array([9]), np.array([[2**20, 1]]), np.eye(2), 2, np.full(1, -np.inf))
+        np.array([9]), np.array([[2**20, 1]]), np.eye(2), 2, np.full(1, topk.NO_SCORE), np.full(1, topk.NO_ID))
     assert list(zip(found, score)) == [(2, 2**60 + 3), (1, 2**60 + 1)]
+    # What ranks after the floor isn't found: equal scores only with a smaller id.
+    for floor_id, want in ((2, [2]), (1, [2]), (3, [2])):
+        row, found, score = topk.Block(np.array([1, 2]), large, np.eye(2), 1).search(
+            np.array([9]), np.array([[2**20, 1]]), np.eye(2), 2, np.array([2**60 + 1]), np.array([floor_id]))
+        assert list(found) == (want + [1] if floor_id > 1 else want)
+
+
+def test_rounds_leave_out_blocks_of_short_vectors(spark, monkeypatch):
+    """Lengths from 1 to 1,000: after the first rounds no query is sent on."""
+    monkeypatch.setattr(topk, "MIN_BLOCK", 8)
+    searched = []
+    plain = topk.Workspace.stage
+    monkeypatch.setattr(topk.Workspace, "stage", lambda self, df, name: (searched.append(name), plain(self, df, name))[1])
+    rng = random.Random(1)
+    rows = [(i, [rng.random() + 0.5 for _ in range(4)]) for i in range(400)]
+    rows = [(i, [x * 0.95 ** i for x in v]) for i, v in rows]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(docs, F.col("vec_id") % 5 == 0, k=3, scale=2.0 ** 20)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, 3, 2 ** 20)
+    assert [name for name in searched if name.startswith("best-")] == ["best-0", "best-1", "best-4"]
 
 
 def test_empty_tables(spark):
