@@ -198,7 +198,10 @@ FROM g
 """)
 def file_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-13 + OP-14: groups per snapshot in first-seen order, files in input order."""
-    grouped = paths.group_files_in_row(diffs.parse_files(load_commits(spark, sf_dir)))
+    return _shown_groups(paths.group_files_in_row(diffs.parse_files(load_commits(spark, sf_dir))))
+
+
+def _shown_groups(grouped: DataFrame) -> DataFrame:
     return grouped.select(
         "repo", "commit_id", "group_ord", "group_key", "group_type", "label",
         F.size("files").alias("n_files"),
@@ -1284,6 +1287,82 @@ def stream_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.latest_churn(spark, base)
 
 
+@register("stream_file_groups", ORACLES["file_groups"])
+def stream_file_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-40: the groups of a stream of snapshots."""
+    base = streams.scratch_dir(spark, "groups")
+    src = streams.land_as_stream(spark, load_commits(spark, sf_dir), base)
+    streams.run_available(_shown_groups(streams.file_groups_stream(src)), f"{base}/out", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/out")
+
+
+# Stored options are those of the updates up to the request, not of all.
+_AS_OF_CTE = _RESOLVED_CTE.replace("eff AS (", """points AS (
+  SELECT repo, seq, 0 AS rank, CAST(NULL AS BIGINT) AS commit_id, conventional, language FROM option_updates
+  UNION ALL SELECT repo, seq, 1, commit_id, NULL, NULL FROM requests
+),
+stored_then AS (
+  SELECT repo, commit_id, rank, last_value(conventional IGNORE NULLS) OVER w AS stored_conventional,
+    last_value(language IGNORE NULLS) OVER w AS stored_language
+  FROM points WINDOW w AS (PARTITION BY repo ORDER BY seq, rank ROWS UNBOUNDED PRECEDING)
+),
+eff AS (""").replace("LEFT JOIN stored s ON q.repo = s.repo",
+                     "JOIN stored_then s ON q.repo = s.repo AND q.commit_id = s.commit_id AND s.rank = 1")
+
+
+def _timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settings.option_timeline(option_updates_from_nation(table(spark, sf_dir, "nation")),
+                                    requests_from_commits(load_commits(spark, sf_dir)))
+
+
+def _prompt_facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    log = load_commit_log(spark, sf_dir)
+    return history.detect_language(log, users_table(spark)), prompts.history_text(log)
+
+
+def _prompt_digest(rows: DataFrame) -> DataFrame:
+    return rows.select("repo", "commit_id", "n_groups", "model", F.length("prompt_text").alias("prompt_chars"),
+                       F.md5("prompt_text").alias("prompt_md5"))
+
+
+@register("settings_as_of", f"""
+WITH {_AS_OF_CTE}
+SELECT repo, commit_id, seq, kind, conventional, language, model, prompt, session_language FROM eff
+""")
+def settings_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-20 under the options valid at each request, from versioned state."""
+    out = settings.settings_as_of(requests_from_commits(load_commits(spark, sf_dir)), _timeline(spark, sf_dir))
+    return out.select("repo", "commit_id", "seq", "kind", "conventional", "language", "model", "prompt",
+                      "session_language")
+
+
+@register("prompts_as_of", f"""
+WITH {_PROMPT_CTE.replace(_RESOLVED_CTE, _AS_OF_CTE)}, {_BATCH_SQL}
+SELECT repo, commit_id, n_groups, model, CAST(length(prompt_text) AS INTEGER) AS prompt_chars,
+       md5(prompt_text) AS prompt_md5
+FROM batch_prompts
+""")
+def prompts_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-22 under the options valid at each request's ``seq``."""
+    commits = load_commits(spark, sf_dir)
+    return _prompt_digest(streams.snapshot_prompts(commits, requests_from_commits(commits), _timeline(spark, sf_dir),
+                                                   *_prompt_facts(spark, sf_dir)))
+
+
+@register("stream_prompts", ORACLES["prompts_as_of"])
+def stream_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-40: prompts of a stream of snapshots; each micro-batch joins the
+    option versions of its own span as of the snapshots."""
+    base = streams.scratch_dir(spark, "prompts")
+    _timeline(spark, sf_dir).repartitionByRange("valid_from").sortWithinPartitions("valid_from").write.parquet(
+        f"{base}/timeline")
+    src = streams.land_as_stream(spark, load_commits(spark, sf_dir), base)
+    facts = [streams.staged(df, f"{base}/{name}") for df, name in
+             zip(_prompt_facts(spark, sf_dir), ("languages", "recent"))]
+    streams.run_prompt_stream(src, requests_from_commits, f"{base}/timeline", *facts, base)
+    return _prompt_digest(spark.read.parquet(f"{base}/prompts"))
+
+
 @register("stream_assembled", ORACLES["assembled"])
 def stream_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-25 streaming: chunks arrive over several micro-batches; the

@@ -17,12 +17,14 @@ Sources are files (``readStream`` over a folder) with
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import keep_where
 from ..operators import candidates as cstate
-from ..operators import churn, diffs, paths
+from ..operators import churn, diffs, history, paths, prompts, settings
 from ..session import ensure_checkpoint_dir
 from . import keyed
 
@@ -33,6 +35,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/commitscope-{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read back, so micro-batches don't
+    compute it again."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def file_churn_stream(commits: DataFrame) -> DataFrame:
     """OP-40 stateless part: snapshots -> classified file changes with churn."""
     fc = diffs.split_file_changes(commits)
@@ -248,6 +257,55 @@ def newest_run_stream(runs: DataFrame, session: str = "repo", generation: str =
     return runs.groupBy(session).agg(newest.alias("_n")).select(session, "_n.generation", "_n.cancelled")
 
 
+# ---------------------------------------------------------------------------
+# OP-40 groups and prompts of a snapshot stream
+# ---------------------------------------------------------------------------
+
+def file_groups_stream(commits: DataFrame) -> DataFrame:
+    """Snapshots -> file groups; a group never leaves its snapshot's row, so
+    the stream keeps no state."""
+    return paths.group_files_in_row(diffs.parse_files(commits))
+
+
+def snapshot_prompts(snapshots: DataFrame, requests: DataFrame, timeline: DataFrame, languages: DataFrame,
+                     recent: DataFrame) -> DataFrame:
+    """``repo, commit_id, n_groups, model, prompt_text`` of every requested
+    snapshot with files, under the options valid at the request's ``seq``.
+
+    ``languages``: repo, language (``auto`` becomes it); ``recent``: repo,
+    history.  Options are narrow rows until they meet the snapshots."""
+    grouped = paths.with_groups(diffs.parse_files(snapshots))
+    options = history.resolve_language(settings.settings_as_of(requests, timeline), languages).select(
+        "repo", "commit_id", "conventional", "prompt_language", "prompt", "model")
+    asked = keep_where(grouped, F.size("groups") > 0).join(options, ["repo", "commit_id"]).join(recent, "repo", "left")
+    return prompts.batch_prompts(asked).select("repo", "commit_id", F.size("groups").alias("n_groups"), "model",
+                                               "prompt_text")
+
+
+def run_prompt_stream(commits: DataFrame, requests_of: Callable[[DataFrame], DataFrame], timeline: str,
+                      languages: DataFrame, recent: DataFrame, base: str) -> None:
+    """Stream of snapshots -> prompts, a folder per micro-batch (overwritten
+    on replay).
+
+    ``requests_of`` gives the requests of a batch of snapshots; ``timeline``
+    is the folder of :func:`settings.option_timeline`, which must reach the
+    ``seq`` of every snapshot that arrives.  A micro-batch reads it as it is
+    then, and of it the versions that overlap its own span of ``seq`` only,
+    so a snapshot that comes late still gets the options of its time and the
+    cost of a batch doesn't grow with the options' past."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        asked = requests_of(batch)
+        first, last = asked.agg(F.min("seq"), F.max("seq")).first()
+        versions = batch.sparkSession.read.parquet(timeline).filter(
+            (F.col("valid_from") <= F.lit(last)) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.lit(first))))
+        out = snapshot_prompts(batch, asked, versions, languages, recent)
+        out.write.mode("overwrite").parquet(f"{base}/prompts/batch_id={batch_id}")
+
+    q = (commits.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/ckpt")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 # ---------------------------------------------------------------------------
 # Window jobs on streams (row windows are not allowed on streaming plans)
 # ---------------------------------------------------------------------------
@@ -273,7 +331,6 @@ def run_recent_commits_stream(log: DataFrame, base: str, n: int | None = None) -
     (previous newest n + this batch) are the newest n of everything.  Each
     batch reads the state of the batch before it and writes the whole state,
     at most n rows per repository."""
-    from ..operators import history
     n = n or history.HISTORY_LIMIT
     spark = log.sparkSession
 
