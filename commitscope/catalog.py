@@ -751,7 +751,7 @@ WITH {_PROMPT_CTE}, {_BATCH_SQL}, {_ECHO_SQL}
 SELECT repo, commit_id, md5(raw) AS raw_md5, infer_error FROM answers
 """)
 def inference_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-24: every batch prompt through the caller's function (mapInPandas)."""
+    """OP-24: every batch prompt through the caller's function (mapInArrow)."""
     return _answers(spark, sf_dir, load_commits(spark, sf_dir)).select("repo", "commit_id", F.md5("raw").alias("raw_md5"), "infer_error")
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,11 +74,37 @@ def assign_model(requests: DataFrame, models: DataFrame, preferred_col: str = "m
 InferFn = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
 
 
+def _slices(prompts: pa.Array, rows: int, size: int) -> Iterator[tuple[int, int]]:
+    """``(start, count)`` of runs of at most ``rows`` prompts; a run ends once
+    it holds ``size`` bytes."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(prompts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start, before = 0, 0
+    while start < len(upto):
+        full = int(np.searchsorted(upto, before + size)) + 1
+        end = min(start + rows, max(full, start + 1), len(upto))
+        yield start, end - start
+        start, before = end, int(upto[end - 1])
+
+
+def _strings(values: list, kind: pa.DataType) -> pa.Array:
+    """A string column of a caller's values (other types as their text)."""
+    series = pd.Series(values, dtype=object)
+    try:
+        return pa.Array.from_pandas(series, type=kind)
+    except pa.ArrowException:
+        return pa.Array.from_pandas(series).cast(kind)
+
+
 def infer(prompts: DataFrame, fn: InferFn, prompt_col: str = "prompt_text",
-          keys: list[str] | None = None, slice_rows: int = 64) -> DataFrame:
+          keys: list[str] | None = None, slice_rows: int = 64, slice_bytes: int = 4 << 20) -> DataFrame:
     """Run ``fn`` (an iterator of prompt batches -> iterator of answer batches)
-    over every prompt with ``mapInPandas``: one call per task, so a client can
-    be built once, fed slices of at most ``slice_rows`` prompts.
+    over every prompt with ``mapInArrow``: one call per task, so a client can
+    be built once, fed slices of at most ``slice_rows`` prompts (and no more
+    than ``slice_bytes`` before the last one).
+
+    Only the prompts of a slice become Python strings; keys and the rest of a
+    batch stay in its Arrow buffers, so what a worker holds doesn't grow with
+    its task's rows.
 
     Rows whose prompt is NULL pass through (raw and error NULL) without
     reaching ``fn``.  When ``fn`` fails, ends early or returns a wrong number
@@ -92,35 +121,49 @@ def infer(prompts: DataFrame, fn: InferFn, prompt_col: str = "prompt_text",
                            for f in src.schema.fields if f.name in keys)
     schema = (key_schema + ", " if key_schema else "") + "raw string, infer_error string"
 
-    def rows(part: pd.DataFrame, raw, err) -> pd.DataFrame:
-        out = part[keys].copy()
-        out["raw"] = raw
-        out["infer_error"] = err
-        return out
+    def rows(part: pa.RecordBatch, raw: list, err: list) -> pa.RecordBatch:
+        kind = part.column(prompt_col).type
+        return pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), _strings(raw, kind), _strings(err, kind)],
+                                          names=[*keys, "raw", "infer_error"])
+
+    def texts(part: pa.RecordBatch) -> pd.Series:
+        return pd.Series(part.column(prompt_col).to_pylist(), dtype=object)
 
     def ask_one(prompt: str) -> tuple[str | None, str | None]:
         try:
             got = [a for answers in fn(iter([pd.Series([prompt], dtype=object)])) for a in answers]
+            if len(got) == 1:
+                return _strings(got, pa.string())[0].as_py(), None
         except Exception as e:  # noqa: BLE001 - the error becomes data
-            return None, f"{type(e).__name__}: {e}"
-        return (got[0], None) if len(got) == 1 else (None, f"answer count {len(got)} != prompt count 1")
+            return None, f"{type(e).__name__}: {e}".encode("utf-8", "replace").decode()
+        return None, f"answer count {len(got)} != prompt count 1"
+
+    def answered(part: pa.RecordBatch, answers: list) -> pa.RecordBatch:
+        if len(answers) == len(part):
+            try:
+                return rows(part, answers, [None] * len(part))
+            except (pa.ArrowException, ValueError, TypeError):
+                pass  # some answer is no text
+        return one_by_one(part)
 
-    def one_by_one(part: pd.DataFrame) -> pd.DataFrame:
-        raw, err = zip(*map(ask_one, part[prompt_col]))
+    def one_by_one(part: pa.RecordBatch) -> pa.RecordBatch:
+        raw, err = zip(*map(ask_one, texts(part)))
         return rows(part, list(raw), list(err))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        done: list[pd.DataFrame] = []  # pass-through rows
-        taken: list[pd.DataFrame] = []  # slices handed over and not answered
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[pa.RecordBatch] = []  # pass-through rows
+        taken: list[pa.RecordBatch] = []  # slices handed over and not answered
 
-        def slices() -> Iterator[pd.DataFrame]:
+        def slices() -> Iterator[pa.RecordBatch]:
             for b in batches:
-                missing = b[prompt_col].isna()
-                if missing.any():
-                    done.append(rows(b[missing], None, None))
-                live = b[~missing]
-                for start in range(0, len(live), slice_rows):
-                    yield live.iloc[start:start + slice_rows]
+                for at in _slices(b.column(prompt_col), slice_rows, slice_bytes):
+                    part = b.slice(*at)
+                    if part.column(prompt_col).null_count:
+                        missing = part.filter(pc.is_null(part.column(prompt_col)))
+                        done.append(rows(missing, [None] * len(missing), [None] * len(missing)))
+                        part = part.filter(pc.is_valid(part.column(prompt_col)))
+                    if len(part):
+                        yield part
 
         rest = slices()
         fed = 0
@@ -130,7 +173,7 @@ def infer(prompts: DataFrame, fn: InferFn, prompt_col: str = "prompt_text",
             for part in rest:
                 fed += 1
                 taken.append(part)
-                yield part[prompt_col].reset_index(drop=True)
+                yield texts(part)
 
         while True:
             before = fed
@@ -140,7 +183,7 @@ def infer(prompts: DataFrame, fn: InferFn, prompt_col: str = "prompt_text",
                     if not taken:
                         break  # more answers than prompts
                     part = taken.pop(0)
-                    yield rows(part, answers, None) if len(answers) == len(part) else one_by_one(part)
+                    yield answered(part, answers)
                     while done:
                         yield done.pop(0)
             except Exception:  # noqa: BLE001 - found out prompt by prompt below
@@ -155,4 +198,4 @@ def infer(prompts: DataFrame, fn: InferFn, prompt_col: str = "prompt_text",
         while done:
             yield done.pop(0)
 
-    return src.mapInPandas(run, schema)
+    return src.mapInArrow(run, schema)

@@ -1,7 +1,7 @@
 """OP-39: the whole generation job.
 
 commits -> files (in row) -> groups (in row) -> options/history join ->
-model choice -> batch prompt -> caller's model function (mapInPandas) ->
+model choice -> batch prompt -> caller's model function (mapInArrow) ->
 strict parse -> one outcome row per snapshot -> candidates and errors.
 
 Every snapshot flows through one lineage: blank ones parse to an empty file

@@ -1,6 +1,8 @@
 import json
 
 import pandas as pd
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from commitscope.operators import inference, prompts, quality, responses
@@ -133,6 +135,46 @@ def test_infer_failure_becomes_rows(spark):
     assert set(run(noisy).values()) == {(None, None), (None, "answer count 2 != prompt count 1")}
 
 
+def test_infer_holds_few_prompts_at_once(spark):
+    """Long prompts reach the function a few at a time, keys of any type and
+    missing prompts beside them."""
+    text = F.when(F.col("id") % 10 != 7, F.concat(F.lit("p"), F.col("id"), F.lit(":"), F.repeat(F.lit("中x"), 250_000)))
+    df = (spark.range(30).select(F.col("id").alias("k"), F.array(F.array(F.col("id").cast("string"))).alias("files"),
+                                 text.alias("prompt_text")).repartition(1))
+
+    def sizes(batches):
+        for b in batches:
+            yield pd.Series([f"{p.split(':')[0]} {len(b)} {sum(len(x.encode()) for x in b)}" for p in b])
+
+    got = {r.k: r for r in inference.infer(df, sizes).collect()}
+    assert len(got) == 30 and all(got[k].files == [[str(k)]] and got[k].infer_error is None for k in got)
+    assert all((got[k].raw is None) == (k % 10 == 7) for k in got)
+    said = [r.raw.split() for r in got.values() if r.raw]
+    assert {s[0] for s in said} == {f"p{k}" for k in range(30) if k % 10 != 7}
+    assert max(int(s[2]) for s in said) < 5 << 20
+    assert len({s[1] for s in said}) <= 5 and max(int(s[1]) for s in said) > 1
+
+
+def test_infer_answers_that_are_no_text(spark):
+    df = spark.range(40).select(F.col("id").alias("k"), F.concat(F.lit("p"), F.col("id")).alias("prompt_text")).repartition(1)
+
+    def odd(batches):
+        for b in batches:
+            yield pd.Series([7 if p == "p1" else "\ud800" if p == "p2" else None if p == "p3" else p for p in b], dtype=object)
+
+    got = {r.k: (r.raw, r.infer_error) for r in inference.infer(df, odd, slice_rows=8).collect()}
+    assert got[1] == ("7", None) and got[3] == (None, None)
+    assert got[2][0] is None and got[2][1].startswith("UnicodeEncodeError")
+    assert all(got[k] == (f"p{k}", None) for k in range(40) if k not in (1, 2, 3))
+
+
+@pytest.mark.parametrize("texts, rows, size, want", [
+    ([], 4, 10, []), (["a"] * 5, 2, 100, [(0, 2), (2, 2), (4, 1)]), (["a" * 30, "b", None, "c" * 9, "d"], 4, 10, [(0, 1), (1, 3), (4, 1)]),
+    ([None] * 3, 2, 1, [(0, 2), (2, 1)]), (["a" * 10, "b" * 10], 9, 10, [(0, 1), (1, 1)])])
+def test_slices_by_rows_and_bytes(texts, rows, size, want):
+    assert list(inference._slices(pa.array(texts, pa.string()), rows, size)) == want
+
+
 def test_quality_flags(spark):
     df = spark.createDataFrame([("feat(x): " + "a" * 62, "Why. Because."), ("a" * 72, "No end"),
                                 ("fix: 中文中文", "One.")], "message string, reason string")
