@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from commitscope.operators import inference, prompts, quality, responses
+from commitscope.plans import generate
 
 
 def _group_row(spark, history, prompt):
@@ -155,6 +156,26 @@ def test_infer_holds_few_prompts_at_once(spark):
     assert len({s[1] for s in said}) <= 5 and max(int(s[1]) for s in said) > 1
 
 
+def test_generation_asks_few_long_prompts_at_once(spark):
+    head = "diff --git a/src/m.ts b/src/m.ts\nindex 1111111..2222222\n--- a/src/m.ts\n+++ b/src/m.ts\n@@ -1,1 +1,1 @@\n"
+    commits = spark.range(24).repartition(1).select(
+        F.lit("r").alias("repo"), F.col("id").alias("commit_id"),
+        F.concat(F.lit(head), F.repeat(F.lit("+line of code\n"), 40_000)).alias("raw_diff"))
+
+    def context(snapshots):
+        return snapshots.withColumns({"conventional": F.lit(True), "prompt_language": F.lit("en"),
+                                      "prompt": F.lit(None).cast("string"), "history": F.lit("")})
+
+    def model(batches):
+        for b in batches:
+            yield pd.Series([json.dumps([{"message": str(sum(map(len, b))), "reason": "r"}])] * len(b))
+
+    cands, errors = generate.run_generation(commits, context, model)
+    got = {r.commit_id: int(r.message) for r in cands.collect()}
+    assert errors.count() == 0 and set(got) == set(range(24))
+    assert 500_000 < min(got.values()) and max(got.values()) < 5 << 20
+
+
 def test_infer_answers_that_are_no_text(spark):
     df = spark.range(40).select(F.col("id").alias("k"), F.concat(F.lit("p"), F.col("id")).alias("prompt_text")).repartition(1)
 
