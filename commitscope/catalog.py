@@ -783,7 +783,9 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str, commits: DataFrame) -> DataFrame:
-    parsed_rows = responses.parse_array(_answers(spark, sf_dir, commits), "n_groups")
+    ensure_checkpoint_dir(spark)
+    answers = _answers(spark, sf_dir, commits).checkpoint()  # the model's workers end before the validator's start
+    parsed_rows = responses.parse_array(answers, "n_groups")
     cands = responses.build_candidates_in_row(parsed_rows, ["repo", "commit_id"])
     return cands.select("repo", "commit_id", "group_ord", "candidate_id", "message", "reason",
                         F.array_join("files", ",").alias("files"), "checked")

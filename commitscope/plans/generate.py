@@ -2,15 +2,18 @@
 
 commits -> files (in row) -> groups (in row) -> options/history join ->
 model choice -> batch prompt -> caller's model function (mapInArrow) ->
-strict parse -> one outcome row per snapshot -> candidates and errors.
+checkpoint -> strict parse -> one outcome row per snapshot -> candidates and
+errors.
 
 Every snapshot flows through one lineage: blank ones parse to an empty file
 list, and rows without a prompt pass through the Python stage untouched, so
 the corpus is scanned once and the model is called once per snapshot.  The
-per-snapshot outcome (answer, status, file lists; no diffs) is checkpointed
-to the shared checkpoint folder before it is split into candidates and
-errors: both read the same answers, and a lost executor never re-runs a
-model call that already succeeded.
+answers (with status and file lists; no prompts, no diffs) are checkpointed
+to the shared checkpoint folder before they are parsed, and the outcomes
+before they are split into candidates and errors.  So a task has one Python
+worker at a time (the model function's or the JSON validator's, not both),
+candidates and errors read the same outcomes, and a lost executor never
+re-runs a model call that already succeeded.
 
 Shuffles: the per-snapshot options join (AQE broadcasts it when the measured
 size is small), the per-repo history (one row per repo) and the
@@ -37,9 +40,10 @@ NO_GROUPS = "could not analyse the staged changes"
 def snapshot_outcomes(commits: DataFrame, context: Callable[[DataFrame], DataFrame], fn, models: DataFrame | None = None,
                       ledger: AnswerLedger | None = None) -> DataFrame:
     """One row per snapshot: repo, commit_id, error (NULL when fine),
-    items (parsed answer), group_files.  Not yet materialised, but for the
-    prompts and answers where a ``ledger`` keeps them."""
+    items (parsed answer), group_files.  The answers are written (checkpointed,
+    or with their prompts where a ``ledger`` keeps them), the parse is not."""
     keys = ["repo", "commit_id"]
+    ensure_checkpoint_dir(commits.sparkSession)
     parsed = diffs.parse_files(commits.withColumn("_blank", is_blank("raw_diff")), keep_blank=True)
     grouped = paths.with_groups(parsed)
     snap = context(grouped)
@@ -57,7 +61,7 @@ def snapshot_outcomes(commits: DataFrame, context: Callable[[DataFrame], DataFra
         F.when(F.col("_pre").isNull(), F.col("prompt_text")).alias("prompt_text"),
         F.transform("groups", lambda g: F.transform(g["files"], lambda f: f["path"])).alias("group_files"))
     if ledger is None:
-        answers = inference.infer(staged, fn, keys=keys + ["_pre", "n_groups", "group_files"])
+        answers = inference.infer(staged, fn, keys=keys + ["_pre", "n_groups", "group_files"]).checkpoint()
     else:
         answers = ledger.ask(staged.checkpoint(), fn)
     parsed_answers = responses.parse_array(answers, "n_groups")

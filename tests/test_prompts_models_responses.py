@@ -176,6 +176,34 @@ def test_generation_asks_few_long_prompts_at_once(spark):
     assert 500_000 < min(got.values()) and max(got.values()) < 5 << 20
 
 
+def test_model_and_validator_run_apart(spark, tmp_path):
+    """A task never holds the workers of both: the answers are written before
+    they are parsed, and no prompt is asked again when outcomes are read twice."""
+    commits = spark.range(6).select(
+        F.lit("r").alias("repo"), F.col("id").alias("commit_id"),
+        F.concat(F.lit("diff --git a/m.ts b/m.ts\n+"), F.col("id"), F.lit("\n")).alias("raw_diff"))
+
+    def context(snapshots):
+        return snapshots.withColumns({"conventional": F.lit(True), "prompt_language": F.lit("en"),
+                                      "prompt": F.lit(None).cast("string"), "history": F.lit("")})
+
+    asked = str(tmp_path)
+
+    def model(batches):
+        import tempfile
+        for b in batches:
+            for _ in b:
+                tempfile.mkstemp(dir=asked)
+            yield pd.Series([json.dumps([{"message": "m", "reason": "r"}])] * len(b))
+
+    outcome = generate.snapshot_outcomes(commits, context, model)
+    plan = outcome._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    for _ in range(2):
+        assert sorted(r.commit_id for r in outcome.collect() if r.error is None) == list(range(6))
+    assert len(list(tmp_path.iterdir())) == 6
+
+
 def test_infer_answers_that_are_no_text(spark):
     df = spark.range(40).select(F.col("id").alias("k"), F.concat(F.lit("p"), F.col("id")).alias("prompt_text")).repartition(1)
 
